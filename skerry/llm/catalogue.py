@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from skerry.llm import ngram_join
+from skerry.llm import html_text, ngram_join, packing, pii, token_counts, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_dictionary": warc.op1,
+        "op2_html_blocks": html_text.op2,
         "op6_ngram_jaccard_join": ngram_join.op6,
+        "op7_pii_anchors": pii.op7,
+        "op8_retrieval_packing": packing.op8,
+        "op10_token_counts": token_counts.op10,
     }
 
 
