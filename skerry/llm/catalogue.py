@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skerry.llm import html_text, ngram_join, packing, pii, token_counts, warc
+from skerry.llm import html_text, ngram_join, packing, pii, quality, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_dictionary": warc.op1,
         "op2_html_blocks": html_text.op2,
+        "op5_kneser_ney_quality": quality.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_pii_anchors": pii.op7,
         "op8_retrieval_packing": packing.op8,
