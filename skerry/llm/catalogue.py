@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from skerry.llm import html_text, ngram_join, packing, pii, quality, token_counts, warc
+from skerry.llm import cover_tree, decontaminate, html_text, ngram_join, packing, pii, quality, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_dictionary": warc.op1,
         "op2_html_blocks": html_text.op2,
+        "op3_cover_tree_pairs": cover_tree.op3,
+        "op4_simhash_decontamination": decontaminate.op4,
         "op5_kneser_ney_quality": quality.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_pii_anchors": pii.op7,

@@ -53,6 +53,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that part words where punctuation doesn't count: all of ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _BYTE = mix(_LOWER)
@@ -88,15 +90,15 @@ def chunks(col: pa.Array, most: int = CHUNK_BYTES):
         i = j
 
 
-def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of every row: (words before each row and in all, start byte in its row, end byte, 64-bit hash with A-Z lower-cased)."""
+def words(col: pa.Array, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every row, by default [^\\x20\\x09-\\x0D]+: (words before each row and in all, start byte in its row, end byte, 64-bit hash with A-Z lower-cased)."""
     data, off = text_bytes(col)
     base = int(off[0])
     b, off = data[base : int(off[-1])], off - base
     if not len(b):
         z = np.zeros(0, np.int64)
         return np.zeros(len(off), np.int64), z, z, np.zeros(0, np.uint64)
-    space = _SPACE[b]
+    space = apart[b]
     first = np.ones(len(b) + 1, bool)
     first[1:-1] = space[:-1]
     first[off] = True
