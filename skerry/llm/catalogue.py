@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skerry.llm import cover_tree, decontaminate, html_text, ngram_join, packing, pii, quality, token_counts, warc
+from skerry.llm import cover_tree, decontaminate, html_text, ngram_join, packing, pii, quality, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_pii_anchors": pii.op7,
         "op8_retrieval_packing": packing.op8,
+        "op9_suffix_array_dedup": suffix_dedup.op9,
         "op10_token_counts": token_counts.op10,
     }
 
