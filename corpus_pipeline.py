@@ -1,5 +1,50 @@
-"""stub"""
-STAGES = []
+"""The training-text pipeline: good documents, one of each near-duplicate group, without benchmark passages or personal data, packed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skerry.llm.common import cut
+from skerry.llm.decontaminate import without_leaks
+from skerry.llm.ngram_join import first_of_groups
+from skerry.llm.packing import pack
+from skerry.llm.pii import redact_texts
+from skerry.llm.quality import judge
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the language model of trusted text rejects go."""
+    return judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of documents linked at 0.8 on five-word shingles one stays."""
+    return first_of_groups(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents with a passage of the benchmark go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: personal data is replaced by its kind."""
+    return redact_texts(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: pieces of documents in sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
+#: SQL can't express the language model, the tokenizer or the packing.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for documents; every stage's output is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -192,5 +192,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     return rows.join(answer, ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs without all but one of each group that ngram_jaccard finds: the one with the smallest doc_id stays, of repeated rows any one.
+
+    Rows whose texts are null, empty or without words are no group's and stay. A null doc_id counts as the largest.
+    """
+    named = docs.withColumn("__id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row")))
+    groups = ngram_jaccard(named, n, num, den, id_col="__id")
+    others = groups.where(F.col("__id") != F.col("component_id")).select("__id.row")
+    return named.withColumn("row", F.col("__id.row")).join(others, "row", "left_anti").select(*docs.columns)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -146,8 +146,22 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan_pii(docs: DataFrame, redacted: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all kinds) for every row of docs, and text without them if redacted.
+def redact_texts(docs: DataFrame) -> DataFrame:
+    """docs with every span that find_spans finds in text replaced by its kind, and n_chars, where there is one, the new text's. Null texts stay null."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t if not (s := find_spans(t)) else redact(t, s) for t in batch["text"].to_pylist()]
+            cols = {n: batch[n] for n in batch.schema.names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([len(t) if t is not None else n for t, n in zip(texts, batch["n_chars"].to_pylist())], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def scan_pii(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all kinds) for every row of docs.
 
     Whole texts are read, null as empty; a text without spans has the digest of the empty string and no spans. A null doc_id stays null and repeated rows give
     repeated rows. Other columns are ignored.
@@ -161,12 +175,9 @@ def scan_pii(docs: DataFrame, redacted: bool = False) -> DataFrame:
             base = [[s for s in spans if s[0] in BASE_KINDS] for spans in all_spans]
             cols = [batch["doc_id"], *(pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE_KINDS), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string()), pa.array([listed(s) for s in all_spans], pa.string())]
             names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
-            if redacted:
-                cols.append(pa.array([t if not s else redact(t, s) for t, s in zip(texts, all_spans)], pa.string()))
-                names.append("text")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", text string" * redacted)
+    return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
