@@ -7,27 +7,32 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skerry.llm.common import cut
+from skerry.llm.common import _powers as powers_of
+from skerry.llm.common import cut, mix
 
 WINDOW, END_ID = 2048, 1
 #: A shard of the inverted index holds so many tails; what it leaves over goes to the next shard.
 SHARD_TAILS = 512
 K1, B = 1.2, 0.75
 #: Words that a worker remembers with their ids before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-įı-ſ]*")
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Where these follow, an apostrophe parts a word otherwise than by kinds of characters.
+_APOSTROPHE = re.compile(r"'[strvmld]")
+#: Kinds of _PLAIN's characters: white space, letters that go together, numbers that stand alone, others that go together.
+_KIND = np.array([0 if chr(c).isspace() else 1 if chr(c).isalpha() else 2 if chr(c).isnumeric() else 3 for c in range(0x180)], np.uint8)
+_UNIT = mix(np.arange(0x180, dtype=np.uint64))
 
 
 class WordTokenizer:
-    """ids of texts as tokenizers gives them; as this vocabulary reads word for word, each word is encoded once and remembered."""
+    """ids of texts as tokenizers gives them. This vocabulary reads word for word, so each word is encoded once and remembered by a 64-bit hash; texts with
+    characters beyond _PLAIN, or with contractions, are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,7 +46,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self):
-        self.code: dict[str, int] = {}
+        self.keys, self.codes = np.zeros(1 << 21, np.uint64), np.full(1 << 21, -1)
         self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
@@ -55,28 +60,65 @@ class WordTokenizer:
                 ids, stop = np.concatenate(each), np.cumsum([len(x) for x in each])
             parts.append(ids)
             sizes.append(np.diff(stop, prepend=0))
-        base = len(self.code)
-        self.code.update((w, base + i) for i, w in enumerate(new))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
         self.flat = np.concatenate([self.flat, *parts])
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Codes of hashes, -1 of new ones."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = h & mask
+        out, left = self.codes[slot], np.arange(len(h))
+        while True:
+            left = left[(self.keys[slot[left]] != h[left]) & (self.codes[slot[left]] >= 0)]
+            if not len(left):
+                return out
+            slot[left] = (slot[left] + np.uint64(1)) & mask
+            out[left] = self.codes[slot[left]]
+
+    def _keep(self, h: np.ndarray, code: int) -> None:
+        mask, slot, left = np.uint64(len(self.keys) - 1), h & np.uint64(len(self.keys) - 1), np.arange(len(h))
+        while len(left):
+            free = left[self.codes[slot[left]] < 0]
+            self.codes[slot[free]] = code + free
+            won = free[self.codes[slot[free]] == code + free]
+            self.keys[slot[won]] = h[won]
+            left = np.setdiff1d(left, won)
+            slot[left] = (slot[left] + np.uint64(1)) & mask
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        big = "\n".join(t.lower() for t in texts) + "\n"
+        unit = np.frombuffer(big.encode("utf-16-le"), np.uint16)
+        kind = _KIND[unit]
+        begins = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind > 0)
+        start = np.flatnonzero(begins)
+        if not len(start):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        inside = np.flatnonzero(kind)
+        first = np.searchsorted(inside, start)
+        size = np.diff(np.append(first, len(inside)))
+        rank = np.arange(len(inside)) - np.repeat(first, size)
+        with np.errstate(over="ignore"):
+            h = mix(np.add.reduceat(_UNIT[unit[inside]] * powers_of(int(size.max()))[rank], first))
+        code = self._find(h)
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            new, where = np.unique(h[missing], return_index=True)
+            base = len(self.at) - 1
+            self._learn([big[start[i] : start[i] + size[i]] for i in missing[where].tolist()])
+            self._keep(new, base)
+            code[missing] = base + np.searchsorted(new, h[missing])
+        n = self.at[code + 1] - self.at[code]
+        ids = self.flat[np.repeat(self.at[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        bounds = np.cumsum([len(t.lower()) + 1 for t in texts])
+        upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, bounds)]
+        return np.split(ids, upto[:-1])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.code) > CACHE_WORDS:
+        if len(self.at) > CACHE_WORDS:
             self._forget()
-        split = [_WORDS.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
-        code = self.code
-        new = list(dict.fromkeys(w for s in split if s for w in s if w not in code))
-        if new:
-            self._learn(new)
-        out = []
-        for text, s in zip(texts, split):
-            if s is None:
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                c = np.fromiter(map(code.__getitem__, s), np.int64, len(s))
-                n = self.at[c + 1] - self.at[c]
-                out.append(self.flat[np.repeat(self.at[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        return out
+        plain = [bool(_PLAIN.fullmatch(t)) and not _APOSTROPHE.search(t.lower()) for t in texts]
+        got = iter(self._plain([t for t, p in zip(texts, plain) if p]) if any(plain) else [])
+        return [next(got) if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -92,6 +134,12 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def telling(ids: np.ndarray) -> int:
+    """The id that orders tails: occurrences count, and so does a high id, which a vocabulary of merges gives to longer and rarer tokens."""
+    some, tf = np.unique(ids, return_counts=True)
+    return int(some[np.argmax(np.log1p(tf) * some)]) if len(some) else -1
+
+
 def powers(n: int) -> list[int]:
     """n as falling powers of two."""
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
@@ -196,7 +244,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         path = public_tokenizers.path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("row", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("row", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType()), T.StructField("term", T.IntegerType())])
 
     def encode(batches):
         t, row = tokenizer(path), TaskContext.get().partitionId() << 33
@@ -209,7 +257,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                     some["doc_id"], pa.array(range(row, row + len(ids)), pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([[crc(x[j : j + WINDOW]) for j in range(0, w, WINDOW)] for x, w in zip(ids, whole)], pa.list_(pa.int64())),
                     pa.array([x[w:].astype("<u2" if t.size <= 1 << 16 else "<u4").tobytes() for x, w in zip(ids, whole)], pa.binary()),
-                ], names=["doc_id", "row", "doc_tokens", "crcs", "tail"])
+                    pa.array([telling(x[w:]) for x, w in zip(ids, whole)], pa.int32()),
+                ], names=["doc_id", "row", "doc_tokens", "crcs", "tail", "term"])
                 row += len(ids)
 
     rows = cut(src.mapInArrow(encode, schema), "tails")
@@ -233,14 +282,6 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     sent = spark.sparkContext.broadcast(np.where(df > 0, np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))), 0))
     mean = max(1.0, total / max(1, n))
 
-    def telling(batches):
-        for batch in batches:
-            best = []
-            for tail in batch["tail"].to_pylist():
-                ids, tf = np.unique(np.frombuffer(tail, width), return_counts=True)
-                best.append(int(ids[np.argmax(sent.value[ids] * tf / (tf + K1))]) if len(ids) else -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int32())], [*batch.schema.names, "term"])
-
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
     arrow_out = [*(pa.int64(),) * 6]
 
@@ -270,7 +311,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
             p.finish()
             yield flush()
 
-    dealt = rows.mapInArrow(telling, T.StructType([*schema.fields, T.StructField("term", T.IntegerType())])).repartitionByRange("term", F.xxhash64("row")).sortWithinPartitions("term", F.xxhash64("row"))
+    dealt = rows.repartitionByRange("term", F.xxhash64("row")).sortWithinPartitions("term", F.xxhash64("row"))
     return dealt.mapInArrow(fill, out).withColumnRenamed("doc_id", id_col)
 
 
