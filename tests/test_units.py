@@ -192,3 +192,38 @@ def test_slow_convergence(spark):
 def test_empty_history(spark):
     e = spark.createDataFrame([], "event_id bigint, occurred_at timestamp, speaker_addr string, peer_addr string, prefix string, action string, as_path string, as_path_len int, event_type string")
     assert windows.sessions(e).count() == 0 and detectors.hijacks(e).count() == 0 and graph.path_edges(e).count() == 0 and state.peer_state(e, "2024-01-01").count() == 0
+
+
+def test_alert_streams(spark, tmp_path):
+    rows = [(i, at(10 * i), "x", "p", "announce", f"1 {64500 + (i == 4)}", m, 6 if i < 5 else 2, None) for i, m in enumerate([5, 9, 5, 9, 5, 9])]
+    routes = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, action string, as_path string, med bigint, as_path_len int, only_to_customer bigint")
+    got = {(r.event_id, r.kind) for r in drain(spark, streams.route_alerts(stream_of(spark, routes, str(tmp_path / "r")), 60), "route_alerts").collect()}
+    batch = {(r.event_id, "med_oscillation") for r in detectors.med_oscillation(routes).collect()} | {(r.event_id, "leak") for r in detectors.leaks(routes).collect()} | {(r.event_id, "hijack") for r in detectors.hijacks(routes, seconds=60).collect()}
+    assert got == batch and len({k for _, k in got}) == 3
+
+
+def test_episode_stream(spark, tmp_path):
+    rows = [(1, at(0), "p", "peer_down", None), (2, at(1), "p", "withdraw", "a"), (3, at(2), "p", "announce", "b"), (4, at(0), "q", "peer_down", None), (5, at(3), "q", "peer_up", None)]
+    changes = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, peer_addr string, kind string, prefix string")
+    path = str(tmp_path / "c")
+    live = stream_of(spark, changes, path)
+    q = streams.convergence_events(live).writeStream.outputMode("append").format("memory").queryName("episodes").start()
+    q.processAllAvailable()
+    spark.createDataFrame([(9, at(100), "z", "announce", "x")], changes.schema).repartition(1).write.mode("append").parquet(path)  # moves the watermark
+    q.processAllAvailable()
+    spark.createDataFrame([(10, at(200), "z", "announce", "x")], changes.schema).repartition(1).write.mode("append").parquet(path)
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.peer_addr, r.convergence_ms, r.withdraws, r.affected_prefixes, r.ended_by) for r in spark.table("episodes").collect()} == {("p", 7000.0, 1, 2, "quiet"), ("q", 3000.0, 0, 0, "peer_up")}
+
+
+def test_canned_questions(spark):
+    from skerry.operators import canned
+
+    r = spark.createDataFrame([(1, at(0), "x", "p", "announce", "1 2", 2, "1:1", "invalid", None), (2, at(1), "x", "p", "withdraw", None, None, None, None, None)], "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, action string, as_path string, as_path_len int, communities string, rpki_validity string, only_to_customer bigint")
+    p = spark.createDataFrame([(i, at(i), "p", "peer_down") for i in range(6)], "event_id bigint, occurred_at timestamp, peer_addr string, event_type string")
+    a = spark.createDataFrame([(at(0), "k", 0.5)], "detected_at timestamp, kind string, score double")
+    c = spark.createDataFrame([("p", at(0), 5.0)], "peer_addr string, started_at timestamp, convergence_ms double")
+    t = {"route_events": r, "peer_events": p, "ml_anomalies": a, "convergence_events": c}
+    assert {q: canned.ask(q, t).count() for q in canned.QUESTIONS} == {"top_announced": 1, "top_withdrawn": 1, "churn": 1, "peer_downs": 1, "peer_ups": 0, "invalids": 1, "anomalies": 1, "communities": 1, "longest_paths": 1, "convergence": 1, "recent": 2}
+    assert canned.VERIFY["flap"](p).count() == 1 and canned.kinds(spark).count() == len(canned.VERIFY)
