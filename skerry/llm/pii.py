@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the method adds to the base kinds, in the order in which spans are listed after them.
-MORE_KINDS = ("url", "account", "secret")
+MORE_KINDS = ("card_part", "phone_part", "url", "account", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -61,6 +61,31 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def card_parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Card numbers made of whole groups within a run of digits that isn't one itself: from the left, the longest first."""
+    groups, out, i = [(m.start() + start, m.end() + start) for m in re.finditer("[0-9]+", text[start:end])], [], 0
+    while i < len(groups):
+        for j in range(min(len(groups), i + 19), i, -1):
+            digits = "".join(text[a:b] for a, b in groups[i:j])
+            if 13 <= len(digits) <= 19 and luhn(digits):
+                out.append((groups[i][0], groups[j - 1][1]))
+                i = j - 1
+                break
+        i += 1
+    return out
+
+
+def phone_part(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The longest phone number of whole groups that begins a run of more digits than one has."""
+    digits, best = 0, []
+    for m in re.finditer("[0-9]+", text[start:end]):
+        digits += m.end() - m.start()
+        if digits > 15:
+            break
+        best = [(start, start + m.end())] if digits >= 9 else best
+    return best
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed in KINDS and then by start.
 
@@ -81,6 +106,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     digits = re.sub(r"[\x20-]", "", m[0])
                     if 13 <= len(digits) <= 19 and luhn(digits):
                         found["card"].append(m.span())
+                    elif len(digits) > 13:
+                        found["card_part"] += card_parts(text, *m.span())
             if at >= done["ip"]:
                 m = _IP.match(text, at)
                 if m:
@@ -105,6 +132,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if m:
                 if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     found["phone"].append(m.span())
+                else:
+                    found["phone_part"] += phone_part(text, *m.span())
         elif anchor == "url":
             # only addresses that name a user are personal
             start = at
