@@ -176,3 +176,10 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: op3 in DuckDB, pair by pair.
+SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ok AS (SELECT vec_id, label, x FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS v, vec_id AS m FROM v UNION SELECT e.b, r.m FROM r JOIN e ON r.v = e.a), c AS (SELECT v, min(m) AS m FROM r GROUP BY 1)
+SELECT v AS vec_id, (SELECT count(*) FROM e WHERE e.a = c.v) AS n_links, m AS component_id, v = m AS kept FROM c"""

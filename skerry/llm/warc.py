@@ -165,3 +165,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: op1 in DuckDB: 5 bits of the digest's 40 hexadecimal digits make a letter each.
+SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((strpos('0123456789abcdef', x[5 * i // 4 + 1]) - 1) * 16 + strpos('0123456789abcdef', x[5 * i // 4 + 2]) - 1) >> (3 - i % 4)) % 32, 1)), '') AS payload_digest,
+ CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM d"""
