@@ -1,10 +1,7 @@
-"""Prefixes as numbers: IPv4 in generated code, IPv6 in Arrow batches. A prefix is kept as (family, net, len); net is the masked network."""
+"""Prefixes as numbers and bytes, in Spark's own functions. A prefix is kept as (family, net, len); net is the masked network."""
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,18 +44,24 @@ def v4_contains(net: C, length: C, inner_net: C, inner_length: C) -> Column:
     return (_c(inner_length) >= _c(length)) & (v4_mask(_c(inner_net), _c(length)) == _c(net))
 
 
-def _v6_nets(text: pd.Series, length: pd.Series) -> pd.Series:
-    def one(t, n):
-        try:
-            net = ipaddress.IPv6Network(t, strict=False)
-            n = net.prefixlen if n is None or n != n else int(n)
-            return None if n > net.prefixlen else ipaddress.IPv6Network((int(net.network_address) >> (128 - n) << (128 - n) if n else 0, n)).network_address.packed
-        except (ValueError, TypeError):
-            return None
-
-    return pd.Series([one(t, n) for t, n in zip(text, length)], dtype=object)
+def v6_hex(text: C) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address or prefix; null unless it is one in groups of digits."""
+    addr = F.lower(F.trim(F.element_at(F.split(_c(text), "/"), 1)))
+    halves = F.split(addr, "::", -1)
+    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, i), F.lit("")), ":"), lambda x: x != "")
+    left, right = groups(0), groups(1)
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)).cast("int")), right)
+    ok = addr.rlike("^[0-9a-f:]+$") & ~addr.rlike(":::|^:[^:]|[^:]:$") & (((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing >= 1))) & F.forall(every, lambda x: F.length(x) <= 4)
+    return F.when(ok, F.array_join(F.transform(every, lambda x: F.lpad(x, 4, "0")), ""))
 
 
 def v6_net(text: C, length: C) -> Column:
     """16 bytes of an IPv6 prefix's network, masked to the given length; null if it isn't one or is shorter than that length."""
-    return F.pandas_udf(_v6_nets, "binary")(text, length)
+    full, n = v6_hex(text), _c(length).cast("int")
+    digits, bits = F.floor(n / 4).cast("int"), n % 4
+    nibble = F.conv(F.substring(full, digits + 1, F.lit(1)), 16, 10).cast("int")
+    size = F.element_at(F.array(F.lit(16), F.lit(8), F.lit(4), F.lit(2)), bits + 1)
+    part = F.when(bits == 0, F.lit("")).otherwise(F.lower(F.hex(nibble - nibble % size)))
+    net = F.rpad(F.concat(F.substring(full, F.lit(1), digits), part), 32, "0")
+    return F.when(full.isNotNull() & (F.coalesce(prefix_length(text), F.lit(128)) >= n) & n.between(0, 128), F.unhex(net))

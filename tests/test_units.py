@@ -40,6 +40,21 @@ def test_texts(spark):
     assert one(spark, P.v4_net(F.lit("10.1.2.3/8"))) == 10 << 24 and one(spark, P.v4_number(F.lit("256.1.1.1"))) is None
 
 
+def test_ipv6(spark):
+    import ipaddress
+
+    texts = ["2001:db8::/32", "::/0", "::1", "2001:db8:1:2:3:4:5:6/77", "fe80::1:2/65", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::/3", "x::1", "1:::2", "1:2:3", ":1::2", "::1:", "12345::", "10.0.0.0/8", "", "1::2::3", "ABCD::/16"]
+    for n in (0, 1, 2, 3, 5, 13, 32, 64, 65, 77, 128):
+        got = spark.createDataFrame([(t, n) for t in texts], "t string, n int").select("t", P.v6_net("t", "n").alias("net")).collect()
+        for r in got:
+            try:
+                net = ipaddress.IPv6Network(r.t, strict=False)
+                want = ipaddress.IPv6Network((int(net.network_address) >> (128 - n) << (128 - n) if n else 0, n)).network_address.packed if n <= net.prefixlen else None
+            except ValueError:
+                want = None
+            assert (bytes(r.net) if r.net is not None else None) == want, (r.t, n)
+
+
 VRPS = [("192.0.2.0/24", 24, 64496), ("10.0.0.0/8", 16, 64500), ("10.0.0.0/8", 24, 64501), ("2001:db8::/32", 48, 64496), ("198.51.100.0/25", 25, 64496)]
 
 
