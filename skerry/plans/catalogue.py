@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.functions import prefixes as P
 from skerry.functions import scalars as X
 from skerry.operators import aggregates as A
 from skerry.operators import detectors as D
