@@ -150,6 +150,24 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+#: Bits of the maps of bit_map. They only save work: values that share a bit are told apart later.
+MAP_BITS = 1 << 27
+
+
+def bit_map(df: DataFrame, column: str) -> np.ndarray:
+    """A map of MAP_BITS bits of the values in a long column, by their lowest bits; its size doesn't grow with them."""
+    low = df.select((F.col(column).bitwiseAND(F.lit(MAP_BITS - 1)) + 1).alias("bit"))  # Spark's maps start at 1
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for bucket, bits in low.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).toLocalIterator():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    v = (values & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    return (bits[v >> 3] >> (v & 7).astype(np.uint8)) & 1 > 0
+
+
 def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     """Edges that keep the linked groups of n nodes: at most n - 1 of the given pairs."""
     top = list(range(n))
@@ -169,22 +187,65 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+#: Edges that a task links at once before they are shuffled.
+LINKED_AT_ONCE = 200_000
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same linked groups: every stretch of a task's edges is replaced by stars around its groups' smallest nodes."""
+    schema = edges.schema
+
+    def run(batches):
+        kind, top = None, {}
+
+        def find(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        def stars():
+            rows = [(x, r) for x in top if (r := find(x)) != x]
+            back = (lambda x: dict(zip(kind.names, x))) if pa.types.is_struct(kind) else (lambda x: x)
+            return pa.RecordBatch.from_arrays([pa.array([back(r[i]) for r in rows], kind) for i in (0, 1)], ["u", "v"])
+
+        def plain(column):
+            return list(zip(*(column.field(i).to_pylist() for i in range(column.type.num_fields)))) if pa.types.is_struct(column.type) else column.to_pylist()
+
+        for batch in batches:
+            kind = batch["u"].type
+            for u, v in zip(plain(batch["u"]), plain(batch["v"])):
+                top.setdefault(u, u)
+                top.setdefault(v, v)
+                x, y = find(u), find(v)
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+            if len(top) > LINKED_AT_ONCE:
+                yield stars()
+                top.clear()
+        if top:
+            yield stars()
+
+    return edges.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edges (a, b), component the smallest node reachable.
 
-    Alternating large and small stars; each round goes to the shared folder. Every round groups and joins on nodes, and the joined side has one row a node, so a hub's rows can be split over tasks.
+    Alternating large and small stars; each round goes to the shared folder. Tasks link what they hold before it is shuffled, so that few rounds are needed. Every
+    round groups and joins on nodes, and the joined side has one row a node, so a hub's rows can be split over tasks.
     """
-    spark = edges.sparkSession
-    edges = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
-    seen = None
+    edges = cut(local_stars(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v")).distinct(), "edges")
+    print_of = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    seen = edges.agg(*print_of).first()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("CASE WHEN v = m THEN u ELSE v END AS u", "m AS v").where("u <> v").distinct()
-        edges = cut(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = large.join(low, "u").selectExpr("CASE WHEN v = m THEN u ELSE v END AS u", "m AS v").where("u <> v")
+        edges = cut(local_stars(small).distinct(), "edges")
+        now = edges.agg(*print_of).first()
         if now == seen:
             break
         seen = now

@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skerry.llm.common import as_long, chunks, components, cut, forest, mix, shingle_sets
+from skerry.llm.common import as_long, bit_map, chunks, components, cut, forest, in_map, mix, shingle_sets
 
 #: Second level of PartEnum: so many parts in each first-level partition, of which one may differ.
 PARTS = 3
+#: One first-level partition more than need be for so many differences, so that signatures of few shingles can be left out.
+SPARE = 8
 #: A block of compared sets has about so many sets and so many shingles at most (a longer set makes a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-#: Bits of the fixed bit map that keeps sets of uncompared documents at home; it only saves shuffling.
-BITMAP_BITS = 1 << 25
+#: Sets that share a signature are sifted pair by pair in groups of so many at most; in larger groups all count as near.
+SIFTED = 4096
+#: Numbers of so many rows may be sent to all tasks.
+BROADCAST_ROWS = 2_000_000
+#: Groups of so many are compared as whole numbers, larger ones as arrays.
+FEW = 8
 
 
 def bands(num: int, den: int, most: int) -> np.ndarray:
@@ -41,8 +47,10 @@ def set_keys(ptr: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(ptr: np.ndarray, s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature): sets with |A & B| / |A | B| >= num / den share one at least.
 
-    A set in size band i signs for bands i and i + 1. Two sets of band b, or of b - 1 and b, differ in at most k shingles; of ceil((k + 1) / 2)
-    partitions of the shingles one has at most one difference, and of its 3 parts two have none: each two parts of a partition make a signature.
+    A set in size band i signs for bands i and i + 1. Two sets of band b, or of b - 1 and b, differ in at most k shingles, so that of n1 partitions of the shingles m = n1 - k // 2 have
+    one difference at most, and of such a partition's 3 parts two have none: each two parts of a partition make a signature. Signatures of fewer than c shingles, which strangers
+    share, are left out by sets that are safe: those with fewer than m partitions where two parts could have fewer than c. If either of two sets is safe, one of their m
+    partitions has a signature of c shingles, which both make; if neither is, both make all.
     """
     n = np.diff(ptr)
     edge = bands(num, den, int(n.max(initial=1)))
@@ -52,24 +60,73 @@ def signatures(ptr: np.ndarray, s: np.ndarray, num: int, den: int) -> tuple[np.n
         band = own + step
         top = edge[np.minimum(band + 1, len(edge) - 1)] - 1
         k = (den - num) * 2 * top // (den + num)
-        parts = np.where(n > 0, np.where(k == 0, 1, -(-(k + 1) // 2) * PARTS), 0)
+        groups = np.where(k == 0, 1, k // 2 + 1 + -(-k // SPARE))
+        least = np.where(k == 0, 0, np.clip(top // groups // PARTS, 1, PARTS))
+        parts = np.where(n > 0, np.where(k == 0, 1, groups * PARTS), 0)
         base = np.concatenate([[0], np.cumsum(parts)])
         per = np.repeat(parts, n).astype(np.uint64)
         slot = np.repeat(base[:-1], n) + (((s >> np.uint64(32)) * per) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(base[-1], np.uint64)
         np.add.at(sums, slot, mix(s))
+        count = np.bincount(slot, minlength=base[-1])
         row = np.repeat(np.arange(len(n)), parts)
         pos = np.arange(base[-1]) - np.repeat(base[:-1], parts)
-        single = parts[row] == 1
-        first = np.arange(base[-1]) - pos % PARTS
-        third = np.minimum(first[:, None] + np.arange(PARTS), max(0, len(sums) - 1))
+        keep = np.ones(len(row), bool)
+        many = np.flatnonzero((pos % PARTS == 0) & (parts[row] > 1))
         with np.errstate(over="ignore"):
-            sums = np.where(single, sums, sums[third].sum(axis=1, dtype=np.uint64) - sums)
-            sigs.append(mix(sums ^ mix(band[row].astype(np.uint64) * np.uint64(1 << 40) + pos.astype(np.uint64))))
-        rows.append(row)
+            if len(many):
+                third = many[:, None] + np.arange(PARTS)
+                each = count[third]
+                total, owner = each.sum(1), row[many]
+                sums[third] = sums[third].sum(1, dtype=np.uint64)[:, None] - sums[third]
+                weak = np.bincount(owner, total - each.max(1) < least[owner], len(n))
+                safe = weak < groups - k // 2
+                keep[third] = (total[:, None] - each >= least[owner][:, None]) | ~safe[owner][:, None]
+            sig = mix(sums ^ mix(band[row].astype(np.uint64) * np.uint64(1 << 40) + pos.astype(np.uint64)))
+        rows.append(row[keep])
+        sigs.append(sig[keep])
     return np.concatenate(rows), np.concatenate(sigs)
 
 
+def bit_sets(ptr: np.ndarray, s: np.ndarray) -> list[bytes]:
+    """Each set as a map of bits, two or more a shingle, in whole powers of two: maps of half the size are their halves laid over each other."""
+    n = np.diff(ptr)
+    log = np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(1 << (log - 3))])
+    out = np.zeros(base[-1], np.uint8)
+    at = (mix(s + np.uint64(99)) & np.repeat((np.uint64(1) << log.astype(np.uint64)) - np.uint64(1), n)).astype(np.int64)
+    np.bitwise_or.at(out, np.repeat(base[:-1], n) + (at >> 3), (1 << (at & 7)).astype(np.uint8))
+    raw = out.tobytes()
+    return [raw[a:b] for a, b in zip(base[:-1], base[1:])]
+
+
+def near_by_bits(sizes: np.ndarray, maps: list[bytes], num: int, den: int, group: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of places, a spanning forest, of the sets whose maps don't rule out num / den: bits that differ are shingles that do, if not all of them. Sets of one group are linked already."""
+    width = min(map(len, maps))
+    bits = np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
+    group = np.arange(len(maps)) if group is None else group
+    values, count = np.unique(group, return_counts=True)
+    most = values[np.argmax(count)]
+    found = []
+    for i in np.flatnonzero(group != most):  # of the largest group no two need be compared
+        apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero((apart * (den + num) <= (den - num) * (sizes + sizes[i])) & (group != group[i]))
+        found.append(np.stack([np.full(len(hit), i), hit], 1))
+    return np.array(forest(len(maps), np.concatenate(found)), np.int64).reshape(-1, 2)
+
+
+def near_two(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
+    """near_by_bits for two sets."""
+    x, y, p, q = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a), len(b)
+    while p > q:
+        p //= 2
+        x = x >> 8 * p | x & (1 << 8 * p) - 1
+    while q > p:
+        q //= 2
+        y = y >> 8 * q | y & (1 << 8 * q) - 1
+    return (x ^ y).bit_count() * (den + num) <= (den - num) * (n + m)
+
+
 def link_sets(ids: list, sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> list[tuple]:
     """A spanning forest of the pairs that reach num / den; with sides, of those between the sides only."""
     size = np.array([len(x) for x in sets], np.int64)
@@ -102,8 +159,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     null, empty or without words links with nothing. Repeated rows and copies share a set and so a component; a null id takes part and is never the
     smallest id unless its component has no other. Other columns are ignored.
 
-    Equal sets make one class. PartEnum signatures of the classes' sets find every pair that can reach the threshold; classes that share signatures, directly
-    or over others, make a cluster; within a cluster, blocks of sets of equal or neighbouring size bands are compared exactly, and each comparison
+    Equal sets make one class. PartEnum signatures of the classes' sets find every pair that can reach the threshold; of classes that share a signature those stay whose bit
+    maps don't rule it out, and such classes, directly or over others, make a cluster; within a cluster, blocks of sets of equal or neighbouring size bands are compared exactly, and each comparison
     of two blocks returns a spanning forest, never its pairs. Shingles are compared by 64-bit hashes and sets by 128 bits.
     """
     spark: SparkSession = docs.sparkSession
@@ -115,15 +172,15 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
             for i, j in chunks(batch["text"]):
                 ptr, s = shingle_sets(batch["text"].slice(i, j - i), n)
                 k1, k2 = set_keys(ptr, s)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), pa.array(np.diff(ptr)), as_long(k1), as_long(k2)], ["id", "n", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), pa.array(np.diff(ptr)), as_long(k1), as_long(k2), pa.array(bit_sets(ptr, s), pa.binary())], ["id", "n", "k1", "k2", "bits"])
 
-    rows = cut(src.mapInArrow(keys, T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2"))])), "sets")
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("low"))
+    rows = cut(src.mapInArrow(keys, T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")), T.StructField("bits", T.BinaryType())])), "sets")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.first("bits").alias("bits"))
 
     def sign(batches):
         seen: set[int] = set()
         for batch in batches:
-            for i, j in chunks(batch["text"]):
+            for i, j in chunks(batch["text"], 1 << 20):
                 ptr, s = shingle_sets(batch["text"].slice(i, j - i), n)
                 k1 = set_keys(ptr, s)[0]
                 row, sig = signatures(ptr, s, num, den)
@@ -133,17 +190,61 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
                 keep = new[row]
                 yield pa.RecordBatch.from_arrays([as_long(sig[keep]), as_long(k1[row[keep]])], ["sig", "k1"])
 
-    hub = F.min("k1").over(Window.partitionBy("sig"))
-    near = src.select("text").mapInArrow(sign, "sig long, k1 long").select("k1", hub.alias("hub")).where("k1 <> hub").distinct()
-    cluster = cut(components(near.selectExpr("k1 AS a", "hub AS b")).withColumnRenamed("node", "k1"), "clusters")
+    w = Window.partitionBy("sig")
+    met = src.select("text").mapInArrow(sign, "sig long, k1 long").withColumns({"hub": F.min("k1").over(w), "last": F.max("k1").over(w), "met": F.count("*").over(w), "who": F.bit_xor(F.xxhash64("k1")).over(w)}).where("hub <> last")
+    # signatures that the same sets share count once
+    met = cut(met.select(F.xxhash64("hub", "last", "met", "who").alias("sig"), "k1", "hub", "met").distinct(), "met")
+
+    def sift(batches):
+        held: list[tuple] = []
+        top: dict[int, int] = {}  # what this task has linked already
+
+        def find(x):
+            while (y := top.setdefault(x, x)) != x:
+                top[x] = top[y]
+                x = top[x]
+            return x
+
+        def close(rows):
+            out = []
+            i = 0
+            while i < len(rows):
+                j = i
+                while j < len(rows) and rows[j][0] == rows[i][0]:
+                    j += 1
+                if j - i <= FEW:
+                    for a in range(i + 1, j):
+                        for b in range(i, a):
+                            x, y = find(rows[a][1]), find(rows[b][1])
+                            if x != y and near_two(*rows[a][2:], *rows[b][2:], num, den):
+                                top[x] = y
+                                out.append((rows[a][1], rows[b][1]))
+                elif len(set(roots := [find(r[1]) for r in rows[i:j]])) > 1:
+                    for a, b in near_by_bits(np.array([r[2] for r in rows[i:j]]), [r[3] for r in rows[i:j]], num, den, np.array(roots)).tolist():
+                        x, y = find(rows[i + a][1]), find(rows[i + b][1])
+                        if x != y:
+                            top[x] = y
+                            out.append((rows[i + a][1], rows[i + b][1]))
+                i = j
+            a, b = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            held += zip(*(batch[c].to_pylist() for c in ("sig", "k1", "n", "bits")))
+            last = held[-1][0] if held else None
+            whole = [r for r in held if r[0] != last]
+            if whole:
+                held = [r for r in held if r[0] == last]
+                yield close(whole)
+        if held:
+            yield close(held)
+
+    few = met.where(F.col("met") <= SIFTED).select("sig", "k1").join(classes.select("k1", "n", "bits"), "k1")
+    near = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(sift, "a long, b long").unionByName(met.where((F.col("met") > SIFTED) & (F.col("k1") != F.col("hub"))).selectExpr("k1 AS a", "hub AS b"))
+    cluster = cut(components(near).withColumnRenamed("node", "k1"), "clusters")
 
     # sets of the clusters' classes: a fixed bit map of their keys goes to the tasks that read the texts, an exact join follows
-    marks = cluster.selectExpr(f"k1 & {BITMAP_BITS - 1} AS bit").groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 8 + (1 << 13), np.uint8)
-    for bucket, bits in marks.where("bucket > 0").collect():  # BITMAP_BITS / 8 bytes at most
-        at = (bucket - 1) * 4096
-        bitmap[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
-    sent = spark.sparkContext.broadcast(bitmap)
+    sent = spark.sparkContext.broadcast(bit_map(cluster, "k1"))
 
     def members(batches):
         seen: set[int] = set()
@@ -151,11 +252,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
             for i, j in chunks(batch["text"]):
                 ptr, s = shingle_sets(batch["text"].slice(i, j - i), n)
                 k1, k2 = set_keys(ptr, s)
-                # in Spark's bit maps the value v > 0 is bit v - 1, and 0 stands apart; here 0 always hits
-                bit = (k1 & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-                at = np.where(bit > 0, bit - 1, BITMAP_BITS)
-                hit = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                hit |= bit == 0
+                hit = in_map(sent.value, k1)
                 rows = [r for r in np.flatnonzero(hit & (np.diff(ptr) > 0)) if int(k1[r]) not in seen and not seen.add(int(k1[r]))]
                 if len(seen) > 200_000:
                     seen.clear()
@@ -164,7 +261,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     edge = [int(x) for x in bands(num, den, 1 << 40)]
     # the band of a size as an expression: how many first sizes it has reached
     band = F.aggregate(F.lit(edge), F.lit(-1), lambda acc, x: acc + (F.col("n") >= x).cast("int"))
-    named = classes.join(cluster, "k1").withColumn("band", band)
+    named = classes.drop("bits").join(cluster, "k1").withColumn("band", band)
     sizes = named.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("own"))
     around = sizes.join(sizes.selectExpr("component", "band + 1 AS band", "own AS below"), ["component", "band"], "left").join(sizes.selectExpr("component", "band - 1 AS band", "own AS above"), ["component", "band"], "left")
     placed = named.join(around, ["component", "band"]).withColumn("block", F.expr("CAST(pmod(xxhash64(k1, k2), own) AS INT)"))
@@ -185,7 +282,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     links = pairs.groupBy("component", "ba", "ia", "bb", "ib").applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long")
     group = components(links.selectExpr("struct(a1 AS k1, a2 AS k2) AS a", "struct(b1 AS k1, b2 AS k2) AS b")).selectExpr("node.k1", "node.k2", "component AS g")
     # Two keys name a group; groups without links are their own.
-    lowest = classes.join(group, ["k1", "k2"], "left").withColumn("g", F.coalesce("g", F.struct("k1", "k2")))
+    lowest = classes.drop("bits").join(group, ["k1", "k2"], "left").withColumn("g", F.coalesce("g", F.struct("k1", "k2")))
     low = cut(lowest.select("k1", "k2", "g", "low"), "groups")
     top = low.groupBy("g").agg(F.min("low").alias("component_id"))
     answer = low.join(top, "g").select("k1", "k2", "component_id")
@@ -199,9 +296,18 @@ def first_of_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     """
     named = docs.withColumn("__id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row")))
     groups = ngram_jaccard(named, n, num, den, id_col="__id")
-    others = groups.where(F.col("__id") != F.col("component_id")).select("__id.row")
-    return named.withColumn("row", F.col("__id.row")).join(others, "row", "left_anti").select(*docs.columns)
+    others = cut(groups.where(F.col("__id") != F.col("component_id")).select(F.col("__id.row").alias("__row")), "others")
+    few = others.count() <= BROADCAST_ROWS  # else the texts are shuffled to them
+    return named.withColumn("__row", F.col("__id.row")).join(F.broadcast(others) if few else others, "__row", "left_anti").select(*docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: op6 in DuckDB, by shared shingles.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS u, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 90 * u), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT doc_id AS d, doc_id AS m FROM s UNION SELECT e.b, r.m FROM r JOIN e ON r.d = e.a), c AS (SELECT d, min(m) AS m FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m AS component_id FROM s JOIN c ON doc_id = d"""

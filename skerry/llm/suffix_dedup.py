@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import as_long, chunks, cut, mix, text_bytes
+from skerry.llm.common import as_long, bit_map, chunks, cut, in_map, mix, text_bytes
 
 LENGTH = 200
 #: Bytes of an anchor. Every string of LENGTH bytes has LENGTH - ANCHOR + 1 of them, and is filed under the one with the least hash.
 ANCHOR = 40
 #: A shard's suffix array is built over so many bytes or so; an anchor whose surroundings have more than HOT_BYTES is compared window by window.
 SHARD_BYTES, HOT_BYTES = 1 << 20, 1 << 20
-#: Bits of the maps that keep texts and anchors at home that no other has; they only save shuffling.
-MAP_BITS = 1 << 27
 _SEED = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = mix(np.arange(900, 910, dtype=np.uint64)) | np.uint64(1)
 
@@ -216,20 +214,6 @@ def pieces(col: pa.Array):
             yield i, j, part, np.array([0, len(part)]), at
 
 
-def bit_map(df: DataFrame, column: str) -> np.ndarray:
-    """A map of MAP_BITS bits of the values in a long column, by their lowest bits; its size doesn't grow with them."""
-    low = df.select((F.col(column).bitwiseAND(F.lit(MAP_BITS - 1)) + 1).alias("bit"))  # Spark's maps start at 1
-    out = np.zeros(MAP_BITS // 8, np.uint8)
-    for bucket, bits in low.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).toLocalIterator():
-        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
-def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    v = (values & np.uint64(MAP_BITS - 1)).astype(np.int64)
-    return (bits[v >> 3] >> (v & 7).astype(np.uint8)) & 1 > 0
-
-
 def text_keys(col: pa.Array) -> np.ndarray:
     """Two 64-bit keys of every text."""
     data, off = text_bytes(col)
