@@ -317,7 +317,7 @@ def test_packing(spark):
             at += n
         assert at == size if size is not None else at == 2048 or at & (at - 1) == 0 and at < 2048
     assert packing.pack(table(spark, [])).count() == 0
-    assert packing.pack(table(spark, [(None, "a"), (None, "a"), (1, None)])).count() == 3
+    assert sorted((r.doc_tokens, r.length) for r in packing.pack(table(spark, [(None, "a"), (None, "a"), (1, None)])).collect() if r.start == 0)[0] == (1, 1)
 
 
 def test_packing_prefers_neighbours():
