@@ -259,6 +259,20 @@ def test_quality_held_out(spark):
     assert quality.judge(table(spark, []), none).count() == 0
 
 
+def test_quality_toxic_words(spark):
+    """Toxic documents in fluent prose go, also those whose labels aren't given."""
+    sf = SF.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").where("lang = 'en'")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r.keep for r in quality.judge(docs, labels.where("doc_id % 2 = 0"), with_text=False).collect()}
+    rejected = {}
+    for d, q, x in labels.where("doc_id % 2 = 1").collect():
+        if d in got:
+            rejected.setdefault((q, x), []).append(not got[d])
+    share = {k: sum(v) / len(v) for k, v in rejected.items()}
+    assert share[1, 1] >= 0.95 and share[0, 1] >= 0.9 and share[0, 0] >= 0.85 and share[1, 0] <= 0.03
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
