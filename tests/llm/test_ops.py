@@ -273,6 +273,19 @@ def test_quality_toxic_words(spark):
     assert share[1, 1] >= 0.95 and share[0, 1] >= 0.9 and share[0, 0] >= 0.85 and share[1, 0] <= 0.03
 
 
+def test_quality_rare_language(spark):
+    """A language with few trusted texts, or copies of one, has a threshold and rejects junk."""
+    rng = random.Random(3)
+    same = prose(60, rng)
+    rows = [(i, prose(60, rng), "en") for i in range(60)] + [(100 + i, prose(60, rng), "xx") for i in range(4)] + [(200 + i, same, "yy") for i in range(12)]
+    junk = [(300 + i, "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300)), lang) for i, lang in enumerate(("en", "xx", "yy"))]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert all(r.threshold is not None for r in got.values())
+    assert all(got[d].keep for d, _, lang in rows if lang != "en") and not any(got[d].keep for d, *_ in junk)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
