@@ -12,7 +12,7 @@ from skerry.llm.common import PUNCTUATION, chunks, mix, shingle_hashes, words
 
 WORDS, NUM, DEN = 5, 4, 5
 #: Fingerprints within so many of 64 bits are candidates; in one of 8 blocks of 8 bits they then differ by RADIUS // 8 bits at most.
-RADIUS, BLOCKS = 15, 8
+RADIUS, BLOCKS = 23, 8
 #: The benchmark goes to the tasks in parts of so many bytes of text at most, each in a pass over the documents.
 PART_BYTES = 2 << 20
 _NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
