@@ -20,6 +20,12 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 SIFTED = 4096
 #: Numbers of so many rows may be sent to all tasks.
 BROADCAST_ROWS = 2_000_000
+#: Signatures that a task gathers before it deals them out, that a bucket has or so, and that a task holds of one bucket before it links the largest groups.
+GATHERED, BUCKET, HELD = 1 << 20, 1 << 18, 1 << 23
+#: Of a signature that so many sets of one task's share, all but one are linked to that one at once.
+SHARED_AT_ONCE = 512
+#: Bits of a set's key that candidates carry; sets that share them only meet in a cluster more.
+KEY_BITS = 40
 #: Groups of so many are compared as whole numbers, larger ones as arrays.
 FEW = 8
 
@@ -151,6 +157,80 @@ def link_sets(ids: list, sets: list[np.ndarray], side: np.ndarray | None, num: i
     return [(ids[a], ids[b]) for a, b in forest(len(sets), np.concatenate(found) if found else np.zeros((0, 2), int))]
 
 
+def deal(sig: np.ndarray, k: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, kind, body) of a task's signatures and their sets' keys, which have KEY_BITS.
+
+    A signature's upper half names its bucket; body has the lower halves and then the keys. Kind 0 are all sets of a signature, kind 1 one that stands for many; the
+    others of those many are linked to it by kind 2, whose body has pairs of keys.
+    """
+    order = np.lexsort((k, sig))
+    sig, k = sig[order], k[order]
+    first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
+    size = np.diff(np.append(first, len(sig)))
+    many, hub = np.repeat(size > SHARED_AT_ONCE, size), np.repeat(k[first], size)
+    bucket = (((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    rows = []
+    for kind, some in ((0, ~many), (1, many & (k == hub)), (2, many & (k != hub))):
+        b, low, keys, to = bucket[some], sig[some].astype(np.uint32), k[some], hub[some]
+        edge = np.flatnonzero(np.diff(b, prepend=-1, append=-1))
+        for i, j in zip(edge[:-1], edge[1:]):
+            body = [keys[i:j], to[i:j]] if kind == 2 else [low[i:j], keys[i:j].astype(np.uint32), (keys[i:j] >> np.uint64(32)).astype(np.uint8)]
+            rows.append((int(b[i]), kind, b"".join(x.tobytes() for x in body)))
+    cols = list(zip(*rows)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "body"])
+
+
+def meet(batches):
+    """From the rows of `deal` in order of their buckets, rows (sig, k, hub, met): the keys k of sets that share a signature, how many (met) and the smallest (hub).
+
+    Signatures shared by the same sets give the same number as sig. Sets that are linked without being sifted have a met above SIFTED.
+    """
+
+    def table(sig, k, hub, met):
+        return pa.RecordBatch.from_arrays([as_long(sig), as_long(k), as_long(hub), pa.array(met, pa.int64())], ["sig", "k", "hub", "met"])
+
+    def close(held: list[tuple], last: bool):
+        """(rows, what is left of the bucket): all groups at its end, before that only those of over SIFTED, of which one set stays."""
+        low, k, stands = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((k, low))
+        low, k, stands = low[order], k[order], stands[order]
+        new = np.append(True, (low[1:] != low[:-1]) | (k[1:] != k[:-1]))
+        stands = np.logical_or.reduceat(stands, np.flatnonzero(new))
+        low, k = low[new], k[new]
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        size = np.diff(np.append(first, len(low)))
+        met = np.where(np.logical_or.reduceat(stands, first), np.maximum(size, SIFTED + 1), size)
+        hub = np.repeat(k[first], size)
+        name = mix(np.bitwise_xor.reduceat(mix(k), first) ^ mix(met.astype(np.uint64)))
+        out = (size > 1) & (last | (met > SIFTED))
+        once = np.zeros(len(first), bool)
+        once[np.flatnonzero(out)[np.unique(name[out], return_index=True)[1]]] = True
+        some = np.repeat(once, size)
+        stay = ~np.repeat(met > SIFTED, size) | (k == hub)
+        rest = [(low[stay], k[stay], np.repeat(met > SIFTED, size)[stay])]
+        return table(np.repeat(name, size)[some], k[some], hub[some], np.repeat(met, size)[some]), [] if last else rest
+
+    own, held, n, most = None, [], 0, HELD
+    for batch in batches:
+        for bucket, kind, body in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "body"))):
+            if kind == 2:
+                k, hub = np.frombuffer(body, np.uint64).reshape(2, -1)
+                yield table(mix(k), k, hub, np.full(len(k), SIFTED + 1))
+                continue
+            if held and (bucket != own or n > most):
+                rows, held = close(held, bucket != own)
+                n = sum(len(x[0]) for x in held)
+                most = max(HELD, 2 * n)
+                yield rows
+            own, m = bucket, len(body) // 9
+            low = np.frombuffer(body, np.uint32, m)
+            k = np.frombuffer(body, np.uint32, m, 4 * m).astype(np.uint64) | np.frombuffer(body, np.uint8, m, 8 * m).astype(np.uint64) << np.uint64(32)
+            held.append((low, k, np.full(m, kind == 1)))
+            n += m
+    if held:
+        yield close(held, True)[0]
+
+
 def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of n-word shingles reach a Jaccard similarity of num / den, directly or over others.
 
@@ -175,25 +255,35 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), pa.array(np.diff(ptr)), as_long(k1), as_long(k2), pa.array(bit_sets(ptr, s), pa.binary())], ["id", "n", "k1", "k2", "bits"])
 
     rows = cut(src.mapInArrow(keys, T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "k1", "k2")), T.StructField("bits", T.BinaryType())])), "sets")
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.first("bits").alias("bits"))
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.first("bits").alias("bits")).withColumn("k", F.col("k1").bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1024, total // BUCKET)
 
     def sign(batches):
         seen: set[int] = set()
+        held: list[tuple] = []
+        gathered = 0
         for batch in batches:
             for i, j in chunks(batch["text"], 1 << 20):
                 ptr, s = shingle_sets(batch["text"].slice(i, j - i), n)
-                k1 = set_keys(ptr, s)[0]
+                k = set_keys(ptr, s)[0] & np.uint64((1 << KEY_BITS) - 1)
                 row, sig = signatures(ptr, s, num, den)
-                new = np.array([k not in seen and not seen.add(k) for k in k1.tolist()], bool)  # a copy in the same task signs once
+                new = np.array([x not in seen and not seen.add(x) for x in k.tolist()], bool)  # a copy in the same task signs once
                 if len(seen) > 200_000:
                     seen.clear()
                 keep = new[row]
-                yield pa.RecordBatch.from_arrays([as_long(sig[keep]), as_long(k1[row[keep]])], ["sig", "k1"])
+                held.append((sig[keep], k[row[keep]]))
+                gathered += len(held[-1][0])
+                if gathered > GATHERED:
+                    yield deal(*(np.concatenate(x) for x in zip(*held)), buckets)
+                    held, gathered = [], 0
+        if held:
+            yield deal(*(np.concatenate(x) for x in zip(*held)), buckets)
 
-    w = Window.partitionBy("sig")
-    met = src.select("text").mapInArrow(sign, "sig long, k1 long").withColumns({"hub": F.min("k1").over(w), "last": F.max("k1").over(w), "met": F.count("*").over(w), "who": F.bit_xor(F.xxhash64("k1")).over(w)}).where("hub <> last")
-    # signatures that the same sets share count once
-    met = cut(met.select(F.xxhash64("hub", "last", "met", "who").alias("sig"), "k1", "hub", "met").distinct(), "met")
+    signed = src.select("text").mapInArrow(sign, "bucket int, kind int, body binary")
+    # groups of the same sets count once
+    met = cut(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, k long, hub long, met long").distinct(), "met")
 
     def sift(batches):
         held: list[tuple] = []
@@ -230,7 +320,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            held += zip(*(batch[c].to_pylist() for c in ("sig", "k1", "n", "bits")))
+            held += zip(*(batch[c].to_pylist() for c in ("sig", "k", "n", "bits")))
             last = held[-1][0] if held else None
             whole = [r for r in held if r[0] != last]
             if whole:
@@ -239,12 +329,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
         if held:
             yield close(held)
 
-    few = met.where(F.col("met") <= SIFTED).select("sig", "k1").join(classes.select("k1", "n", "bits"), "k1")
-    near = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(sift, "a long, b long").unionByName(met.where((F.col("met") > SIFTED) & (F.col("k1") != F.col("hub"))).selectExpr("k1 AS a", "hub AS b"))
-    cluster = cut(components(near).withColumnRenamed("node", "k1"), "clusters")
+    few = met.where(F.col("met") <= SIFTED).select("sig", "k").join(classes.select("k", "n", "bits"), "k")
+    near = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(sift, "a long, b long").unionByName(met.where((F.col("met") > SIFTED) & (F.col("k") != F.col("hub"))).selectExpr("k AS a", "hub AS b"))
+    cluster = cut(components(near).withColumnRenamed("node", "k"), "clusters")
 
     # sets of the clusters' classes: a fixed bit map of their keys goes to the tasks that read the texts, an exact join follows
-    sent = spark.sparkContext.broadcast(bit_map(cluster, "k1"))
+    sent = spark.sparkContext.broadcast(bit_map(cluster, "k"))
 
     def members(batches):
         seen: set[int] = set()
@@ -261,7 +351,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     edge = [int(x) for x in bands(num, den, 1 << 40)]
     # the band of a size as an expression: how many first sizes it has reached
     band = F.aggregate(F.lit(edge), F.lit(-1), lambda acc, x: acc + (F.col("n") >= x).cast("int"))
-    named = classes.drop("bits").join(cluster, "k1").withColumn("band", band)
+    named = classes.drop("bits").join(cluster, "k").withColumn("band", band)
     sizes = named.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("own"))
     around = sizes.join(sizes.selectExpr("component", "band + 1 AS band", "own AS below"), ["component", "band"], "left").join(sizes.selectExpr("component", "band - 1 AS band", "own AS above"), ["component", "band"], "left")
     placed = named.join(around, ["component", "band"]).withColumn("block", F.expr("CAST(pmod(xxhash64(k1, k2), own) AS INT)"))
