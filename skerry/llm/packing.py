@@ -31,14 +31,15 @@ _UNIT = mix(np.arange(0x180, dtype=np.uint64))
 
 
 class WordTokenizer:
-    """ids of texts as tokenizers gives them. This vocabulary reads word for word, so each word is encoded once and remembered by a 64-bit hash; texts with
-    characters beyond _PLAIN, or with contractions, are encoded whole."""
+    """ids of texts as tokenizers gives them. This vocabulary reads word for word, so each word is encoded once and remembered by two hashes of 64 bits in all
+    (a second one tells words of one hash apart, but for those that share both); texts with characters beyond _PLAIN, with contractions or with one of the vocabulary's
+    special tokens are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
@@ -116,7 +117,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > CACHE_WORDS:
             self._forget()
-        plain = [bool(_PLAIN.fullmatch(t)) and not _APOSTROPHE.search(t.lower()) for t in texts]
+        plain = [bool(_PLAIN.fullmatch(t)) and not _APOSTROPHE.search(low := t.lower()) and not any(x in low for x in self.special) for t in texts]
         got = iter(self._plain([t for t, p in zip(texts, plain) if p]) if any(plain) else [])
         return [next(got) if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain)]
 
