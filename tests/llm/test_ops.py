@@ -91,6 +91,36 @@ def test_ngram_join_empty_and_first_of_groups(spark):
     assert kept.where("text IS NULL").count() == 2
 
 
+@pytest.mark.parametrize("at_once,sifted,held", [(512, 4096, 1 << 23), (5, 8, 1 << 23), (512, 8, 40), (3, 8, 20)])
+def test_signatures_meet(at_once, sifted, held, monkeypatch):
+    """Sets that share a signature meet, whole groups up to SIFTED and over links beyond it, whatever a task links at once."""
+    for name, value in (("SHARED_AT_ONCE", at_once), ("SIFTED", sifted), ("HELD", held)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(3)
+    many = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    tasks = []
+    for t in range(6):
+        sig = np.concatenate([rng.choice(many, 40), rng.integers(0, 1 << 63, 30, dtype=np.uint64), np.repeat(many[:2], 12)])
+        tasks.append((sig, rng.integers(0, 1 << 40, len(sig), dtype=np.uint64)))
+    of: dict = {}
+    for sig, k in tasks:
+        for x, y in zip(sig.tolist(), k.tolist()):
+            of.setdefault(x, set()).add(y)
+    dealt = pa.Table.from_batches([ngram_join.deal(*x, 16) for x in tasks]).sort_by("bucket")
+    got = [r for b in ngram_join.meet(dealt.to_batches(max_chunksize=5)) for r in b.to_pylist()]
+    groups: dict = {}
+    for r in got:
+        groups.setdefault(r["sig"], set()).add(r["k"])
+    whole = {frozenset(x) for x in groups.values()}
+    pairs = [(r["k"], r["hub"]) for r in got if r["met"] > sifted]
+    for keys in of.values():
+        if len(keys) > 1 and frozenset(keys) not in whole:
+            top = linked(keys | {x for p in pairs for x in p}, pairs)
+            assert len({top[x] for x in keys}) == 1
+    if at_once == 512 and sifted == 4096:
+        assert whole == {frozenset(x) for x in of.values() if len(x) > 1}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -256,11 +286,11 @@ def test_language_model(spark, rows_in_shard, monkeypatch):
     got = quality.score(spark.createDataFrame([(i, t, "en") for i, t in enumerate(tests)] + [(9, "x", "zz")], "i int, text string, lang string"), model).orderBy("i").collect()
     for r in got:
         if not r.text or r.i == 9:
-            assert r.nll is None
+            assert r["__nll"] is None
             continue
         b = bytes([quality.START]) * (quality.ORDER - 1) + r.text.encode()
         want = -sum(np.log(p(b[i : i + quality.ORDER])) for i in range(len(b) - quality.ORDER + 1))
-        assert r.nll == pytest.approx(want, rel=1e-4) and r.n_bytes == len(r.text.encode())
+        assert r["__nll"] == pytest.approx(want, rel=1e-4) and r["__n_bytes"] == len(r.text.encode())
 
 
 def test_quality_held_out(spark):
@@ -343,9 +373,8 @@ def test_packing(spark):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(4)
-    odd = ["a", "É", "ß", " ", "\n", "'", "'s", "'LL", "1", "²", "½", "!", "$$", "µ", "Σ", "日", "\x85", "İ", "<|endoftext|>", "y" * 60]
+    odd = ["a", "É", "ß", " ", "\n", "'", "'s", "'LL", "1", "²", "½", "!", "$$", "µ", "Σ", "日", "\x85", "İ", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "y" * 60]
     rows = corpus()
     rows = [(d if d is not None else 999, x) for d, x in {d: (d, x) for d, x in rows}.values()] + [(1000 + i, "".join(rng.choice(odd) for _ in range(40))) for i in range(40)]
     ids = {d: np.append(np.array(t.encode(x or "", add_special_tokens=False).ids, np.uint32), np.uint32(1)) for d, x in rows}
