@@ -9,12 +9,12 @@ from skerry.llm.decontaminate import without_leaks
 from skerry.llm.ngram_join import first_of_groups
 from skerry.llm.packing import pack
 from skerry.llm.pii import redact_texts
-from skerry.llm.quality import judge
+from skerry.llm.quality import good_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the language model of trusted text rejects go."""
-    return judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select(*docs.columns)
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
