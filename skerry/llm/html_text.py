@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,45 +20,113 @@ RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes no
 #: Containers of boilerplate, whatever they hold.
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that name boilerplate.
-BOILERPLATE_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox adsense banner banners sponsor sponsored promo promotion nav navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead footer sidebar sidebars aside widget widgets related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist respond reply replies disqus pagination pager toolbar complementary contentinfo search searchbox legal copyright skip teaser outbrain taboola".split())
-#: Words that outrank them on the page's own containers.
-ARTICLE_NAMES = frozenset("article post entry story main content body".split())
+#: What a class, id or role is about, its last word, that makes a container boilerplate; and what only hints at it, so that long prose outranks it.
+BOILERPLATE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion nav navbar navigation menu menus submenu breadcrumb breadcrumbs masthead footer sidebar sidebars aside widget widgets related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist respond reply replies disqus pagination pager toolbar complementary contentinfo teaser teasers outbrain taboola".split())
+HINT_NAMES = frozenset("header alert alerts search searchbox legal copyright skip".split())
+#: Last words that say nothing of what a container is about: the word before them does.
+GENERIC_NAMES = frozenset("area bar block body bottom box button container content form group inner item items left link links list main outer panel right row section slot text title top unit wrap wrapper".split())
 STOP_WORDS = {
     "en": frozenset("the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over me even most made after also did many before must through".split()),
     "de": frozenset("der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde".split()),
     "fr": frozenset("de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son lui nous comme mais on tout aux cette ses elle être fait leur ont bien même sans deux".split()),
     "es": frozenset("de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque".split()),
 }
-ALL_STOP_WORDS = frozenset().union(*STOP_WORDS.values())
+#: The numbers of the lists that a word is in.
+_LISTS = {w: tuple(k for k, stop in enumerate(STOP_WORDS.values()) if w in stop) for w in frozenset().union(*STOP_WORDS.values())}
 #: Pass one: link density over this is bad; text of fewer characters is short; stop-word shares that make text good or near good.
 MAX_LINK_DENSITY, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 70, 200, 0.10, 0.20
+#: So many blocks of links in a row are a menu, wherever they stand. Elements nested deeper than DEEP aren't told apart.
+MENU, DEEP = 3, 512
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[^a-zA-Z/!?])|<", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+_MARKUP = re.compile(r"<(?:!--|[!?]|/?(?=[a-zA-Z]))")
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LETTERS = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none")
 _WORD = re.compile(r"\w+")
 
 
-def boilerplate(tag: str, attributes: str) -> bool:
+class Tags:
+    """Reads a page's tags from left to right, by the rules of HTML for quotes: they count only as the first character of a value."""
+
+    def __init__(self, page: str):
+        self.page, self.end = page, len(page)
+        self.last = {c: page.rfind(c) for c in "\"'>"}  # so that nothing is searched for in vain, again and again
+
+    def read(self, at: int) -> tuple[str, dict[str, str], int] | None:
+        """(name, attributes, where it ends) of the tag whose name begins at `at`; None if no > follows. An open quote ends with its tag."""
+        if self.last[">"] < at:
+            return None
+        page = self.page
+        m = _TAG.match(page, at)
+        name, i, found = m[0].lower(), m.end(), {}
+        while True:
+            i = _BETWEEN.match(page, i).end()
+            if i >= self.end:
+                return name, found, page.find(">", at) + 1
+            if page[i] == ">":
+                return name, found, i + 1
+            m = _ATTRIBUTE.match(page, i)
+            key, i = m[0].lower(), m.end()
+            value = ""
+            if m := _EQUALS.match(page, i):
+                i = m.end()
+                quote = page[i : i + 1]
+                if quote in ("\"", "'"):
+                    if self.last[quote] <= i:
+                        return name, found, (page.find(">", i) + 1) or self.end
+                    stop = page.find(quote, i + 1)
+                    value, i = page[i + 1 : stop], stop + 1
+                else:
+                    m = _UNQUOTED.match(page, i)
+                    value, i = m[0], m.end()
+            found.setdefault(key, value)
+
+
+def named(value: str) -> set[str]:
+    """What the names in a class, id or role are about: the last word of each that isn't generic."""
+    out = set()
+    for name in value.split():
+        words = _LETTERS.findall(_CAMEL.sub("-", name).lower())
+        while len(words) > 1 and words[-1] in GENERIC_NAMES:
+            words.pop()
+        out.update(words[-1:])
+    return out
+
+
+def boilerplate(tag: str, attributes: dict[str, str]) -> int:
+    """2 for a container of boilerplate, 1 for one that its names hint at, else 0."""
     if tag in BOILERPLATE_TAGS:
-        return True
-    if attributes:
-        for name, value in _NAMES.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-                words = set(_SPLIT.split(value))
-                if words & BOILERPLATE_NAMES and not (words & ARTICLE_NAMES and not words & {"comment", "comments", "sidebar", "footer", "ad", "ads", "related", "nav"}):
-                    return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, int, bool, bool, str, int]]:
-    """The page's blocks in order: (text, characters in links, in boilerplate, in an article, tag, number of its container). Open elements are closed by their parent's end."""
+        return 2
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return 0
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", "").lower()):
+        return 2
+    about = set().union(*(named(attributes[k]) for k in ("class", "id", "role") if k in attributes))
+    return 2 if about & BOILERPLATE_NAMES else 1 if about & HINT_NAMES else 0
+
+
+class Block(NamedTuple):
+    """A stretch of text between block-level tags: linked are its characters in links, boiler as in `boilerplate`, marked if in an article or main part, box its container."""
+
+    text: str
+    linked: int
+    boiler: int
+    marked: bool
+    tag: str
+    box: int
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order. Open elements are closed by their parent's end."""
     out, stack, text, linked = [], [], [], 0
-    bad = dropped = article = links = pushed = 0
+    bad, hint, dropped, article, links, pushed = 0, 0, 0, 0, 0, 0
+    opened: Counter = Counter()
+    tags = Tags(page)
 
     def close_block():
         nonlocal linked
@@ -64,22 +134,24 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str, int]]:
         if joined:
             tag = next((t for t, *_ in reversed(stack) if t in BLOCK_TAGS), "")
             box = next((k for t, _, k in reversed(stack) if t in ("div", "section", "td", "main", "article", "body")), 0)
-            out.append((joined, linked, bad > 0, article > 0, tag, box))
+            out.append(Block(joined, linked, 2 if bad else 1 if hint else 0, article > 0, tag, box))
         text.clear()
         linked = 0
 
     def pop(i: int):
-        nonlocal bad, dropped, article, links
+        nonlocal bad, hint, dropped, article, links
         while len(stack) > i:
-            tag, is_bad, _ = stack.pop()
-            bad -= is_bad
+            tag, boiler, _ = stack.pop()
+            opened[tag] -= 1
+            bad -= boiler == 2
+            hint -= boiler == 1
             dropped -= tag in DROPPED_TAGS
             article -= tag in ("article", "main")
             links -= tag == "a"
 
     at = 0
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = _MARKUP.search(page, at)
         until = m.start() if m else len(page)
         if until > at and not dropped:
             text.append(page[at:until])
@@ -88,51 +160,62 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str, int]]:
         if not m:
             break
         at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0] == "<" and not dropped:  # no markup
-                text.append("<")
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if m[0] in ("<!", "<?"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
             continue
-        tag = tag.lower()
-        if m[1]:
+        if (read := tags.read(at)) is None:  # no more tags
+            if not dropped:
+                text.append(page[until:])
+            break
+        tag, attributes, at = read
+        if m[0] == "</":
             if tag in BLOCK_TAGS or tag == "br":
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][0] in ("article", "main", "td", "body") and tag not in ("html", "body", "article", "main", "table", "tr"):
-                    break
+            if opened[tag] > 0:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        pop(i)
+                        break
+                    if stack[i][0] in ("article", "main", "td", "body") and tag not in ("html", "body", "article", "main", "table", "tr"):
+                        break
             continue
         if tag == "br":
             text.append("\n")
             continue
         if tag in BLOCK_TAGS:
             close_block()
-            if stack and stack[-1][0] != "article":  # what an omitted end tag has left open
-                for i in range(len(stack) - 1, -1, -1):
-                    t = stack[i][0]
-                    if t == "p" or t == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                        pop(i)
-                        break
-                    if t in BLOCK_TAGS:
-                        break
+            for i in range(len(stack) - 1, -1, -1):  # what an omitted end tag has left open
+                t = stack[i][0]
+                if t == "p" or t == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
+                    pop(i)
+                    break
+                if t in BLOCK_TAGS:
+                    break
         elif tag == "img":
             text.append(" ")
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
+        if tag in VOID_TAGS or page[at - 2] == "/" and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             continue
-        is_bad = boilerplate(tag, m[3])
-        if is_bad and tag not in BLOCK_TAGS:
+        boiler = boilerplate(tag, attributes)
+        if boiler and tag not in BLOCK_TAGS:
             close_block()
-        if is_bad and tag == "header" and article and not bad:  # an article's own heading
-            is_bad = False
+        if boiler and tag == "header" and article and not bad:  # an article's own heading
+            boiler = 0
+        if len(stack) >= DEEP:
+            continue
         pushed += 1
-        stack.append((tag, is_bad, pushed))
-        bad += is_bad
+        stack.append((tag, boiler, pushed))
+        opened[tag] += 1
+        bad += boiler == 2
+        hint += boiler == 1
         dropped += tag in DROPPED_TAGS
         article += tag in ("article", "main")
         links += tag == "a"
@@ -140,50 +223,40 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, str, int]]:
     return out
 
 
-def first_pass(text: str, linked: int, stop: frozenset, tag: str) -> str:
-    """good, bad, near or short, of a block alone."""
-    density = linked / len(text)
-    if density > MAX_LINK_DENSITY:
-        return "bad"
-    if len(text) < SHORT:
-        return "short"
-    words = _WORD.findall(text.lower())
-    share = sum(w in stop for w in words) / max(1, len(words))
-    if share >= STOP_HIGH:
-        return "good" if len(text) > LONG else "near"
-    return "near" if share >= STOP_LOW else "short"
+def stop_shares(found: list[Block]) -> list[float | None]:
+    """Each block's share of stop words, by the list that fits the page best or, if that one doesn't fit the block, another; None on a page that no list fits."""
+    shares, size, total = [], [], [0] * len(STOP_WORDS)
+    for b in found:
+        words = _WORD.findall(b.text.lower()) if b.boiler < 2 else []
+        count = [0] * len(STOP_WORDS)
+        for lists, n in Counter(map(_LISTS.get, words)).items():
+            for k in lists or ():
+                count[k] += n
+        size.append(len(words))
+        shares.append([n / max(1, len(words)) for n in count])
+        total = [a + b for a, b in zip(total, count)]
+    best = max(range(len(total)), key=total.__getitem__)
+    if total[best] < STOP_LOW * sum(size):
+        return [None] * len(found)
+    return [share[best] if share[best] >= STOP_LOW else max(share) for share in shares]
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the page's article, one a line; see extract_text."""
-    found = blocks(page or "")
-    whole = any(article and not bad for _, _, bad, article, *_ in found)
-    sample = _WORD.findall(" ".join(x[0] for x in found if not x[2])[:100_000].lower())
-    stop = max(STOP_WORDS.values(), key=lambda s: sum(w in s for w in sample)) if sample else ALL_STOP_WORDS
-    label = []
-    for text, linked, bad, article, tag, _ in found:
-        if bad or whole and not article:
-            label.append("bad")
-        elif whole:
-            # the page marks its article: only a block of links isn't text there
-            label.append("bad" if linked / len(text) > 0.9 and len(text) < LONG and tag in ("li", "ul", "ol", "td") else "good")
-        else:
-            label.append(first_pass(text, linked, stop, tag))
-    # second pass: near good blocks first, then short ones, inherit from the nearest decided ones
-    if "good" not in label:
-        label = ["good" if x == "near" else x for x in label]
-    for kind in ("near", "short"):
-        sides = nearest(label)
-        boxes = {x[5] for x, k in zip(found, label) if k == "good"}
-        for i, (k, (before, after)) in enumerate(zip(list(label), sides)):
-            if k == kind:
-                near_good = "good" in (before, after)
-                both = before != "bad" and after != "bad" and near_good
-                label[i] = "good" if both or near_good and (kind == "near" or found[i][5] in boxes) else "bad"
-    kept = [x[0] for x, k in zip(found, label) if k == "good"]
-    if not kept and not whole:  # a page of short blocks: its paragraphs
-        kept = [text for text, linked, bad, _, tag, _ in found if not bad and tag in ("p", "h1", "blockquote", "pre") and linked / len(text) <= MAX_LINK_DENSITY]
-    return "\n".join(kept)
+def first_pass(block: Block, share: float | None, marked: bool) -> str:
+    """good, bad, near (good) or short (undecided), of a block alone.
+
+    Stop words, length and links decide. In the part that a page marks as its article (marked) they have to show less for good, and what they call bad elsewhere is undecided.
+    """
+    size, density = len(block.text), block.linked / len(block.text)
+    fits = STOP_HIGH if share is None else share  # without a list for its language length and links decide
+    if block.boiler == 2 or block.boiler == 1 and not (fits >= STOP_HIGH and size > LONG and density <= MAX_LINK_DENSITY):
+        return "bad"
+    if density > MAX_LINK_DENSITY:
+        return "short" if marked else "bad"
+    if size < SHORT or fits < STOP_LOW:
+        return "short"
+    if fits < STOP_HIGH:
+        return "good" if marked and size > LONG else "near"
+    return "good" if marked or size > LONG else "near"
 
 
 def nearest(label: list[str]) -> list[tuple[str, str]]:
@@ -198,13 +271,73 @@ def nearest(label: list[str]) -> list[tuple[str, str]]:
     return list(zip(out[0], out[1][::-1]))
 
 
+def second_pass(found: list[Block], label: list[str], marked: bool) -> list[str]:
+    """Labels good and bad: near good blocks first, then short ones, take after the nearest decided ones before and after them.
+
+    In a marked part, whose edges count as good, a block is bad if both of these are bad; elsewhere it must be near good ones.
+    """
+    label = list(label)
+    if marked:
+        sides = nearest(label)
+        return [x if x in ("good", "bad") else "bad" if s == ("bad", "bad") else "good" for x, s in zip(label, sides)]
+    if "good" not in label:
+        label = ["good" if x == "near" else x for x in label]
+    for kind in ("near", "short"):
+        sides = nearest(label)
+        boxes = {b.box for b, k in zip(found, label) if k == "good"}
+        for i, (k, (before, after)) in enumerate(zip(list(label), sides)):
+            if k == kind:
+                near_good = "good" in (before, after)
+                both = before != "bad" and after != "bad" and near_good
+                label[i] = "good" if both or near_good and (kind == "near" or found[i].box in boxes) else "bad"
+    return label
+
+
+def labels(found: list[Block]) -> list[str]:
+    """Both passes over a page's blocks.
+
+    A page's marks count if most of what reads like text stands in them. Then the second pass goes over the marked blocks that no boilerplate container holds, as
+    if they were the page; runs of blocks of links are bad there too. Other blocks are bad.
+    """
+    share = stop_shares(found)
+    alone = [first_pass(b, s, False) for b, s in zip(found, share)]
+    inside, outside = (sum(len(b.text) for b, k in zip(found, alone) if b.marked == where and k in ("good", "near")) for where in (True, False))
+    if not any(b.marked and b.boiler < 2 for b in found) or inside < outside:
+        label = second_pass(found, alone, False)
+        if "good" not in label:  # a page of short blocks: those that aren't links
+            label = ["good" if b.boiler == 0 and b.linked <= MAX_LINK_DENSITY * len(b.text) and b.tag not in ("li", "td", "th") else "bad" for b in found]
+        return label
+    some = [i for i, b in enumerate(found) if b.marked and b.boiler < 2]
+    own = [first_pass(found[i], share[i], True) for i in some]
+    for i, j in runs([found[k].linked > MAX_LINK_DENSITY * len(found[k].text) for k in some]):
+        if j - i >= MENU:
+            own[i:j] = ["bad"] * (j - i)
+    out = ["bad"] * len(found)
+    for i, k in zip(some, second_pass([found[i] for i in some], own, True)):
+        out[i] = k
+    return out
+
+
+def runs(marks: list[bool]) -> list[tuple[int, int]]:
+    """Where runs of true ones begin and end."""
+    edge = [i for i, (a, b) in enumerate(zip([False, *marks], [*marks, False])) if a != b]
+    return list(zip(edge[::2], edge[1::2]))
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the page's article, one a line; see extract_text."""
+    found = blocks(page or "")
+    return "\n".join(b.text for b, k in zip(found, labels(found)) if k == "good")
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text), n_chars (its code points) for every row of pages.
 
     The whole html is read, null as empty, and a page without text gives an empty one. Markup splits a page into blocks. Blocks in navigation, headers, footers,
-    sidebars, forms, notices, adverts and reader comments are bad. Where a page marks its article or main part, the blocks there are good and others bad;
-    elsewhere pass one labels each block by its stop-word density, length and link density, and pass two gives undecided blocks their nearest decided
-    neighbours' label. Good blocks stay whole and in order. Rows don't affect each other: repeated rows give repeated rows. Other columns are ignored.
+    sidebars, forms, notices, adverts and reader comments, as tags and names of classes tell, are bad. Pass one labels each block by its stop-word density, length and
+    link density, and pass two gives undecided blocks their nearest decided neighbours' label. Where a page marks its article or main part, pass one asks for
+    less there, and pass two takes the marked part for the page. Good blocks stay whole and in order. Time grows with the html's length, whatever it holds. Rows don't
+    affect each other: repeated rows give repeated rows. Other columns are ignored.
     """
 
     def run(batches):
