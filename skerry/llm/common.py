@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text makes a pass of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("skerry.shared.dir", "")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine's, if Spark runs on this machine alone."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("skerry.shared.dir", "")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skerry-")
         spark.conf.set("skerry.shared.dir", base)
     return base.rstrip("/")
 
 
+#: Paths in the shared folder that this process has named, in their order.
+_named: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _named.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -34,12 +46,56 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages don't compute it again, nor lose it with an executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, new_path(df.sparkSession, name))
+
+
+def cut_alone(df: DataFrame, name: str, since: int) -> DataFrame:
+    """As cut; then drops all that was named in the shared folder after the first `since` paths, which df was made of. See named_paths."""
+    out = cut(df, name)
+    for path in _named[since:-1]:
+        drop_path(df.sparkSession, path)
+    del _named[since:-1]
+    return out
+
+
+def named_paths() -> int:
+    return len(_named)
+
+
+def released(run):
+    """run, a function from batches to batches in a task, gives memory back when it ends: workers live on for other tasks, and what they have freed otherwise stays theirs."""
+
+    @functools.wraps(run)
+    def wrapped(batches, *args, **kwargs):
+        try:
+            yield from run(batches, *args, **kwargs)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if _trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+                _trim(0)
+
+    return wrapped
+
+
+def grouped(batches, column: str, most: int):
+    """Lists of batches with so many bytes in a column, or the first batch beyond."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch[column].nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,24 +206,32 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-#: Bits of the maps of bit_map. They only save work: values that share a bit are told apart later.
-MAP_BITS = 1 << 27
+#: Bits of a map of bit_map at least and at most. Maps only save work: values that share a bit are told apart later.
+MAP_BITS = (1 << 20, 1 << 28)
 
 
-def bit_map(df: DataFrame, column: str) -> np.ndarray:
-    """A map of MAP_BITS bits of the values in a long column, by their lowest bits; its size doesn't grow with them."""
-    low = df.select((F.col(column).bitwiseAND(F.lit(MAP_BITS - 1)) + 1).alias("bit"))  # Spark's maps start at 1
-    out = np.zeros(MAP_BITS // 8, np.uint8)
-    for bucket, bits in low.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).toLocalIterator():
-        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+def bit_map(df: DataFrame, column: str, values: int) -> np.ndarray:
+    """A map of bits of the values in a long column, by their lowest bits; it has 8 bits or more for each of so many values, up to MAP_BITS, which bounds what the driver gathers."""
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (8 * values).bit_length()))
+    low = df.select((F.col(column).bitwiseAND(F.lit(bits - 1)) + 1).alias("bit"))  # Spark's maps start at 1
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, found in low.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(found, np.uint8)
     return out
 
 
 def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    v = (values & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    v = (values & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[v >> 3] >> (v & 7).astype(np.uint8)) & 1 > 0
 
 
+def read_rows(path: str, columns: list[str], **equal) -> pa.Table:
+    """Rows of a small Parquet table in the shared folder, as a task reads them; equal picks values of columns that it is partitioned by."""
+    store, root = fs.FileSystem.from_uri(path)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.base_name.endswith(".parquet") and all(f"/{k}={v}/" in f.path for k, v in equal.items())]
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns) for f in files]) if files else pa.table({c: [] for c in columns})
+
+
 def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     """Edges that keep the linked groups of n nodes: at most n - 1 of the given pairs."""
     top = list(range(n))
@@ -235,7 +299,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large and small stars; each round goes to the shared folder. Tasks link what they hold before it is shuffled, so that few rounds are needed. Every
     round groups and joins on nodes, and the joined side has one row a node, so a hub's rows can be split over tasks.
     """
-    edges = cut(local_stars(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    edges = stored(local_stars(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v")).distinct(), path)
     print_of = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     seen = edges.agg(*print_of).first()
     for _ in range(max_rounds):
@@ -244,7 +310,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").selectExpr("CASE WHEN v = m THEN u ELSE v END AS u", "m AS v").where("u <> v")
-        edges = cut(local_stars(small).distinct(), "edges")
+        last, path = path, new_path(spark, "edges")
+        edges = stored(local_stars(small).distinct(), path)
+        drop_path(spark, last)
         now = edges.agg(*print_of).first()
         if now == seen:
             break

@@ -8,13 +8,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import PUNCTUATION, chunks, mix, shingle_hashes, words
+from skerry.llm.common import PUNCTUATION, chunks, grouped, mix, new_path, read_rows, released, shingle_hashes, words
 
 WORDS, NUM, DEN = 5, 4, 5
 #: Fingerprints within so many of 64 bits are candidates; in one of 8 blocks of 8 bits they then differ by RADIUS // 8 bits at most.
 RADIUS, BLOCKS = 23, 8
-#: The benchmark goes to the tasks in parts of so many bytes of text at most, each in a pass over the documents.
-PART_BYTES = 2 << 20
+#: The benchmark is cut to parts of so many bytes of text or so; a task that has several to go through gathers texts of GROUP_BYTES for each round.
+PART_BYTES, GROUP_BYTES = 4 << 20, 64 << 20
+#: Pairs of a window and an item that are looked at in one numpy pass.
+PAIRS_AT_ONCE = 1 << 22
 _NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
 _SIFT = 1 << 22
 
@@ -32,6 +34,18 @@ def need(a: int, b: int) -> int:
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def near_prints(fp: np.ndarray, fps: np.ndarray, tables: list[np.ndarray]):
+    """(window, item, bits) of all pairs within RADIUS: those that the blocks' tables find, compared. So many windows at a time that memory is bounded."""
+    for at in range(0, len(fp), step := max(1, PAIRS_AT_ONCE // len(fps))):
+        blocks = fp[at : at + step].view(np.uint8).reshape(-1, BLOCKS)
+        found = tables[0][blocks[:, 0]]
+        for b in range(1, BLOCKS):
+            found |= tables[b][blocks[:, b]]
+        w, i = np.nonzero(found)
+        far = np.bitwise_count(fp[at + w] ^ fps[i])
+        yield from zip(*(x[far <= RADIUS].tolist() for x in (at + w, i, far)))
+
+
 class Items:
     """A part of the benchmark, indexed."""
 
@@ -86,13 +100,7 @@ class Items:
                     mixed = mix(own) if mixed is None else mixed
                     lo = int(starts[0])
                     fp = fingerprints(mixed[lo : int(starts[-1]) + width], width, starts - lo)
-                    parts = fp.view(np.uint8).reshape(-1, BLOCKS)
-                    found = tables[0][parts[:, 0]]
-                    for b in range(1, BLOCKS):
-                        found = found | tables[b][parts[:, b]]
-                    w, i = np.nonzero(found)
-                    far = np.bitwise_count(fp[w] ^ fps[i])
-                    for w, i, d in zip(*(x[far <= RADIUS].tolist() for x in (w, i, far))):
+                    for w, i, d in near_prints(fp, fps, tables):
                         item, values, counts, _ = items[i]
                         have, times = np.unique(own[starts[w] : starts[w] + width], return_counts=True)
                         p = np.minimum(np.searchsorted(values, have), len(values) - 1)
@@ -106,13 +114,37 @@ class Items:
         return out
 
 
-def parts(benchmark: DataFrame):
-    """The benchmark in parts of PART_BYTES of text or so, collected one after another."""
+def in_parts(benchmark: DataFrame) -> tuple[str, int]:
+    """(path, number): where the shared folder has the benchmark's distinct items in parts of PART_BYTES of text or so."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // PART_BYTES))
-    for k in range(n):
-        yield b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
+    n = max(1, -(-int(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    path = new_path(b.sparkSession, "benchmark")
+    b.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).repartition("part").write.partitionBy("part").parquet(path)
+    return path, n
+
+
+def leaks_of(batches, text_col: str, path: str, parts: int):
+    """(batch, leaks) of every batch; leaks as Items.find has them, row a row of the batch. Each part of the benchmark is read and indexed once a group of batches."""
+
+    def index(part: int) -> Items:
+        rows = read_rows(path, ["item_id", "text"], part=part)
+        order = sorted(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist()), key=lambda x: (x[0] is None, x))
+        return Items([x[0] for x in order], [x[1] for x in order])
+
+    def find(items: Items, col: pa.Array) -> list[tuple]:
+        return [(i + row, *rest) for i, j in chunks(col) for row, *rest in items.find(col.slice(i, j - i))]
+
+    if parts == 1:
+        one = index(0)
+        yield from ((batch, find(one, batch[text_col])) for batch in batches)
+        return
+    for group in grouped(batches, text_col, GROUP_BYTES):
+        found = [[] for _ in group]
+        for part in range(parts):
+            items = index(part)
+            for batch, out in zip(group, found):
+                out += find(items, batch[text_col])
+        yield from zip(group, found)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,42 +156,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     SimHash are found by blocks and then compared exactly. The best is the most similar, then the first. Null and empty texts and items match
     nothing; repeated rows and copies each give their rows; an empty benchmark gives none. Other columns are ignored.
     """
-    spark: SparkSession = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = spark.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double")
-    for part in parts(benchmark):
-        if not part.num_rows:
-            continue
+    path, parts = in_parts(benchmark)
+    names, kinds = ["item_id", "start_word", "n_words", "hamming", "similarity"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
 
-        def run(batches, ids=part["item_id"].to_pylist(), texts=part["text"].to_pylist()):
-            index = Items(ids, texts)
-            for batch in batches:
-                for i, j in chunks(batch["text"]):
-                    got = index.find(batch["text"].slice(i, j - i))
-                    cols = list(zip(*got)) or [[]] * 6
-                    doc = batch["doc_id"].slice(i, j - i).take(pa.array(cols[0], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())))], names=["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
+    @released
+    def run(batches):
+        for batch, got in leaks_of(batches, "text", path, parts):
+            cols = list(zip(*got)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], ["doc_id", *names])
 
-        out = out.unionByName(src.mapInArrow(run, out.schema))
-    return out.withColumnRenamed("doc_id", id_col)
+    return src.mapInArrow(run, "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double").withColumnRenamed("doc_id", id_col)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, whole, in which find_leaks finds nothing; also those with null or empty texts."""
-    for part in parts(benchmark):
-        if not part.num_rows:
-            continue
-
-        def run(batches, ids=part["item_id"].to_pylist(), texts=part["text"].to_pylist()):
-            index = Items(ids, texts)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for i, j in chunks(batch[text_col]):
-                    clean[[i + x[0] for x in index.find(batch[text_col].slice(i, j - i))]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    path, parts = in_parts(benchmark)
+
+    @released
+    def run(batches):
+        for batch, got in leaks_of(batches, text_col, path, parts):
+            clean = np.ones(batch.num_rows, bool)
+            clean[[x[0] for x in got]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.common import released
+
 #: A block has a character of a block-level element at most; every tag of these starts a new one.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 #: Elements whose whole content is no text of the page.
@@ -340,6 +342,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     affect each other: repeated rows give repeated rows. Other columns are ignored.
     """
 
+    @released
     def run(batches):
         for batch in batches:
             text = [main_text(x) for x in batch["html"].to_pylist()]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skerry.llm.common import as_long, bit_map, chunks, components, cut, forest, in_map, mix, shingle_sets
+from skerry.llm.common import as_long, bit_map, chunks, components, cut, forest, in_map, mix, released, shingle_sets
 
 #: Second level of PartEnum: so many parts in each first-level partition, of which one may differ.
 PARTS = 3
@@ -18,10 +18,10 @@ SPARE = 8
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Sets that share a signature are sifted pair by pair in groups of so many at most; in larger groups all count as near.
 SIFTED = 4096
-#: Numbers of so many rows may be sent to all tasks.
-BROADCAST_ROWS = 2_000_000
+#: Keys of so many rows may be sent to all tasks.
+BROADCAST_ROWS = 1_000_000
 #: Signatures that a task gathers before it deals them out, that a bucket has or so, and that a task holds of one bucket before it links the largest groups.
-GATHERED, BUCKET, HELD = 1 << 20, 1 << 18, 1 << 23
+GATHERED, BUCKET, HELD = 1 << 19, 1 << 18, 1 << 23
 #: Of a signature that so many sets of one task's share, all but one are linked to that one at once.
 SHARED_AT_ONCE = 512
 #: Bits of a set's key that candidates carry; sets that share them only meet in a cluster more.
@@ -180,6 +180,7 @@ def deal(sig: np.ndarray, k: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "body"])
 
 
+@released
 def meet(batches):
     """From the rows of `deal` in order of their buckets, rows (sig, k, hub, met): the keys k of sets that share a signature, how many (met) and the smallest (hub).
 
@@ -247,6 +248,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     kind = docs.schema[id_col].dataType
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @released
     def keys(batches):
         for batch in batches:
             for i, j in chunks(batch["text"]):
@@ -260,12 +262,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1024, total // BUCKET)
 
+    @released
     def sign(batches):
         seen: set[int] = set()
         held: list[tuple] = []
         gathered = 0
         for batch in batches:
-            for i, j in chunks(batch["text"], 1 << 20):
+            for i, j in chunks(batch["text"], 1 << 19):
                 ptr, s = shingle_sets(batch["text"].slice(i, j - i), n)
                 k = set_keys(ptr, s)[0] & np.uint64((1 << KEY_BITS) - 1)
                 row, sig = signatures(ptr, s, num, den)
@@ -285,6 +288,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     # groups of the same sets count once
     met = cut(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, k long, hub long, met long").distinct(), "met")
 
+    @released
     def sift(batches):
         held: list[tuple] = []
         top: dict[int, int] = {}  # what this task has linked already
@@ -334,8 +338,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     cluster = cut(components(near).withColumnRenamed("node", "k"), "clusters")
 
     # sets of the clusters' classes: a fixed bit map of their keys goes to the tasks that read the texts, an exact join follows
-    sent = spark.sparkContext.broadcast(bit_map(cluster, "k"))
+    sent = spark.sparkContext.broadcast(bit_map(cluster, "k", cluster.count()))
 
+    @released
     def members(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -380,15 +385,21 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
 
 
 def first_of_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs without all but one of each group that ngram_jaccard finds: the one with the smallest doc_id stays, of repeated rows any one.
+    """The rows of docs without all but one of each group that ngram_jaccard finds: the one with the smallest doc_id stays, of rows with the same doc_id the same text by its hash,
+    and of rows that share both any one.
 
-    Rows whose texts are null, empty or without words are no group's and stay. A null doc_id counts as the largest.
+    Rows whose texts are null, empty or without words are no group's and stay. A null doc_id counts as the largest. All columns stay as they are; names that begin with __ are ours.
     """
-    named = docs.withColumn("__id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row")))
-    groups = ngram_jaccard(named, n, num, den, id_col="__id")
-    others = cut(groups.where(F.col("__id") != F.col("component_id")).select(F.col("__id.row").alias("__row")), "others")
-    few = others.count() <= BROADCAST_ROWS  # else the texts are shuffled to them
-    return named.withColumn("__row", F.col("__id.row")).join(F.broadcast(others) if few else others, "__row", "left_anti").select(*docs.columns)
+    text = F.col("text").cast("string")
+    named = docs.withColumn("__id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))
+    groups = ngram_jaccard(named, n, num, den, id_col="__id").where("n_shingles > 0").groupBy("__id").agg(F.first("component_id").alias("first"), F.count("*").alias("rows"))
+    marks = cut(groups.select("__id", (F.col("__id") != F.col("first")).alias("__goes"), "rows").where("__goes OR rows > 1").drop("rows"), "marks")
+    count = marks.agg(F.count("*"), F.count_if(~F.col("__goes"))).first()
+    joined = named.join(F.broadcast(marks) if count[0] <= BROADCAST_ROWS else marks, "__id", "left")  # else the texts are shuffled to them
+    out = joined.where("__goes IS NULL")
+    if count[1]:
+        out = out.unionByName(joined.where("NOT __goes").dropDuplicates(["__id"]))
+    return out.select(*docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skerry.llm.common import _powers as powers_of
-from skerry.llm.common import cut, mix
+from skerry.llm.common import cut, mix, released
 
 WINDOW, END_ID = 2048, 1
 #: A shard of the inverted index holds so many tails; what it leaves over goes to the next shard.
@@ -247,6 +247,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("row", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType()), T.StructField("term", T.IntegerType())])
 
+    @released
     def encode(batches):
         t, row = tokenizer(path), TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -266,6 +267,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     size = tokenizer(path).size
     width = "<u2" if size <= 1 << 16 else "<u4"
 
+    @released
     def frequencies(batches):
         df, n, total = np.zeros(size, np.int64), 0, 0
         for batch in batches:
@@ -286,6 +288,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
     arrow_out = [*(pa.int64(),) * 6]
 
+    @released
     def fill(batches):
         p = Packer(sent.value, mean, TaskContext.get().partitionId() << 32)
         held: list[tuple] = []

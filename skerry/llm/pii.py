@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.common import released
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the method adds to the base kinds, in the order in which spans are listed after them.
 MORE_KINDS = ("card_part", "phone_part", "url", "account", "secret")
@@ -178,6 +180,7 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 def redact_texts(docs: DataFrame) -> DataFrame:
     """docs with every span that find_spans finds in text replaced by its kind, and n_chars, where there is one, the new text's. Null texts stay null."""
 
+    @released
     def run(batches):
         for batch in batches:
             texts = [t if not (s := find_spans(t)) else redact(t, s) for t in batch["text"].to_pylist()]
@@ -190,23 +193,24 @@ def redact_texts(docs: DataFrame) -> DataFrame:
 
 
 def scan_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all kinds) for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (all kinds), n_spans (how many) for every row of docs.
 
     Whole texts are read, null as empty; a text without spans has the digest of the empty string and no spans. A null doc_id stays null and repeated rows give
     repeated rows. Other columns are ignored.
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
+    @released
     def run(batches):
         for batch in batches:
             texts = batch["text"].to_pylist()
             all_spans = [find_spans(t) for t in texts]
             base = [[s for s in spans if s[0] in BASE_KINDS] for spans in all_spans]
-            cols = [batch["doc_id"], *(pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE_KINDS), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string()), pa.array([listed(s) for s in all_spans], pa.string())]
-            names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
+            cols = [batch["doc_id"], *(pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE_KINDS), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string()), pa.array([listed(s) for s in all_spans], pa.string()), pa.array([len(s) for s in all_spans], pa.int64())]
+            names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_spans"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

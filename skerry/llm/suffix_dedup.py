@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import as_long, bit_map, chunks, cut, in_map, mix, text_bytes
+from skerry.llm.common import as_long, bit_map, chunks, cut, in_map, mix, released, text_bytes
 
 LENGTH = 200
 #: Bytes of an anchor. Every string of LENGTH bytes has LENGTH - ANCHOR + 1 of them, and is filed under the one with the least hash.
@@ -237,6 +237,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = src.select("text")
 
+    @released
     def digests(batches):
         for batch in batches:
             for i, j in chunks(batch["text"], 8 << 20):
@@ -246,6 +247,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = cut(src.mapInArrow(digests, f"id {kind}, t1 long, t2 long, n_bytes long, sha string"), "digests")
 
+    @released
     def count_anchors(batches):
         for batch in batches:
             for _, _, b, off, _ in pieces(batch["text"]):
@@ -253,8 +255,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([as_long(f), pa.array(n)], ["f", "n"])
 
     again = texts.mapInArrow(count_anchors, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
-    sent = spark.sparkContext.broadcast(bit_map(again, "f"))
+    windows_of = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    # an anchor is the least of its window's for 80 bytes or so, and counts if it occurs twice
+    sent = spark.sparkContext.broadcast(bit_map(again, "f", windows_of // 160))
 
+    @released
     def surroundings(batches):
         seen_texts: set[int] = set()
         seen: set[int] = set()
@@ -281,6 +286,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = contexts.join(by_anchor, "f")
     whole = held.where("n > 1").select("f", "c", F.lit(0).cast("long").alias("a"), (F.length("around") - LENGTH).cast("long").alias("z"))
 
+    @released
     def shards(batches):
         part: list[tuple] = []
         size = 0
@@ -306,6 +312,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cold = held.where((F.col("m") > 1) & (F.col("size") <= HOT_BYTES)).select("f", "c", "n", "around").repartition("f").sortWithinPartitions("f").mapInArrow(shards, "f long, c long, a long, z long")
 
+    @released
     def windows(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
@@ -327,14 +334,16 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = found.join(hits, ["f", "c"]).select("t1", "t2", F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("z") + LENGTH).alias("z")).alias("span")).groupBy("t1", "t2").agg(F.collect_list("span").alias("spans"))
     once = copied.where("copies = 1").join(spans, ["t1", "t2"]).select("t1", "t2", "spans")
     once = cut(once, "spans")
-    wanted = spark.sparkContext.broadcast(bit_map(once, "t1"))
+    wanted = spark.sparkContext.broadcast(bit_map(once, "t1", once.count()))
 
+    @released
     def bring(batches):
         for batch in batches:
             keys = text_keys(batch["text"])
             some = pa.array(in_map(wanted.value, keys[:, 0].copy()))
             yield pa.RecordBatch.from_arrays([as_long(keys[:, 0].copy()).filter(some), as_long(keys[:, 1].copy()).filter(some), batch["text"].filter(some)], ["t1", "t2", "text"])
 
+    @released
     def strip(batches):
         for batch in batches:
             out = []

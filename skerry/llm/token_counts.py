@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.common import released
+
 RULES = ("first", "last", "most")
 _ENCODINGS: dict[str, tuple] = {}
 
@@ -87,6 +89,7 @@ def count_tokens(docs: DataFrame, rule: str = "first", sections_col: str | None
     more = [F.col(sections_col).alias("sections")] if sections_col else []
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
+    @released
     def run(batches):
         coder, size = encoding(path)
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import new_path
+from skerry.llm.common import new_path, released
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -66,18 +66,29 @@ def archive(records: list[bytes]) -> bytes:
     return b"".join([struct.pack("<II", DICTIONARY_MAGIC, len(words)), words, *map(z.compress, records)])
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the frame that begins at `at` ends: its header and block headers tell, nothing is decompressed."""
+    end = at + zstandard.frame_header_size(data[at : at + 18])
+    last = False
+    while not last:
+        word = int.from_bytes(data[end : end + 3], "little")
+        last = bool(word & 1)
+        end += 3 + (1 if word >> 1 & 3 == 1 else word >> 3)  # a run of one byte holds that byte only
+    return end + 4 * (data[at + 4] >> 2 & 1)  # a checksum
+
+
 def read_archive(data: bytes):
     """Every record of an archive as (headers, block)."""
-    at, z = 0, None
+    at, z, view = 0, None, memoryview(data)
     while at < len(data):
         magic, size = struct.unpack_from("<II", data, at)
         if magic == DICTIONARY_MAGIC:
             z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[at + 8 : at + 8 + size]))
             at += 8 + size
             continue
-        frame = z.decompressobj()
-        raw = frame.decompress(memoryview(data)[at:])
-        at = len(data) - len(frame.unused_data)
+        end = frame_end(view, at)
+        raw = z.decompressobj().decompress(view[at:end])
+        at = end
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
@@ -99,6 +110,7 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> DataFrame:
     revisits = skinny.distinct().join(best, "sha").where(~F.col("page_id").eqNullSafe(F.col("best"))).select(F.col("page_id").alias("rid"), F.col("sha").alias("rsha"), "best", F.lit(True).alias("again"))
     joined = src.join(revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")), "left").select("page_id", "url", "html", "again", "best")
 
+    @released
     def write(batches):
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
@@ -138,6 +150,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # an archive is a unit of work: spread them over the tasks
     files = files.select("archive").repartition(max(1, spark.sparkContext.defaultParallelism * 2))
 
+    @released
     def read(batches):
         store, root = fs.FileSystem.from_uri(path)
         of = lambda x: int(x) if (x := x[len("<urn:page:") : -1]) else None
