@@ -101,6 +101,7 @@ def _ext_parts(raw: C) -> tuple[Column, Column, Column]:
     return h, _hex(h, 1, 2).bitwiseAND(0x3F), F.substring(h, 3, 2)
 
 
+#: The kinds' names are fixed values.
 def ext_community_kind(raw: C) -> Column:
     """What an extended community of 16 hexadecimal digits is."""
     _, kind, sub = _ext_parts(raw)
@@ -224,6 +225,7 @@ def is_private_asn(asn: C) -> Column:
     return _c(asn).between(64512, 65534) | _c(asn).between(4200000000, 4294967294)
 
 
+#: Names of EVPN route types.
 EVPN_NAMES = {1: "ethernet-auto-discovery", 2: "mac-ip-advertisement", 3: "inclusive-multicast", 4: "ethernet-segment", 5: "ip-prefix", 6: "selective-multicast", 7: "multicast-join-sync", 8: "multicast-leave-sync", 9: "per-region-i-pmsi", 10: "s-pmsi", 11: "leaf"}
 
 

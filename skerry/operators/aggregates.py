@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import scalars as X
@@ -130,13 +130,51 @@ def vrf_summary(routes: DataFrame) -> DataFrame:
     return current_rib(routes).withColumn("rd", F.when(rd != "", rd).otherwise("global")).groupBy("rd").agg(F.count("*").alias("routes"), F.countDistinct("peer_addr").alias("peers"), F.countDistinct("afi").alias("afis"))
 
 
-def node_features(routes: DataFrame, peers: DataFrame, marks: DataFrame) -> DataFrame:
-    """Features of each peer from routes, sessions and markings; what a peer lacks is 0."""
-    r = routes.groupBy("peer_addr").agg(F.count("*").alias("events"), F.count_if(announced()).alias("announces"), F.count_if(withdrawn()).alias("withdraws"), F.countDistinct("prefix").alias("prefixes"), F.round(F.avg("as_path_len"), 6).alias("mean_path_len"), F.round(F.avg("local_pref"), 6).alias("mean_local_pref"), F.round(F.avg("med"), 6).alias("mean_med"))
-    p = peers.groupBy("peer_addr").agg(F.count_if(F.col("event_type") == "peer_up").alias("ups"), F.count_if(F.col("event_type") == "peer_down").alias("downs"))
-    m = marks.groupBy("peer_addr").agg(F.count_if(F.col("path_status").bitwiseAND(0x8) != 0).alias("ecmp"), F.count_if(F.col("path_status").bitwiseAND(0x10) != 0).alias("backups"))
-    out = r.join(p, "peer_addr", "left").join(m, "peer_addr", "left")
-    return out.select("peer_addr", *(F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c != "peer_addr"))
+#: The eleven features of a peer, as `node_features` names them.
+NODE_FEATURES = ("route_count", "churn_rate_1h", "rpki_invalid_ratio", "session_uptime_secs", "flap_count_24h", "best_count", "ecmp_count", "backup_count", "filtered_count", "nonselected_count", "redundancy_ratio")
+_MARKS = ("best", "ecmp", "backup", "filtered", "nonselected")
+
+
+def node_features(routes: DataFrame, peers: DataFrame, as_of: str, slices: int = 1, minutes: int = 5) -> DataFrame:
+    """snapshot_ts, slice, peer_addr and NODE_FEATURES of each peer with a session event until then, at instants `minutes` apart, the last of them as_of.
+
+    An instant counts what happened until then: announcements, those marked best, ecmp and so on by path_status (a label; null isn't marked), and the share of invalid routes; changes of the last
+    hour; downs of the last day and the seconds since its last up. What a peer lacks is 0. Without columns rpki_validity and path_status theirs are 0.
+
+    Each event adds one to the first slice that sees it, and takes one from the first that doesn't any longer: sums over a peer's few slices do the rest, so that no event is
+    copied to slices.
+    """
+    step, end = minutes * 60_000_000, F.unix_micros(F.lit(as_of).cast("timestamp"))
+    back = end - F.unix_micros("occurred_at")
+    enters = F.greatest(F.lit(slices - 1) - F.floor(back / step), F.lit(0)).cast("int")
+
+    def leaves(seconds: int) -> Column:  # `slices` if no slice is so much later
+        over = back - seconds * 1_000_000
+        return F.when(over > 0, F.greatest(F.lit(slices) - F.ceil(over / step), F.lit(0))).otherwise(slices).cast("int")
+
+    has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    r = routes.where(back >= 0).select("peer_addr", enters.alias("slice"), leaves(3600).alias("out"), announced().alias("said"), (has(routes, "rpki_validity") == "invalid").alias("bad"), F.when(announced(), has(routes, "path_status")).alias("mark"))
+    p = peers.where(back >= 0).select("peer_addr", enters.alias("slice"), leaves(86400).alias("out"), (F.col("event_type") == "peer_down").alias("down"), F.when(F.col("event_type") == "peer_up", F.unix_micros("occurred_at")).alias("up"))
+    counts = {"route_count": F.count_if("said"), "bad": F.count_if("bad"), "total": F.count("*"), "marked": F.count("mark"), **{f"{m}_count": F.count_if(F.col("mark") == m) for m in _MARKS}}
+    parts = [
+        r.groupBy("peer_addr", "slice").agg(*(c.alias(n) for n, c in counts.items()), F.count("*").alias("recent")),
+        r.groupBy("peer_addr", F.col("out").alias("slice")).agg((-F.count("*")).alias("recent")),
+        p.groupBy("peer_addr", "slice").agg(F.count("*").alias("known"), F.count_if("down").alias("downs"), F.max("up").alias("up")),
+        p.where("down").groupBy("peer_addr", F.col("out").alias("slice")).agg((-F.count("*")).alias("downs")),
+    ]
+    part = parts[0]
+    for x in parts[1:]:
+        part = part.unionByName(x, allowMissingColumns=True)
+    sums = [*counts, "recent", "known", "downs"]
+    part = part.where(F.col("slice") < slices).groupBy("peer_addr", "slice").agg(*(F.sum(c).alias(c) for c in sums), F.max("up").alias("up"))
+    w = Window.partitionBy("peer_addr").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    every = p.select("peer_addr").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(part, ["peer_addr", "slice"], "left")
+    run = every.select("peer_addr", "slice", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums), F.max("up").over(w).alias("up")).where("known > 0")
+    at = end - (F.lit(slices - 1) - F.col("slice")) * step
+    uptime = F.when(F.col("up") >= at - 86_400_000_000, (at - F.col("up")) / 1e6)
+    share = lambda x, y: F.round(F.when(y > 0, x / y).otherwise(0.0), 6)
+    cols = {"churn_rate_1h": F.col("recent"), "rpki_invalid_ratio": share(F.col("bad"), F.col("total")), "session_uptime_secs": F.round(F.coalesce(uptime, F.lit(0.0)), 6), "flap_count_24h": F.col("downs"), "redundancy_ratio": share(F.col("ecmp_count") + F.col("backup_count"), F.col("marked"))}
+    return run.select(F.timestamp_micros(at).alias("snapshot_ts"), "slice", "peer_addr", *(cols.get(c, F.col(c)).alias(c) for c in NODE_FEATURES))
 
 
 def convergence_percentiles(events: DataFrame, exact: bool = False) -> DataFrame:

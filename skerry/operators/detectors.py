@@ -72,24 +72,38 @@ def leaks(routes: DataFrame, hops: int = 3) -> DataFrame:
 
 
 def med_oscillation(routes: DataFrame, seconds: int = 60, least: int = 5) -> DataFrame:
-    """Events whose last `seconds` hold five meds, two of them different, with two changes of direction."""
-    w = _range(["prefix", "peer_addr"], seconds, include=True)
-    own = routes.where(ANNOUNCED).where("med IS NOT NULL")
-    # rows of one instant are ordered by event: each sees those up to itself
-    own = own.withColumn("meds", F.transform(F.filter(F.array_sort(F.collect_list(F.struct(micros().alias("t"), "event_id", "med")).over(w)), lambda x: (x["t"] < micros()) | (x["event_id"] <= F.col("event_id"))), lambda x: x["med"]))
-    steps = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("meds") - 1, F.lit(1))), lambda i: F.signum(F.try_element_at("meds", i + 1) - F.try_element_at("meds", i))), lambda s: s.isNotNull() & (s != 0))
-    turns = F.size(F.filter(X.pairs_of(F.col("steps")), lambda p: p["a"] != p["b"]))
-    out = own.withColumn("steps", steps).withColumn("turns", turns)
-    hit = (F.size("meds") >= least) & (F.size(F.array_distinct("meds")) >= 2) & (F.col("turns") >= 2)
-    return out.where(hit).select("event_id", "occurred_at", "prefix", "peer_addr", F.size("meds").alias("observations"), "turns")
+    """Events whose last `seconds` hold five meds, two of them different, with two turns between rising and not rising (falling or staying) at least.
+
+    Rows of one instant are ordered by event and each sees those up to itself: 498 of a prefix and peer at most are told apart. Counts, sums and bounds of a frame are all that is kept.
+    """
+    key = ["prefix", "peer_addr"]
+    own = routes.where(ANNOUNCED).where("med IS NOT NULL").select("event_id", "occurred_at", *key, "med")
+    order = Window.partitionBy(*key).orderBy(*ORDER)
+    tie = F.least(F.row_number().over(Window.partitionBy(*key, "occurred_at").orderBy("event_id")), F.lit(498))
+    own = own.withColumns({"rises": F.col("med") > F.lag("med").over(order), "at": micros() * 1000 + tie})
+    own = own.withColumn("turn", F.coalesce((F.col("rises") != F.lag("rises").over(order)).cast("int"), F.lit(0)))
+    w = Window.partitionBy(*key).orderBy("at").rangeBetween(-(seconds * 1_000_000_000 + 499), 0)
+    # a turn takes three events: those of the frame's first two lie partly before it
+    turns = F.sum("turn").over(w) - F.first("turn").over(w) - F.coalesce(F.nth_value("turn", 2).over(w), F.lit(0))
+    out = own.withColumns({"observations": F.count("*").over(w), "turns": turns, "low": F.min("med").over(w), "high": F.max("med").over(w)})
+    return out.where((F.col("observations") >= least) & (F.col("low") < F.col("high")) & (F.col("turns") >= 2)).select("event_id", "occurred_at", *key, F.col("observations").cast("int").alias("observations"), F.col("turns").cast("int").alias("turns"))
 
 
 def hijacks(routes: DataFrame, vrps: DataFrame | None = None, seconds: int = 3600) -> DataFrame:
-    """Announcements by an origin that the prefix hadn't in the last hour, while it had others."""
-    own = routes.where(ANNOUNCED).withColumn("origin", X.origin_asn("as_path", "integer")).where("origin IS NOT NULL")
-    seen = F.collect_set("origin").over(_range(["prefix"], seconds))
-    out = own.withColumn("seen", F.sort_array(seen)).where((F.size("seen") > 0) & ~F.array_contains("seen", F.col("origin")))
-    return severity_by_validity(out, vrps).select("event_id", "occurred_at", "prefix", "peer_addr", F.col("origin").alias("new_origin"), F.array_join(F.col("seen").cast("array<string>"), " ").alias("known"), "severity")
+    """Announcements by an origin that the prefix hadn't in the last hour, while it had others.
+
+    The last time of the prefix, and of the prefix and origin, tell which they are; only for those the others are gathered, by time buckets.
+    """
+    own = routes.where(ANNOUNCED).withColumn("origin", X.origin_asn("as_path", "integer")).where("origin IS NOT NULL").select("event_id", "occurred_at", "prefix", "peer_addr", "as_path", "origin", micros().alias("at"))
+    since = seconds * 1_000_000
+    before = lambda *k: F.max("at").over(Window.partitionBy(*k).orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    out = own.withColumns({"last": before("prefix"), "same": before("prefix", "origin")}).where((F.col("last") >= F.col("at") - since) & ~F.coalesce(F.col("same") >= F.col("at") - since, F.lit(False)))
+    bucket = F.floor(F.col("at") / since)
+    other = own.groupBy("prefix", bucket.alias("bucket"), "origin", "at").agg(F.lit(1).alias("one"))
+    hits = out.select("event_id", "prefix", F.col("at").alias("now"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    known = hits.join(other, ["prefix", "bucket"]).where((F.col("at") < F.col("now")) & (F.col("at") >= F.col("now") - since)).groupBy("event_id", "prefix", "now").agg(F.array_join(F.sort_array(F.collect_set("origin")).cast("array<string>"), " ").alias("known"))
+    out = out.join(known.withColumnRenamed("now", "at"), ["event_id", "prefix", "at"])
+    return severity_by_validity(out, vrps).select("event_id", "occurred_at", "prefix", "peer_addr", F.col("origin").alias("new_origin"), "known", "severity")
 
 
 ALERT = ("occurred_at", "event_id", "kind", "prefix", "peer_addr", "severity")
@@ -130,48 +144,38 @@ def suppress(alerts: DataFrame, seconds: int = 300) -> DataFrame:
     return runs.groupBy(*key, "run").applyInPandas(fold, alerts.schema)
 
 
-def episode_fold(rows: list[tuple], quiet_s: float, least: int, end_stats: tuple[int, ...]) -> list[tuple]:
-    """Convergence episodes in one peer's events (micros, kind, prefix, stat type, value) in order: (start, end, withdraws, affected, recovered, ended by).
+def convergence_events(peers: DataFrame, routes: DataFrame, stats: DataFrame, quiet_s: float = 5.0, least: int = 1, end_stats: tuple[int, ...] = (7, 8)) -> DataFrame:
+    """Convergence episodes of each peer.
 
-    A down starts an episode, another one restarts it. It ends with an up, with a statistic of end_stats at 0, or, if it has had `least` withdrawals, when quiet_s pass without an event of a route.
+    A down starts an episode, another one restarts it. It ends with an up, with a statistic of end_stats at 0, or, if it has had `least` withdrawals, when quiet_s pass without an event of
+    a route; one that none of these ends before the next down, or before the history does, is left out. So there is one at most between two downs, and it ends at the first event there that
+    ends it or comes too late.
     """
-    out, at = [], None
-    for t, kind, prefix, stat, value in rows:
-        if at and at["n"] >= least and t - at["last"] >= quiet_s * 1e6:
-            out.append((at["start"], int(at["last"] + quiet_s * 1e6), at["n"], len(at["hit"]), len(at["back"]), "quiet"))
-            at = None
-        if kind == "peer_down":
-            at = {"start": t, "last": t, "n": 0, "hit": set(), "back": set()}
-        elif at and kind in ("withdraw", "announce"):
-            at["hit"].add(prefix)
-            at["last"] = t
-            at["n"] += kind == "withdraw"
-            (at["back"].discard if kind == "withdraw" else at["back"].add)(prefix)
-        elif at and (kind == "peer_up" or kind == "stat" and stat in end_stats and value == 0):
-            out.append((at["start"], t, at["n"], len(at["hit"]), len(at["back"]), kind))
-            at = None
-    return out
-
-
-def convergence_events(peers: DataFrame, routes: DataFrame, stats: DataFrame, quiet_s: float = 5.0, least: int = 1, end_stats: tuple[int, ...] = (7, 8)) -> DataFrame:
-    """Convergence episodes of each peer. Events are cut at each down, which restarts whatever was before, so that a fold sees no more than what lies between two downs."""
     base = ["speaker_addr", "peer_addr", "occurred_at", "event_id"]
-    p = peers.select(*base, F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("int").alias("stat"), F.lit(None).cast("double").alias("value"))
-    r = routes.select(*base, F.col("action").alias("kind"), "prefix", F.lit(None).cast("int").alias("stat"), F.lit(None).cast("double").alias("value"))
-    s = stats.where(F.col("stat_type").isin(*end_stats)).select(*base, F.lit("stat").alias("kind"), F.lit(None).cast("string").alias("prefix"), F.col("stat_type").cast("int").alias("stat"), F.col("counter_value").cast("double").alias("value"))
-    every = p.unionByName(r).unionByName(s)
-    rank = F.when(F.col("kind") == "stat", 1).otherwise(0)
-    w = Window.partitionBy("speaker_addr", "peer_addr").orderBy("occurred_at", "event_id", rank, "kind")
-    cutup = every.withColumn("part", F.sum(F.when(F.col("kind") == "peer_down", 1).otherwise(0)).over(w)).where("part > 0")
-    schema = "speaker_addr string, peer_addr string, started_at timestamp, eor_at timestamp, convergence_ms double, withdraws long, affected_prefixes long, recovered_prefixes long, unreachable_after long, ended_by string"
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.assign(k=(df["kind"] == "stat").astype(int)).sort_values(["occurred_at", "event_id", "k", "kind"])
-        at = df["occurred_at"].astype("int64") // (1000 if str(df["occurred_at"].dtype).startswith("datetime64[ns") else 1)
-        got = episode_fold(list(zip(at.tolist(), df["kind"], df["prefix"], df["stat"], df["value"])), quiet_s, least, end_stats)
-        return pd.DataFrame([(df["speaker_addr"].iloc[0], df["peer_addr"].iloc[0], pd.Timestamp(a, unit="us"), pd.Timestamp(b, unit="us"), (b - a) / 1000, n, hit, back, hit - back, by) for a, b, n, hit, back, by in got], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return cutup.groupBy("speaker_addr", "peer_addr", "part").applyInPandas(fold, schema)
+    none = F.lit(None).cast("string")
+    stops = F.col("stat_type").isin(*end_stats) & (F.col("counter_value") == 0)
+    p = peers.select(*base, F.col("event_type").alias("kind"), none.alias("prefix"))
+    r = routes.select(*base, F.col("action").alias("kind"), "prefix")
+    every = p.unionByName(r).unionByName(stats.where(stops).select(*base, F.lit("stat").alias("kind"), none.alias("prefix")))
+    peer, part = ["speaker_addr", "peer_addr"], ["speaker_addr", "peer_addr", "part"]
+    order = ["occurred_at", "event_id", F.when(F.col("kind") == "stat", 1).otherwise(0), "kind"]
+    down, route = F.col("kind") == "peer_down", F.col("kind").isin("withdraw", "announce")
+    every = every.select(*base, "kind", "prefix", micros().alias("t")).withColumn("part", F.count_if(down).over(Window.partitionBy(*peer).orderBy(*order))).where("part > 0")
+    before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = every.withColumns({"n": F.count_if(F.col("kind") == "withdraw").over(before), "last": F.max(F.when(down | route, F.col("t"))).over(before)})
+    quiet = int(quiet_s * 1e6)
+    over = F.when((F.col("n") >= least) & (F.col("t") - F.col("last") >= quiet), F.struct((F.col("last") + quiet).alias("at"), F.lit("quiet").alias("by"))).when(F.col("kind").isin("peer_up", "stat"), F.struct(F.col("t").alias("at"), F.col("kind").alias("by")))
+    ends = Window.partitionBy(*part).orderBy(*order)
+    live = seen.withColumn("over", over).withColumn("ended", F.first("over", ignorenulls=True).over(ends.rowsBetween(Window.unboundedPreceding, 0)))
+    within = live.where(route & F.col("ended").isNull()).groupBy(*part, "prefix").agg(F.count_if(F.col("kind") == "withdraw").alias("n"), F.max("t").alias("last"), F.max_by("kind", F.struct("occurred_at", "event_id", "kind")).alias("then"))
+    within = within.groupBy(*part).agg(F.sum("n").alias("withdraws"), F.count("*").alias("affected_prefixes"), F.count_if(F.col("then") == "announce").alias("recovered_prefixes"), F.max("last").alias("last"))
+    episodes = live.groupBy(*part).agg(F.min("t").alias("start"), F.max("ended").alias("ended"))
+    episodes = episodes.withColumn("next", F.lead("start").over(Window.partitionBy(*peer).orderBy("part"))).join(within, part, "left")
+    n = F.coalesce("withdraws", F.lit(0))
+    late = F.when((n >= least) & (F.col("next") - F.col("last") >= quiet), F.struct((F.col("last") + quiet).alias("at"), F.lit("quiet").alias("by")))
+    out = episodes.withColumn("ended", F.coalesce("ended", late)).where("ended IS NOT NULL")
+    hit, back = F.coalesce("affected_prefixes", F.lit(0)), F.coalesce("recovered_prefixes", F.lit(0))
+    return out.select(*peer, F.timestamp_micros("start").alias("started_at"), F.timestamp_micros("ended.at").alias("eor_at"), ((F.col("ended.at") - F.col("start")) / 1000).alias("convergence_ms"), n.alias("withdraws"), hit.alias("affected_prefixes"), back.alias("recovered_prefixes"), (hit - back).alias("unreachable_after"), F.col("ended.by").alias("ended_by"))
 
 
 def slow_convergence(events: DataFrame, days: int = 7, least: int = 3) -> DataFrame:
@@ -198,14 +202,14 @@ def hourly_anomalies(routes: DataFrame, size: int = 60, limit: float = 3.0) -> D
     return rolling_zscore(hourly_churn(routes), size, limit)
 
 
-def anomaly_report(routes: DataFrame, peers: DataFrame) -> DataFrame:
-    """Rows for the anomaly table: detected_at, kind, prefix, peer_addr, score, severity."""
+def anomaly_report(routes: DataFrame, peers: DataFrame, hours: float | None = None) -> DataFrame:
+    """Rows for the anomaly table: detected_at, kind, prefix, peer_addr, score, severity. Flaps are counted over `hours`, as flap_scores does."""
     row = lambda df, kind, score, sev: df.select(F.col("occurred_at").alias("detected_at"), F.lit(kind).alias("kind"), "prefix", "peer_addr", F.round(score.cast("double"), 6).alias("score"), sev.alias("severity"))
     origin = row(new_origins(routes), "new_origin", F.lit(0.9), F.lit("critical"))
     short = row(shortened_paths(routes), "short_path", 1 - F.col("as_path_len") / F.col("mean_before"), F.lit("warning"))
     z = hourly_anomalies(routes).where("anomalous").select(F.col("hour").alias("occurred_at"), "prefix", F.lit(None).cast("string").alias("peer_addr"), "z")
     churn = row(z, "churn", F.abs("z"), F.when(F.abs("z") > 5, "critical").otherwise("warning"))
     last = peers.groupBy("peer_addr").agg(F.max("occurred_at").alias("occurred_at"))
-    flap = flap_scores(peers).where("severity <> 'low'").join(last, "peer_addr").withColumn("prefix", F.lit(None).cast("string"))
+    flap = flap_scores(peers, hours).where("severity <> 'low'").join(last, "peer_addr").withColumn("prefix", F.lit(None).cast("string"))
     flap = row(flap, "flap", F.col("per_hour"), F.when(F.col("severity") == "high", "critical").otherwise("warning"))
     return origin.unionByName(short).unionByName(churn).unionByName(flap)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import scalars as X
-from skerry.operators.state import latest
+from skerry.operators.state import latest, settled
 
 
 def igp_nodes(nodes: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def _edges(links: DataFrame, directed: bool) -> DataFrame:
 
 
 def shortest_paths(links: DataFrame, sources: DataFrame | None = None, directed: bool = True, max_rounds: int = 64) -> DataFrame:
-    """(source, node, distance, path) by least metric, from every source (router_id) at once; paths of equal distance: the least as text.
+    """(source, node, distance, path) by least metric, from every source (router_id) at once, or from all nodes; paths of equal distance: the least as text. Paths of more hops
+    than max_rounds raise an error.
 
     Each round relaxes the frontier, the nodes that got nearer in the last, and is checkpointed: to spark.checkpoint.dir, so that an executor can be lost.
     """
@@ -69,11 +70,11 @@ def shortest_paths(links: DataFrame, sources: DataFrame | None = None, directed:
     for _ in range(max_rounds):
         step = front.join(e, front["node"] == e["src"]).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("metric")).alias("distance"), F.concat_ws(" ", "path", "dst").alias("path"))
         merged = best.withColumn("old", F.lit(0)).unionByName(step.withColumn("old", F.lit(1))).groupBy("source", "node").agg(F.min(F.struct("distance", "path", "old")).alias("m"))
-        merged = merged.select("source", "node", "m.distance", "m.path", "m.old").checkpoint()
+        merged = settled(merged.select("source", "node", "m.distance", "m.path", "m.old"))
         best, front = merged.drop("old"), merged.where("old = 1").drop("old")
         if front.isEmpty():
             return best
-    return best
+    raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
 
 
 def blast_radius(links: DataFrame, start: str, hops: int = 3, directed: bool = True) -> DataFrame:
@@ -90,12 +91,14 @@ def blast_radius(links: DataFrame, start: str, hops: int = 3, directed: bool = T
 def diverse_paths(links: DataFrame, src: str, dst: str, most_hops: int = 10) -> DataFrame:
     """Simple paths from src to dst of most_hops at most that share no risk group (srlg_groups, comma-separated) with the cheapest, by metric and then path."""
     e = links.select("local_router_id", "remote_router_id", F.coalesce("igp_metric", F.lit(1)).cast("bigint").alias("metric"), X.tokens("srlg_groups", ",").alias("groups"))
-    # parts of paths can only grow towards dst: nodes that can't reach it in time are left out
+    # the hops that each node is from dst at least: parts of paths that can't reach it in time are left out
+    away = settled(blast_radius(links.select(F.col("remote_router_id").alias("local_router_id"), F.col("local_router_id").alias("remote_router_id"), "igp_metric"), dst, most_hops))
+    e = e.join(away.unionByName(e.sparkSession.createDataFrame([(dst, 0)], "node string, hops int")).select(F.col("node").alias("remote_router_id"), F.col("hops").alias("away")), "remote_router_id")
     walk = e.sparkSession.createDataFrame([(src,)], "node string").select("node", F.array("node").alias("nodes"), F.lit(0).cast("bigint").alias("metric"), F.array().cast("array<string>").alias("groups"))
     done = None
-    for _ in range(most_hops):
-        nxt = walk.alias("w").join(e.alias("e"), F.col("w.node") == F.col("e.local_router_id")).where(~F.array_contains(F.col("w.nodes"), F.col("e.remote_router_id")))
-        walk = nxt.select(F.col("e.remote_router_id").alias("node"), F.array_append("w.nodes", F.col("e.remote_router_id")).alias("nodes"), (F.col("w.metric") + F.col("e.metric")).alias("metric"), F.array_union("w.groups", "e.groups").alias("groups")).checkpoint()
+    for k in range(1, most_hops + 1):
+        nxt = walk.alias("w").join(e.alias("e"), F.col("w.node") == F.col("e.local_router_id")).where(~F.array_contains(F.col("w.nodes"), F.col("e.remote_router_id")) & (F.col("e.away") <= most_hops - k))
+        walk = settled(nxt.select(F.col("e.remote_router_id").alias("node"), F.array_append("w.nodes", F.col("e.remote_router_id")).alias("nodes"), (F.col("w.metric") + F.col("e.metric")).alias("metric"), F.array_union("w.groups", "e.groups").alias("groups")))
         there = walk.where(F.col("node") == dst)
         done = there if done is None else done.unionByName(there)
         walk = walk.where(F.col("node") != dst)

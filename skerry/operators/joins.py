@@ -14,22 +14,12 @@ def covering(inner: DataFrame, outer: DataFrame, inner_prefix: str = "prefix", h
 
     Each distinct inner prefix makes one key for each length that any outer network has, at most its own: 33 for IPv4 and 129 for IPv6, however many networks there are.
     """
-    lengths = [(r.o_family, r.o_len) for r in outer.select("o_family", "o_len").distinct().collect()]  # 162 at most
-    keys = inner.select(inner_prefix).distinct().withColumns({"__len": P.prefix_length(inner_prefix), "__n4": P.v4_number(inner_prefix)})
-    parts = []
-    if v4 := sorted(n for f, n in lengths if f == 4):
-        four = keys.where(F.col("__n4").isNotNull()).withColumn("o_len", F.explode(F.array(*map(F.lit, v4)))).where(F.col("o_len") <= F.coalesce("__len", F.lit(32)))
-        parts.append(four.select(inner_prefix, F.lit(4).alias("o_family"), "o_len", F.lpad(P.v4_mask(F.col("__n4"), F.col("o_len")).cast("string"), 10, "0").cast("binary").alias("o_net")))
-    if v6 := sorted(n for f, n in lengths if f == 6):
-        six = keys.where(F.col(inner_prefix).contains(":")).withColumn("o_len", F.explode(F.array(*map(F.lit, v6)))).where(F.col("o_len") <= F.coalesce("__len", F.lit(128)))
-        parts.append(six.select(inner_prefix, F.lit(6).alias("o_family"), "o_len", P.v6_net(inner_prefix, "o_len").alias("o_net")))
-    if not parts:
-        empty = [F.lit(None).cast(t).alias(c) for c, t in outer.dtypes]
-        return inner.select("*", *empty) if how == "left" else inner.select("*", *empty).limit(0)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.join(outer, ["o_family", "o_len", "o_net"])
+    lengths = F.broadcast(outer.select("o_family", "o_len").distinct())  # 162 rows at most
+    keys = inner.select(inner_prefix).distinct().withColumns({"__n4": P.v4_number(inner_prefix), "__len": P.prefix_length(inner_prefix)})
+    keys = keys.withColumn("o_family", F.when(F.col("__n4").isNotNull(), 4).when(F.col(inner_prefix).contains(":"), 6)).join(lengths, "o_family")
+    keys = keys.where(F.col("o_len") <= F.coalesce("__len", F.when(F.col("o_family") == 4, 32).otherwise(128)))
+    net = F.when(F.col("o_family") == 4, F.lpad(P.v4_mask(F.col("__n4"), F.col("o_len")).cast("string"), 10, "0").cast("binary")).otherwise(P.v6_net(inner_prefix, "o_len"))
+    found = keys.select(inner_prefix, "o_family", "o_len", net.alias("o_net")).join(outer, ["o_family", "o_len", "o_net"])
     return inner.join(found, inner_prefix, how)
 
 

@@ -9,27 +9,16 @@ from pyspark.sql import functions as F
 
 from skerry.functions import prefixes as P
 from skerry.functions import scalars as X
-from skerry.operators.aggregates import announced, withdrawn
+from skerry.operators.aggregates import announced, node_features, withdrawn
 from skerry.operators.joins import sub_prefixes
-from skerry.operators.state import ORDER
+from skerry.operators.state import ORDER, settled
 
 ROUTE_FEATURES = ("path_len", "prefix_len", "local_pref", "med", "n_communities", "rpki", "is_withdraw", "has_prepend")
 
 
-def snapshots(routes: DataFrame, as_of: str, slices: int = 8, minutes: int = 5) -> DataFrame:
-    """M1: each peer's features at instants `minutes` apart, the last of them as_of: an event counts in the slices from its time on. Slices without events of a peer are left out."""
-    end = F.lit(as_of).cast("timestamp")
-    step = minutes * 60
-    behind = F.floor((end.cast("bigint") - F.col("occurred_at").cast("bigint")) / step)  # slices that end after the event
-    first = F.greatest(F.lit(slices - 1) - F.greatest(behind, F.lit(0)), F.lit(0)).cast("int")
-    # one row a peer and first slice; running sums over slices do the rest
-    part = routes.where(F.col("occurred_at") <= end).groupBy("peer_addr", first.alias("slice")).agg(F.count_if(announced()).alias("announces"), F.count_if(withdrawn()).alias("withdraws"), F.sum("as_path_len").alias("lens"), F.count("as_path_len").alias("paths"))
-    all_slices = part.select("peer_addr").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    w = Window.partitionBy("peer_addr").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    run = all_slices.join(part, ["peer_addr", "slice"], "left")
-    out = run.select("peer_addr", "slice", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("announces", "withdraws", "lens", "paths")))
-    at = F.timestamp_seconds(end.cast("bigint") - (slices - 1 - F.col("slice")) * step)
-    return out.where("announces + withdraws > 0").select(at.alias("snapshot_ts"), "slice", "peer_addr", "announces", "withdraws", F.round(F.when(F.col("paths") > 0, F.col("lens") / F.col("paths")).otherwise(0.0), 6).alias("mean_path_len"))
+def snapshots(routes: DataFrame, peers: DataFrame, as_of: str, slices: int = 8, minutes: int = 5) -> DataFrame:
+    """M1: the features of A19 at instants `minutes` apart, the last of them as_of."""
+    return node_features(routes, peers, as_of, slices, minutes)
 
 
 def outliers(scores: DataFrame, sigmas: float = 2.0) -> DataFrame:
@@ -107,7 +96,7 @@ def isolation_forest(features: DataFrame, columns: tuple[str, ...] = ROUTE_FEATU
             norm = max(float(_average_path(np.mean([k for _, k in models.value]))), 1e-9)
             yield pd.DataFrame({id_col: df[id_col], "score": 2 ** (-total / len(models.value) / norm)})
 
-    scored = z.mapInPandas(score, f"{id_col} {dict(features.dtypes)[id_col]}, score double")
+    scored = settled(z.mapInPandas(score, f"{id_col} {dict(features.dtypes)[id_col]}, score double"))  # once for the bound and the rows
     bound = scored.agg(F.percentile_approx("score", 1 - contamination, 10_000).alias("bound"))
     return scored.join(bound).select(id_col, "score", (F.col("score") > F.col("bound")).alias("anomalous"))
 
@@ -147,7 +136,7 @@ def train_hijack_model(labelled: DataFrame, seed: int = 7):
     from pyspark.ml.feature import VectorAssembler
 
     part = F.pmod(F.xxhash64(F.lit(seed), "event_id"), F.lit(10))
-    rows = labelled.withColumn("label", F.col("label").cast("double"))
+    rows = settled(labelled.select("event_id", *HIJACK_FEATURES, F.col("label").cast("double").alias("label")))  # every round of boosting reads them
     model = Pipeline(stages=[VectorAssembler(inputCols=list(HIJACK_FEATURES), outputCol="features"), GBTClassifier(maxIter=20, maxDepth=4, seed=seed)]).fit(rows.where(part < 8))
     tested = model.transform(rows.where(part >= 8))
     m = tested.agg(F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"), F.count_if((F.col("label") == 0) & (F.col("prediction") == 1)).alias("fp"), F.count_if((F.col("label") == 1) & (F.col("prediction") == 0)).alias("fn")).first()

@@ -149,8 +149,8 @@ def explain(routes: DataFrame) -> DataFrame:
     return c.withColumn("reason", F.when(reasons == "", "no rule matched; denied by default").otherwise(reasons)).select(*routes.columns, "reason")
 
 
-def clauses(configs: DataFrame) -> DataFrame:
-    """one row per clause of policy_configs.clauses_json, in order of seq."""
+def clauses(configs: DataFrame, *also: str) -> DataFrame:
+    """one row per clause of policy_configs.clauses_json, in order of seq; with other columns of the configs."""
     kind = "array<struct<seq:int,action:string,match:struct<prefix:string,community:string,as_path:string>,set:struct<local_pref:bigint,med:bigint,community:string>>>"
     one = configs.withColumn("c", F.explode(F.from_json("clauses_json", kind)))
-    return one.select("peer_addr", "policy_name", "direction", F.col("c.seq").alias("seq"), F.col("c.action").alias("action"), F.col("c.match.prefix").alias("prefix"), F.col("c.match.community").alias("match_community"), F.col("c.set.local_pref").alias("local_pref"), F.col("c.set.med").alias("med"), F.col("c.set.community").alias("community"))
+    return one.select(*also, "peer_addr", "policy_name", "direction", F.col("c.seq").alias("seq"), F.col("c.action").alias("action"), F.col("c.match.prefix").alias("prefix"), F.col("c.match.community").alias("match_community"), F.col("c.set.local_pref").alias("local_pref"), F.col("c.set.med").alias("med"), F.col("c.set.community").alias("community"))

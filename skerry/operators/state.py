@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,14 @@ def latest(df: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER) -> Da
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in spark.checkpoint.dir, so that an executor can be lost; where that is unset, in a folder of this machine's if Spark runs on it alone."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and re.fullmatch(r"local(\[.*\])?", sc.master):
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skerry-"))
+    return df.checkpoint()
+
+
 def top(df: DataFrame, by: list[Column | str], limit: int | None) -> DataFrame:
     """The first rows of a total order; without limit all of them, unsorted."""
     return df if limit is None else df.orderBy(*by).limit(limit)

@@ -54,15 +54,16 @@ def rolling_zscore(hourly: DataFrame, size: int = 60, limit: float = 3.0) -> Dat
 
 
 def rolling_median(df: DataFrame, key: str, value: str, days: int = 7, most: int = 2000) -> DataFrame:
-    """The median of a key's values in the days before each row (the last `most` of them) and their number."""
+    """The median of a key's values in the days before each row, of those of the last `most` rows, and their number. A row sees `most` values at most, however busy its key."""
     micro = days * 86400 * 1_000_000
-    w = Window.partitionBy(key).orderBy(F.unix_micros("occurred_at")).rangeBetween(-micro, -1)
-    seen = F.sort_array(F.slice(F.reverse(F.collect_list(value).over(w)), 1, most))
+    now = F.unix_micros("occurred_at")
+    w = Window.partitionBy(key).orderBy(now).rowsBetween(-most, -1)
+    last = F.collect_list(F.struct(now.alias("t"), F.col(value).alias("v"))).over(w)
+    out = df.withColumn("__last", last).withColumn("__seen", F.sort_array(F.filter(F.transform(F.filter("__last", lambda x: (x["t"] < now) & (x["t"] >= now - micro)), lambda x: x["v"]), lambda v: v.isNotNull())))
     n = F.size("__seen")
     mid = lambda i: F.try_element_at("__seen", i)
-    out = df.withColumn("__seen", seen)
     med = F.when(n == 0, F.lit(None)).when(n % 2 == 1, mid((n / 2).cast("int") + 1)).otherwise((mid((n / 2).cast("int")) + mid((n / 2).cast("int") + 1)) / 2)
-    return out.withColumns({"median": med, "prior": n}).drop("__seen")
+    return out.withColumns({"median": med, "prior": n}).drop("__seen", "__last")
 
 
 def trailing_path_mean(routes: DataFrame, size: int = 20) -> DataFrame:

@@ -16,7 +16,7 @@ from skerry.operators import ml as M
 from skerry.operators import policy as R
 from skerry.operators import state as L
 from skerry.operators import windows as W
-from skerry.plans.fixtures import AS_OF, view, with_views
+from skerry.plans.fixtures import AS_OF, view
 from skerry.sources import tables as S
 
 
@@ -38,6 +38,11 @@ class Views:
         """Routes with their validity."""
         return J.validate_origins(self.route_events, self.roas)
 
+    @property
+    def marked(self) -> DataFrame:
+        """Routes with their validity and a label of their path's status."""
+        return J.validate_origins(self.marked_routes, self.roas)
+
     @property
     def registry(self) -> DataFrame:
         r = self.route_events
@@ -67,6 +72,7 @@ ONCE = f"list_filter({ASNS}, lambda x, i: i = 1 OR x <> ({ASNS})[i - 1])"
 HOUR = "date_trunc('hour', occurred_at)"
 ANN = "action = 'announce'"
 US = "epoch_us(occurred_at)"
+#: Path-status bits in the order in which they name a path.
 BITS = [(2, "best"), (8, "primary"), (16, "backup"), (64, "best-external"), (128, "add-path"), (4, "nonselected"), (256, "filtered-inbound"), (512, "filtered-outbound"), (1024, "stale"), (2048, "suppressed"), (32, "non-installed"), (1, "invalid")]
 LABEL = "CASE " + " ".join(f"WHEN path_status & {b} <> 0 THEN '{n}'" for b, n in BITS) + " ELSE 'unknown' END"
 PEERS = [f"10.0.{i % 3}.{i + 1}" for i in range(12)]
@@ -107,7 +113,6 @@ add("path_matrix", f"""WITH w AS (SELECT * FROM path_markings WHERE occurred_at
 SELECT prefix, peer_addr, CAST(path_status AS INT) AS path_status, event_id FROM l WHERE prefix IN (FROM few)""")(lambda v: L.path_matrix(v.path_markings, AS_OF, 20 * 1440, "ipv4-unicast", 5).selectExpr("prefix", "peer_addr", "CAST(path_status AS INT) AS path_status", "event_id"))
 add("path_pivot", f"""WITH l AS (SELECT *, {LABEL} AS label FROM (SELECT * FROM path_markings {_LAST.format('prefix, peer_addr')}))
 SELECT prefix, {', '.join(f"max(label) FILTER (peer_addr = '{p}') AS \"{p}\"" for p in PEERS)}, count(*) FILTER (path_status & 90 <> 0) AS active_paths FROM l GROUP BY 1""")(lambda v: L.path_pivot(v.path_markings, PEERS))
-add("path_labels", f"SELECT path_status, path_reason, {LABEL} AS label, CASE path_reason " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in X.REASONS.items()) + " ELSE '' END AS reason, count(*) AS paths FROM path_markings GROUP BY ALL")(lambda v: v.path_markings.groupBy("path_status", "path_reason", X.status_label("path_status").alias("label"), X.reason_label("path_reason").alias("reason")).agg(F.count("*").alias("paths")))
 add("best_paths", f"SELECT event_id, peer_addr, rib_type, prefix, as_path FROM (SELECT * FROM (SELECT * FROM route_events {_LAST.format('peer_addr, rib_type, prefix, as_path')}) WHERE {ANN}) QUALIFY row_number() OVER (PARTITION BY peer_addr, rib_type, prefix ORDER BY local_pref DESC NULLS LAST, as_path_len, med NULLS LAST, event_id) = 1")(lambda v: L.best_paths(v.route_events).select("event_id", "peer_addr", "rib_type", "prefix", "as_path"))
 _DOWN = "d AS (SELECT speaker_addr, peer_addr, max((occurred_at, event_id)) AS down FROM peer_events WHERE event_type = 'peer_down' GROUP BY ALL), e AS (SELECT speaker_addr, max((occurred_at, event_id)) AS fin FROM speaker_events WHERE event_type = 'speaker_down' GROUP BY ALL)"
 add("reconstructed_rib", f"WITH {RIB}, {_DOWN} SELECT event_id, prefix, peer_addr FROM rib LEFT JOIN d USING (speaker_addr, peer_addr) LEFT JOIN e USING (speaker_addr) WHERE coalesce((occurred_at, event_id) >= down, true) AND coalesce((occurred_at, event_id) > fin, true)")(lambda v: L.reconstruct(v.route_events, v.peer_events, v.speaker_events).select("event_id", "prefix", "peer_addr"))
@@ -134,9 +139,6 @@ x AS (SELECT *, n * 100.0 / max_prefix AS used, CASE WHEN d > 0 THEN greatest(ma
 SELECT speaker_addr, peer_addr, afi_safi, n AS current, CAST(max_prefix AS BIGINT) AS max_prefix, round(used, 3) AS used_pct, round(d, 3) AS trend_per_day, round(eta, 3) AS eta_days, CASE WHEN used >= 90 OR eta < 7 THEN 'critical' WHEN used >= 70 OR eta < 30 THEN 'warning' ELSE 'ok' END AS severity FROM x""")(lambda v: A.capacity(v.route_events, v.peer_max_prefix, v.stats_events, AS_OF, days=20).withColumns({"max_prefix": F.col("max_prefix").cast("bigint"), "used_pct": F.col("used_pct").cast("double")}))
 add("counter_totals", "SELECT counter_name, CAST(sum(counter_value) AS BIGINT) AS total, count(DISTINCT peer_addr) AS peers FROM stats_events GROUP BY 1")(lambda v: A.counter_totals(v.stats_events).withColumn("total", F.col("total").cast("bigint")))
 add("vrf_summary", f"WITH {RIB} SELECT 'global' AS rd, count(*) AS routes, count(DISTINCT peer_addr) AS peers, count(DISTINCT afi) AS afis FROM rib")(lambda v: A.vrf_summary(v.route_events))
-add("node_features", f"""WITH r AS (SELECT peer_addr, count(*) AS events, count(*) FILTER ({ANN}) AS announces, count(*) FILTER (action = 'withdraw') AS withdraws, count(DISTINCT prefix) AS prefixes, round(avg(as_path_len), 6) AS mean_path_len, round(avg(local_pref), 6) AS mean_local_pref, round(avg(med), 6) AS mean_med FROM route_events GROUP BY 1),
-p AS (SELECT peer_addr, count(*) FILTER (event_type = 'peer_up') AS ups, count(*) FILTER (event_type = 'peer_down') AS downs FROM peer_events GROUP BY 1), m AS (SELECT peer_addr, count(*) FILTER (path_status & 8 <> 0) AS ecmp, count(*) FILTER (path_status & 16 <> 0) AS backups FROM path_markings GROUP BY 1)
-SELECT peer_addr, events, announces, withdraws, prefixes, coalesce(mean_path_len, 0) AS mean_path_len, coalesce(mean_local_pref, 0) AS mean_local_pref, coalesce(mean_med, 0) AS mean_med, coalesce(ups, 0) AS ups, coalesce(downs, 0) AS downs, coalesce(ecmp, 0) AS ecmp, coalesce(backups, 0) AS backups FROM r LEFT JOIN p USING (peer_addr) LEFT JOIN m USING (peer_addr)""")(lambda v: A.node_features(v.route_events, v.peer_events, v.path_markings))
 add("totals", f"WITH {RIB} SELECT (SELECT count(*) FROM (SELECT * FROM speaker_events {_LAST.format('speaker_addr')}) WHERE event_type = 'speaker_up') AS speakers, (SELECT count(*) FROM (SELECT * FROM peer_events {_LAST.format('speaker_addr, peer_addr')}) WHERE event_type = 'peer_up') AS peers_up, (SELECT count(*) FROM rib) AS routes, (SELECT count(*) FROM vrps) AS vrps")(lambda v: A.totals(v.speaker_events, v.peer_events, v.route_events, v.vrps))
 add("hourly_churn", f"SELECT prefix, {HOUR} AS hour, count(*) AS events FROM route_events GROUP BY ALL")(lambda v: A.hourly_churn(v.route_events))
 add("over_budget", "SELECT time_bucket(INTERVAL 3600 SECONDS, occurred_at) AS start, count(*) AS events, count(*) > 14 AS over FROM route_events GROUP BY 1")(lambda v: A.over_budget(v.route_events.withColumn("k", F.lit(1)), 14 / 3600, 3600))
@@ -192,20 +194,11 @@ add("otc_leaks", f"SELECT event_id, occurred_at, prefix, peer_addr FROM route_ev
 _SEV = "CASE rpki_validity WHEN 'invalid' THEN 'critical' WHEN 'valid' THEN 'info' ELSE 'warning' END AS severity"
 add("origin_changes", f"WITH {VALID}, g AS (SELECT *, lag(origin_asn) OVER w AS old, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 1e6 AS st FROM judged WHERE {ANN} WINDOW w AS (PARTITION BY prefix, peer_addr ORDER BY occurred_at, event_id)) SELECT event_id, occurred_at, prefix, peer_addr, old AS old_origin, origin_asn AS new_origin, round(st, 6) AS stable_s, {_SEV} FROM g WHERE old <> origin_asn AND st >= 300")(lambda v: D.origin_changes(v.route_events, v.roas))
 add("leaks", f"WITH {_MIN} SELECT event_id, occurred_at, prefix, peer_addr, CASE WHEN only_to_customer IS NOT NULL THEN 'otc' ELSE 'short' END AS evidence FROM t WHERE only_to_customer IS NOT NULL OR min_before - as_path_len >= 3")(lambda v: D.leaks(v.route_events))
-add("med_oscillation", f"""WITH o AS (SELECT a.event_id, a.occurred_at, a.prefix, a.peer_addr, list(b.med ORDER BY b.occurred_at, b.event_id) AS m FROM route_events a JOIN route_events b ON a.prefix = b.prefix AND a.peer_addr = b.peer_addr AND b.action = 'announce' AND b.med IS NOT NULL AND (b.occurred_at, b.event_id) <= (a.occurred_at, a.event_id) AND epoch_us(b.occurred_at) >= epoch_us(a.occurred_at) - 864000000000 WHERE a.action = 'announce' AND a.med IS NOT NULL GROUP BY ALL),
-s AS (SELECT *, list_filter(list_transform(range(1, len(m)), lambda i: sign(m[i + 1] - m[i])), lambda x: x <> 0) AS d FROM o), t AS (SELECT *, len(list_filter(range(1, len(d)), lambda i: d[i] <> d[i + 1])) AS turns FROM s)
-SELECT event_id, occurred_at, prefix, peer_addr, CAST(len(m) AS INT) AS observations, CAST(turns AS INT) AS turns FROM t WHERE len(m) >= 5 AND len(list_distinct(m)) >= 2 AND turns >= 2""")(lambda v: D.med_oscillation(v.route_events, 864000))
 add("hijacks", f"WITH {VALID}, o AS (SELECT * FROM judged WHERE {ANN}), g AS (SELECT a.event_id, a.occurred_at, a.prefix, a.peer_addr, a.origin_asn, a.rpki_validity, list_sort(list(DISTINCT b.origin_asn)) AS seen FROM o a JOIN o b ON a.prefix = b.prefix AND epoch_us(b.occurred_at) BETWEEN epoch_us(a.occurred_at) - 86400000000 AND epoch_us(a.occurred_at) - 1 GROUP BY ALL) SELECT event_id, occurred_at, prefix, peer_addr, origin_asn AS new_origin, array_to_string(seen, ' ') AS known, {_SEV} FROM g WHERE NOT list_contains(seen, origin_asn)")(lambda v: D.hijacks(v.route_events, v.roas, 86400))
-add("all_alerts", None)(lambda v: D.all_alerts(v.route_events, v.roas))
-add("suppressed_alerts", None)(lambda v: D.suppress(D.all_alerts(v.route_events, v.roas), 86400))
-add("convergence_events", None)(lambda v: D.convergence_events(v.peer_events, v.route_events, v.stats_events, 3600.0))
 add("convergence_percentiles", f"WITH {_SESS}, e AS (SELECT (epoch_us(down_at) - epoch_us(up_at)) / 1e3 AS convergence_ms FROM s WHERE up_at IS NOT NULL AND down_at IS NOT NULL) SELECT round(quantile_cont(convergence_ms, 0.5), 6) AS p50, round(quantile_cont(convergence_ms, 0.9), 6) AS p90, round(quantile_cont(convergence_ms, 0.99), 6) AS p99, count(*) AS episodes FROM e")(lambda v: A.convergence_percentiles(W.sessions(v.peer_events).where("NOT ongoing").select(((F.unix_micros("down_at") - F.unix_micros("up_at")) / 1e3).alias("convergence_ms")), exact=True))
 _EP = f"{_SESS}, e AS (SELECT peer_addr, up_at AS t, (epoch_us(down_at) - epoch_us(up_at)) / 1e3 AS ms FROM s WHERE up_at IS NOT NULL AND down_at IS NOT NULL), m AS (SELECT *, median(ms) OVER w AS med, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY peer_addr ORDER BY t RANGE BETWEEN INTERVAL '7 days' PRECEDING AND INTERVAL '1 microsecond' PRECEDING))"
 add("slow_convergence", f"WITH {_EP} SELECT peer_addr, t AS started_at, ms AS convergence_ms, med AS median, round(ms / med, 6) AS ratio, CASE WHEN ms / med >= 6 THEN 'critical' ELSE 'warning' END AS severity FROM m WHERE n >= 3 AND med > 0 AND ms / med >= 3")(lambda v: D.slow_convergence(W.sessions(v.peer_events).where("NOT ongoing").select("peer_addr", F.col("up_at").alias("started_at"), ((F.unix_micros("down_at") - F.unix_micros("up_at")) / 1e3).alias("convergence_ms"))))
 add("flap_scores", "WITH s AS (SELECT greatest((epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 3.6e9, 1.0) AS h FROM peer_events), d AS (SELECT peer_addr, count(*) AS downs FROM peer_events WHERE event_type = 'peer_down' GROUP BY 1) SELECT peer_addr, downs, round(downs / h, 6) AS per_hour, CASE WHEN downs / h < 3 THEN 'low' WHEN downs / h < 10 THEN 'medium' ELSE 'high' END AS severity FROM d, s")(lambda v: D.flap_scores(v.peer_events))
-add("anomaly_report", f"""WITH {_OWN}, f AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY prefix, origin ORDER BY occurred_at, event_id) = 1), {_TRAIL}, {_Z}
-SELECT b.occurred_at AS detected_at, 'new_origin' AS kind, b.prefix, b.peer_addr, 0.9 :: DOUBLE AS score, 'critical' AS severity FROM f a JOIN f b ON a.prefix = b.prefix AND (a.occurred_at, a.event_id) < (b.occurred_at, b.event_id)
-UNION ALL SELECT occurred_at, 'short_path', prefix, peer_addr, round(1 - as_path_len / round(m, 6), 6), 'warning' FROM t WHERE n >= 5 AND as_path_len < m * 0.5 UNION ALL SELECT hour, 'churn', prefix, NULL, round(abs(z), 6), CASE WHEN abs(z) > 5 THEN 'critical' ELSE 'warning' END FROM y WHERE abs(z) > 3""")(lambda v: D.anomaly_report(v.route_events, v.peer_events.where("event_id % 100 = 7")))
 # graphs --------------------------------------------------------------------------------------------------------------------------------------------------------------
 _E = f"e AS (SELECT src, dst, count(*) AS routes FROM (SELECT unnest(list_transform(range(1, len(a)), lambda i: (a[i], a[i + 1]))) AS p, p[1] AS src, p[2] AS dst FROM (SELECT {ONCE} AS a FROM route_events WHERE {ANN})) GROUP BY ALL)"
 add("path_edges", f"WITH {_E} SELECT * FROM e")(lambda v: G.path_edges(v.route_events))
@@ -216,17 +209,11 @@ add("shortest_paths", f"WITH RECURSIVE {_ED}, w AS (SELECT DISTINCT src AS sourc
 add("blast_radius", f"WITH RECURSIVE {_ED}, w AS (SELECT '10.255.0.3' AS node, 0 AS k UNION SELECT dst, k + 1 FROM w JOIN e ON node = src WHERE k < 3) SELECT node, min(k) AS hops FROM w WHERE node <> '10.255.0.3' GROUP BY 1")(lambda v: G.blast_radius(v.links, "10.255.0.3"))
 add("diverse_paths", "WITH RECURSIVE w AS (SELECT '10.255.0.3' AS node, ['10.255.0.3'] AS nodes, CAST(0 AS BIGINT) AS metric, CAST([] AS VARCHAR[]) AS g UNION ALL SELECT remote_router_id, list_append(nodes, remote_router_id), metric + igp_metric, list_append(g, srlg_groups) FROM w JOIN bgpls_links ON node = local_router_id WHERE NOT list_contains(nodes, remote_router_id) AND node <> '10.255.0.9' AND len(nodes) <= 6), d AS (SELECT array_to_string(nodes, ' ') AS path, metric, g FROM w WHERE node = '10.255.0.9'), f AS (SELECT * FROM d ORDER BY metric, path LIMIT 1) SELECT d.path, d.metric, d.path = f.path AS primary FROM d, f WHERE d.path = f.path OR NOT list_has_any(d.g, f.g)")(lambda v: G.diverse_paths(v.links, "10.255.0.3", "10.255.0.9", 6))
 # features and models -----------------------------------------------------------------------------------------------------------------------------------------------
-add("snapshots", f"""WITH t AS (SELECT i AS slice, {_T} - INTERVAL 1 DAY * (7 - i) AS snapshot_ts FROM range(8) r(i)) SELECT snapshot_ts, CAST(slice AS INT) AS slice, peer_addr, count(*) FILTER ({ANN}) AS announces, count(*) FILTER (action = 'withdraw') AS withdraws, round(coalesce(avg(as_path_len), 0), 6) AS mean_path_len FROM t JOIN route_events ON occurred_at <= snapshot_ts GROUP BY ALL""")(lambda v: M.snapshots(v.route_events.withColumn("occurred_at", F.ceil(F.unix_micros("occurred_at") / 1e6).cast("timestamp")), AS_OF, 8, 1440))
 add("outliers", f"WITH s AS (SELECT prefix, count(*) AS score FROM route_events GROUP BY 1) SELECT prefix, score FROM s WHERE score > (SELECT avg(score) + stddev_pop(score) FROM s)")(lambda v: M.outliers(v.route_events.groupBy("prefix").agg(F.count("*").alias("score")), 1.0))
 add("route_features", f"SELECT event_id, CAST(coalesce(as_path_len, 0) AS DOUBLE) AS path_len, CAST({_LEN.format('prefix')} AS DOUBLE) AS prefix_len, CAST(coalesce(local_pref, 100) AS DOUBLE) AS local_pref, CAST(coalesce(med, 0) AS DOUBLE) AS med, CAST(CASE WHEN communities IS NULL THEN 0 ELSE len(string_split(communities, ',')) END AS DOUBLE) AS n_communities, 0.5 :: DOUBLE AS rpki, CAST(action = 'withdraw' AS DOUBLE) AS is_withdraw, CASE WHEN as_path_len = 4 THEN 1.0 ELSE 0.0 END :: DOUBLE AS has_prepend FROM route_events")(lambda v: M.route_features(v.route_events))
 add("isolation_forest", None)(lambda v: M.isolation_forest(M.route_features(v.route_events), trees=50))
 _HF = f"h AS (SELECT event_id, CAST(coalesce(lag(origin_asn) OVER w <> origin_asn, false) AS INT) AS origin_changed, CASE rpki_validity WHEN 'valid' THEN 0 WHEN 'invalid' THEN 2 ELSE 1 END AS rpki, CAST(coalesce(as_path_len - lag(as_path_len) OVER w, 0) AS INT) AS path_delta, CASE WHEN peer_as < 65006 THEN 1 ELSE 0 END AS peer_expected FROM judged WHERE {ANN} WINDOW w AS (PARTITION BY prefix, peer_addr ORDER BY occurred_at, event_id))"
 add("hijack_score", f"WITH {VALID}, {_HF}, s AS (SELECT *, round(least(1, greatest(0, 0.3 * origin_changed + CASE rpki WHEN 2 THEN 0.25 WHEN 0 THEN -0.15 ELSE 0 END + CASE WHEN path_delta <= -3 THEN 0.1 ELSE 0 END - 0.2 * peer_expected)), 6) :: DOUBLE AS score FROM h) SELECT *, score >= 0.5 AS is_hijack FROM s")(lambda v: M.hijack_score(M.hijack_features(v.judged, v.peer_max_prefix.where("peer_as < 65006"))).select("event_id", "origin_changed", "rpki", "path_delta", "peer_expected", "score", "is_hijack"))
-add("hijack_model", None)(lambda v: (f := M.hijack_score(M.hijack_features(v.judged)).withColumn("label", F.col("score") >= 0.3)) and M.train_hijack_model(f)[0].transform(f).select("event_id", "label", F.col("prediction").cast("int").alias("prediction")))
-add("community_meanings", f"""WITH o AS (SELECT unnest(string_split(communities, ',')) AS community, local_pref, action FROM route_events WHERE communities IS NOT NULL), g AS (SELECT community, count(*) AS n, quantile_cont(local_pref, 0.5) AS lp, greatest(0, least(1, 1 - stddev_samp(local_pref) / (avg(local_pref) + 1e-6))) AS steady, count(*) / (SELECT count(*) FROM o) AS support FROM o GROUP BY 1),
-k AS (SELECT *, CASE WHEN community LIKE '%666%' THEN 'blackhole' WHEN n >= 3 AND support >= 0.05 AND steady >= 0.5 AND lp >= 150 THEN 'preferred path (LP=' || CAST(CAST(floor(lp) AS INT) AS STRING) || ')' WHEN n >= 3 AND support >= 0.05 AND steady >= 0.5 AND lp <= 80 THEN 'backup path (LP=' || CAST(CAST(floor(lp) AS INT) AS STRING) || ')' END AS meaning FROM g)
-SELECT community, meaning, CASE WHEN meaning = 'blackhole' THEN 0.99 ELSE round(steady, 6) END :: DOUBLE AS confidence, round(support, 6) AS support, n AS routes FROM k WHERE meaning IS NOT NULL""")(lambda v: M.community_meanings(v.route_events, min_confidence=0.5))
-add("community_rules", None)(lambda v: M.community_rules(v.route_events, 0.02, 0.3))
 # sinks -----------------------------------------------------------------------------------------------------------------------------------------------------------------
 add("route_export", f"WITH {VALID} SELECT event_id, {_LEN.format('prefix')} AS prefix_len, CAST({ANN} AS INT) AS is_announce, origin_asn, coalesce(as_path_len, 0) AS as_path_len, CAST(coalesce(local_pref, 100) AS BIGINT) AS local_pref, CAST(coalesce(med, 0) AS BIGINT) AS med, CASE rpki_validity WHEN 'valid' THEN 1 WHEN 'invalid' THEN -1 ELSE 0 END AS rpki_code FROM judged")(lambda v: S.route_export(v.judged).select("event_id", "prefix_len", "is_announce", "origin_asn", "as_path_len", "local_pref", "med", "rpki_code"))
 add("peer_export", "WITH p AS (SELECT peer_addr, count(*) FILTER (event_type = 'peer_up') AS ups, count(*) FILTER (event_type = 'peer_down') AS downs FROM peer_events GROUP BY 1) SELECT peer_addr, ups, downs, coalesce((SELECT count(*) FROM route_events r WHERE r.peer_addr = p.peer_addr), 0) AS routes FROM p")(lambda v: S.peer_export(v.peer_events, v.route_events))
@@ -234,19 +221,8 @@ add("prefix_export", f"""WITH o AS (SELECT prefix, {ORIGIN} AS o, count(*) AS n
 SELECT prefix, count(*) AS events, count(*) FILTER ({ANN}) AS announces, count(*) FILTER (NOT ({ANN})) AS withdraws, count(DISTINCT peer_addr) AS peers, count(DISTINCT {ORIGIN}) AS origins, round(avg(as_path_len), 6) AS mean_path_len, min(as_path_len) AS min_path_len, max(as_path_len) AS max_path_len, round(avg(local_pref), 6) AS mean_local_pref, round(count(*) FILTER (occurred_at >= {_T} - INTERVAL 1 HOUR) / 3600, 9) AS churn_rate_1h, any_value(main_origin) AS main_origin FROM route_events LEFT JOIN b USING (prefix) GROUP BY 1""")(lambda v: S.prefix_export(v.route_events, AS_OF))
 add("export_range", f"SELECT {ROUTE} FROM route_events WHERE occurred_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00'")(lambda v: S.export_range(v.route_events, "route_events", since="2024-01-05 00:00:00", until="2024-01-12 00:00:00").select(*_R))
 add("vrp_delta", "SELECT net || '/' || CAST(vlen AS STRING) AS prefix, max_len, origin_asn FROM vrps WHERE origin_asn % 4 <> 0 UNION ALL SELECT '20.90.0.0/16', 24, 64790")(lambda v: S.apply_vrp_delta(v.roas, v.roas.where("origin_asn % 4 = 0"), v.spark.createDataFrame([("20.90.0.0/16", 24, 64790)], "prefix string, max_len int, origin_asn bigint")))
-add("ecs_documents", None)(lambda v: S.ecs_documents(v.route_events))
-add("hec_events", None)(lambda v: S.hec_events(v.route_events))
-add("notifications", None)(lambda v: S.notifications(D.as_alerts(D.leaks(v.route_events), "leak", "warning"), "pagerduty"))
 add("retained_routes", f"SELECT {ROUTE} FROM route_events WHERE occurred_at >= {_T} - INTERVAL 10 DAYS")(lambda v: S.retain(v.route_events, 10, AS_OF).select(*_R))
 add("row_counts", "SELECT 'peer_events' AS table_name, count(*) AS n FROM peer_events UNION ALL SELECT 'route_events', count(*) FROM route_events UNION ALL SELECT 'stats_events', count(*) FROM stats_events")(lambda v: S.row_counts({n: getattr(v, n) for n in ("route_events", "peer_events", "stats_events")}))
 add("limit_upserts", f"SELECT peer_addr, CAST(max_prefix AS BIGINT) AS max_prefix FROM (SELECT speaker_addr, peer_addr, occurred_at AS t, event_id % 50 AS max_prefix FROM peer_events WHERE event_id % 50 > 0) QUALIFY row_number() OVER (PARTITION BY speaker_addr, peer_addr ORDER BY t DESC, max_prefix DESC) = 1")(lambda v: S.upsert_limits(v.peer_events.select("speaker_addr", "peer_addr", F.lit("ipv4-unicast").alias("afi_safi"), F.col("occurred_at").alias("updated_at"), (F.col("event_id") % 50).cast("bigint").alias("max_prefix"))).select("peer_addr", "max_prefix"))
 add("state_changes", "SELECT event_id, occurred_at, peer_addr, peer_as, CASE WHEN event_type = 'peer_up' THEN 3 ELSE 6 END AS old_state, CASE WHEN event_type = 'peer_up' THEN 6 ELSE 1 END AS new_state FROM peer_events")(lambda v: S.state_changes(v.peer_events))
 add("ad_hoc_select", "SELECT peer_addr, count(*) AS n FROM route_events GROUP BY 1")(lambda v: S.select_only(v.spark, "SELECT peer_addr, count(*) AS n FROM routes_now GROUP BY 1", {"routes_now": v.route_events}))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, (f, _) in Q.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in Q.items() if sql}

@@ -54,6 +54,62 @@ SELECT event_id, occurred_at, speaker_addr, peer_addr, peer_as, prefix, afi,
  CASE event_id % 7 WHEN 0 THEN 2 WHEN 1 THEN 10 WHEN 2 THEN 16 WHEN 3 THEN 4 WHEN 4 THEN 256 WHEN 5 THEN 1024 ELSE 64 END AS path_status,
  CASE WHEN event_id % 7 = 3 THEN 1 + event_id % 11 ELSE 0 END AS path_reason
 FROM route_events WHERE action = 'announce'""",
+    "marked_routes": """
+SELECT *, CASE event_id % 7 WHEN 0 THEN 'best' WHEN 1 THEN 'ecmp' WHEN 2 THEN 'backup' WHEN 3 THEN 'nonselected' WHEN 4 THEN 'filtered' WHEN 5 THEN 'stale' ELSE NULL END AS path_status
+FROM route_events""",
+    "community_routes": """
+SELECT event_id, action, local_pref,
+ CASE WHEN action = 'withdraw' THEN '65030:9'
+  WHEN event_id % 5 = 0 THEN '65020:80,65000:1'
+  WHEN event_id % 5 = 3 THEN CASE WHEN event_id % 2 = 0 THEN '65020:170,65000:3' ELSE '65020:170' END
+  WHEN event_id % 5 = 4 THEN '65020:200,65000:666' ELSE NULL END AS communities
+FROM route_events""",
+    "srpolicy_events": """
+SELECT event_id, occurred_at, speaker_addr, peer_addr, peer_as, CASE WHEN event_id % 30 = 1 THEN 'withdraw' ELSE 'announce' END AS action,
+ '10.9.0.' || CAST(event_id % 9 + 1 AS STRING) AS endpoint, 100 + event_id % 4 * 100 AS color, 50 + event_id % 3 * 50 AS preference
+FROM route_events WHERE event_id % 10 = 1""",
+    "ml_anomalies": """
+SELECT event_id, occurred_at AS detected_at, CASE event_id % 3 WHEN 0 THEN 'churn' WHEN 1 THEN 'new_origin' ELSE 'flap' END AS kind, prefix, peer_addr,
+ CAST(event_id % 100 AS DOUBLE) / 100 AS score, CASE WHEN event_id % 4 = 0 THEN 'critical' ELSE 'warning' END AS severity
+FROM route_events WHERE event_id % 10 = 9""",
+    "convergence_log": """
+SELECT event_id, occurred_at AS started_at, speaker_addr, peer_addr, CAST(event_id % 997 * 10 AS DOUBLE) AS convergence_ms, event_id % 11 AS affected_prefixes
+FROM peer_events WHERE event_type = 'peer_down'""",
+    "policy_configs": """
+SELECT event_id, occurred_at AS fetched_at, peer_addr, speaker_addr, 'policy-' || CAST(event_id % 5 AS STRING) AS policy_name, CASE WHEN event_id % 2 = 0 THEN 'import' ELSE 'export' END AS direction,
+ '[{"seq":10,"action":"permit","match":{"prefix":"' || prefix || '"},"set":{"local_pref":' || CAST(100 + event_id % 9 AS STRING) || '}},' ||
+ '{"seq":20,"action":"deny","match":{"community":"65000:' || CAST(event_id % 6 AS STRING) || '"},"set":{}}]' AS clauses_json
+FROM route_events WHERE event_id % 20 = 2""",
+    "peer_capabilities": """
+SELECT event_id, occurred_at, speaker_addr, peer_addr,
+ CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '["route-refresh","add-path"]' WHEN 2 THEN '["four-octet-as"]' WHEN 3 THEN '["AS4","LLGR"]' ELSE '["long-lived-graceful-restart","additional-paths"]' END AS capabilities
+FROM route_events WHERE event_id % 10 = 6""",
+    "node_events": """
+SELECT event_id, occurred_at, CASE WHEN event_id % 8 = 0 THEN 'withdraw' ELSE 'announce' END AS action, '10.255.0.' || CAST(event_id % 25 AS STRING) AS router_id,
+ CASE event_id % 25 % 4 WHEN 0 THEN 'core' WHEN 1 THEN 'pe' WHEN 2 THEN 'Leaf-' ELSE 'rr' END || CAST(event_id % 25 AS STRING) AS node_name,
+ CASE WHEN event_id % 25 < 15 THEN 'isis-l2' ELSE 'ospfv2' END AS protocol_id
+FROM route_events WHERE event_id % 10 = 4""",
+    "link_events": """
+SELECT event_id, occurred_at, CASE WHEN event_id % 6 = 0 THEN 'withdraw' ELSE 'announce' END AS action, '10.255.0.' || CAST(event_id % 25 AS STRING) AS local_router_id,
+ '10.255.0.' || CAST((event_id % 25 + 1 + event_id % 3) % 25 AS STRING) AS remote_router_id, 1 + event_id % 9 AS igp_metric
+FROM route_events WHERE event_id % 10 = 8""",
+    "flow_rules": """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'dst=' || prefix || ' proto=6' WHEN 1 THEN 'Source: 10.' || CAST(event_id % 200 AS STRING) || '.0.0/' || CAST(8 + event_id % 20 AS STRING) || ', dest ' || prefix
+  WHEN 2 THEN 'port=80' ELSE NULL END AS summary
+FROM route_events WHERE event_id % 10 = 2""",
+    "wire_values": """
+SELECT event_id, as_path, event_id % 45 AS stat_type, event_id % 4 AS peer_type, event_id % 3 * 32 + event_id % 5 * 8 AS flags,
+ CASE event_id % 7 WHEN 0 THEN 4294967041 WHEN 1 THEN 4294967042 WHEN 2 THEN 4294902426 ELSE 4259840000 + event_id % 300 END AS community,
+ CASE event_id % 5 WHEN 0 THEN '0002' WHEN 1 THEN '0003' WHEN 2 THEN '0102' WHEN 3 THEN '030b' ELSE '0306' END || lpad(lower(hex(64000 + event_id % 500)), 4, '0') || lpad(lower(hex(event_id % 70000)), 8, '0') AS ext_community,
+ lpad(CAST(event_id % 4 AS STRING), 4, '0') || lpad(lower(hex(64000 + event_id % 500)), 4, '0') || lpad(lower(hex(event_id % 70000)), 8, '0') AS rd,
+ CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN 'IPv4' WHEN 2 THEN '2' WHEN 3 THEN 'ipv6-unicast' WHEN 4 THEN 'EVPN' ELSE NULL END AS afi
+FROM route_events""",
+    "planted_routes": """
+SELECT * FROM (
+SELECT event_id, occurred_at, speaker_addr, peer_addr, peer_as, rib_type, action, prefix, afi, as_path, as_path_len, local_pref, med, communities, only_to_customer, false AS label FROM route_events
+UNION ALL
+SELECT event_id + 1000000000, occurred_at, speaker_addr, peer_addr, 65099, rib_type, 'announce', CASE WHEN event_id % 2 = 0 THEN prefix ELSE '20.' || CAST((event_id * 37) % 97 AS STRING) || '.128.0/25' END, afi,
+ '65099 ' || CAST(64990 + event_id % 7 AS STRING), 2, local_pref, med, communities, NULL, true FROM route_events WHERE event_id % 40 = 9 AND action = 'announce') u""",
     "bgpls_links": """
 SELECT '10.255.0.' || CAST(a.n_nationkey AS STRING) AS local_router_id,
  '10.255.0.' || CAST(b.n_nationkey AS STRING) AS remote_router_id,
@@ -85,7 +141,7 @@ def reads(name: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables in sf_dir."""
     sources = {n: view(spark, sf_dir, n) if n in VIEWS else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in reads(name)}
-    text = VIEWS[name]
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")  # spark.sql formats
     for n in sources:
         for word in ("FROM", "JOIN"):
             text = text.replace(f"{word} {n}", f"{word} {{{n}}}")

@@ -150,7 +150,7 @@ def ecs_documents(routes: DataFrame) -> DataFrame:
 
 def hec_events(routes: DataFrame, index: str = "bgp", sourcetype: str = "bmp:route") -> DataFrame:
     """Route events as JSON for an event collector, the time in seconds."""
-    doc = F.to_json(F.struct((F.unix_millis("occurred_at") / 1000).alias("time"), F.col("speaker_addr").alias("host"), F.lit("bmp").alias("source"), F.lit(sourcetype).alias("sourcetype"), F.lit(index).alias("index"), F.struct("action", "prefix", "peer_addr", "peer_as", "as_path").alias("event")))
+    doc = F.to_json(F.struct((F.unix_millis("occurred_at") / 1000).cast("decimal(20,3)").alias("time"), F.col("speaker_addr").alias("host"), F.lit("bmp").alias("source"), F.lit(sourcetype).alias("sourcetype"), F.lit(index).alias("index"), F.struct("action", "prefix", "peer_addr", "peer_as", "as_path").alias("event")))
     return routes.select("event_id", doc.alias("document"))
 
 

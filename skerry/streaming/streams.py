@@ -179,7 +179,7 @@ class History(StatefulProcessor):
                 out.append((event, at, *key, "hijack"))
             seen.append((us, None if pd.isna(origin) else int(origin), None if pd.isna(med) else int(med)))
             meds = [s[2] for s in seen if s[2] is not None]
-            steps = [b > a for a, b in zip(meds, meds[1:]) if a != b]
+            steps = [b > a for a, b in zip(meds, meds[1:])]
             if pd.notna(med) and len(meds) >= self.least_meds and len(set(meds)) >= 2 and sum(a != b for a, b in zip(steps, steps[1:])) >= 2:
                 out.append((event, at, *key, "med_oscillation"))
             if pd.notna(size) and size > 0:

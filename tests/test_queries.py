@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from skerry.plans import catalogue
+from skerry.plans import catalogue, index
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,9 +40,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalogue.Q))
 def test_query(spark, con, name):
-    got = catalogue.queries()[name](spark, SF).toPandas()
-    sql = catalogue.oracle_sql().get(name)
+    got = index.queries()[name](spark, SF).toPandas()
+    sql = index.oracle_sql().get(name)
     if sql is None:
         assert len(got) > 0
-    else:
-        assert rows(got) == rows(con.execute(sql).df())
+        return
+    assert rows(got) == rows(con.execute(sql).df())

@@ -1,7 +1,9 @@
 """Operators on literal rows whose results are known."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from skerry.functions import scalars as X
 from skerry.operators import aggregates, detectors, graph, joins, ml, policy, state, windows
 from skerry.sources import schemas, tables
 from skerry.streaming import streams
+from tests.conftest import SF
 
 
 def at(seconds: float) -> dt.datetime:
@@ -100,9 +103,113 @@ def drain(spark, df, name, mode="append"):
     return spark.table(name)
 
 
+def episode_fold(rows, quiet_s, least, end_stats, until=None):
+    """Convergence episodes in one peer's events (micros, kind, prefix, stat type, value) in order, one event after another: (start, end, withdraws, affected, recovered, ended by)."""
+    out, at_ = [], None
+    for t, kind, prefix, stat, value in rows:
+        if at_ and at_["n"] >= least and t - at_["last"] >= quiet_s * 1e6:
+            out.append((at_["start"], int(at_["last"] + quiet_s * 1e6), at_["n"], len(at_["hit"]), len(at_["back"]), "quiet"))
+            at_ = None
+        if kind == "peer_down":
+            at_ = {"start": t, "last": t, "n": 0, "hit": set(), "back": set()}
+        elif at_ and kind in ("withdraw", "announce"):
+            at_["hit"].add(prefix)
+            at_["last"] = t
+            at_["n"] += kind == "withdraw"
+            (at_["back"].discard if kind == "withdraw" else at_["back"].add)(prefix)
+        elif at_ and (kind == "peer_up" or kind == "stat" and stat in end_stats and value == 0):
+            out.append((at_["start"], t, at_["n"], len(at_["hit"]), len(at_["back"]), kind))
+            at_ = None
+    return out
+
+
+def test_episodes_equal_fold(spark):
+    """Random histories, declared and folded: with quiet ends before an event, before the next down, and none at the end of the history."""
+    rng = random.Random(6)
+    base = "event_id int, occurred_at timestamp, speaker_addr string, peer_addr string, "
+    rows = []
+    for i in range(900):
+        rows.append((i, at(0.5 * rng.randint(0, 4000)), "s", f"p{i % 5}", rng.choice(["peer_down", "peer_up", "withdraw", "withdraw", "announce", "stat"]), rng.choice("abc"), rng.choice([7, 8, 9]), rng.choice([0, 0, 5])))
+    rows.sort(key=lambda r: (r[1], r[0]))
+    peers = spark.createDataFrame([r[:5] for r in rows if r[4].startswith("peer")], base + "event_type string")
+    routes = spark.createDataFrame([r[:6] for r in rows if r[4] in ("withdraw", "announce")], base + "action string, prefix string")
+    stats = spark.createDataFrame([(*r[:4], *r[6:]) for r in rows if r[4] == "stat"], base + "stat_type int, counter_value bigint")
+    want = set()
+    micros = lambda t: int((t - at(0)).total_seconds() * 1e6)
+    for p in {r[3] for r in rows}:
+        want |= {(p, *e) for e in episode_fold([(micros(r[1]), r[4], r[5], r[6], r[7]) for r in rows if r[3] == p], 5.0, 1, (7, 8))}
+    got = {(r.peer_addr, micros(r.started_at), micros(r.eor_at), r.withdraws, r.affected_prefixes, r.recovered_prefixes, r.ended_by) for r in detectors.convergence_events(peers, routes, stats).collect()}
+    assert got == want and {w[-1] for w in want} == {"quiet", "peer_up", "stat"}
+
+
+def test_unsettled_paths(spark):
+    links = spark.createDataFrame([(str(i), str(i + 1), 1) for i in range(5)], "local_router_id string, remote_router_id string, igp_metric bigint")
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(links, spark.createDataFrame([("0",)], "router_id string"), max_rounds=3).count()
+    assert graph.shortest_paths(links, spark.createDataFrame([("0",)], "router_id string"), max_rounds=6).count() == 6
+
+
+def test_windows_equal_lists(spark):
+    """Oscillation, hijacks and rolling medians against lists of what each row sees, with ties of time."""
+    rng = random.Random(4)
+    rows = [(i, at(rng.randint(0, 200)), rng.choice("xy"), rng.choice("pq"), "announce", f"1 {64500 + rng.randint(0, 3)}", rng.choice([None, 5, 5, 7, 9])) for i in range(400)]
+    routes = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, action string, as_path string, med bigint")
+    osc, hij = set(), set()
+    for e, t, x, p, _, path, med in rows:
+        seen = [m for u, k, m in sorted((r[1], r[0], r[6]) for r in rows if r[2] == x and r[3] == p and r[6] is not None) if (u, k) <= (t, e) and (t - u).total_seconds() <= 20]
+        turns = sum((b > a) != (c > b) for a, b, c in zip(seen, seen[1:], seen[2:]))
+        if med is not None and len(seen) >= 5 and len(set(seen)) >= 2 and turns >= 2:
+            osc.add((e, len(seen), turns))
+        known = {int(r[5].split()[1]) for r in rows if r[2] == x and 0 < (t - r[1]).total_seconds() <= 3}
+        if known and int(path.split()[1]) not in known:
+            hij.add((e, " ".join(map(str, sorted(known)))))
+    assert {(r.event_id, r.observations, r.turns) for r in detectors.med_oscillation(routes, 20).collect()} == osc and osc
+    assert {(r.event_id, r.known) for r in detectors.hijacks(routes, seconds=3).collect()} == hij and hij
+    got = windows.rolling_median(routes.where("med IS NOT NULL").withColumn("k", F.lit("k")), "k", "med", days=1, most=50).collect()
+    one_day = sorted((r[1], r[6]) for r in rows if r[6] is not None)
+    for r in got:
+        assert r.prior <= 50 and (r.prior < 50 or r["median"] is not None)
+    first = [m for t, m in one_day if t < one_day[30][0]]
+    assert any(r["median"] == float(np.median(first)) and r.prior == len(first) for r in got if r.occurred_at == one_day[30][0])
+
+
+def test_hijack_model_finds_planted(spark):
+    from skerry.plans import catalogue, reports
+
+    rows = reports.hijack_rows(catalogue.Views(spark, SF.replace("0.001", "0.01")))
+    _, metrics = ml.train_hijack_model(rows)
+    assert metrics["recall"] >= 0.95 and metrics["auc"] >= 0.9 and metrics["precision"] >= 0.9
+
+
+def test_stored_anomalies_subscriptions_rates(spark, tmp_path):
+    report = spark.createDataFrame([(at(0), "churn", "x", None, 3.5, "warning")], "detected_at timestamp, kind string, prefix string, peer_addr string, score double, severity string")
+    tables.append_anomalies(report, str(tmp_path / "t"))
+    tables.append_anomalies(report, str(tmp_path / "t"))
+    assert [r.description for r in tables.read_table(spark, str(tmp_path / "t"), "ml_anomalies").collect()] == ["churn x"] * 2
+    events = spark.createDataFrame([("1", at(0), "route"), ("2", at(0.5), "stats"), ("3", at(1.5), "end_of_rib")], "id string, occurred_at timestamp, kind string")
+    live = stream_of(spark, events, str(tmp_path / "e"))
+    assert [r.id for r in drain(spark, streams.subscribe(live, ["stats"]), "subscribed").collect()] == ["2"]
+    assert [r.id for r in drain(spark, streams.end_of_rib(live), "ends").collect()] == ["3"]
+    assert {(r.start, r.events, r.over) for r in drain(spark, streams.rate(live, 1), "rates", "complete").collect()} == {(at(0), 2, True), (at(1), 1, False)}
+
+
+def test_stale_stream(spark, tmp_path):
+    schema = "peer_addr string, prefix string, kind string, occurred_at timestamp"
+    path = str(tmp_path / "c")
+    live = stream_of(spark, spark.createDataFrame([("p", "x", "announce", at(0)), ("p", "x", "peer_down", at(1)), ("p", "y", "announce", at(0))], schema), path)
+    q = streams.stale_routes(live, 30).writeStream.outputMode("append").format("memory").queryName("stale").start()
+    for t in (100, 200):  # move the watermark
+        q.processAllAvailable()
+        spark.createDataFrame([("z", "z", "announce", at(t))], schema).repartition(1).write.mode("append").parquet(path)
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.peer_addr, r.prefix, r.change) for r in spark.table("stale").collect() if r.peer_addr == "p"}
+    assert any(x[1] == "x" and "expire" in x[2] for x in got) and not any(x[1] == "y" and "expire" in x[2] for x in got)
+
+
 def test_episodes(spark):
     ev = lambda s, kind, prefix=None, stat=None, value=None: (int(s * 1e6), kind, prefix, stat, value)
-    fold = lambda rows: detectors.episode_fold(rows, 5.0, 1, (7, 8))
+    fold = lambda rows: episode_fold(rows, 5.0, 1, (7, 8))
     assert fold([ev(0, "withdraw", "a"), ev(1, "peer_up")]) == []
     assert fold([ev(0, "peer_down"), ev(1, "withdraw", "a"), ev(2, "withdraw", "b"), ev(3, "stat", stat=7, value=0)]) == [(0, 3_000_000, 2, 2, 0, "stat")]
     assert fold([ev(0, "peer_down"), ev(1, "withdraw", "a"), ev(2, "stat", stat=7, value=4), ev(9, "withdraw", "b")]) == [(0, 6_000_000, 1, 1, 0, "quiet")]
