@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skerry.llm.common import as_long, bit_map, chunks, components, cut, forest, in_map, mix, released, shingle_sets
+from skerry.llm.common import as_long, bit_map, chunks, components, cut, forest, in_map, mix, released, shingle_sets, small_batches
 
 #: Second level of PartEnum: so many parts in each first-level partition, of which one may differ.
 PARTS = 3
@@ -16,8 +16,8 @@ PARTS = 3
 SPARE = 8
 #: A block of compared sets has about so many sets and so many shingles at most (a longer set makes a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-#: Sets that share a signature are sifted pair by pair in groups of so many at most; in larger groups all count as near.
-SIFTED = 4096
+#: Sets that share a signature, or signatures under one smallest set, are sifted pair by pair in groups of so many at most; in larger groups all count as near.
+SIFTED, SIFTED_HUB = 4096, 16384
 #: Keys of so many rows may be sent to all tasks.
 BROADCAST_ROWS = 1_000_000
 #: Signatures that a task gathers before it deals them out, that a bucket has or so, and that a task holds of one bucket before it links the largest groups.
@@ -95,30 +95,35 @@ def signatures(ptr: np.ndarray, s: np.ndarray, num: int, den: int) -> tuple[np.n
 
 
 def bit_sets(ptr: np.ndarray, s: np.ndarray) -> list[bytes]:
-    """Each set as a map of bits, two or more a shingle, in whole powers of two: maps of half the size are their halves laid over each other."""
+    """Each set as a map of bits, one or two a shingle, in whole powers of two: a bit is set if an odd number of shingles fall on it. A map of half the size is the sum of its halves, without carry."""
     n = np.diff(ptr)
-    log = np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    log = np.maximum(6, np.ceil(np.log2(np.maximum(1, n))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(1 << (log - 3))])
     out = np.zeros(base[-1], np.uint8)
     at = (mix(s + np.uint64(99)) & np.repeat((np.uint64(1) << log.astype(np.uint64)) - np.uint64(1), n)).astype(np.int64)
-    np.bitwise_or.at(out, np.repeat(base[:-1], n) + (at >> 3), (1 << (at & 7)).astype(np.uint8))
+    np.bitwise_xor.at(out, np.repeat(base[:-1], n) + (at >> 3), (1 << (at & 7)).astype(np.uint8))
     raw = out.tobytes()
     return [raw[a:b] for a, b in zip(base[:-1], base[1:])]
 
 
 def near_by_bits(sizes: np.ndarray, maps: list[bytes], num: int, den: int, group: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of places, a spanning forest, of the sets whose maps don't rule out num / den: bits that differ are shingles that do, if not all of them. Sets of one group are linked already."""
+    """Pairs of places, a spanning forest, of the sets whose maps don't rule out num / den: every bit that differs is a shingle that does, if not all such shingles show. Sets of one group are linked already."""
     width = min(map(len, maps))
-    bits = np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
-    group = np.arange(len(maps)) if group is None else group
-    values, count = np.unique(group, return_counts=True)
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
+    top = np.arange(len(maps)) if group is None else group.copy()
+    values, count = np.unique(top, return_counts=True)
     most = values[np.argmax(count)]
     found = []
-    for i in np.flatnonzero(group != most):  # of the largest group no two need be compared
+    for i in range(len(maps)):
+        if top[i] == most:  # of the largest group no two need be compared, and others come to it
+            continue
         apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
-        hit = np.flatnonzero((apart * (den + num) <= (den - num) * (sizes + sizes[i])) & (group != group[i]))
-        found.append(np.stack([np.full(len(hit), i), hit], 1))
-    return np.array(forest(len(maps), np.concatenate(found)), np.int64).reshape(-1, 2)
+        hit = np.flatnonzero((apart * (den + num) <= (den - num) * (sizes + sizes[i])) & (top != top[i]))
+        if len(hit):
+            other, first = np.unique(top[hit], return_index=True)
+            found += [(i, j) for j in hit[first].tolist()]
+            top[np.isin(top, np.append(other, top[i]))] = most if most in other else top[i]
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def near_two(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
@@ -126,10 +131,10 @@ def near_two(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
     x, y, p, q = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a), len(b)
     while p > q:
         p //= 2
-        x = x >> 8 * p | x & (1 << 8 * p) - 1
+        x = x >> 8 * p ^ x & (1 << 8 * p) - 1
     while q > p:
         q //= 2
-        y = y >> 8 * q | y & (1 << 8 * q) - 1
+        y = y >> 8 * q ^ y & (1 << 8 * q) - 1
     return (x ^ y).bit_count() * (den + num) <= (den - num) * (n + m)
 
 
@@ -182,13 +187,11 @@ def deal(sig: np.ndarray, k: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 @released
 def meet(batches):
-    """From the rows of `deal` in order of their buckets, rows (sig, k, hub, met): the keys k of sets that share a signature, how many (met) and the smallest (hub).
+    """From the rows of `deal` in order of their buckets, rows (hub, k, all): the keys k of sets that share a signature, under the smallest (hub), itself included; with `all`, of so
+    many that they are linked without being sifted."""
 
-    Signatures shared by the same sets give the same number as sig. Sets that are linked without being sifted have a met above SIFTED.
-    """
-
-    def table(sig, k, hub, met):
-        return pa.RecordBatch.from_arrays([as_long(sig), as_long(k), as_long(hub), pa.array(met, pa.int64())], ["sig", "k", "hub", "met"])
+    def table(hub, k, every):
+        return pa.RecordBatch.from_arrays([as_long(hub), as_long(k), pa.array(every, pa.bool_())], ["hub", "k", "all"])
 
     def close(held: list[tuple], last: bool):
         """(rows, what is left of the bucket): all groups at its end, before that only those of over SIFTED, of which one set stays."""
@@ -200,23 +203,22 @@ def meet(batches):
         low, k = low[new], k[new]
         first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         size = np.diff(np.append(first, len(low)))
-        met = np.where(np.logical_or.reduceat(stands, first), np.maximum(size, SIFTED + 1), size)
-        hub = np.repeat(k[first], size)
-        name = mix(np.bitwise_xor.reduceat(mix(k), first) ^ mix(met.astype(np.uint64)))
-        out = (size > 1) & (last | (met > SIFTED))
-        once = np.zeros(len(first), bool)
-        once[np.flatnonzero(out)[np.unique(name[out], return_index=True)[1]]] = True
-        some = np.repeat(once, size)
-        stay = ~np.repeat(met > SIFTED, size) | (k == hub)
-        rest = [(low[stay], k[stay], np.repeat(met > SIFTED, size)[stay])]
-        return table(np.repeat(name, size)[some], k[some], hub[some], np.repeat(met, size)[some]), [] if last else rest
+        many = np.repeat(np.logical_or.reduceat(stands, first) | (size > SIFTED), size)
+        hub, met = np.repeat(k[first], size), np.repeat(size > 1, size)
+        out = met & (last | many)
+        hub, key, every = hub[out], k[out], many[out]
+        order = np.lexsort((every, key, hub))
+        hub, key, every = hub[order], key[order], every[order]
+        new = np.append(True, (hub[1:] != hub[:-1]) | (key[1:] != key[:-1]) | (every[1:] != every[:-1]))[: len(hub)]
+        stay = ~many | (k == np.repeat(k[first], size))
+        return table(hub[new], key[new], every[new]), [] if last else [(low[stay], k[stay], many[stay])]
 
     own, held, n, most = None, [], 0, HELD
     for batch in batches:
         for bucket, kind, body in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "body"))):
             if kind == 2:
                 k, hub = np.frombuffer(body, np.uint64).reshape(2, -1)
-                yield table(mix(k), k, hub, np.full(len(k), SIFTED + 1))
+                yield table(hub, k, np.ones(len(k), bool))
                 continue
             if held and (bucket != own or n > most):
                 rows, held = close(held, bucket != own)
@@ -240,11 +242,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     null, empty or without words links with nothing. Repeated rows and copies share a set and so a component; a null id takes part and is never the
     smallest id unless its component has no other. Other columns are ignored.
 
-    Equal sets make one class. PartEnum signatures of the classes' sets find every pair that can reach the threshold; of classes that share a signature those stay whose bit
-    maps don't rule it out, and such classes, directly or over others, make a cluster; within a cluster, blocks of sets of equal or neighbouring size bands are compared exactly, and each comparison
+    Equal sets make one class. PartEnum signatures of the classes' sets find every pair that can reach the threshold; classes that share a signature are gathered under the smallest of
+    them, and of those under one class pairs stay whose bit maps don't rule it out. Such classes, directly or over others, make a cluster; within a cluster, blocks of sets of equal or neighbouring size bands are compared exactly, and each comparison
     of two blocks returns a spanning forest, never its pairs. Shingles are compared by 64-bit hashes and sets by 128 bits.
     """
-    spark: SparkSession = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -285,8 +287,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
             yield deal(*(np.concatenate(x) for x in zip(*held)), buckets)
 
     signed = src.select("text").mapInArrow(sign, "bucket int, kind int, body binary")
-    # groups of the same sets count once
-    met = cut(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, k long, hub long, met long").distinct(), "met")
+    # sets that share any signature under one smallest key make one group: pairs (hub, k) count once
+    met = cut(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hub long, k long, all boolean").groupBy("hub", "k").agg(F.max("all").alias("all")), "met")
 
     @released
     def sift(batches):
@@ -324,7 +326,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            held += zip(*(batch[c].to_pylist() for c in ("sig", "k", "n", "bits")))
+            held += zip(*(batch[c].to_pylist() for c in ("hub", "k", "n", "bits")))
             last = held[-1][0] if held else None
             whole = [r for r in held if r[0] != last]
             if whole:
@@ -333,8 +335,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
         if held:
             yield close(held)
 
-    few = met.where(F.col("met") <= SIFTED).select("sig", "k").join(classes.select("k", "n", "bits"), "k")
-    near = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(sift, "a long, b long").unionByName(met.where((F.col("met") > SIFTED) & (F.col("k") != F.col("hub"))).selectExpr("k AS a", "hub AS b"))
+    large = met.groupBy("hub").agg(F.count("*").alias("met")).where(F.col("met") > SIFTED_HUB).select("hub", F.lit(True).alias("large"))
+    met = cut(met.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "hub", "left").select("hub", "k", (F.col("all") | F.coalesce("large", F.lit(False))).alias("all")), "groups")
+    few = met.where("NOT all").select("hub", "k").unionByName(met.where("NOT all").selectExpr("hub", "hub AS k")).distinct().join(classes.select("k", "n", "bits"), "k")
+    near = few.repartition("hub").sortWithinPartitions("hub").mapInArrow(sift, "a long, b long").unionByName(met.where("all AND k <> hub").selectExpr("k AS a", "hub AS b"))
     cluster = cut(components(near).withColumnRenamed("node", "k"), "clusters")
 
     # sets of the clusters' classes: a fixed bit map of their keys goes to the tasks that read the texts, an exact join follows
