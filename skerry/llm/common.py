@@ -7,6 +7,7 @@ import functools
 import gc
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -32,13 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Paths in the shared folder that this process has named, in their order.
-_named: list[str] = []
+class _Named(threading.local):
+    """Paths in the shared folder that this thread has named, in their order."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_named = _Named()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _named.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _named[-1]
+    _named.paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _named.paths[-1]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -57,16 +64,28 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def cut_alone(df: DataFrame, name: str, since: int) -> DataFrame:
-    """As cut; then drops all that was named in the shared folder after the first `since` paths, which df was made of. See named_paths."""
+    """As cut; then drops all that this thread has named in the shared folder after the first `since` paths (see named_paths): what df was made of."""
     out = cut(df, name)
-    for path in _named[since:-1]:
+    for path in _named.paths[since:-1]:
         drop_path(df.sparkSession, path)
-    del _named[since:-1]
+    del _named.paths[since:-1]
     return out
 
 
 def named_paths() -> int:
-    return len(_named)
+    return len(_named.paths)
+
+
+#: Rows of an Arrow batch at most, where texts are read: batches are otherwise of ten thousand rows, however long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the session's Arrow batches by BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return spark
 
 
 def released(run):

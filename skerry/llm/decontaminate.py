@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import PUNCTUATION, chunks, grouped, mix, new_path, read_rows, released, shingle_hashes, words
+from skerry.llm.common import PUNCTUATION, chunks, grouped, mix, new_path, read_rows, released, shingle_hashes, small_batches, words
 
 WORDS, NUM, DEN = 5, 4, 5
 #: Fingerprints within so many of 64 bits are candidates; in one of 8 blocks of 8 bits they then differ by RADIUS // 8 bits at most.
@@ -118,7 +118,7 @@ def in_parts(benchmark: DataFrame) -> tuple[str, int]:
     """(path, number): where the shared folder has the benchmark's distinct items in parts of PART_BYTES of text or so."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     n = max(1, -(-int(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    path = new_path(b.sparkSession, "benchmark")
+    path = new_path(small_batches(b.sparkSession), "benchmark")
     b.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).repartition("part").write.partitionBy("part").parquet(path)
     return path, n
 

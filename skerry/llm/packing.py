@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skerry.llm.common import _powers as powers_of
-from skerry.llm.common import cut, mix, released
+from skerry.llm.common import cut, mix, released, small_batches
 
 WINDOW, END_ID = 2048, 1
 #: A shard of the inverted index holds so many tails; what it leaves over goes to the next shard.
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     index; a tail seeds a window and its unused BM25 neighbours, best first, fill it, the last one cut. A partition's last tokens make sequences
     at powers of two. Document frequencies are of all tails; the vocabulary bounds what is broadcast.
     """
-    spark: SparkSession = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     if path is None:
         import public_tokenizers
 

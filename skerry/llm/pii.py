@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import released
+from skerry.llm.common import released, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the method adds to the base kinds, in the order in which spans are listed after them.
@@ -180,6 +180,8 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 def redact_texts(docs: DataFrame) -> DataFrame:
     """docs with every span that find_spans finds in text replaced by its kind, and n_chars, where there is one, the new text's. Null texts stay null."""
 
+    small_batches(docs.sparkSession)
+
     @released
     def run(batches):
         for batch in batches:
@@ -198,6 +200,7 @@ def scan_pii(docs: DataFrame) -> DataFrame:
     Whole texts are read, null as empty; a text without spans has the digest of the empty string and no spans. A null doc_id stays null and repeated rows give
     repeated rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     @released

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import as_long, bit_map, chunks, cut, in_map, mix, released, text_bytes
+from skerry.llm.common import as_long, bit_map, chunks, cut, in_map, mix, released, small_batches, text_bytes
 
 LENGTH = 200
 #: Bytes of an anchor. Every string of LENGTH bytes has LENGTH - ANCHOR + 1 of them, and is filed under the one with the least hash.
@@ -232,7 +232,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Surroundings are counted once for all copies; different ones of the same anchor go to shards, whose suffix arrays find the windows that repeat. An anchor with very many
     different surroundings is dealt out again, a window at a time. Texts with removals, but for copies, are then joined with their spans.
     """
-    spark: SparkSession = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = src.select("text")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import new_path, released
+from skerry.llm.common import new_path, released, small_batches
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -102,7 +102,7 @@ def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> DataFrame:
     is below all others. Returns the manifest (archive, records, bytes) of the archives whose tasks succeeded, which is also kept as a
     Parquet table under path + "/manifest"; archives that a lost task left are not in it. Other columns are ignored.
     """
-    spark = pages.sparkSession
+    spark = small_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     skinny = src.where(F.octet_length("html") >= revisit_from).select("page_id", "sha")
     best = skinny.groupBy("sha").agg(F.max("page_id").alias("best"))

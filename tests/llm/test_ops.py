@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 from skerry.llm import cover_tree, decontaminate, html_text, ngram_join, packing, pii, quality, suffix_dedup, token_counts, warc
-from skerry.llm.common import components, new_path
+from skerry.llm.common import components, cut, new_path
 from tests.conftest import SF
 
 RNG = random.Random(11)
@@ -109,17 +109,38 @@ def test_signatures_meet(at_once, sifted, held, monkeypatch):
             of.setdefault(x, set()).add(y)
     dealt = pa.Table.from_batches([ngram_join.deal(*x, 16) for x in tasks]).sort_by("bucket")
     got = [r for b in ngram_join.meet(dealt.to_batches(max_chunksize=5)) for r in b.to_pylist()]
-    groups: dict = {}
+    sets: dict = {}
     for r in got:
-        groups.setdefault(r["sig"], set()).add(r["k"])
-    whole = {frozenset(x) for x in groups.values()}
-    pairs = [(r["k"], r["hub"]) for r in got if r["met"] > sifted]
+        sets.setdefault(r["hub"], set()).add(r["k"])
+    pairs = [(r["k"], r["hub"]) for r in got if r["all"]]
+    together = set()
     for keys in of.values():
-        if len(keys) > 1 and frozenset(keys) not in whole:
+        if len(keys) > 1 and not keys <= sets.get(min(keys), set()):
             top = linked(keys | {x for p in pairs for x in p}, pairs)
             assert len({top[x] for x in keys}) == 1
+        together |= {(min(keys), k) for k in keys if len(keys) > 1}
     if at_once == 512 and sifted == 4096:
-        assert whole == {frozenset(x) for x in of.values() if len(x) > 1}
+        assert not pairs and {(h, k) for h, keys in sets.items() for k in keys} == together
+
+
+def test_sifting_keeps_near_sets():
+    """Bit maps of any widths never rule out sets that reach the threshold, and forests of them link all that do."""
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5, 40, 300, 1000)]
+    sets = [x for x in base]
+    for x in base:
+        for share in (0.0, 0.05, 0.12, 0.3):
+            y = x.copy()
+            y[: int(share * len(x))] = rng.integers(0, 1 << 63, int(share * len(x)), dtype=np.uint64)
+            sets.append(np.unique(y[int(share * len(x) / 2) :]))
+    ptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    maps, size = ngram_join.bit_sets(ptr, np.concatenate(sets)), np.diff(ptr)
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert len(near) > 8 and all(ngram_join.near_two(size[i], maps[i], size[j], maps[j], 4, 5) for i, j in near)
+    for group in (None, np.array([0, 0, *range(2, len(sets))])):
+        found = ngram_join.near_by_bits(size, maps, 4, 5, group).tolist()
+        top = linked(range(len(sets)), [*found, *([(0, 1)] if group is not None else [])])
+        assert all(top[i] == top[j] for i, j in near) and len(found) < len(sets)
 
 
 def test_components(spark):
@@ -565,12 +586,51 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.cut(stage(spark, docs, SF), name)
+        out = cut(stage(spark, docs, SF), name)
         assert name == "packing" or (out.columns == columns and out.dtypes == docs.dtypes and 0 < out.count() <= seen)
         docs, seen = out, out.count()
     assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
 
 
+def test_pipeline_odd_documents(spark, tmp_path):
+    """Columns that clash with the model's, nulls, empty and long texts, repeated rows, an empty table; the stages against what is known of the rows."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    sf = SF.replace("0.001", "0.01")
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    known = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").collect()
+    good = [r.text for r in known if labels.get(r.doc_id) == (1, 0) and 60 < len(r.text.split()) < 400][:60]
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text and len(r.text.split()) > 20][:3]
+    near = good[5].split()
+    near[len(near) // 2] = "other"
+    rows = [(i, t) for i, t in enumerate(good)] + [(100, good[5]), (101, " ".join(near)), (102, None), (103, ""), (104, " \n"), (0, good[0]), (None, good[1]), (105, f"{good[7]} {bench[0]} {good[8]}"), (106, f"{good[9]} mail ann.lee@example.org now"), (107, " ".join(good) * 20)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_bytes double, nll string, keep int, threshold double, perplexity string, word int, component_id string, k1 int"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1.5, "n", 7, 5.0, "p", 1, "c", i) for i, (d, t) in enumerate(rows)], schema)
+    (tmp_path / "sf").mkdir()
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "sf" / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(len(good))], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = cut(stage(spark, docs, str(tmp_path / "sf")), name)
+        if name != "packing":
+            assert out.columns == docs.columns and {(r.n_bytes, r.nll, r.keep, r.threshold, r.perplexity, r.word, r.component_id) for r in out.collect()} == {(1.5, "n", 7, 5.0, "p", 1, "c")}
+        docs = out
+        seen[name] = out.collect()
+    ids = {name: [r.doc_id for r in got] for name, got in seen.items()}
+    assert not {102, 103} & set(ids["quality"]) and len(ids["quality"]) >= 0.9 * len(good)
+    left = ids["near_duplicates"]
+    assert len({5, 100, 101} & set(left)) == 1 and left.count(0) <= 1 and not (None in left and 1 in left)
+    assert 105 not in ids["decontamination"] and set(left) - set(ids["decontamination"]) <= {105, 107}
+    clean = {r.doc_id: r for r in seen["personal_data"]}
+    assert 106 not in clean or "<EMAIL>" in clean[106].text and clean[106].n_chars == len(clean[106].text)
+    assert {r.doc_id for r in seen["packing"]} == set(ids["personal_data"])
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path / "sf"))
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
+
+
 def test_pyarrow_slices():
     col = pa.array(["a b", None, "", "c d e"]).slice(1)
     ptr, s = ngram_join.shingle_sets(col, 2)
