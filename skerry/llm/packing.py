@@ -18,6 +18,9 @@ from skerry.llm.common import cut, mix, released, small_batches
 WINDOW, END_ID = 2048, 1
 #: A shard of the inverted index holds so many tails; what it leaves over goes to the next shard.
 SHARD_TAILS = 512
+#: A tail is filed under so many of its heaviest terms, one a round, of those that so many tails have. In all rounds but the last a neighbour's score is so much of the seed's own at least. A
+#: term's tails are dealt to shards of so many or so.
+KEYS, LEAST_DF, LEAST_SHARE, SPREAD = 2, 8, 0.1, 4096
 K1, B = 1.2, 0.75
 #: Words that a worker remembers with their ids before it starts anew.
 CACHE_WORDS = 800_000
@@ -135,10 +138,13 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def telling(ids: np.ndarray) -> int:
-    """The id that orders tails: occurrences count, and so does a high id, which a vocabulary of merges gives to longer and rarer tokens."""
+def key_terms(ids: np.ndarray, idf: np.ndarray, df: np.ndarray, row: int) -> list[int]:
+    """The tail's KEYS heaviest terms by BM25 among those that LEAST_DF tails have, as numbers of shards: terms of many tails have many, of SPREAD tails or so. Missing terms share some."""
     some, tf = np.unique(ids, return_counts=True)
-    return int(some[np.argmax(np.log1p(tf) * some)]) if len(some) else -1
+    weight = np.where(df[some] >= LEAST_DF, idf[some] * tf * (K1 + 1) / (tf + K1), 0)
+    best = [int(some[i]) for i in np.argsort(-weight, kind="stable")[:KEYS] if weight[i] > 0]
+    salt = int(mix(np.array([row], np.uint64))[0] >> np.uint64(33))
+    return [t << 32 | salt % (1 + int(df[t]) // SPREAD) for t in best] + [-1 - salt % (1 << 20)] * (KEYS - len(best))
 
 
 def powers(n: int) -> list[int]:
@@ -151,22 +157,18 @@ class Packer:
 
     def __init__(self, idf: np.ndarray, mean: float, first: int):
         self.idf, self.mean, self.next, self.rows = idf, mean, first, []
-        self.left: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
+        self.left: list[tuple] = []  # (doc_id, start, ids, doc_tokens, keys)
 
     def sequence(self, pieces: list[tuple]) -> None:
         at = 0
-        for doc, start, ids, total in pieces:
+        for doc, start, ids, total, _ in pieces:
             self.rows.append((doc, start, len(ids), crc(ids), total, self.next, at))
             at += len(ids)
         self.next += 1
 
-    def full(self, doc, crcs: list[int], total: int) -> None:
-        for i, x in enumerate(crcs):
-            self.rows.append((doc, i * WINDOW, WINDOW, x, total, self.next, 0))
-            self.next += 1
-
-    def shard(self, tails: list[tuple]) -> None:
-        """Packs the tails and what was left over; leaves less than a window."""
+    def shard(self, tails: list[tuple], share: float = 0.0) -> None:
+        """Packs the tails and what was left over; leaves less than a window. With a share, windows are closed only around seeds whose unused neighbours with that share of
+        the seed's own score fill them, and the other tails are left."""
         tails = self.left + tails
         n = len(tails)
         size = np.array([len(t[2]) for t in tails])
@@ -180,23 +182,34 @@ class Packer:
         by_doc = np.argsort(doc, kind="stable")
         own = np.searchsorted(doc[by_doc], np.arange(n + 1))
         slot = np.searchsorted(terms, term)[by_doc]
-        used = np.zeros(n, bool)
+        used, tried = np.zeros(n, bool), np.zeros(n, bool)
+        alone: list[tuple] = []  # what cuts have left of tails that no window was closed around
         rest = int(size.sum())
         carried: tuple | None = None  # what a cut has left of a tail; it seeds the next window
         k = 0
         while rest >= WINDOW:
             if carried is None:
-                while used[k]:
+                while k < n and (used[k] or tried[k]):
                     k += 1
+                if k == n:
+                    break
                 seed, carried = k, tails[k]
-                used[k] = True
-            window, room = [carried], WINDOW - len(carried[2])
+                tried[k] = used[k] = True
+            window, room, own_tail = [carried], WINDOW - len(carried[2]), carried
             carried = None
             mine = slot[own[seed] : own[seed + 1]]
             c = count[mine]
             at = np.repeat(first[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())
             score = np.bincount(doc[at], weight[at], n)
+            least = share * score[seed]
             score[used] = -1
+            if share and size[score >= max(least, 1e-9)].sum() < room:
+                if own_tail is tails[seed]:
+                    used[seed] = False  # it may yet be another's neighbour
+                else:
+                    alone.append(own_tail)
+                    rest -= len(own_tail[2])
+                continue
             order = np.argsort(-score, kind="stable")
             for x in order:
                 if not room:
@@ -204,14 +217,14 @@ class Packer:
                 if used[x]:
                     continue
                 used[x] = True
-                d, start, tail, total = tails[x]
-                window.append((d, start, tail[:room], total))
+                d, start, tail, total, keys = tails[x]
+                window.append((d, start, tail[:room], total, keys))
                 if len(tail) > room:
-                    carried, seed = (d, start + room, tail[room:], total), int(x)
+                    carried, seed = (d, start + room, tail[room:], total, keys), int(x)
                 room -= len(window[-1][2])
             self.sequence(window)
             rest -= WINDOW
-        self.left = ([carried] if carried else []) + [t for t, u in zip(tails, used) if not u]
+        self.left = ([carried] if carried else []) + alone + [t for t, u in zip(tails, used) if not u]
 
     def finish(self) -> None:
         """The last pieces: sequences at powers of two need no padding."""
@@ -219,10 +232,10 @@ class Packer:
         for room in powers(sum(len(t[2]) for t in left)):
             window = []
             while room:
-                d, start, ids, total = left.pop(0)
-                window.append((d, start, ids[:room], total))
+                d, start, ids, total, keys = left.pop(0)
+                window.append((d, start, ids[:room], total, keys))
                 if len(ids) > room:
-                    left.insert(0, (d, start + room, ids[room:], total))
+                    left.insert(0, (d, start + room, ids[room:], total, keys))
                 room -= len(window[-1][2])
             self.sequence(window)
 
@@ -234,9 +247,10 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     None takes public_tokenizers' word_bpe_49k.json. Null and empty texts have only their end id. Repeated rows and null ids are documents of their own.
     Other columns are ignored. An empty table gives no pieces.
 
-    Whole windows are cut from a document first. The tails, in order of their most telling term, are dealt to partitions and there to shards with an inverted
-    index; a tail seeds a window and its unused BM25 neighbours, best first, fill it, the last one cut. A partition's last tokens make sequences
-    at powers of two. Document frequencies are of all tails; the vocabulary bounds what is broadcast.
+    Whole windows are cut from a document first. The tails are filed under their heaviest terms by BM25, whose document frequencies are of all tails; terms of many tails have several
+    shards. A shard has an inverted index: a tail seeds a window and its unused BM25 neighbours, best first, fill it, the last one cut. Tails whose neighbours don't fill a
+    window go on to the shards of their next term, with those of other shards, and last to those of the first again, where all are packed; a partition's last tokens make
+    sequences at powers of two. The vocabulary bounds what is broadcast.
     """
     spark = small_batches(docs.sparkSession)
     if path is None:
@@ -245,7 +259,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         path = public_tokenizers.path("word_bpe_49k.json")
     kind = docs.schema[id_col].dataType
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("row", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType()), T.StructField("term", T.IntegerType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("row", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType())])
 
     @released
     def encode(batches):
@@ -259,8 +273,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                     some["doc_id"], pa.array(range(row, row + len(ids)), pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([[crc(x[j : j + WINDOW]) for j in range(0, w, WINDOW)] for x, w in zip(ids, whole)], pa.list_(pa.int64())),
                     pa.array([x[w:].astype("<u2" if t.size <= 1 << 16 else "<u4").tobytes() for x, w in zip(ids, whole)], pa.binary()),
-                    pa.array([telling(x[w:]) for x, w in zip(ids, whole)], pa.int32()),
-                ], names=["doc_id", "row", "doc_tokens", "crcs", "tail", "term"])
+                ], names=["doc_id", "row", "doc_tokens", "crcs", "tail"])
                 row += len(ids)
 
     rows = cut(src.mapInArrow(encode, schema), "tails")
@@ -282,41 +295,82 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     n, total = counts.pop(-1, 0), counts.pop(-2, 0)
     df = np.zeros(size)
     df[list(counts)] = list(counts.values())
-    sent = spark.sparkContext.broadcast(np.where(df > 0, np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))), 0))
+    sent = spark.sparkContext.broadcast((np.where(df > 0, np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))), 0), df))
     mean = max(1.0, total / max(1, n))
 
-    out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
-    arrow_out = [*(pa.int64(),) * 6]
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    out = T.StructType([T.StructField("doc_id", kind), *longs("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    held = [T.StructField("tail", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
 
     @released
-    def fill(batches):
-        p = Packer(sent.value, mean, TaskContext.get().partitionId() << 32)
-        held: list[tuple] = []
-        kind_in = None
-
-        def flush():
-            rows, p.rows = p.rows, []
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind_in), *(pa.array(c, t) for c, t in zip(cols[1:], arrow_out))], names=out.fieldNames())
+    def windows(batches):
+        n = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            crcs = batch["crcs"].combine_chunks() if isinstance(batch["crcs"], pa.ChunkedArray) else batch["crcs"]
+            size = np.array([len(x) for x in crcs.to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = pa.array(row)
+            full = np.full(len(row), WINDOW)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), pa.array(rank * WINDOW), pa.array(full), crcs.flatten(), batch["doc_tokens"].take(at), pa.array(n + np.arange(len(row))), pa.array(0 * full)], names=out.fieldNames())
+            n += len(row)
 
+    @released
+    def file(batches):
+        idf, df = sent.value
         for batch in batches:
-            kind_in = batch["doc_id"].type
-            for doc, tokens, crcs, tail in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc_tokens", "crcs", "tail"))):
-                p.full(doc, crcs, tokens)
-                if tail:
-                    held.append((doc, len(crcs) * WINDOW, np.frombuffer(tail, width), tokens))
-                if len(held) >= SHARD_TAILS:
-                    p.shard(held)
-                    held = []
-                    yield flush()
-        if kind_in is not None:
-            if held:
-                p.shard(held)
-            p.finish()
-            yield flush()
-
-    dealt = rows.repartitionByRange("term", F.xxhash64("row")).sortWithinPartitions("term", F.xxhash64("row"))
-    return dealt.mapInArrow(fill, out).withColumnRenamed("doc_id", id_col)
+            start = pa.array([len(x) * WINDOW for x in batch["crcs"].to_pylist()], pa.int64())
+            keys = [key_terms(np.frombuffer(x, width), idf, df, row) for x, row in zip(batch["tail"].to_pylist(), batch["row"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], start, batch["doc_tokens"], batch["tail"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "start", "doc_tokens", "tail", "keys"])
+
+    def filler(turn: int):
+        """Packs a turn's shards. Before the last, tails that find no neighbours are returned, with their keys."""
+
+        @released
+        def fill(batches):
+            p = Packer(sent.value[0], mean, turn << 56 | TaskContext.get().partitionId() << 32)
+            share = LEAST_SHARE if turn <= KEYS else 0.0
+            own: list[tuple] = []
+            kind_in = None
+
+            def flush():
+                rows, p.rows = [(*r, None, None) for r in p.rows], []
+                if share:
+                    rows += [(doc, start, len(ids), None, total, None, None, ids.astype(width).tobytes(), keys) for doc, start, ids, total, keys in p.left]
+                    p.left = []
+                cols = list(zip(*rows)) if rows else [[]] * 9
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], kind_in), *(pa.array(c, pa.int64()) for c in cols[1:7]), pa.array(cols[7], pa.binary()), pa.array(cols[8], pa.list_(pa.int64()))], names=[*out.fieldNames(), "tail", "keys"])
+
+            for batch in batches:
+                kind_in = batch["doc_id"].type
+                for doc, start, tokens, tail, keys in zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "doc_tokens", "tail", "keys"))):
+                    own.append((doc, start, np.frombuffer(tail, width), tokens, keys))
+                    if len(own) >= SHARD_TAILS:
+                        p.shard(own, share)
+                        own = []
+                        yield flush()
+            if kind_in is not None:
+                if own:
+                    p.shard(own, share)
+                if not share:
+                    p.finish()
+                yield flush()
+
+        return fill
+
+    tails = rows.where(F.octet_length("tail") > 0).mapInArrow(file, T.StructType([T.StructField("doc_id", kind), *longs("start", "doc_tokens"), *held]))
+    done = [rows.select("doc_id", "doc_tokens", "crcs").where(F.size("crcs") > 0).mapInArrow(windows, out)]
+    for turn in range(1, KEYS + 2):
+        key = F.get("keys", F.lit(turn - 1 if turn <= KEYS else 0))
+        packed = tails.repartition(key).sortWithinPartitions(key).mapInArrow(filler(turn), T.StructType([*out, *held]))
+        if turn <= KEYS:
+            packed = cut(packed, "turn")
+            tails = packed.where("tail IS NOT NULL").select("doc_id", "start", "doc_tokens", "tail", "keys")
+        done.append(packed.where("tail IS NULL").select(*out.fieldNames()))
+    pieces = done[0]
+    for x in done[1:]:
+        pieces = pieces.unionByName(x)
+    return pieces.withColumnRenamed("doc_id", id_col)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
