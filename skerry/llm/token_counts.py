@@ -49,6 +49,17 @@ def line_starts(text: str) -> np.ndarray:
     return np.array(starts)
 
 
+def section_bounds(sections: list[dict | None] | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of given sections in ascending order, within the text and apart: those with a null bound are left out, and one that overlaps others keeps what comes after them."""
+    starts, ends, last = [], [], 0
+    for a, b in sorted((s["start"], s["end"]) for s in sections or [] if s and s["start"] is not None and s["end"] is not None):
+        a = min(max(a, last), size)
+        last = max(a, min(b, size))
+        starts.append(a)
+        ends.append(last)
+    return np.array(starts, np.int64), np.array(ends, np.int64)
+
+
 def allot(begin: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section [starts, ends), in ascending order and apart; then of none. One pass over sorted bounds joins the intervals.
 
@@ -76,7 +87,7 @@ def count_tokens(docs: DataFrame, rule: str = "first", sections_col: str | None
     """Rows (id, section_id, start, end, n_tokens, doc_tokens): tokens of every section of every document.
 
     A whole text is encoded once, so its sections' tokens add up to its own. Without sections_col the sections are the text's lines; with it they are its array
-    of structs (start, end) in characters, ascending and apart, and tokens that no section gets make a row with section_id -1. rule says who gets a
+    of structs (start, end) in characters, by section_bounds, numbered in ascending order, and tokens that no section gets make a row with section_id -1. rule says who gets a
     token that crosses a bound: see allot. Null texts are empty; an empty text has a section without tokens. Null ids and repeated rows stay as they are. Other
     columns are ignored. path names a ranks file; None takes public_tokenizers' byte_bpe_50k.tiktoken.
     """
@@ -101,8 +112,7 @@ def count_tokens(docs: DataFrame, rule: str = "first", sections_col: str | None
                     lengths = size[coder.encode_ordinary(text)] if text else np.zeros(0, np.int64)
                     begin, end = char_spans(text, lengths)
                     if sections_col:
-                        bounds = sorted((s["start"], s["end"]) for s in some["sections"][k].as_py() or [])
-                        starts, ends = (np.array([b[x] for b in bounds], np.int64) for x in (0, 1))
+                        starts, ends = section_bounds(some["sections"][k].as_py(), len(text))
                     else:
                         starts = line_starts(text)
                         ends = np.append(starts[1:], len(text))

@@ -507,8 +507,31 @@ def test_packing_prefers_neighbours():
     idf = np.ones(100)
     p = packing.Packer(idf, 1200.0, 0)
     alike = [np.full(1024, k) for k in (5, 6, 5, 6)]
-    p.shard([(i, 0, x, 1024) for i, x in enumerate(alike)])
+    p.shard([(i, 0, x, 1024, None) for i, x in enumerate(alike)])
     assert {frozenset(r[0] for r in p.rows if r[5] == s) for s in (0, 1)} == {frozenset({0, 2}), frozenset({1, 3})}
+    p = packing.Packer(idf, 1200.0, 0)
+    p.shard([(i, 0, x, 1024, None) for i, x in enumerate([*alike, np.full(1024, 7), np.full(1500, 8)])], 0.1)
+    assert {t[0] for t in p.left} == {4, 5} and len(p.rows) == 4  # no window around those without neighbours
+
+
+def test_packing_finds_topics(spark):
+    """Documents of one topic meet in windows, though their heaviest terms differ and shards hold a part of all: most pieces of a window are of its main topic."""
+    rng = random.Random(17)
+    common = ["the", "of", "and", "to", "in", "is", "that", "for"]
+    names = ["river", "engine", "violin", "harvest", "planet", "court", "bread", "football", "glacier", "painting", "server", "vaccine"]
+    more = {n: [n + x for x in ("", "s", " old", " bank", " green", " north")] for n in names}
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(more[names[i % 12]]) for _ in range(rng.randint(100, 260)))) for i in range(1500)]
+    rng.shuffle(rows)
+    seqs: dict = {}
+    for r in packing.pack(table(spark, rows)).collect():
+        seqs.setdefault(r.sequence_id, []).append((r.length, names[r.doc_id % 12]))
+    right = total = 0
+    for pieces in seqs.values():
+        size = Counter()
+        for n, topic in pieces:
+            size[topic] += n
+        right, total = right + max(size.values()), total + sum(size.values())
+    assert right >= 0.9 * total
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 0])
@@ -578,6 +601,9 @@ def test_token_counts_with_sections(spark):
     got = token_counts.count_tokens(df, "first", "parts").collect()
     assert sum(r.n_tokens for r in got if r.doc_id == 1) == got[0].doc_tokens and {r.section_id for r in got if r.doc_id == 1} == {0, 1, -1}
     assert [r.section_id for r in got if r.doc_id == 2] == [-1]
+    odd = spark.createDataFrame([(1, "one two three four", [(4, 13), None, (None, 3), (0, 8), (9, None), (14, 99)])], df.schema)
+    got = token_counts.count_tokens(odd, "first", "parts").collect()
+    assert sum(r.n_tokens for r in got) == got[0].doc_tokens and sorted((r.start, r.end) for r in got if r.section_id >= 0) == [(0, 8), (8, 13), (14, 18)]
 
 
 def test_pipeline(spark):
