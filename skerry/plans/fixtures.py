@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: The instant that look-back queries count from.
 AS_OF = "2024-01-31 00:00:00"
@@ -138,9 +139,20 @@ def reads(name: str) -> list[str]:
     return list(dict.fromkeys(words[i + 1] for i, w in enumerate(words[:-1]) if w in ("FROM", "JOIN") and words[i + 1] in {*VIEWS, *_TABLES}))
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table in sf_dir. Its schema is asked of the files once, which takes a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables in sf_dir."""
-    sources = {n: view(spark, sf_dir, n) if n in VIEWS else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in reads(name)}
+    sources = {n: view(spark, sf_dir, n) if n in VIEWS else read(spark, sf_dir, n) for n in reads(name)}
     text = VIEWS[name].replace("{", "{{").replace("}", "}}")  # spark.sql formats
     for n in sources:
         for word in ("FROM", "JOIN"):
