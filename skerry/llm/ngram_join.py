@@ -18,6 +18,10 @@ SPARE = 8
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Sets that share a signature, or signatures under one smallest set, are sifted pair by pair in groups of so many at most; in larger groups all count as near.
 SIFTED, SIFTED_HUB = 4096, 16384
+#: Words of bit maps that one numpy pass compares.
+AT_ONCE = 1 << 19
+#: Sets of a cluster's size band, about, that are compared with all its blocks at first.
+ANCHORS = 8
 #: Keys of so many rows may be sent to all tasks.
 BROADCAST_ROWS = 1_000_000
 #: Signatures that a task gathers before it deals them out, that a bucket has or so, and that a task holds of one bucket before it links the largest groups.
@@ -113,16 +117,18 @@ def near_by_bits(sizes: np.ndarray, maps: list[bytes], num: int, den: int, group
     top = np.arange(len(maps)) if group is None else group.copy()
     values, count = np.unique(top, return_counts=True)
     most = values[np.argmax(count)]
-    found = []
-    for i in range(len(maps)):
-        if top[i] == most:  # of the largest group no two need be compared, and others come to it
-            continue
-        apart = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
-        hit = np.flatnonzero((apart * (den + num) <= (den - num) * (sizes + sizes[i])) & (top != top[i]))
-        if len(hit):
-            other, first = np.unique(top[hit], return_index=True)
-            found += [(i, j) for j in hit[first].tolist()]
-            top[np.isin(top, np.append(other, top[i]))] = most if most in other else top[i]
+    found, rest = [], np.flatnonzero(top != most)  # of the largest group no two need be compared, and others come to it
+    for at in range(0, len(rest), step := max(1, AT_ONCE // bits.size)):
+        some = rest[at : at + step]
+        apart = np.bitwise_count(bits[some][:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+        near = (apart * (den + num) <= (den - num) * (sizes[some][:, None] + sizes[None])) & (top[some][:, None] != top[None])
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            i = int(some[k])
+            hit = np.flatnonzero(near[k] & (top != top[i]))
+            if len(hit):
+                other, first = np.unique(top[hit], return_index=True)
+                found += [(i, j) for j in hit[first].tolist()]
+                top[np.isin(top, np.append(other, top[i]))] = most if most in other else top[i]
     return np.array(found, np.int64).reshape(-1, 2)
 
 
@@ -243,8 +249,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     smallest id unless its component has no other. Other columns are ignored.
 
     Equal sets make one class. PartEnum signatures of the classes' sets find every pair that can reach the threshold; classes that share a signature are gathered under the smallest of
-    them, and of those under one class pairs stay whose bit maps don't rule it out. Such classes, directly or over others, make a cluster; within a cluster, blocks of sets of equal or neighbouring size bands are compared exactly, and each comparison
-    of two blocks returns a spanning forest, never its pairs. Shingles are compared by 64-bit hashes and sets by 128 bits.
+    them, and of those under one class pairs stay whose bit maps don't rule it out. Such classes, directly or over others, make a cluster; within a cluster, blocks of sets are compared exactly, first each alone and with some sets of all; in clusters that
+    are not one group then, those outside the largest are compared with all of equal or neighbouring size bands. Each comparison of two blocks returns a spanning forest, never
+    its pairs. Shingles are compared by 64-bit hashes and sets by 128 bits.
     """
     spark = small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -360,26 +367,51 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     edge = [int(x) for x in bands(num, den, 1 << 40)]
     # the band of a size as an expression: how many first sizes it has reached
     band = F.aggregate(F.lit(edge), F.lit(-1), lambda acc, x: acc + (F.col("n") >= x).cast("int"))
-    named = classes.drop("bits").join(cluster, "k").withColumn("band", band)
-    sizes = named.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("own"))
-    around = sizes.join(sizes.selectExpr("component", "band + 1 AS band", "own AS below"), ["component", "band"], "left").join(sizes.selectExpr("component", "band - 1 AS band", "own AS above"), ["component", "band"], "left")
-    placed = named.join(around, ["component", "band"]).withColumn("block", F.expr("CAST(pmod(xxhash64(k1, k2), own) AS INT)"))
-    task = F.expr("""explode(concat(
-        transform(sequence(0, own - 1), j -> named_struct('ba', band, 'ia', least(block, j), 'bb', band, 'ib', greatest(block, j), 'side', IF(j > block, 0, 1))),
-        IF(above IS NULL, array(), transform(sequence(0, coalesce(above, 1) - 1), j -> named_struct('ba', band, 'ia', block, 'bb', band + 1, 'ib', j, 'side', 0))),
-        IF(below IS NULL, array(), transform(sequence(0, coalesce(below, 1) - 1), j -> named_struct('ba', band - 1, 'ia', j, 'bb', band, 'ib', block, 'side', 1)))))""")
     items = src.select("text").mapInArrow(members, "k1 long, k2 long, items binary").groupBy("k1", "k2").agg(F.first("items").alias("items"))
-    pairs = placed.join(items, ["k1", "k2"]).select("component", "k1", "k2", "items", task.alias("t")).select("component", "t.*", "k1", "k2", "items")
+    named = classes.drop("bits").join(cluster, "k").withColumn("band", band).select("k1", "k2", "n", "component", "band")
+    named = cut(named.join(items, ["k1", "k2"]), "members")
+
+    def in_blocks(df: DataFrame, unit: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(df with block and met, units with own): each unit's sets in `own` blocks, met the unit's number of sets."""
+        sizes = df.groupBy(*unit).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("own"), F.count("*").alias("met"))
+        sizes = cut(sizes, "units")
+        some = sizes.where("own > 1")  # others have block 0
+        few = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        return df.join(few, unit, "left").withColumns({"own": F.coalesce("own", F.lit(1)), "block": F.pmod(F.xxhash64("k1", "k2"), F.coalesce("own", F.lit(1))).cast("int")}), sizes
+
+    task = ["component", "ba", "fa", "ia", "bb", "fb", "ib"]
+    # first each block alone, and some sets with all blocks of their unit: groups of near copies are found whole
+    placed, _ = in_blocks(named, ["component", "band"])
+    anchor = F.coalesce(F.pmod(F.xxhash64("k2", "k1"), "met") < ANCHORS, F.lit(False))
+    blocks = F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("own") - 1)).otherwise(F.array("block")))
+    alone = placed.withColumn("ia", blocks).select("component", F.col("band").alias("ba"), F.lit(0).alias("fa"), "ia", F.col("band").alias("bb"), F.lit(0).alias("fb"), F.col("ia").alias("ib"), F.lit(0).alias("side"), "k1", "k2", "items")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = list(zip(table["k1"].to_pylist(), table["k2"].to_pylist()))
         sets = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
-        one = table["ba"][0] == table["bb"][0] and table["ia"][0] == table["ib"][0]
+        one = all(table[f"{x}a"][0] == table[f"{x}b"][0] for x in "bfi")
         got = link_sets(ids, sets, None if one else np.array(table["side"].to_pylist()), num, den)
         return pa.table([pa.array([f(e) for e in got], pa.int64()) for f in (lambda e: e[0][0], lambda e: e[0][1], lambda e: e[1][0], lambda e: e[1][1])], ["a1", "a2", "b1", "b2"])
 
-    links = pairs.groupBy("component", "ba", "ia", "bb", "ib").applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long")
-    group = components(links.selectExpr("struct(a1 AS k1, a2 AS k2) AS a", "struct(b1 AS k1, b2 AS k2) AS b")).selectExpr("node.k1", "node.k2", "component AS g")
+    def linked(df: DataFrame) -> DataFrame:
+        return df.groupBy(*task).applyInArrow(compare, "a1 long, a2 long, b1 long, b2 long")
+
+    def grouped_by(links: DataFrame) -> DataFrame:
+        return components(links.selectExpr("struct(a1 AS k1, a2 AS k2) AS a", "struct(b1 AS k1, b2 AS k2) AS b")).selectExpr("node.k1", "node.k2", "component AS g")
+
+    first = cut(linked(alone), "links")
+    # then, in clusters that aren't one group yet, all sets with those outside the largest group, in bands that can be similar
+    so_far = named.select("component", "k1", "k2").join(grouped_by(first), ["k1", "k2"], "left").withColumn("g", F.coalesce("g", F.struct("k1", "k2")))
+    groups = cut(so_far.groupBy("component", "g").agg(F.count("*").alias("size")), "groups")
+    open_ = groups.groupBy("component").agg(F.count("*").alias("groups"), F.max_by("g", F.struct("size", "g")).alias("main")).where("groups > 1").select("component", "main")
+    left = cut(so_far.join(open_, "component").select("component", "k1", "k2", (F.col("g") == F.col("main")).cast("int").alias("f")), "open")
+    placed, units = in_blocks(named.join(left, ["component", "k1", "k2"]), ["component", "band", "f"])
+    a, b = (units.select("component", F.col("band").alias(f"b{x}"), F.col("f").alias(f"f{x}"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias(f"i{x}")) for x in "ab")
+    both = a.join(b, "component").where("bb - ba IN (0, 1) AND fa + fb < 2 AND (ba < bb OR fa < fb OR fa = fb AND ia <= ib)")
+    sides = both.select(*task, F.col("ba").alias("band"), F.col("fa").alias("f"), F.col("ia").alias("block"), F.lit(0).alias("side"))
+    sides = cut(sides.unionByName(both.where("ba <> bb OR fa <> fb OR ia <> ib").select(*task, F.col("bb").alias("band"), F.col("fb").alias("f"), F.col("ib").alias("block"), F.lit(1).alias("side"))), "tasks")
+    second = placed.join(sides, ["component", "band", "f", "block"]).select(*task, "side", "k1", "k2", "items")
+    group = grouped_by(first.unionByName(linked(second)))
     # Two keys name a group; groups without links are their own.
     lowest = classes.drop("bits").join(group, ["k1", "k2"], "left").withColumn("g", F.coalesce("g", F.struct("k1", "k2")))
     low = cut(lowest.select("k1", "k2", "g", "low"), "groups")
