@@ -65,8 +65,10 @@ def linked(items, pairs):
     return {x: find(x) for x in items}
 
 
-@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 4, 5), (2, 1, 2)])
-def test_ngram_join(spark, n, num, den):
+@pytest.mark.parametrize("n,num,den,block", [(3, 90, 100, 512), (5, 4, 5, 512), (2, 1, 2, 512), (3, 90, 100, 3), (2, 3, 5, 2)])
+def test_ngram_join(spark, n, num, den, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "ANCHORS", min(block, 8) // 2)
     rows = corpus()
     sets = []
     for _, t in rows:
