@@ -16,8 +16,8 @@ PARTS = 3
 SPARE = 8
 #: A block of compared sets has about so many sets and so many shingles at most (a longer set makes a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-#: Sets that share a signature, or signatures under one smallest set, are sifted pair by pair in groups of so many at most; in larger groups all count as near.
-SIFTED, SIFTED_HUB = 4096, 16384
+#: Sets that share signatures under one smallest set are sifted pair by pair in blocks of so many or so. A task that holds HELD signatures of one bucket links groups of more without sifting.
+SIFTED = 4096
 #: Words of bit maps that one numpy pass compares.
 AT_ONCE = 1 << 19
 #: Sets of a cluster's size band, about, that are compared with all its blocks at first.
@@ -209,7 +209,7 @@ def meet(batches):
         low, k = low[new], k[new]
         first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         size = np.diff(np.append(first, len(low)))
-        many = np.repeat(np.logical_or.reduceat(stands, first) | (size > SIFTED), size)
+        many = np.repeat(np.logical_or.reduceat(stands, first) | ((size > SIFTED) & (not last)), size)
         hub, met = np.repeat(k[first], size), np.repeat(size > 1, size)
         out = met & (last | many)
         hub, key, every = hub[out], k[out], many[out]
@@ -333,7 +333,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            held += zip(*(batch[c].to_pylist() for c in ("hub", "k", "n", "bits")))
+            held += zip(*(batch[c].to_pylist() for c in ("name", "k", "n", "bits")))
             last = held[-1][0] if held else None
             whole = [r for r in held if r[0] != last]
             if whole:
@@ -342,10 +342,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
         if held:
             yield close(held)
 
-    large = met.groupBy("hub").agg(F.count("*").alias("met")).where(F.col("met") > SIFTED_HUB).select("hub", F.lit(True).alias("large"))
-    met = cut(met.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "hub", "left").select("hub", "k", (F.col("all") | F.coalesce("large", F.lit(False))).alias("all")), "groups")
-    few = met.where("NOT all").select("hub", "k").unionByName(met.where("NOT all").selectExpr("hub", "hub AS k")).distinct().join(classes.select("k", "n", "bits"), "k")
-    near = few.repartition("hub").sortWithinPartitions("hub").mapInArrow(sift, "a long, b long").unionByName(met.where("all AND k <> hub").selectExpr("k AS a", "hub AS b"))
+    pairs = met.where("NOT all").select("hub", "k").unionByName(met.where("NOT all").selectExpr("hub", "hub AS k")).distinct()
+    # groups of more than SIFTED are compared by pairs of blocks
+    large = cut(pairs.groupBy("hub").agg(F.ceil(F.count("*") / SIFTED).cast("int").alias("own")).where("own > 1"), "large")
+    pairs = pairs.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "hub", "left").withColumn("block", F.pmod(F.xxhash64("k"), F.coalesce("own", F.lit(1))))
+    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda j: F.xxhash64("hub", F.least("block", j.cast("long")), F.greatest("block", j.cast("long")))))
+    few = pairs.where("own IS NULL").select(F.col("hub").alias("name"), "k").unionByName(pairs.where("own > 1").select(blocks.alias("name"), "k")).join(classes.select("k", "n", "bits"), "k")
+    near = few.repartition("name").sortWithinPartitions("name").mapInArrow(sift, "a long, b long").unionByName(met.where("all AND k <> hub").selectExpr("k AS a", "hub AS b"))
     cluster = cut(components(near).withColumnRenamed("node", "k"), "clusters")
 
     # sets of the clusters' classes: a fixed bit map of their keys goes to the tasks that read the texts, an exact join follows
