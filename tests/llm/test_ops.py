@@ -69,6 +69,7 @@ def linked(items, pairs):
 def test_ngram_join(spark, n, num, den, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
     monkeypatch.setattr(ngram_join, "ANCHORS", min(block, 8) // 2)
+    monkeypatch.setattr(ngram_join, "SIFTED", 4096 if block > 3 else 3)
     rows = corpus()
     sets = []
     for _, t in rows:
