@@ -111,7 +111,9 @@ def bit_sets(ptr: np.ndarray, s: np.ndarray) -> list[bytes]:
 
 
 def near_by_bits(sizes: np.ndarray, maps: list[bytes], num: int, den: int, group: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of places, a spanning forest, of the sets whose maps don't rule out num / den: every bit that differs is a shingle that does, if not all such shingles show. Sets of one group are linked already."""
+    """Pairs of places, a spanning forest, of the sets whose maps don't rule out num / den: every bit that differs is a shingle that does, if not all such shingles show. Sets of one group are linked already.
+
+    The smallest map's width counts for all: sets should be of like sizes."""
     width = min(map(len, maps))
     bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
     top = np.arange(len(maps)) if group is None else group.copy()
@@ -121,7 +123,8 @@ def near_by_bits(sizes: np.ndarray, maps: list[bytes], num: int, den: int, group
     for at in range(0, len(rest), step := max(1, AT_ONCE // bits.size)):
         some = rest[at : at + step]
         apart = np.bitwise_count(bits[some][:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
-        near = (apart * (den + num) <= (den - num) * (sizes[some][:, None] + sizes[None])) & (top[some][:, None] != top[None])
+        n, m = sizes[some][:, None], sizes[None]
+        near = (apart * (den + num) <= (den - num) * (n + m)) & (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (top[some][:, None] != top[None])
         for k in np.flatnonzero(near.any(axis=1)).tolist():
             i = int(some[k])
             hit = np.flatnonzero(near[k] & (top != top[i]))
@@ -134,6 +137,8 @@ def near_by_bits(sizes: np.ndarray, maps: list[bytes], num: int, den: int, group
 
 def near_two(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
     """near_by_bits for two sets."""
+    if min(n, m) * den < max(n, m) * num:
+        return False
     x, y, p, q = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a), len(b)
     while p > q:
         p //= 2
@@ -297,6 +302,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     # sets that share any signature under one smallest key make one group: pairs (hub, k) count once
     met = cut(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "hub long, k long, all boolean").groupBy("hub", "k").agg(F.max("all").alias("all")), "met")
 
+    edges = bands(num, den, 1 << 40)
+
     @released
     def sift(batches):
         held: list[tuple] = []
@@ -322,12 +329,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
                             if x != y and near_two(*rows[a][2:], *rows[b][2:], num, den):
                                 top[x] = y
                                 out.append((rows[a][1], rows[b][1]))
-                elif len(set(roots := [find(r[1]) for r in rows[i:j]])) > 1:
-                    for a, b in near_by_bits(np.array([r[2] for r in rows[i:j]]), [r[3] for r in rows[i:j]], num, den, np.array(roots)).tolist():
-                        x, y = find(rows[i + a][1]), find(rows[i + b][1])
-                        if x != y:
-                            top[x] = y
-                            out.append((rows[i + a][1], rows[i + b][1]))
+                else:  # by size bands, each with the next, so that maps are of like widths
+                    band = np.searchsorted(edges, [r[2] for r in rows[i:j]], "right")
+                    for b in np.unique(band):
+                        some = [rows[i + k] for k in np.flatnonzero((band == b) | (band == b + 1))]
+                        if len(set(roots := [find(r[1]) for r in some])) > 1:
+                            for x, y in near_by_bits(np.array([r[2] for r in some]), [r[3] for r in some], num, den, np.array(roots)).tolist():
+                                x, y = find(some[x][1]), find(some[y][1])
+                                if x != y:
+                                    top[x] = y
+                                    out.append((x, y))
                 i = j
             a, b = zip(*out) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
