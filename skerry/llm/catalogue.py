@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skerry.llm import cover_tree, decontaminate, html_text, ngram_join, packing, pii, quality, suffix_dedup, token_counts, warc
+from skerry.llm import chat, cover_tree, decontaminate, divergence, html_text, ngram_join, packing, phrases, pii, quality, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,19 @@ def queries() -> dict:
         "op8_retrieval_packing": packing.op8,
         "op9_suffix_array_dedup": suffix_dedup.op9,
         "op10_token_counts": token_counts.op10,
+        "op11_prefix_targets": chat.op11,
+        "op12_phrase_mining": phrases.op12,
+        "op13_source_divergence": divergence.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be said in SQL: html blocks, SimHash windows, language models, spans with offsets, tokenizers, packing and bytes. Their tests are brute force."""
-    return {"op1_warc_dictionary": warc.SQL, "op3_cover_tree_pairs": cover_tree.SQL, "op6_ngram_jaccard_join": ngram_join.SQL}
+    return {
+        "op1_warc_dictionary": warc.SQL,
+        "op3_cover_tree_pairs": cover_tree.SQL,
+        "op6_ngram_jaccard_join": ngram_join.SQL,
+        "op11_prefix_targets": chat.SQL,
+        "op12_phrase_mining": phrases.SQL,
+        "op13_source_divergence": divergence.SQL,
+    }
