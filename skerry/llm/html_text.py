@@ -24,6 +24,9 @@ BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a class, id or role is about, its last word, that makes a container boilerplate; and what only hints at it, so that long prose outranks it.
 BOILERPLATE_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion nav navbar navigation menu menus submenu breadcrumb breadcrumbs masthead footer sidebar sidebars aside widget widgets related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist respond reply replies disqus pagination pager toolbar complementary contentinfo teaser teasers outbrain taboola".split())
+#: Of these, what a reader or advertiser adds to an article, or a site tells its readers: boilerplate inside an article too, where other names only hint; and what makes an article element a comment or a card.
+ADDED_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices popup modal comment comments commentlist respond reply replies disqus outbrain taboola".split())
+NO_ARTICLE_NAMES = frozenset("comment comments commentlist reply replies disqus teaser teasers related recommended promo sponsored".split())
 HINT_NAMES = frozenset("header alert alerts search searchbox legal copyright skip".split())
 #: Last words that say nothing of what a container is about: the word before them does.
 GENERIC_NAMES = frozenset("area bar block body bottom box button container content form group inner item items left link links list main outer panel right row section slot text title top unit wrap wrapper".split())
@@ -37,8 +40,8 @@ STOP_WORDS = {
 _LISTS = {w: tuple(k for k, stop in enumerate(STOP_WORDS.values()) if w in stop) for w in frozenset().union(*STOP_WORDS.values())}
 #: Pass one: link density over this is bad; text of fewer characters is short; stop-word shares that make text good or near good.
 MAX_LINK_DENSITY, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 70, 200, 0.10, 0.20
-#: So many blocks of links in a row are a menu, wherever they stand. Elements nested deeper than DEEP aren't told apart.
-MENU, DEEP = 3, 512
+#: So many blocks of links in a row are a menu, wherever they stand. Elements nested deeper than DEEP aren't told apart. So many tags without an end are read to the end of the page.
+MENU, DEEP, UNENDED = 3, 512, 1
 
 _MARKUP = re.compile(r"<(?:!--|[!?]|/?(?=[a-zA-Z]))")
 _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -46,6 +49,7 @@ _BETWEEN = re.compile(r"[\s/]*")
 _ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
 _EQUALS = re.compile(r"\s*=\s*")
 _UNQUOTED = re.compile(r"[^\s>]*")
+_SIMPLE = re.compile(r"""([^\s/>="']+)\s*=\s*("[^">]*"|'[^'>]*'|[^\s>"']*)""")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _LETTERS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none")
@@ -58,17 +62,27 @@ class Tags:
     def __init__(self, page: str):
         self.page, self.end = page, len(page)
         self.last = {c: page.rfind(c) for c in "\"'>"}  # so that nothing is searched for in vain, again and again
+        self.unended = 0
 
     def read(self, at: int) -> tuple[str, dict[str, str], int] | None:
-        """(name, attributes, where it ends) of the tag whose name begins at `at`; None if no > follows. An open quote ends with its tag."""
+        """(name, attributes, where it ends) of the tag whose name begins at `at`; None if no > follows. An open quote ends with its tag.
+
+        A tag that the page ends in by these rules ends at its first >. After UNENDED of them quotes don't count any more, so that a page's end is looked for a few times only.
+        """
         if self.last[">"] < at:
             return None
         page = self.page
         m = _TAG.match(page, at)
         name, i, found = m[0].lower(), m.end(), {}
+        if self.unended >= UNENDED:
+            stop = page.find(">", at)
+            for a in _SIMPLE.finditer(page, i, stop):
+                found.setdefault(a[1].lower(), a[2].strip("\"'"))
+            return name, found, stop + 1
         while True:
             i = _BETWEEN.match(page, i).end()
             if i >= self.end:
+                self.unended += 1
                 return name, found, page.find(">", at) + 1
             if page[i] == ">":
                 return name, found, i + 1
@@ -100,16 +114,18 @@ def named(value: str) -> set[str]:
     return out
 
 
-def boilerplate(tag: str, attributes: dict[str, str]) -> int:
-    """2 for a container of boilerplate, 1 for one that its names hint at, else 0."""
+def boilerplate(tag: str, attributes: dict[str, str], inside: bool = False) -> int:
+    """2 for a container of boilerplate, 1 for one that its names hint at, else 0. Inside an article names of what isn't added to it only hint."""
     if tag in BOILERPLATE_TAGS:
         return 2
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return 0
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", "").lower()):
         return 2
     about = set().union(*(named(attributes[k]) for k in ("class", "id", "role") if k in attributes))
-    return 2 if about & BOILERPLATE_NAMES else 1 if about & HINT_NAMES else 0
+    if tag == "article":
+        return 2 if about & NO_ARTICLE_NAMES else 0
+    return 2 if about & (ADDED_NAMES if inside else BOILERPLATE_NAMES) else 1 if about & (HINT_NAMES | BOILERPLATE_NAMES) else 0
 
 
 class Block(NamedTuple):
@@ -126,29 +142,30 @@ class Block(NamedTuple):
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order. Open elements are closed by their parent's end."""
     out, stack, text, linked = [], [], [], 0
-    bad, hint, dropped, article, links, pushed = 0, 0, 0, 0, 0, 0
+    bad, hint, dropped, article, links, pushed, own = 0, 0, 0, 0, 0, 0, 0  # own: characters of the open article so far
     opened: Counter = Counter()
     tags = Tags(page)
 
     def close_block():
-        nonlocal linked
+        nonlocal linked, own
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
             tag = next((t for t, *_ in reversed(stack) if t in BLOCK_TAGS), "")
-            box = next((k for t, _, k in reversed(stack) if t in ("div", "section", "td", "main", "article", "body")), 0)
+            box = next((k for t, _, _, k in reversed(stack) if t in ("div", "section", "td", "main", "article", "body")), 0)
             out.append(Block(joined, linked, 2 if bad else 1 if hint else 0, article > 0, tag, box))
+            own += len(joined) if article and not bad else 0
         text.clear()
         linked = 0
 
     def pop(i: int):
         nonlocal bad, hint, dropped, article, links
         while len(stack) > i:
-            tag, boiler, _ = stack.pop()
+            tag, boiler, mark, _ = stack.pop()
             opened[tag] -= 1
             bad -= boiler == 2
             hint -= boiler == 1
             dropped -= tag in DROPPED_TAGS
-            article -= tag in ("article", "main")
+            article -= mark
             links -= tag == "a"
 
     at = 0
@@ -206,7 +223,9 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             continue
-        boiler = boilerplate(tag, attributes)
+        boiler = boilerplate(tag, attributes, article > 0)
+        if tag == "article" and opened["article"] and own > LONG:  # behind an article's text, inside of it: a comment, by the rules of HTML
+            boiler = 2
         if boiler and tag not in BLOCK_TAGS:
             close_block()
         if boiler and tag == "header" and article and not bad:  # an article's own heading
@@ -214,12 +233,14 @@ def blocks(page: str) -> list[Block]:
         if len(stack) >= DEEP:
             continue
         pushed += 1
-        stack.append((tag, boiler, pushed))
+        mark = tag in ("article", "main") and boiler < 2
+        own = 0 if mark and not article else own
+        stack.append((tag, boiler, mark, pushed))
         opened[tag] += 1
         bad += boiler == 2
         hint += boiler == 1
         dropped += tag in DROPPED_TAGS
-        article += tag in ("article", "main")
+        article += mark
         links += tag == "a"
     close_block()
     return out
@@ -309,8 +330,9 @@ def labels(found: list[Block]) -> list[str]:
         if "good" not in label:  # a page of short blocks: those that aren't links
             label = ["good" if b.boiler == 0 and b.linked <= MAX_LINK_DENSITY * len(b.text) and b.tag not in ("li", "td", "th") else "bad" for b in found]
         return label
-    some = [i for i, b in enumerate(found) if b.marked and b.boiler < 2]
-    own = [first_pass(found[i], share[i], True) for i in some]
+    inner = {i: first_pass(b, s, True) for i, (b, s) in enumerate(zip(found, share)) if b.marked and b.boiler < 2}
+    some = [i for i, k in inner.items() if k != "bad" or not found[i].boiler]  # what names hint at, and isn't long prose, is no neighbour
+    own = [inner[i] for i in some]
     for i, j in runs([found[k].linked > MAX_LINK_DENSITY * len(found[k].text) for k in some]):
         if j - i >= MENU:
             own[i:j] = ["bad"] * (j - i)
@@ -336,7 +358,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text), n_chars (its code points) for every row of pages.
 
     The whole html is read, null as empty, and a page without text gives an empty one. Markup splits a page into blocks. Blocks in navigation, headers, footers,
-    sidebars, forms, notices, adverts and reader comments, as tags and names of classes tell, are bad. Pass one labels each block by its stop-word density, length and
+    sidebars, forms, notices, adverts and reader comments, as tags and names of classes tell, are bad; so are article elements named as comments or cards, or that stand inside an article
+    behind its text. Pass one labels each block by its stop-word density, length and
     link density, and pass two gives undecided blocks their nearest decided neighbours' label. Where a page marks its article or main part, pass one asks for
     less there, and pass two takes the marked part for the page. Good blocks stay whole and in order. Time grows with the html's length, whatever it holds. Rows don't
     affect each other: repeated rows give repeated rows. Other columns are ignored.
