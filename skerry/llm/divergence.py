@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 _OTHER = re.compile(rb"[^a-z\x80-\xff]")
 #: A term's share is counted in so many parts.
 SHARES = 1_000_000_000
-#: Counts and bytes of terms that a task's stripes hold before they are spilled, and bytes of text whose terms are listed at once.
-HELD_COUNTS, HELD_BYTES, LISTED_BYTES = 400_000, 32 << 20, 1 << 20
+#: Counts that a task's stripes hold, and bytes of text that they come from, before they are spilled; bytes of text whose terms are listed at once.
+HELD_COUNTS, HELD_BYTES, LISTED_BYTES = 1_000_000, 128 << 20, 1 << 20
 #: Cells of a matrix of terms and sources that a task works on.
 CELLS = 1 << 20
 STRIPES = "lang string, term string, df bigint, counts array<struct<source:string, n:bigint>>"
@@ -33,75 +35,88 @@ def _terms(text: bytes):
         begin = end
 
 
+def _stripe_rows(lang: pa.Array, term: pa.Array, df: np.ndarray, row: np.ndarray, source: np.ndarray, names: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """Stripes of rows (lang, term) with their df, from counts in order of row: n of the source that names[source] is."""
+    counts = pa.StructArray.from_arrays([names.take(pa.array(source)), pa.array(n)], ["source", "n"])
+    ends = np.searchsorted(row, np.arange(len(df) + 1))
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(df), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), counts)], ["lang", "term", "df", "counts"])
+
+
 def _stripes(docs: DataFrame) -> DataFrame:
     """Stripes of (lang, term) as tasks spill them: documents that have the term, and its occurrences by source."""
 
     @released
     def fold(batches):
-        stripes, held, size = {}, 0, 0
+        stripes: dict[str, tuple] = {}  # by language: documents of each term, and by source its occurrences
+        held = read = 0
 
         def spill():
-            rows = [(lang, term.decode(), s[0], [{"source": k, "n": v} for k, v in s[1].items()]) for lang, of in stripes.items() for term, s in of.items()]
-            for i in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[i : i + 50_000]), (pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))))], ["lang", "term", "df", "counts"])
+            for lang, (df, counts) in stripes.items():
+                if not df:
+                    continue
+                index = dict(zip(df, range(len(df))))
+                row = np.concatenate([np.fromiter(map(index.__getitem__, c), np.int64, len(c)) for c in counts.values()])
+                source = np.repeat(np.arange(len(counts)), [len(c) for c in counts.values()])
+                n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in counts.values()])
+                order = np.argsort(row, kind="stable")
+                terms, ends = pa.array(list(df), pa.binary()).cast(pa.string()), np.fromiter(df.values(), np.int64, len(df))
+                whole = _stripe_rows(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(df), np.int64))), terms, ends, row[order], source[order], pa.array(list(counts), pa.string()), n[order])
+                for i in range(0, len(df), 50_000):
+                    yield whole.slice(i, 50_000)
 
         for batch in batches:
-            for text, lang, source in zip(batch["text"], batch["lang"].to_pylist(), batch["source"].to_pylist()):
-                own: dict[bytes, int] = {}
-                for terms in _terms(text.as_py().encode().lower()):
-                    for t in terms:
-                        own[t] = own.get(t, 0) + 1
-                of = stripes.setdefault(lang, {})
-                for t, n in own.items():
-                    s = of.get(t)
-                    if s is None:
-                        of[t] = s = [0, {}]
-                        size += len(t)
-                    s[0] += 1
-                    if source in s[1]:
-                        s[1][source] += n
-                    else:
-                        s[1][source] = n
-                        held += 1
-                if held > HELD_COUNTS or size > HELD_BYTES:
+            for text, lang, source in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["lang"].to_pylist(), batch["source"].to_pylist()):
+                if lang not in stripes:
+                    stripes[lang] = Counter(), {}
+                df, counts = stripes[lang]
+                own = counts.setdefault(source, Counter())
+                before, seen = len(own), set()
+                for terms in _terms(text.lower()):  # of bytes: A-Z alone
+                    own.update(terms)
+                    seen.update(terms)
+                df.update(seen)
+                held += len(own) - before
+                read += len(text)
+                if held > HELD_COUNTS or read > HELD_BYTES:
                     yield from spill()
-                    stripes, held, size = {}, 0, 0
+                    stripes, held, read = {}, 0, 0
         yield from spill()
 
     return docs.mapInArrow(fold, STRIPES)
 
 
+def combined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One stripe for each run of rows of one (lang, term)."""
+    lang, term = batch["lang"], batch["term"]
+    same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, len(lang) - 1)), pc.equal(term.slice(1), term.slice(0, len(term) - 1))).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    group = np.cumsum(np.concatenate([[False], ~same]))
+    pairs = batch["counts"].flatten()
+    source = pairs.field("source").dictionary_encode()
+    names = source.dictionary
+    key = np.repeat(group, pc.list_value_length(batch["counts"]).to_numpy(zero_copy_only=False)) * len(names) + source.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], pairs.field("n").to_numpy(zero_copy_only=False)[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key = key[at]
+    return _stripe_rows(lang.take(pa.array(first)), term.take(pa.array(first)), np.add.reduceat(batch["df"].to_numpy(), first), key // len(names), key % len(names), names, np.add.reduceat(n, at))
+
+
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
-    """One stripe of each (lang, term) that `least` documents have. Equal keys lie together, so a task holds one stripe at a time, and no more counts of it than there are sources."""
+    """One stripe of each (lang, term) that `least` documents have. Equal keys lie together, so a task holds a batch at a time and the last key's stripe so far."""
     parts = int(stripes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @released
     def merge(batches):
-        key, df, counts, rows = None, 0, {}, []
-
-        def out():
-            done, rows[:] = rows[:], []
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*done), (pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))))], ["lang", "term", "df", "counts"])
-
-        def close():
-            if key is not None and df >= least:
-                rows.append((*key, df, [{"source": k, "n": v} for k, v in sorted(counts.items())]))
-
+        last = None
+        kept = lambda x: x.filter(pc.greater_equal(x["df"], least))
         for batch in batches:
-            lists = batch["counts"]
-            ptr, sources, ns = lists.offsets.to_pylist(), lists.values.field("source").to_pylist(), lists.values.field("n").to_pylist()
-            for i, (lang, term, d) in enumerate(zip(batch["lang"].to_pylist(), batch["term"].to_pylist(), batch["df"].to_pylist())):
-                if (lang, term) != key:
-                    close()
-                    key, df, counts = (lang, term), 0, {}
-                df += d
-                for source, n in zip(sources[ptr[i] : ptr[i + 1]], ns[ptr[i] : ptr[i + 1]]):
-                    counts[source] = counts.get(source, 0) + n
-            if len(rows) >= 10_000:
-                yield out()
-        close()
-        if rows:
-            yield out()
+            if len(batch):
+                batch = combined(pa.concat_batches([last, batch]) if last else batch)
+                yield kept(batch.slice(0, len(batch) - 1))
+                last = batch.slice(len(batch) - 1)
+        if last:
+            yield kept(last)
 
     return stripes.repartition(parts, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merge, STRIPES)
 
@@ -156,19 +171,19 @@ def source_divergence(docs: DataFrame, least: int = 3, top: int = 200) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "source", "part", "item", "value"])
 
         for batch in batches:
-            lists = batch["counts"]
-            ptr, sources, ns = lists.offsets.to_pylist(), lists.values.field("source").to_pylist(), lists.values.field("n").to_pylist()
-            langs, words = batch["lang"].to_pylist(), batch["term"].to_pylist()
-            for lang in dict.fromkeys(langs):
+            codes = batch["lang"].dictionary_encode()
+            for k, lang in enumerate(codes.dictionary.to_pylist()):
+                own = batch.take(pa.array(np.flatnonzero(codes.indices.to_numpy() == k)))
                 index, totals, total, sums = known[lang]
-                names, own = list(index), [i for i, x in enumerate(langs) if x == lang]
-                step = max(1, CELLS // len(index))
+                names, words, step = list(index), own["term"], max(1, CELLS // len(index))
                 for at in range(0, len(own), step):
-                    some = own[at : at + step]
+                    some = own["counts"].slice(at, step)
+                    pairs = some.flatten()
+                    term = np.repeat(np.arange(len(some)), pc.list_value_length(some).to_numpy(zero_copy_only=False))
+                    source = pairs.field("source").dictionary_encode()
+                    rank = np.array([index[x] for x in source.dictionary.to_pylist()], np.int64)[source.indices.to_numpy()]
                     count = np.zeros((len(index), len(some)), np.int64)
-                    for k, i in enumerate(some):
-                        for j in range(ptr[i], ptr[i + 1]):
-                            count[index[sources[j]], k] = ns[j]
+                    count[rank, term] = pairs.field("n").to_numpy()
                     p, q = shares(count, totals[:, None]), shares(count.sum(0), total)
                     for i in range(len(index)):
                         sums[i] += distance(p[i], p).sum(1)
@@ -179,7 +194,7 @@ def source_divergence(docs: DataFrame, least: int = 3, top: int = 200) -> DataFr
                         order = np.lexsort((-value, si))
                         si, ki, value = si[order], ki[order], value[order]
                         keep = value >= _least_kept(si, value, top)
-                        yield rows([(lang, names[s], "term", words[some[k]], v) for s, k, v in zip(si[keep].tolist(), ki[keep].tolist(), value[keep].tolist())])
+                        yield rows([(lang, names[s], "term", w, v) for s, w, v in zip(si[keep].tolist(), words.take(pa.array(at + ki[keep])).to_pylist(), value[keep].tolist())])
         found = [(lang, a, "pair", b, int(sums[i, j])) for lang, (index, _, _, sums) in known.items() for a, i in index.items() for b, j in index.items() if a != b and sums[i, j]]
         for i in range(0, len(found), 50_000):
             yield rows(found[i : i + 50_000])
