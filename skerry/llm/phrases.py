@@ -154,8 +154,8 @@ class Summary:
         return self.h[self.c + self.taken >= self.least]
 
 
-def _summed(texts: DataFrame, sizes: range, least: int, frequent: np.ndarray | None) -> DataFrame:
-    """Hashes (h) of the n-grams of these sizes that may occur `least` times; frequent is a map of bigrams that others must be made of.
+def _summed(texts: DataFrame, sizes: range, least: int, frequent: tuple | None) -> DataFrame:
+    """Hashes (h) of the n-grams of these sizes that may occur `least` times; frequent are maps of pairs that longer ones must be made of.
 
     Tasks fold equal n-grams and deal them to hash partitions as packed numbers; each partition keeps one summary.
     """
@@ -179,7 +179,7 @@ def _summed(texts: DataFrame, sizes: range, least: int, frequent: np.ndarray | N
             pairs = None
             for n, h, ok in grams:
                 if n == 2 and frequent is not None:
-                    pairs = in_map(frequent, h)
+                    pairs = _in_maps(frequent, h)
                 if n > 2 and pairs is not None:
                     ok = ok & np.logical_and.reduce([pairs[k : k + len(h)] for k in range(n - 1)])
                 if n in sizes:
@@ -205,16 +205,28 @@ def _summed(texts: DataFrame, sizes: range, least: int, frequent: np.ndarray | N
     return dealt.repartition(parts, "part").mapInArrow(summarise, "h bigint")
 
 
-def _counted(texts: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
-    """(lang, n, phrase, f): exact counts of the n-grams whose hash is in their size's map; n = 0 has a language's words. Tasks count by hash and send each phrase's words once or a few times."""
+ENTRY = pa.struct([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def _counted(texts: DataFrame, maps: dict[int, tuple], least: int) -> DataFrame:
+    """(lang, n, phrase, f): exact counts of the n-grams that their size's maps let through and that occur `least` times; n = 0 has a language's words.
+
+    Tasks count by hash, and deal phrases with their counts to hash partitions in lists; each partition adds up its own phrases, word for word.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @released
     def count(batches):
         known, counts, told, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}, {}
 
         def send():
-            rows = [(*told[x], c) for x, c in zip(known.tolist(), counts.tolist())] + [(lang, 0, "", c) for lang, c in total.items()]
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "n", "phrase", "f"])
+            rows = [(x % (DEALT * parts), (*told[x], c)) for x, c in zip(known.tolist(), counts.tolist())] + [(_seed(lang) % (DEALT * parts), (lang, 0, "", c)) for lang, c in total.items()]
+            rows.sort(key=lambda x: x[0])
+            part = np.array([x[0] for x in rows])
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(rows)]
+            cuts = sorted({*cuts, *(i for a, b in zip(cuts, cuts[1:]) for i in range(a, b, PACKED // 4))})
+            entries = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*(e for _, e in rows)), ENTRY)], fields=list(ENTRY))
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries)], ["part", "entries"])
 
         for grams, langs in _rows(batches):
             found = []
@@ -224,7 +236,7 @@ def _counted(texts: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
                         if c:
                             total[langs[row]] = total.get(langs[row], 0) + c
                 at = np.flatnonzero(ok)
-                at = at[in_map(maps[n], h[at])]
+                at = at[_in_maps(maps[n], h[at])]
                 u, first, c = np.unique(h[at], return_index=True, return_counts=True)
                 for x, i in zip(u.tolist(), at[first].tolist()):
                     if x not in told:
@@ -237,7 +249,30 @@ def _counted(texts: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
         if len(known) or total:
             yield send()
 
-    return texts.mapInArrow(count, "lang string, n int, phrase string, f bigint").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    @released
+    def add(batches):
+        own: dict[tuple, int] = {}
+        for batch in batches:
+            entries = batch["entries"].flatten()
+            for *key, f in zip(*(entries.field(c.name).to_pylist() for c in ENTRY)):
+                key = tuple(key)
+                own[key] = own.get(key, 0) + f
+        rows = [(*k, f) for k, f in own.items() if k[1] == 0 or f >= least]
+        for i in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 50_000]), ENTRY)], [f.name for f in ENTRY])
+
+    dealt = texts.mapInArrow(count, "part int, entries array<struct<lang:string, n:int, phrase:string, f:bigint>>")
+    return dealt.repartition(parts, "part").mapInArrow(add, "lang string, n int, phrase string, f bigint")
+
+
+def _maps(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two maps of the hashes found, by their lowest bits and by others, of 64 bits or more for each; together they let through one of thousands besides."""
+    n = 8 * found.count()
+    return bit_map(found, "h", n), bit_map(found.select(F.shiftrightunsigned("h", 32).alias("h")), "h", n)
+
+
+def _in_maps(maps: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+    return in_map(maps[0], h) & in_map(maps[1], h >> np.uint64(32))
 
 
 def phrase_counts(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -249,10 +284,9 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     short = cut(_summed(texts, range(1, 3), least, None), "grams")
-    bits = bit_map(short, "h", 8 * short.count())
-    long = cut(_summed(texts, range(3, LONGEST + 1), least, bits), "grams")
-    more = bit_map(long, "h", 8 * long.count())
-    return _counted(texts, {n: bits if n < 3 else more for n in range(1, LONGEST + 1)}).where((F.col("n") == 0) | (F.col("f") >= least))
+    bits = _maps(short)
+    more = _maps(cut(_summed(texts, range(3, LONGEST + 1), least, bits), "grams"))
+    return _counted(texts, {n: bits if n < 3 else more for n in range(1, LONGEST + 1)}, least)
 
 
 def mine(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:
