@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +18,18 @@ from skerry.sources.schemas import ENVELOPE, SCHEMAS, TIMES
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of SCHEMAS under path; its event_date partitions prune scans that filter on event_date."""
     schema = SCHEMAS[name]
-    return spark.read.schema(schema + ", event_date date").parquet(f"{path}/{name}")
+    return spark.read.schema(schema + ", event_date date, batch string").parquet(f"{path}/{name}").drop("batch")
+
 
+def write_table(df: DataFrame, path: str, name: str, batch: str | None = None, rows: int = 0) -> None:
+    """Adds rows to a table by date and batch, a batch's name once: what had been written under it on the same dates is overwritten. Without one they are a batch of their own.
 
-def write_table(df: DataFrame, path: str, name: str, mode: str = "append") -> None:
-    """Appends to a table by date; rows of a date are sorted by prefix where there is one, so that files skip prefixes."""
-    df = df.withColumn("event_date", F.to_date(TIMES.get(name, "occurred_at")))
+    Rows of a date are sorted by prefix where there is one, so that files skip prefixes; a file has so many rows at most, if that is set.
+    """
+    df = df.withColumns({"event_date": F.to_date(TIMES.get(name, "occurred_at")), "batch": F.lit(batch or uuid.uuid4().hex)})
     if "prefix" in df.columns:
         df = df.sortWithinPartitions("event_date", "prefix")
-    df.write.mode(mode).partitionBy("event_date").parquet(f"{path}/{name}")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows).partitionBy("event_date", "batch").parquet(f"{path}/{name}")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -107,9 +114,7 @@ class DatasetStore:
         df.withColumn("snapshot_ts", F.lit(version)).write.mode("append").partitionBy("snapshot_ts").parquet(self.path)
 
     def _folders(self) -> list:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [(s.getPath().getName().partition("=")[2], s.getPath(), fs) for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("snapshot_ts=")]
+        return _partitions(self.spark, self.path, "snapshot_ts")
 
     def versions(self) -> list[str]:
         """Newest first, from the folder's listing."""
@@ -176,10 +181,56 @@ def notifications(alerts: DataFrame, profile: str = "generic", least: str = "war
 
 
 def retain(df: DataFrame, days: int = 90, as_of: str | None = None, time: str = "occurred_at") -> DataFrame:
-    """Rows of the last days before as_of; 0 keeps all."""
+    """Rows of the last days before as_of, as sweep leaves them; 0 keeps all."""
     return df if days == 0 else df.where(F.col(time) >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
 
 
+#: Tables that retention sweeps.
+SWEPT = ("route_events", "peer_events", "speaker_events", "stats_events", "evpn_events")
+
+
+def _partitions(spark: SparkSession, path: str, column: str) -> list[tuple]:
+    """(value, Hadoop path, file system) of a table's partitions by one column, from the listing."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(p) if fs.exists(p) else []
+    return [(s.getPath().getName().partition("=")[2], s.getPath(), fs) for s in found if s.isDirectory() and s.getPath().getName().startswith(f"{column}=")]
+
+
+def sweep(spark: SparkSession, path: str, days: int, as_of: str, names: tuple[str, ...] = SWEPT) -> dict[str, int]:
+    """Deletes rows older than so many days before as_of and returns how many each table lost; 0 days keeps all.
+
+    Whole days are dropped as folders, by the listing. Of the day that the limit falls in, each batch's rows that stay are written beside the table (where readers don't look) and then
+    overwrite its partitions; a batch without any is dropped. A sweep that fails can be run again.
+    """
+    if days == 0:
+        return dict.fromkeys(names, 0)
+    limit, day = spark.range(1).select((F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")).alias("t")).select(F.col("t").cast("string"), F.to_date("t").cast("string")).first()
+    lost = {}
+    for name in names:
+        lost[name] = 0
+        for value, folder, fs in _partitions(spark, f"{path}/{name}", "event_date"):
+            if value > day or value == "__HIVE_DEFAULT_PARTITION__":
+                continue
+            rows = spark.read.schema(SCHEMAS[name] + ", batch string").parquet(folder.toString())
+            if value < day:
+                lost[name] += rows.count()
+                fs.delete(folder, True)
+                continue
+            staged = f"{path}/{name}/_sweep-{uuid.uuid4().hex}"
+            total = rows.count()
+            rows.where(F.col(TIMES.get(name, "occurred_at")) >= F.lit(limit).cast("timestamp")).withColumn("event_date", F.lit(value)).write.partitionBy("event_date", "batch").parquet(staged)
+            kept = spark.read.schema(SCHEMAS[name] + ", event_date string, batch string").parquet(staged)
+            left = {r["batch"]: r["n"] for r in kept.groupBy("batch").agg(F.count("*").alias("n")).collect()}  # a day's batches
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(f"{path}/{name}")
+            for batch, part, _ in _partitions(spark, folder.toString(), "batch"):
+                if batch not in left:
+                    fs.delete(part, True)
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged), True)
+            lost[name] += total - sum(left.values())
+    return lost
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in sorted(tables.items())]
@@ -211,9 +262,21 @@ def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+#: Functions that run what isn't SQL.
+_CALLS_OUT = re.compile(r"\b(try_)?reflect\s*\(|\bjava_method\s*\(", re.I)
+
+
 def select_only(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The result of a SELECT (or WITH) over named tables; anything else is refused."""
-    if not query.lstrip().lower().startswith(("select", "with")):
-        raise ValueError("only SELECT is allowed")
+    """The result of a query over named tables; anything else is refused.
+
+    Spark's own parser tells: only a query can stand in parentheses as a relation, so commands, inserts behind a WITH and those with several targets don't parse there. Scripts and calls of
+    Java methods are refused too.
+    """
     register(spark, tables)
-    return spark.sql(query)
+    try:
+        inside = spark.sql(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n) AS q")
+    except ParseException as e:
+        raise ValueError("only SELECT is allowed") from e
+    if _CALLS_OUT.search(query) or "ScriptTransformation" in inside._jdf.queryExecution().analyzed().toString():
+        raise ValueError("only SELECT is allowed")
+    return spark.sql(query.strip().rstrip(";"))

@@ -1,15 +1,10 @@
-"""Structured Streaming forms of the sinks and detectors."""
+"""Structured Streaming forms of the sinks, windows and stateless detectors; those with state of their own are in stateful."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skerry.functions import scalars as X
 from skerry.sources.schemas import ENVELOPE
 from skerry.sources.tables import fan_out, route_topics, write_table
 
@@ -29,14 +24,19 @@ def end_of_rib(events: DataFrame) -> DataFrame:
     return events.where("kind = 'end_of_rib'")
 
 
-def store(events: DataFrame, path: str, checkpoint: str, interval: str | None = None):
-    """A query that appends each micro-batch's rows to their tables. The batch is kept while its five tables read it."""
+def store(events: DataFrame, path: str, checkpoint: str, interval: str | None = None, rows: int = 500):
+    """S3, S4, ST1: a query that stores each micro-batch's rows in their tables once, however often the batch is run: every interval, or all there is and no more.
+
+    A batch owns partitions of its own in each table, named after the query's lasting id in its checkpoint and the batch's number. One that failed midway is run again with the same events
+    and overwrites what it had written. A file has so many rows at most. The batch is kept while its five tables read it.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
         batch = batch.persist()
         try:
-            for name, rows in fan_out(batch).items():
-                write_table(rows, path, name)
+            for name, part in fan_out(batch).items():
+                write_table(part, path, name, f"{query}-{batch_id}", rows)
         finally:
             batch.unpersist()
 
@@ -79,183 +79,3 @@ def dedup_alerts(alerts: DataFrame, late: str = "300 seconds") -> DataFrame:
 def otc_leaks(routes: DataFrame, customers: DataFrame) -> DataFrame:
     """D3: stateless, against a static table of customers (peer_addr)."""
     return routes.where("action = 'announce' AND only_to_customer IS NOT NULL").join(customers.select("peer_addr"), "peer_addr", "left_anti")
-
-
-class OriginState(StatefulProcessor):
-    """D1, ST2, ST4: a prefix's known origins; forgotten ttl_ms after they were last written, if that is set."""
-
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "origin bigint", "seen_us bigint", self.ttl_ms) if self.ttl_ms else handle.getMapState("known", "origin bigint", "seen_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(rows).sort_values(["occurred_at", "event_id"])
-        out = []
-        known = [k[0] for k in self.known.keys()]
-        for at, event, peer, origin in zip(events["occurred_at"], events["event_id"], events["peer_addr"], events["origin"]):
-            if origin not in known:
-                out += [(event, at, key[0], peer, origin, old) for old in known]
-                known.append(origin)
-                self.known.updateValue((int(origin),), (int(at.value // 1000),))
-        yield pd.DataFrame(out, columns=["event_id", "occurred_at", "prefix", "peer_addr", "new_origin", "old_origin"])
-
-    def close(self) -> None:
-        pass
-
-
-NEW_ORIGIN = "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, new_origin bigint, old_origin bigint"
-
-
-def new_origins(routes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """D1 as a stream: the rows that the batch form gives if events come in order. Needs the RocksDB state store."""
-    own = routes.where("action = 'announce'").select("event_id", "occurred_at", "prefix", "peer_addr", X.origin_asn("as_path", "integer").alias("origin")).where("origin IS NOT NULL")
-    return own.groupBy("prefix").transformWithStateInPandas(OriginState(ttl_ms), NEW_ORIGIN, "Append", "None")
-
-
-class StaleRoutes(StatefulProcessor):
-    """P5, ST6: a route's life: an event-time timer expires it `stale_s` after its session's down unless it comes anew. Input kinds: announce, withdraw, peer_down."""
-
-    def __init__(self, stale_s: int):
-        self.stale_s = stale_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.live = handle.getValueState("live", "since_us bigint, timer_ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        for kind, at in sorted(((k, a) for df in rows for k, a in zip(df["kind"], df["occurred_at"])), key=lambda x: x[1]):
-            have = self.live.get() if self.live.exists() else None
-            if have and have[1]:
-                self.handle.deleteTimer(have[1])
-            us = int(at.value // 1000)
-            if kind == "announce":
-                self.live.update((us, 0))
-            elif kind == "withdraw" and have:
-                self.live.clear()
-                out.append((*key, at, "withdrawn"))
-            elif kind == "peer_down" and have:
-                timer = us // 1000 + self.stale_s * 1000
-                self.handle.registerTimer(timer)
-                self.live.update((have[0], timer))
-                out.append((*key, at, "stale"))
-        yield pd.DataFrame(out, columns=["peer_addr", "prefix", "occurred_at", "change"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.live.clear()
-        yield pd.DataFrame([(*key, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"), "expired")], columns=["peer_addr", "prefix", "occurred_at", "change"])
-
-    def close(self) -> None:
-        pass
-
-
-def stale_routes(changes: DataFrame, stale_s: int, late: str = "10 seconds") -> DataFrame:
-    """P5 as a stream over (peer_addr, prefix, kind, occurred_at)."""
-    return changes.withWatermark("occurred_at", late).groupBy("peer_addr", "prefix").transformWithStateInPandas(StaleRoutes(stale_s), "peer_addr string, prefix string, occurred_at timestamp, change string", "Append", "EventTime")
-
-
-class History(StatefulProcessor):
-    """D2, D5, D6, D7, ST3: a key's announcements of the last span and its shortest path, and the alerts that a new one raises. `since_us` prunes by event time, so state is bounded by the span."""
-
-    def __init__(self, span_s: int, least_meds: int = 5, hops: int = 3):
-        self.span_s, self.least_meds, self.hops = span_s, least_meds, hops
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "at_us bigint, origin bigint, med bigint")
-        self.shortest = handle.getValueState("shortest", "len int")
-
-    def handleInputRows(self, key, rows, timerValues):
-        events = pd.concat(rows).sort_values(["occurred_at", "event_id"])
-        seen = [tuple(r) for r in self.seen.get()] if self.seen.exists() else []
-        least = self.shortest.get()[0] if self.shortest.exists() else None
-        out = []
-        for event, at, origin, med, size, otc in zip(*(events[c] for c in ("event_id", "occurred_at", "origin", "med", "as_path_len", "only_to_customer"))):
-            us = int(at.value // 1000)
-            seen = [s for s in seen if s[0] >= us - self.span_s * 1_000_000]
-            before = {s[1] for s in seen if s[0] < us and s[1] is not None}
-            if before and pd.notna(origin) and int(origin) not in before:
-                out.append((event, at, *key, "hijack"))
-            seen.append((us, None if pd.isna(origin) else int(origin), None if pd.isna(med) else int(med)))
-            meds = [s[2] for s in seen if s[2] is not None]
-            steps = [b > a for a, b in zip(meds, meds[1:])]
-            if pd.notna(med) and len(meds) >= self.least_meds and len(set(meds)) >= 2 and sum(a != b for a, b in zip(steps, steps[1:])) >= 2:
-                out.append((event, at, *key, "med_oscillation"))
-            if pd.notna(size) and size > 0:
-                if pd.notna(otc) or least is not None and least - size >= self.hops:
-                    out.append((event, at, *key, "leak"))
-                least = int(size) if least is None else min(least, int(size))
-        if seen:
-            self.seen.put(seen)
-        if least is not None:
-            self.shortest.update((least,))
-        yield pd.DataFrame(out, columns=["event_id", "occurred_at", "prefix", "peer_addr", "kind"])
-
-    def close(self) -> None:
-        pass
-
-
-def route_alerts(routes: DataFrame, span_s: int) -> DataFrame:
-    """D5, D6, D7 as one stream by prefix and peer."""
-    own = routes.where("action = 'announce'").select("event_id", "occurred_at", "prefix", "peer_addr", X.origin_asn("as_path", "integer").alias("origin"), "med", "as_path_len", "only_to_customer")
-    return own.groupBy("prefix", "peer_addr").transformWithStateInPandas(History(span_s), "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, kind string", "Append", "None")
-
-
-class Episodes(StatefulProcessor):
-    """A peer's open convergence episode; an event-time timer ends a quiet one. Input kinds: peer_down, peer_up, withdraw, announce, end."""
-
-    def __init__(self, quiet_s: float, least: int = 1):
-        self.quiet_ms, self.least = int(quiet_s * 1000), least
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "start_us bigint, withdraws bigint, timer_ms bigint")
-        self.hit = handle.getMapState("hit", "prefix string", "n bigint")
-
-    def _end(self, key, us: int, by: str):
-        start, n, timer = self.open.get()
-        if timer:
-            self.handle.deleteTimer(timer)
-        size = sum(1 for _ in self.hit.keys())
-        self.open.clear()
-        self.hit.clear()
-        return (key[0], pd.Timestamp(start, unit="us"), (us - start) / 1000, n, size, by)
-
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        events = pd.concat(rows).sort_values(["occurred_at", "event_id"])
-        for at, kind, prefix in zip(events["occurred_at"], events["kind"], events["prefix"]):
-            us = int(at.value // 1000)
-            if kind == "peer_down":
-                if self.open.exists():
-                    if timer := self.open.get()[2]:
-                        self.handle.deleteTimer(timer)
-                    self.hit.clear()
-                self.open.update((us, 0, 0))
-            elif self.open.exists() and kind in ("withdraw", "announce"):
-                start, n, timer = self.open.get()
-                if timer:
-                    self.handle.deleteTimer(timer)
-                n += kind == "withdraw"
-                timer = us // 1000 + self.quiet_ms if n >= self.least else 0
-                if timer:
-                    self.handle.registerTimer(timer)
-                self.hit.updateValue((prefix,), (1,))
-                self.open.update((start, n, timer))
-            elif self.open.exists() and kind in ("peer_up", "end"):
-                out.append(self._end(key, us, kind))
-        yield pd.DataFrame(out, columns=["peer_addr", "started_at", "convergence_ms", "withdraws", "affected_prefixes", "ended_by"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        out = [self._end(key, ms * 1000, "quiet")] if self.open.exists() and self.open.get()[2] == ms else []
-        yield pd.DataFrame(out, columns=["peer_addr", "started_at", "convergence_ms", "withdraws", "affected_prefixes", "ended_by"])
-
-    def close(self) -> None:
-        pass
-
-
-def convergence_events(changes: DataFrame, quiet_s: float = 5.0, late: str = "10 seconds") -> DataFrame:
-    """D10 as a stream over (event_id, occurred_at, peer_addr, kind, prefix)."""
-    return changes.withWatermark("occurred_at", late).groupBy("peer_addr").transformWithStateInPandas(Episodes(quiet_s), "peer_addr string, started_at timestamp, convergence_ms double, withdraws bigint, affected_prefixes bigint, ended_by string", "Append", "EventTime")

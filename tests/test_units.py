@@ -193,20 +193,6 @@ def test_stored_anomalies_subscriptions_rates(spark, tmp_path):
     assert {(r.start, r.events, r.over) for r in drain(spark, streams.rate(live, 1), "rates", "complete").collect()} == {(at(0), 2, True), (at(1), 1, False)}
 
 
-def test_stale_stream(spark, tmp_path):
-    schema = "peer_addr string, prefix string, kind string, occurred_at timestamp"
-    path = str(tmp_path / "c")
-    live = stream_of(spark, spark.createDataFrame([("p", "x", "announce", at(0)), ("p", "x", "peer_down", at(1)), ("p", "y", "announce", at(0))], schema), path)
-    q = streams.stale_routes(live, 30).writeStream.outputMode("append").format("memory").queryName("stale").start()
-    for t in (100, 200):  # move the watermark
-        q.processAllAvailable()
-        spark.createDataFrame([("z", "z", "announce", at(t))], schema).repartition(1).write.mode("append").parquet(path)
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.peer_addr, r.prefix, r.change) for r in spark.table("stale").collect() if r.peer_addr == "p"}
-    assert any(x[1] == "x" and "expire" in x[2] for x in got) and not any(x[1] == "y" and "expire" in x[2] for x in got)
-
-
 def test_episodes(spark):
     ev = lambda s, kind, prefix=None, stat=None, value=None: (int(s * 1e6), kind, prefix, stat, value)
     fold = lambda rows: episode_fold(rows, 5.0, 1, (7, 8))
@@ -282,9 +268,6 @@ def test_streams_equal_batches(spark, tmp_path):
     rows = [(i, at(i * 40), f"10.{i % 3}.0.0/16", f"p{i % 2}", "announce" if i % 5 else "withdraw", f"1 {64500 + (i * 7) % 4}") for i in range(60)]
     routes = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, action string, as_path string")
     live = stream_of(spark, routes, str(tmp_path / "r"))
-    batch = {tuple(r) for r in detectors.new_origins(routes).collect()}
-    out = drain(spark, streams.new_origins(live), "origins")
-    assert {tuple(r) for r in out.select("event_id", "occurred_at", "prefix", "peer_addr", "new_origin", "old_origin").collect()} == batch and batch
     hours = {(r.prefix, r.hour, r.events) for r in aggregates.hourly_churn(routes).collect()}
     assert {tuple(r) for r in drain(spark, streams.churn(live), "churn", "complete").collect()} == hours
     alerts = routes.withColumn("kind", F.lit("k"))
@@ -316,29 +299,6 @@ def test_empty_history(spark):
     assert windows.sessions(e).count() == 0 and detectors.hijacks(e).count() == 0 and graph.path_edges(e).count() == 0 and state.peer_state(e, "2024-01-01").count() == 0
 
 
-def test_alert_streams(spark, tmp_path):
-    rows = [(i, at(10 * i), "x", "p", "announce", f"1 {64500 + (i == 4)}", m, 6 if i < 5 else 2, None) for i, m in enumerate([5, 9, 5, 9, 5, 9])]
-    routes = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, action string, as_path string, med bigint, as_path_len int, only_to_customer bigint")
-    got = {(r.event_id, r.kind) for r in drain(spark, streams.route_alerts(stream_of(spark, routes, str(tmp_path / "r")), 60), "route_alerts").collect()}
-    batch = {(r.event_id, "med_oscillation") for r in detectors.med_oscillation(routes).collect()} | {(r.event_id, "leak") for r in detectors.leaks(routes).collect()} | {(r.event_id, "hijack") for r in detectors.hijacks(routes, seconds=60).collect()}
-    assert got == batch and len({k for _, k in got}) == 3
-
-
-def test_episode_stream(spark, tmp_path):
-    rows = [(1, at(0), "p", "peer_down", None), (2, at(1), "p", "withdraw", "a"), (3, at(2), "p", "announce", "b"), (4, at(0), "q", "peer_down", None), (5, at(3), "q", "peer_up", None)]
-    changes = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, peer_addr string, kind string, prefix string")
-    path = str(tmp_path / "c")
-    live = stream_of(spark, changes, path)
-    q = streams.convergence_events(live).writeStream.outputMode("append").format("memory").queryName("episodes").start()
-    q.processAllAvailable()
-    spark.createDataFrame([(9, at(100), "z", "announce", "x")], changes.schema).repartition(1).write.mode("append").parquet(path)  # moves the watermark
-    q.processAllAvailable()
-    spark.createDataFrame([(10, at(200), "z", "announce", "x")], changes.schema).repartition(1).write.mode("append").parquet(path)
-    q.processAllAvailable()
-    q.stop()
-    assert {(r.peer_addr, r.convergence_ms, r.withdraws, r.affected_prefixes, r.ended_by) for r in spark.table("episodes").collect()} == {("p", 7000.0, 1, 2, "quiet"), ("q", 3000.0, 0, 0, "peer_up")}
-
-
 def test_canned_questions(spark):
     from skerry.operators import canned
 
