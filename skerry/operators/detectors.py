@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from skerry.functions import scalars as X
 from skerry.operators.aggregates import hourly_churn
 from skerry.operators.joins import validate_origins
+from skerry.operators.scan import SLICE, rolling_median, running
 from skerry.operators.state import ORDER
-from skerry.operators.windows import rolling_median, rolling_zscore, running_min_path, trailing_path_mean
+from skerry.operators.windows import rolling_zscore, running_min_path, trailing_path_mean
 
 ANNOUNCED = "action = 'announce'"
 
@@ -74,19 +75,20 @@ def leaks(routes: DataFrame, hops: int = 3) -> DataFrame:
 def med_oscillation(routes: DataFrame, seconds: int = 60, least: int = 5) -> DataFrame:
     """Events whose last `seconds` hold five meds, two of them different, with two turns between rising and not rising (falling or staying) at least.
 
-    Rows of one instant are ordered by event and each sees those up to itself: 498 of a prefix and peer at most are told apart. Counts, sums and bounds of a frame are all that is kept.
+    Rows of one instant are ordered by event, and each sees those up to itself. Rows are numbered and turns summed up in that order; what the first row of the last `seconds` has of both tells
+    what lies since. Where there are two turns, two meds differ.
     """
     key = ["prefix", "peer_addr"]
     own = routes.where(ANNOUNCED).where("med IS NOT NULL").select("event_id", "occurred_at", *key, "med")
     order = Window.partitionBy(*key).orderBy(*ORDER)
-    tie = F.least(F.row_number().over(Window.partitionBy(*key, "occurred_at").orderBy("event_id")), F.lit(498))
-    own = own.withColumns({"rises": F.col("med") > F.lag("med").over(order), "at": micros() * 1000 + tie})
+    own = own.withColumns({"at": micros(), "rises": F.col("med") > F.lag("med").over(order)})
     own = own.withColumn("turn", F.coalesce((F.col("rises") != F.lag("rises").over(order)).cast("int"), F.lit(0)))
-    w = Window.partitionBy(*key).orderBy("at").rangeBetween(-(seconds * 1_000_000_000 + 499), 0)
-    # a turn takes three events: those of the frame's first two lie partly before it
-    turns = F.sum("turn").over(w) - F.first("turn").over(w) - F.coalesce(F.nth_value("turn", 2).over(w), F.lit(0))
-    out = own.withColumns({"observations": F.count("*").over(w), "turns": turns, "low": F.min("med").over(w), "high": F.max("med").over(w)})
-    return out.where((F.col("observations") >= least) & (F.col("low") < F.col("high")) & (F.col("turns") >= 2)).select("event_id", "occurred_at", *key, F.col("observations").cast("int").alias("observations"), F.col("turns").cast("int").alias("turns"))
+    own = own.withColumns({"i": F.row_number().over(order), "turned": F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    # a turn takes three events: those of the first two lie partly before the span
+    own = own.withColumn("second", F.coalesce(F.lead("turned").over(order), F.col("turned")))
+    first = F.min(F.struct("i", "second")).over(Window.partitionBy(*key).orderBy("at").rangeBetween(-seconds * 1_000_000, 0))
+    out = own.withColumn("first", first).withColumns({"observations": F.col("i") - F.col("first.i") + 1, "turns": F.col("turned") - F.col("first.second")})
+    return out.where((F.col("observations") >= least) & (F.col("turns") >= 2)).select("event_id", "occurred_at", *key, F.col("observations").cast("int").alias("observations"), F.col("turns").cast("int").alias("turns"))
 
 
 def hijacks(routes: DataFrame, vrps: DataFrame | None = None, seconds: int = 3600) -> DataFrame:
@@ -144,12 +146,12 @@ def suppress(alerts: DataFrame, seconds: int = 300) -> DataFrame:
     return runs.groupBy(*key, "run").applyInPandas(fold, alerts.schema)
 
 
-def convergence_events(peers: DataFrame, routes: DataFrame, stats: DataFrame, quiet_s: float = 5.0, least: int = 1, end_stats: tuple[int, ...] = (7, 8)) -> DataFrame:
+def convergence_events(peers: DataFrame, routes: DataFrame, stats: DataFrame, quiet_s: float = 5.0, least: int = 1, end_stats: tuple[int, ...] = (7, 8), slice_s: int = SLICE) -> DataFrame:
     """Convergence episodes of each peer.
 
     A down starts an episode, another one restarts it. It ends with an up, with a statistic of end_stats at 0, or, if it has had `least` withdrawals, when quiet_s pass without an event of
     a route; one that none of these ends before the next down, or before the history does, is left out. So there is one at most between two downs, and it ends at the first event there that
-    ends it or comes too late.
+    ends it or comes too late. A peer's history, and what lies between two downs, are split by time (scan.running).
     """
     base = ["speaker_addr", "peer_addr", "occurred_at", "event_id"]
     none = F.lit(None).cast("string")
@@ -158,15 +160,14 @@ def convergence_events(peers: DataFrame, routes: DataFrame, stats: DataFrame, qu
     r = routes.select(*base, F.col("action").alias("kind"), "prefix")
     every = p.unionByName(r).unionByName(stats.where(stops).select(*base, F.lit("stat").alias("kind"), none.alias("prefix")))
     peer, part = ["speaker_addr", "peer_addr"], ["speaker_addr", "peer_addr", "part"]
-    order = ["occurred_at", "event_id", F.when(F.col("kind") == "stat", 1).otherwise(0), "kind"]
+    order = ("occurred_at", "event_id", "rank", "kind")
     down, route = F.col("kind") == "peer_down", F.col("kind").isin("withdraw", "announce")
-    every = every.select(*base, "kind", "prefix", micros().alias("t")).withColumn("part", F.count_if(down).over(Window.partitionBy(*peer).orderBy(*order))).where("part > 0")
-    before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = every.withColumns({"n": F.count_if(F.col("kind") == "withdraw").over(before), "last": F.max(F.when(down | route, F.col("t"))).over(before)})
+    every = every.select(*base, "kind", "prefix", micros().alias("t"), F.when(F.col("kind") == "stat", 1).otherwise(0).alias("rank"))
+    every = running(every, peer, {"part": ("sum", down.cast("int"))}, order, seconds=slice_s).where("part > 0")
+    seen = running(every, part, {"n": ("sum", (F.col("kind") == "withdraw").cast("int")), "last": ("max", F.when(down | route, F.col("t")))}, order, before=True, seconds=slice_s)
     quiet = int(quiet_s * 1e6)
     over = F.when((F.col("n") >= least) & (F.col("t") - F.col("last") >= quiet), F.struct((F.col("last") + quiet).alias("at"), F.lit("quiet").alias("by"))).when(F.col("kind").isin("peer_up", "stat"), F.struct(F.col("t").alias("at"), F.col("kind").alias("by")))
-    ends = Window.partitionBy(*part).orderBy(*order)
-    live = seen.withColumn("over", over).withColumn("ended", F.first("over", ignorenulls=True).over(ends.rowsBetween(Window.unboundedPreceding, 0)))
+    live = running(seen.withColumn("over", over), part, {"ended": ("first", F.col("over"))}, order, seconds=slice_s)
     within = live.where(route & F.col("ended").isNull()).groupBy(*part, "prefix").agg(F.count_if(F.col("kind") == "withdraw").alias("n"), F.max("t").alias("last"), F.max_by("kind", F.struct("occurred_at", "event_id", "kind")).alias("then"))
     within = within.groupBy(*part).agg(F.sum("n").alias("withdraws"), F.count("*").alias("affected_prefixes"), F.count_if(F.col("then") == "announce").alias("recovered_prefixes"), F.max("last").alias("last"))
     episodes = live.groupBy(*part).agg(F.min("t").alias("start"), F.max("ended").alias("ended"))
@@ -180,7 +181,7 @@ def convergence_events(peers: DataFrame, routes: DataFrame, stats: DataFrame, qu
 
 def slow_convergence(events: DataFrame, days: int = 7, least: int = 3) -> DataFrame:
     """Episodes three times as long as the median of their peer's last days (three or more): warning, or six times: critical."""
-    out = rolling_median(events.withColumn("occurred_at", F.col("started_at")), "peer_addr", "convergence_ms", days).where((F.col("prior") >= least) & (F.col("median") > 0))
+    out = rolling_median(events.withColumn("occurred_at", F.col("started_at")), "peer_addr", "convergence_ms", days, ties=("convergence_ms",)).where((F.col("prior") >= least) & (F.col("median") > 0))
     ratio = F.col("convergence_ms") / F.col("median")
     return out.where(ratio >= 3).select("peer_addr", "started_at", "convergence_ms", "median", F.round(ratio, 6).alias("ratio"), F.when(ratio >= 6, "critical").otherwise("warning").alias("severity"))
 

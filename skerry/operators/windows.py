@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.scan import SLICE, following, running
 from skerry.operators.state import ORDER, top
 
 
@@ -21,21 +22,21 @@ def convergence_gaps(routes: DataFrame, prefix: str | None = None, n: int | None
     return top(out, [F.desc("occurred_at"), F.desc("event_id")], n)
 
 
-def session_timeline(peers: DataFrame, peer: str | None = None, since: str | None = None) -> DataFrame:
-    """Seconds until a peer's next session event; the window sees the filtered events alone."""
+def session_timeline(peers: DataFrame, peer: str | None = None, since: str | None = None, slice_s: int = SLICE) -> DataFrame:
+    """Seconds until a peer's next session event, among the filtered events. A peer's history is split by time."""
     if peer is not None:
         peers = peers.where(F.col("peer_addr") == peer)
     if since is not None:
         peers = peers.where(F.col("occurred_at") >= F.lit(since).cast("timestamp"))
-    w = Window.partitionBy("speaker_addr", "peer_addr").orderBy(*ORDER)
-    return peers.select("event_id", "occurred_at", "speaker_addr", "peer_addr", "event_type", F.round(F.lead(seconds()).over(w) - seconds(), 6).alias("until_next_s"))
+    out = following(peers.select("event_id", "occurred_at", "speaker_addr", "peer_addr", "event_type"), ["speaker_addr", "peer_addr"], "next", F.unix_micros("occurred_at"), seconds=slice_s)
+    return out.select("event_id", "occurred_at", "speaker_addr", "peer_addr", "event_type", F.round(F.col("next") / 1e6 - seconds(), 6).alias("until_next_s"))
 
 
-def sessions(peers: DataFrame) -> DataFrame:
-    """Sessions from a peer's last up before each down; the last one may be ongoing. An island is what lies between downs."""
-    w = Window.partitionBy("speaker_addr", "peer_addr").orderBy(*ORDER)
+def sessions(peers: DataFrame, slice_s: int = SLICE) -> DataFrame:
+    """Sessions from a peer's last up before each down; the last one may be ongoing. An island is what lies between downs. A peer's history is split by time."""
     down = F.col("event_type") == "peer_down"
-    isle = peers.withColumn("isle", F.coalesce(F.sum(F.when(down, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = peers.select("event_id", "occurred_at", "speaker_addr", "peer_addr", "event_type")
+    isle = running(own, ["speaker_addr", "peer_addr"], {"isle": ("sum", down.cast("int"))}, before=True, seconds=slice_s)
     out = isle.groupBy("speaker_addr", "peer_addr", "isle").agg(F.max(F.when(~down, F.col("occurred_at"))).alias("up_at"), F.max(F.when(down, F.col("occurred_at"))).alias("down_at")).where("up_at IS NOT NULL")
     return out.select("speaker_addr", "peer_addr", "up_at", "down_at", F.round((F.unix_micros("down_at") - F.unix_micros("up_at")) / 1e6, 6).alias("duration_s"), F.col("down_at").isNull().alias("ongoing"))
 
@@ -53,19 +54,6 @@ def rolling_zscore(hourly: DataFrame, size: int = 60, limit: float = 3.0) -> Dat
     return hourly.withColumn("z", z).withColumn("anomalous", F.abs("z") > limit)
 
 
-def rolling_median(df: DataFrame, key: str, value: str, days: int = 7, most: int = 2000) -> DataFrame:
-    """The median of a key's values in the days before each row, of those of the last `most` rows, and their number. A row sees `most` values at most, however busy its key."""
-    micro = days * 86400 * 1_000_000
-    now = F.unix_micros("occurred_at")
-    w = Window.partitionBy(key).orderBy(now).rowsBetween(-most, -1)
-    last = F.collect_list(F.struct(now.alias("t"), F.col(value).alias("v"))).over(w)
-    out = df.withColumn("__last", last).withColumn("__seen", F.sort_array(F.filter(F.transform(F.filter("__last", lambda x: (x["t"] < now) & (x["t"] >= now - micro)), lambda x: x["v"]), lambda v: v.isNotNull())))
-    n = F.size("__seen")
-    mid = lambda i: F.try_element_at("__seen", i)
-    med = F.when(n == 0, F.lit(None)).when(n % 2 == 1, mid((n / 2).cast("int") + 1)).otherwise((mid((n / 2).cast("int")) + mid((n / 2).cast("int") + 1)) / 2)
-    return out.withColumns({"median": med, "prior": n}).drop("__seen", "__last")
-
-
 def trailing_path_mean(routes: DataFrame, size: int = 20) -> DataFrame:
     """The mean length of the last paths announced before for a prefix, and their number."""
     w = Window.partitionBy("prefix").orderBy(*ORDER).rowsBetween(-size, -1)

@@ -14,6 +14,7 @@ from skerry.operators import graph as G
 from skerry.operators import joins as J
 from skerry.operators import ml as M
 from skerry.operators import policy as R
+from skerry.operators import scan as C
 from skerry.operators import state as L
 from skerry.operators import windows as W
 from skerry.plans.fixtures import AS_OF, view
@@ -151,7 +152,10 @@ add("sessions", f"WITH {_SESS} SELECT speaker_addr, peer_addr, up_at, down_at, r
 add("longest_sessions", f"WITH {_SESS} SELECT speaker_addr, peer_addr, count(*) AS sessions, max(round((epoch_us(down_at) - epoch_us(up_at)) / 1e6, 6)) AS longest_s FROM s WHERE up_at IS NOT NULL GROUP BY ALL")(lambda v: W.longest_sessions(v.peer_events))
 _Z = f"h AS (SELECT prefix, {HOUR} AS hour, count(*) AS events FROM route_events GROUP BY ALL), z AS (SELECT *, avg(events) OVER w AS m, stddev_pop(events) OVER w AS s, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY prefix ORDER BY hour ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)), y AS (SELECT prefix, hour, events, round(CASE WHEN n < 2 OR s = 0 THEN 0 ELSE (events - m) / s END, 6) AS z FROM z)"
 add("rolling_zscore", f"WITH {_Z} SELECT *, abs(z) > 3 AS anomalous FROM y")(lambda v: D.hourly_anomalies(v.route_events))
-add("rolling_median", "SELECT event_id, round(median(counter_value) OVER w, 6) AS median, CAST(count(*) OVER w AS INT) AS prior FROM stats_events WINDOW w AS (PARTITION BY peer_addr ORDER BY occurred_at RANGE BETWEEN INTERVAL '7 days' PRECEDING AND INTERVAL '1 microsecond' PRECEDING)")(lambda v: W.rolling_median(v.stats_events, "peer_addr", "counter_value").select("event_id", F.round(F.col("median").cast("double"), 6).alias("median"), "prior"))
+add("rolling_median", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY peer_addr ORDER BY occurred_at, event_id) AS i FROM stats_events),
+w AS (SELECT a.event_id, median(b.counter_value) AS m, count(b.counter_value) AS n FROM s a LEFT JOIN s b ON a.peer_addr = b.peer_addr AND b.i < a.i AND b.i >= a.i - 2000 AND b.occurred_at < a.occurred_at
+ AND b.occurred_at >= a.occurred_at - INTERVAL 7 DAYS GROUP BY a.event_id)
+SELECT event_id, round(m, 6) AS median, CAST(n AS INT) AS prior FROM w""")(lambda v: C.rolling_median(v.stats_events, "peer_addr", "counter_value").select("event_id", F.round(F.col("median").cast("double"), 6).alias("median"), "prior"))
 _TRAIL = f"t AS (SELECT *, avg(as_path_len) OVER w AS m, count(*) OVER w AS n FROM route_events WHERE {ANN} AND as_path_len > 0 WINDOW w AS (PARTITION BY prefix ORDER BY occurred_at, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
 add("trailing_path_mean", f"WITH {_TRAIL} SELECT event_id, round(m, 6) AS mean_before, n AS before FROM t")(lambda v: W.trailing_path_mean(v.route_events).select("event_id", F.round("mean_before", 6).alias("mean_before"), "before"))
 _MIN = f"t AS (SELECT *, min(as_path_len) OVER (PARTITION BY prefix, peer_addr ORDER BY occurred_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS min_before FROM route_events WHERE {ANN} AND as_path_len > 0)"
@@ -196,7 +200,7 @@ add("origin_changes", f"WITH {VALID}, g AS (SELECT *, lag(origin_asn) OVER w AS
 add("leaks", f"WITH {_MIN} SELECT event_id, occurred_at, prefix, peer_addr, CASE WHEN only_to_customer IS NOT NULL THEN 'otc' ELSE 'short' END AS evidence FROM t WHERE only_to_customer IS NOT NULL OR min_before - as_path_len >= 3")(lambda v: D.leaks(v.route_events))
 add("hijacks", f"WITH {VALID}, o AS (SELECT * FROM judged WHERE {ANN}), g AS (SELECT a.event_id, a.occurred_at, a.prefix, a.peer_addr, a.origin_asn, a.rpki_validity, list_sort(list(DISTINCT b.origin_asn)) AS seen FROM o a JOIN o b ON a.prefix = b.prefix AND epoch_us(b.occurred_at) BETWEEN epoch_us(a.occurred_at) - 86400000000 AND epoch_us(a.occurred_at) - 1 GROUP BY ALL) SELECT event_id, occurred_at, prefix, peer_addr, origin_asn AS new_origin, array_to_string(seen, ' ') AS known, {_SEV} FROM g WHERE NOT list_contains(seen, origin_asn)")(lambda v: D.hijacks(v.route_events, v.roas, 86400))
 add("convergence_percentiles", f"WITH {_SESS}, e AS (SELECT (epoch_us(down_at) - epoch_us(up_at)) / 1e3 AS convergence_ms FROM s WHERE up_at IS NOT NULL AND down_at IS NOT NULL) SELECT round(quantile_cont(convergence_ms, 0.5), 6) AS p50, round(quantile_cont(convergence_ms, 0.9), 6) AS p90, round(quantile_cont(convergence_ms, 0.99), 6) AS p99, count(*) AS episodes FROM e")(lambda v: A.convergence_percentiles(W.sessions(v.peer_events).where("NOT ongoing").select(((F.unix_micros("down_at") - F.unix_micros("up_at")) / 1e3).alias("convergence_ms")), exact=True))
-_EP = f"{_SESS}, e AS (SELECT peer_addr, up_at AS t, (epoch_us(down_at) - epoch_us(up_at)) / 1e3 AS ms FROM s WHERE up_at IS NOT NULL AND down_at IS NOT NULL), m AS (SELECT *, median(ms) OVER w AS med, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY peer_addr ORDER BY t RANGE BETWEEN INTERVAL '7 days' PRECEDING AND INTERVAL '1 microsecond' PRECEDING))"
+_EP = f"{_SESS}, e AS (SELECT peer_addr, up_at AS t, (epoch_us(down_at) - epoch_us(up_at)) / 1e3 AS ms FROM s WHERE up_at IS NOT NULL AND down_at IS NOT NULL), i AS (SELECT *, row_number() OVER (PARTITION BY peer_addr ORDER BY t, ms) AS i FROM e), m AS (SELECT a.peer_addr, a.t, a.ms, a.i, median(b.ms) AS med, count(b.ms) AS n FROM i a LEFT JOIN i b ON a.peer_addr = b.peer_addr AND b.i < a.i AND b.i >= a.i - 2000 AND b.t < a.t AND b.t >= a.t - INTERVAL 7 DAYS GROUP BY ALL)"
 add("slow_convergence", f"WITH {_EP} SELECT peer_addr, t AS started_at, ms AS convergence_ms, med AS median, round(ms / med, 6) AS ratio, CASE WHEN ms / med >= 6 THEN 'critical' ELSE 'warning' END AS severity FROM m WHERE n >= 3 AND med > 0 AND ms / med >= 3")(lambda v: D.slow_convergence(W.sessions(v.peer_events).where("NOT ongoing").select("peer_addr", F.col("up_at").alias("started_at"), ((F.unix_micros("down_at") - F.unix_micros("up_at")) / 1e3).alias("convergence_ms"))))
 add("flap_scores", "WITH s AS (SELECT greatest((epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 3.6e9, 1.0) AS h FROM peer_events), d AS (SELECT peer_addr, count(*) AS downs FROM peer_events WHERE event_type = 'peer_down' GROUP BY 1) SELECT peer_addr, downs, round(downs / h, 6) AS per_hour, CASE WHEN downs / h < 3 THEN 'low' WHEN downs / h < 10 THEN 'medium' ELSE 'high' END AS severity FROM d, s")(lambda v: D.flap_scores(v.peer_events))
 # graphs --------------------------------------------------------------------------------------------------------------------------------------------------------------

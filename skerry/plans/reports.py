@@ -186,10 +186,8 @@ SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'route-target' WHEN 1 THEN 'route
 )
 add("route_distinguishers", f"""WITH w AS (SELECT event_id, rd, {_NUMBERS} FROM wire_values)
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN n || ':' || m WHEN 1 THEN {_DOT} WHEN 2 THEN CAST(n * 65536 + m // 65536 AS STRING) || ':' || CAST(m % 65536 AS STRING) ELSE rd END AS text FROM w""")(lambda v: v.wire_values.select("event_id", X.rd_text("rd").alias("text")))
-#: Some of the counters' names, by type; the others are left out of the query.
-_COUNTERS = {0: "prefixes-rejected-by-inbound-policy", 7: "explicit-withdraw-count", 11: "adj-rib-in-routes", 12: "loc-rib-routes", 38: "per-afi-safi-adj-rib-out-post-policy-routes", 44: "unknown"}
-add("counter_names", "SELECT event_id, CASE stat_type " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in _COUNTERS.items()) + f" END AS name FROM wire_values WHERE stat_type IN ({', '.join(map(str, _COUNTERS))})")(
-    lambda v: v.wire_values.where(F.col("stat_type").isin(*_COUNTERS)).select("event_id", X.counter_name("stat_type").alias("name"))
+add("counter_names", "SELECT event_id, CASE stat_type " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in X.COUNTERS.items()) + " ELSE 'unknown' END AS name FROM wire_values")(
+    lambda v: v.wire_values.select("event_id", X.counter_name("stat_type").alias("name"))
 )
 add("rib_types", """SELECT event_id, CASE WHEN peer_type = 3 AND flags & 8 <> 0 THEN 'LocRibFiltered' WHEN peer_type = 3 THEN 'LocRib'
  ELSE 'AdjRib' || CASE WHEN flags & 16 <> 0 OR peer_type = 2 THEN 'Out' ELSE 'In' END || CASE WHEN flags & 64 <> 0 THEN 'PostPolicy' ELSE 'PrePolicy' END END AS rib_type FROM wire_values""")(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import prefixes as P
 from skerry.functions import scalars as X
-from skerry.operators import aggregates, detectors, graph, joins, ml, policy, state, windows
+from skerry.operators import aggregates, detectors, graph, joins, ml, policy, scan, state, windows
 from skerry.sources import schemas, tables
 from skerry.streaming import streams
 from tests.conftest import SF
@@ -140,6 +140,8 @@ def test_episodes_equal_fold(spark):
         want |= {(p, *e) for e in episode_fold([(micros(r[1]), r[4], r[5], r[6], r[7]) for r in rows if r[3] == p], 5.0, 1, (7, 8))}
     got = {(r.peer_addr, micros(r.started_at), micros(r.eor_at), r.withdraws, r.affected_prefixes, r.recovered_prefixes, r.ended_by) for r in detectors.convergence_events(peers, routes, stats).collect()}
     assert got == want and {w[-1] for w in want} == {"quiet", "peer_up", "stat"}
+    sliced = {(r.peer_addr, micros(r.started_at), micros(r.eor_at), r.withdraws, r.affected_prefixes, r.recovered_prefixes, r.ended_by) for r in detectors.convergence_events(peers, routes, stats, slice_s=7).collect()}
+    assert sliced == want
 
 
 def test_unsettled_paths(spark):
@@ -165,12 +167,52 @@ def test_windows_equal_lists(spark):
             hij.add((e, " ".join(map(str, sorted(known)))))
     assert {(r.event_id, r.observations, r.turns) for r in detectors.med_oscillation(routes, 20).collect()} == osc and osc
     assert {(r.event_id, r.known) for r in detectors.hijacks(routes, seconds=3).collect()} == hij and hij
-    got = windows.rolling_median(routes.where("med IS NOT NULL").withColumn("k", F.lit("k")), "k", "med", days=1, most=50).collect()
-    one_day = sorted((r[1], r[6]) for r in rows if r[6] is not None)
-    for r in got:
-        assert r.prior <= 50 and (r.prior < 50 or r["median"] is not None)
-    first = [m for t, m in one_day if t < one_day[30][0]]
-    assert any(r["median"] == float(np.median(first)) and r.prior == len(first) for r in got if r.occurred_at == one_day[30][0])
+
+
+def test_rolling_median_equals_lists(spark):
+    """Medians of the last rows and days against lists, with ties of time, nulls, blocks and slices of a busy key, and whatever else a row has."""
+    rng = random.Random(8)
+    rows = [(i, at(rng.randint(0, 400) * 1800), "k" if rng.random() < 0.8 else rng.choice("xy"), rng.choice([None, 1, 2, 2, 5, 9, 40]), "kept", [i]) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, key string, v bigint, __own string, more array<int>").withColumnRenamed("__own", "own")
+    for most, days, block in ((50, 1, 50), (2000, 3, 100), (7, 100, 64)):
+        got = {r.event_id: r for r in scan.rolling_median(df, "key", "v", days, most, block=block).collect()}
+        assert len(got) == len(rows)
+        for key in "kxy":
+            own = sorted((r[1], r[0], r[3]) for r in rows if r[2] == key)
+            for i, (t, e, _) in enumerate(own):
+                seen = [v for u, _, v in own[max(0, i - most) : i] if u < t and (t - u).total_seconds() <= days * 86400 and v is not None]
+                r = got[e]
+                assert (r.prior, r["median"]) == (len(seen), float(np.median(seen)) if seen else None) and (r.own, r.more) == ("kept", [e])
+
+
+def test_oscillation_of_one_instant(spark):
+    """Ties are told apart, however many: each of 700 rows of one instant sees those before it."""
+    rows = [(i, at(0), "x", "p", "announce", (i * 7) % 5) for i in range(700)]
+    got = {r.event_id: (r.observations, r.turns) for r in detectors.med_oscillation(spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, prefix string, peer_addr string, action string, med bigint")).collect()}
+    meds = [r[5] for r in rows]
+    rises = [b > a for a, b in zip(meds, meds[1:])]
+    turns = [0, 0, *np.cumsum([a != b for a, b in zip(rises, rises[1:])]).tolist()]
+    assert got == {i: (i + 1, turns[i]) for i in range(4, 700) if turns[i] >= 2} and {497, 498, 500, 699} <= set(got)
+
+
+def test_running_values_of_a_busy_key(spark):
+    """Slices give what one window over the whole key does, for keys with gaps of many slices, ties and nulls; and tasks get slices of a busy key."""
+    from pyspark.sql import Window
+
+    rng = random.Random(3)
+    rows = [(i, at(rng.choice([rng.randint(0, 5000), 3_000_000 + rng.randint(0, 9000)])), "hot" if rng.random() < 0.9 else f"k{i % 4}", rng.choice([None, 1, 2, 3]), rng.choice([None, None, "a", "b"])) for i in range(800)]
+    df = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, k string, v bigint, s string")
+    w = Window.partitionBy("k").orderBy("occurred_at", "event_id")
+    for before in (False, True):
+        frame = w.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        want = df.select("event_id", F.coalesce(F.sum("v").over(frame), F.lit(0)).alias("a"), F.max("v").over(frame).alias("b"), F.first("s", ignorenulls=True).over(frame).alias("c"))
+        got = scan.running(df, ["k"], {"a": ("sum", F.col("v")), "b": ("max", F.col("v")), "c": ("first", F.col("s"))}, before=before, seconds=600)
+        assert got.columns == [*df.columns, "a", "b", "c"] and sorted(map(tuple, got.select("event_id", "a", "b", "c").collect())) == sorted(map(tuple, want.collect()))
+    want = df.select("event_id", F.lead("v").over(w).alias("n"))
+    got = scan.following(df, ["k"], "n", F.col("v"), seconds=600)
+    assert sorted(map(tuple, got.select("event_id", "n").collect())) == sorted(map(tuple, want.collect()))
+    largest = df.where("k = 'hot'").groupBy(scan.slice_of(600)).count().agg(F.max("count")).first()[0]
+    assert largest < 0.15 * len(rows)  # of a key with nine tenths of all rows
 
 
 def test_hijack_model_finds_planted(spark):
