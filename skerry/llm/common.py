@@ -247,7 +247,9 @@ def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 def read_rows(path: str, columns: list[str], **equal) -> pa.Table:
     """Rows of a small Parquet table in the shared folder, as a task reads them; equal picks values of columns that it is partitioned by."""
     store, root = fs.FileSystem.from_uri(path)
-    files = [f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.base_name.endswith(".parquet") and all(f"/{k}={v}/" in f.path for k, v in equal.items())]
+    for k, v in equal.items():  # in the order of the partitions: only their folder is listed
+        root = f"{root}/{k}={v}"
+    files = [f.path for f in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file and f.base_name.endswith(".parquet")]
     return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns) for f in files]) if files else pa.table({c: [] for c in columns})
 
 

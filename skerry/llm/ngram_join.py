@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -420,8 +420,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     open_ = groups.groupBy("component").agg(F.count("*").alias("groups"), F.max_by("g", F.struct("size", "g")).alias("main")).where("groups > 1").select("component", "main")
     left = cut(so_far.join(open_, "component").select("component", "k1", "k2", (F.col("g") == F.col("main")).cast("int").alias("f")), "open")
     placed, units = in_blocks(named.join(left, ["component", "k1", "k2"]), ["component", "band", "f"])
-    a, b = (units.select("component", F.col("band").alias(f"b{x}"), F.col("f").alias(f"f{x}"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias(f"i{x}")) for x in "ab")
-    both = a.join(b, "component").where("bb - ba IN (0, 1) AND fa + fb < 2 AND (ba < bb OR fa < fb OR fa = fb AND ia <= ib)")
+    a, b = (units.select("component", F.col("band").alias(f"b{x}"), F.col("f").alias(f"f{x}"), F.col("own").alias(f"own{x}")) for x in "ab")
+    near_units = a.withColumn("bb", F.explode(F.array("ba", F.col("ba") + 1))).join(b, ["component", "bb"]).where("fa + fb < 2 AND (ba < bb OR fa <= fb)")  # four at most of a cluster's band
+    both = near_units.withColumn("ia", F.explode(F.sequence(F.lit(0), F.col("owna") - 1)))
+    both = both.withColumn("ib", F.explode(F.sequence(F.when((F.col("ba") == F.col("bb")) & (F.col("fa") == F.col("fb")), F.col("ia")).otherwise(0), F.col("ownb") - 1)))
     sides = both.select(*task, F.col("ba").alias("band"), F.col("fa").alias("f"), F.col("ia").alias("block"), F.lit(0).alias("side"))
     sides = cut(sides.unionByName(both.where("ba <> bb OR fa <> fb OR ia <> ib").select(*task, F.col("bb").alias("band"), F.col("fb").alias("f"), F.col("ib").alias("block"), F.lit(1).alias("side"))), "tasks")
     second = placed.join(sides, ["component", "band", "f", "block"]).select(*task, "side", "k1", "k2", "items")

@@ -672,6 +672,57 @@ def test_token_counts_with_sections(spark):
     assert sum(r.n_tokens for r in got) == got[0].doc_tokens and sorted((r.start, r.end) for r in got if r.section_id >= 0) == [(0, 8), (8, 13), (14, 18)]
 
 
+def test_decontamination_best_windows(spark):
+    """Every window of random texts with edited passages against every item: what is found is the best of those that are similar and within the radius, and nothing else."""
+    rng = random.Random(17)
+    vocab = VOCAB[:60]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([3, 5, 9, 20, 20, 40, 70])]
+    rows = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            parts += [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 25))), rng.choice([" ", ", ", " - "]).join(w)]
+        rows.append((d, " ".join(parts) if d else None))
+
+    def shingles(text):
+        col = pa.array([(text or "").lower()])
+        before, _, _, h = decontaminate.words(col, decontaminate.PUNCTUATION)
+        return h
+
+    def hashes(h, n):
+        return decontaminate.shingle_hashes(np.array([0, len(h)]), h, n)[1]
+
+    want = {}
+    for item, text in items:
+        own = shingles(text)
+        n = min(5, len(own))
+        s = hashes(own, n)
+        g, fp = Counter(s.tolist()), decontaminate.fingerprints(decontaminate.mix(s), len(s), np.zeros(1, np.int64))[0]
+        for d, t in rows:
+            h = shingles(t)
+            if not len(h):
+                continue
+            size = min(len(own), len(h))
+            best = None
+            for i in range(len(h) - size + 1):
+                part = hashes(h[i : i + size], n)
+                if len(h[i : i + size]) < n:
+                    continue
+                x = Counter(part.tolist())
+                sim = sum((g & x).values()) / sum((g | x).values())
+                far = int(np.bitwise_count(decontaminate.fingerprints(decontaminate.mix(part), len(part), np.zeros(1, np.int64))[0] ^ fp))
+                if sim >= 0.8 and far <= decontaminate.RADIUS and (best is None or sim > best[3]):
+                    best = (i, size, far, sim)
+            if best:
+                want[d, item] = best
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.hamming, r.similarity) for r in decontaminate.find_leaks(table(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()} and len(want) > 20
+    assert all(abs(got[k][3] - want[k][3]) < 1e-9 for k in want) and any(v[2] > 8 for v in want.values())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
