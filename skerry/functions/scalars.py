@@ -128,47 +128,47 @@ def rd_text(raw: C) -> Column:
 
 
 #: The monitoring protocol's counters, types 0 to 38 in order.
-COUNTERS = dict(enumerate("""
-prefixes-rejected-by-inbound-policy
-duplicate-prefix-advertisements
-duplicate-withdrawals
-cluster-list-loop-detections
-as-path-loop-detections
-originator-id-loop-detections
-implicit-withdraw-count
-explicit-withdraw-count
-update-treatments-as-withdraw
-prefixes-treated-as-withdraw
-duplicate-update-messages
-adj-rib-in-routes
-loc-rib-routes
-per-afi-safi-adj-rib-in-routes
-per-afi-safi-loc-rib-routes
-updates-subjected-to-treat-as-withdraw
-prefixes-subjected-to-treat-as-withdraw
-duplicate-update-messages-rcvd
-pre-policy-adj-rib-in-routes
-per-afi-safi-pre-policy-adj-rib-in-routes
-post-policy-adj-rib-in-routes
-per-afi-safi-post-policy-adj-rib-in-routes
-per-afi-safi-pre-policy-routes-rejected-inbound
-per-afi-safi-post-policy-routes-accepted-inbound
-adj-rib-out-pre-policy-routes
-per-afi-safi-adj-rib-out-pre-policy-routes
-per-afi-safi-damped-routes
-per-afi-safi-gr-stale-routes
-per-afi-safi-llgr-stale-routes
-pre-route-limit-adj-rib-in
-per-afi-safi-pre-route-limit-adj-rib-in
-pre-license-limit-routes
-per-afi-safi-pre-license-limit-routes
-max-aspath-length-rejected
-per-afi-safi-max-aspath-length-rejected
-per-afi-safi-rpki-invalidated-routes
-per-afi-safi-rpki-not-valid-routes
-adj-rib-out-post-policy-routes
-per-afi-safi-adj-rib-out-post-policy-routes
-""".split()))
+COUNTERS = {
+    0: "prefixes-rejected-by-inbound-policy",
+    1: "duplicate-prefix-advertisements",
+    2: "duplicate-withdrawals",
+    3: "cluster-list-loop-detections",
+    4: "as-path-loop-detections",
+    5: "originator-id-loop-detections",
+    6: "implicit-withdraw-count",
+    7: "explicit-withdraw-count",
+    8: "update-treatments-as-withdraw",
+    9: "prefixes-treated-as-withdraw",
+    10: "duplicate-update-messages",
+    11: "adj-rib-in-routes",
+    12: "loc-rib-routes",
+    13: "per-afi-safi-adj-rib-in-routes",
+    14: "per-afi-safi-loc-rib-routes",
+    15: "updates-subjected-to-treat-as-withdraw",
+    16: "prefixes-subjected-to-treat-as-withdraw",
+    17: "duplicate-update-messages-rcvd",
+    18: "pre-policy-adj-rib-in-routes",
+    19: "per-afi-safi-pre-policy-adj-rib-in-routes",
+    20: "post-policy-adj-rib-in-routes",
+    21: "per-afi-safi-post-policy-adj-rib-in-routes",
+    22: "per-afi-safi-pre-policy-routes-rejected-inbound",
+    23: "per-afi-safi-post-policy-routes-accepted-inbound",
+    24: "adj-rib-out-pre-policy-routes",
+    25: "per-afi-safi-adj-rib-out-pre-policy-routes",
+    26: "per-afi-safi-damped-routes",
+    27: "per-afi-safi-gr-stale-routes",
+    28: "per-afi-safi-llgr-stale-routes",
+    29: "pre-route-limit-adj-rib-in",
+    30: "per-afi-safi-pre-route-limit-adj-rib-in",
+    31: "pre-license-limit-routes",
+    32: "per-afi-safi-pre-license-limit-routes",
+    33: "max-aspath-length-rejected",
+    34: "per-afi-safi-max-aspath-length-rejected",
+    35: "per-afi-safi-rpki-invalidated-routes",
+    36: "per-afi-safi-rpki-not-valid-routes",
+    37: "adj-rib-out-post-policy-routes",
+    38: "per-afi-safi-adj-rib-out-post-policy-routes",
+}
 
 
 def counter_name(kind: C) -> Column:

@@ -209,13 +209,15 @@ add("path_edges", f"WITH {_E} SELECT * FROM e")(lambda v: G.path_edges(v.route_e
 add("adjacency", f"WITH {_E} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst")(lambda v: G.adjacency(v.route_events))
 add("as_degrees", f"WITH {_E}, j AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), d AS (SELECT asn, count(*) AS degree FROM (SELECT a AS asn FROM j UNION ALL SELECT b FROM j) GROUP BY 1) SELECT asn, degree, asn IN (SELECT src FROM e) AND asn IN (SELECT dst FROM e) AS transit FROM d")(lambda v: G.degrees(v.route_events))
 _ED = "e AS (SELECT local_router_id AS src, remote_router_id AS dst, min(CAST(igp_metric AS BIGINT)) AS metric FROM bgpls_links GROUP BY ALL)"
-add("shortest_paths", f"WITH RECURSIVE {_ED}, w AS (SELECT DISTINCT src AS source, src AS node, CAST(0 AS BIGINT) AS distance, 0 AS k FROM e UNION SELECT source, dst, min(distance + metric), k + 1 FROM w JOIN e ON node = src WHERE k < 24 GROUP BY source, dst, k) SELECT source, node, min(distance) AS distance FROM w GROUP BY ALL")(lambda v: G.shortest_paths(v.links).select("source", "node", "distance"))
+add("shortest_paths", f"WITH RECURSIVE {_ED}, w AS (SELECT DISTINCT src AS source, src AS node, CAST(0 AS BIGINT) AS distance, 0 AS k FROM e WHERE src IN ('10.255.0.3', '10.255.0.7', '10.255.0.11') UNION SELECT source, dst, min(distance + metric), k + 1 FROM w JOIN e ON node = src WHERE k < 24 GROUP BY source, dst, k) SELECT source, node, min(distance) AS distance FROM w GROUP BY ALL")(
+    lambda v: G.shortest_paths(v.links, v.links.where("local_router_id IN ('10.255.0.3', '10.255.0.7', '10.255.0.11')").select(F.col("local_router_id").alias("router_id"))).select("source", "node", "distance")
+)
 add("blast_radius", f"WITH RECURSIVE {_ED}, w AS (SELECT '10.255.0.3' AS node, 0 AS k UNION SELECT dst, k + 1 FROM w JOIN e ON node = src WHERE k < 3) SELECT node, min(k) AS hops FROM w WHERE node <> '10.255.0.3' GROUP BY 1")(lambda v: G.blast_radius(v.links, "10.255.0.3"))
 add("diverse_paths", "WITH RECURSIVE w AS (SELECT '10.255.0.3' AS node, ['10.255.0.3'] AS nodes, CAST(0 AS BIGINT) AS metric, CAST([] AS VARCHAR[]) AS g UNION ALL SELECT remote_router_id, list_append(nodes, remote_router_id), metric + igp_metric, list_append(g, srlg_groups) FROM w JOIN bgpls_links ON node = local_router_id WHERE NOT list_contains(nodes, remote_router_id) AND node <> '10.255.0.9' AND len(nodes) <= 6), d AS (SELECT array_to_string(nodes, ' ') AS path, metric, g FROM w WHERE node = '10.255.0.9'), f AS (SELECT * FROM d ORDER BY metric, path LIMIT 1) SELECT d.path, d.metric, d.path = f.path AS primary FROM d, f WHERE d.path = f.path OR NOT list_has_any(d.g, f.g)")(lambda v: G.diverse_paths(v.links, "10.255.0.3", "10.255.0.9", 6))
 # features and models -----------------------------------------------------------------------------------------------------------------------------------------------
 add("outliers", f"WITH s AS (SELECT prefix, count(*) AS score FROM route_events GROUP BY 1) SELECT prefix, score FROM s WHERE score > (SELECT avg(score) + stddev_pop(score) FROM s)")(lambda v: M.outliers(v.route_events.groupBy("prefix").agg(F.count("*").alias("score")), 1.0))
 add("route_features", f"SELECT event_id, CAST(coalesce(as_path_len, 0) AS DOUBLE) AS path_len, CAST({_LEN.format('prefix')} AS DOUBLE) AS prefix_len, CAST(coalesce(local_pref, 100) AS DOUBLE) AS local_pref, CAST(coalesce(med, 0) AS DOUBLE) AS med, CAST(CASE WHEN communities IS NULL THEN 0 ELSE len(string_split(communities, ',')) END AS DOUBLE) AS n_communities, 0.5 :: DOUBLE AS rpki, CAST(action = 'withdraw' AS DOUBLE) AS is_withdraw, CASE WHEN as_path_len = 4 THEN 1.0 ELSE 0.0 END :: DOUBLE AS has_prepend FROM route_events")(lambda v: M.route_features(v.route_events))
-add("isolation_forest", None)(lambda v: M.isolation_forest(M.route_features(v.route_events), trees=50))
+add("isolation_forest", None)(lambda v: M.isolation_forest(M.route_features(v.route_events)))
 _HF = f"h AS (SELECT event_id, CAST(coalesce(lag(origin_asn) OVER w <> origin_asn, false) AS INT) AS origin_changed, CASE rpki_validity WHEN 'valid' THEN 0 WHEN 'invalid' THEN 2 ELSE 1 END AS rpki, CAST(coalesce(as_path_len - lag(as_path_len) OVER w, 0) AS INT) AS path_delta, CASE WHEN peer_as < 65006 THEN 1 ELSE 0 END AS peer_expected FROM judged WHERE {ANN} WINDOW w AS (PARTITION BY prefix, peer_addr ORDER BY occurred_at, event_id))"
 add("hijack_score", f"WITH {VALID}, {_HF}, s AS (SELECT *, round(least(1, greatest(0, 0.3 * origin_changed + CASE rpki WHEN 2 THEN 0.25 WHEN 0 THEN -0.15 ELSE 0 END + CASE WHEN path_delta <= -3 THEN 0.1 ELSE 0 END - 0.2 * peer_expected)), 6) :: DOUBLE AS score FROM h) SELECT *, score >= 0.5 AS is_hijack FROM s")(lambda v: M.hijack_score(M.hijack_features(v.judged, v.peer_max_prefix.where("peer_as < 65006"))).select("event_id", "origin_changed", "rpki", "path_delta", "peer_expected", "score", "is_hijack"))
 # sinks -----------------------------------------------------------------------------------------------------------------------------------------------------------------

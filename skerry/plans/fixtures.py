@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 #: The instant that look-back queries count from.
 AS_OF = "2024-01-31 00:00:00"
@@ -100,7 +99,7 @@ SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'dst=' || prefix || ' proto=6' WH
 FROM route_events WHERE event_id % 10 = 2""",
     "wire_values": """
 SELECT event_id, as_path, event_id % 45 AS stat_type, event_id % 4 AS peer_type, event_id % 3 * 32 + event_id % 5 * 8 AS flags,
- CASE event_id % 7 WHEN 0 THEN 4294967041 WHEN 1 THEN 4294967042 WHEN 2 THEN 4294902426 ELSE 4259840000 + event_id % 300 END AS community,
+ CASE event_id % 9 WHEN 0 THEN 4294967041 WHEN 1 THEN 4294967042 WHEN 2 THEN 4294967043 WHEN 3 THEN 4294902426 WHEN 4 THEN 4294901760 WHEN 5 THEN 4294901761 ELSE 4259840000 + event_id % 300 END AS community,
  CASE event_id % 5 WHEN 0 THEN '0002' WHEN 1 THEN '0003' WHEN 2 THEN '0102' WHEN 3 THEN '030b' ELSE '0306' END || lpad(lower(hex(64000 + event_id % 500)), 4, '0') || lpad(lower(hex(event_id % 70000)), 8, '0') AS ext_community,
  lpad(CAST(event_id % 4 AS STRING), 4, '0') || lpad(lower(hex(64000 + event_id % 500)), 4, '0') || lpad(lower(hex(event_id % 70000)), 8, '0') AS rd,
  CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN 'IPv4' WHEN 2 THEN '2' WHEN 3 THEN 'ipv6-unicast' WHEN 4 THEN 'EVPN' ELSE NULL END AS afi
@@ -109,8 +108,14 @@ FROM route_events""",
 SELECT * FROM (
 SELECT event_id, occurred_at, speaker_addr, peer_addr, peer_as, rib_type, action, prefix, afi, as_path, as_path_len, local_pref, med, communities, only_to_customer, false AS label FROM route_events
 UNION ALL
-SELECT event_id + 1000000000, occurred_at, speaker_addr, peer_addr, 65099, rib_type, 'announce', CASE WHEN event_id % 2 = 0 THEN prefix ELSE '20.' || CAST((event_id * 37) % 97 AS STRING) || '.128.0/25' END, afi,
- '65099 ' || CAST(64990 + event_id % 7 AS STRING), 2, local_pref, med, communities, NULL, true FROM route_events WHERE event_id % 40 = 9 AND action = 'announce') u""",
+SELECT event_id + 1000000000, occurred_at, speaker_addr, peer_addr, peer_as, rib_type, 'announce',
+ CASE WHEN event_id % 80 = 9 AND (event_id * 37) % 97 % 2 = 0 AND (event_id * 37) % 97 < 60 THEN prefix ELSE '20.' || CAST((event_id * 37) % 97 AS STRING) || '.0.0/26' END, afi,
+ CAST(peer_as AS STRING) || ' ' || CAST(64600 + event_id % 7 AS STRING) || ' ' || CAST(64990 + event_id % 7 AS STRING), 3, local_pref, med, communities, NULL, true
+FROM route_events WHERE event_id % 40 = 9 AND action = 'announce') u""",
+    "route6_events": """
+SELECT event_id, occurred_at, speaker_addr, peer_addr, peer_as, rib_type, action, (event_id * 37) % 97 * 256 AS x, 40 + (event_id * 37) % 97 % 9 AS l,
+ '2001:db8:' || lower(hex((event_id * 37) % 97 * 256)) || '::/' || CAST(40 + (event_id * 37) % 97 % 9 AS STRING) AS prefix, as_path, as_path_len, local_pref, communities
+FROM route_events""",
     "bgpls_links": """
 SELECT '10.255.0.' || CAST(a.n_nationkey AS STRING) AS local_router_id,
  '10.255.0.' || CAST(b.n_nationkey AS STRING) AS remote_router_id,
@@ -123,6 +128,10 @@ FROM (SELECT DISTINCT speaker_addr, peer_addr, peer_as FROM route_events) t""",
     "vrps": """
 SELECT '20.' || CAST(i AS STRING) || '.0.0' AS net, CASE WHEN i % 8 = 0 THEN 13 ELSE 16 END AS vlen,
  CASE WHEN i % 3 = 0 THEN 18 ELSE 24 END AS max_len, 64700 + i + CASE WHEN i % 7 = 0 THEN 1 ELSE 0 END AS origin_asn
+FROM (SELECT DISTINCT (event_id * 37) % 97 AS i FROM events) t WHERE i % 2 = 0 AND i < 60""",
+    "vrps6": """
+SELECT '2001:db8:' || lower(hex(i * 256)) || '::' AS net, i * 256 AS x, CASE WHEN i % 8 = 0 THEN 37 ELSE 40 END AS vlen,
+ CASE WHEN i % 3 = 0 THEN 42 ELSE 48 END AS max_len, 64700 + i + CASE WHEN i % 7 = 0 THEN 1 ELSE 0 END AS origin_asn
 FROM (SELECT DISTINCT (event_id * 37) % 97 AS i FROM events) t WHERE i % 2 = 0 AND i < 60""",
     "aspa": """
 SELECT DISTINCT 64600 + event_id % 7 AS customer_asn, 65000 + user_id % 12 AS provider_asn FROM events WHERE user_id % 12 < 9""",
@@ -139,15 +148,9 @@ def reads(name: str) -> list[str]:
     return list(dict.fromkeys(words[i + 1] for i, w in enumerate(words[:-1]) if w in ("FROM", "JOIN") and words[i + 1] in {*VIEWS, *_TABLES}))
 
 
-_schemas: dict[str, StructType] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table in sf_dir. Its schema is asked of the files once, which takes a job."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    """A table in sf_dir."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from skerry.functions import scalars as X
 from skerry.operators import aggregates as A
+from skerry.operators import canned
 from skerry.operators import detectors as D
 from skerry.operators import graph as G
 from skerry.operators import joins as J
 from skerry.operators import ml as M
 from skerry.operators import policy as R
 from skerry.operators import state as L
-from skerry.plans.catalogue import _LAST, _MIN, _OWN, _SEV, _T, _TRAIL, _Z, ANN, LABEL, VALID, Views, add
+from skerry.plans.catalogue import _LAST, _MIN, _OWN, _SEV, _T, _TRAIL, _Z, ANN, LABEL, ORIGIN, VALID, Views, add
 from skerry.plans.fixtures import AS_OF
 from skerry.sources import tables as S
+from skerry.streaming import stateful as T
 
 # features ------------------------------------------------------------------------------------------------------------------------------------------------------------
 MARK = "CASE event_id % 7 WHEN 0 THEN 'best' WHEN 1 THEN 'ecmp' WHEN 2 THEN 'backup' WHEN 3 THEN 'nonselected' WHEN 4 THEN 'filtered' WHEN 5 THEN 'stale' END"
@@ -100,8 +102,9 @@ def hijack_rows(v: Views):
 
 
 def hijack_model(v: Views):
+    """Rows that the model hasn't learned from, with what it says of them."""
     rows = L.settled(hijack_rows(v))
-    return M.train_hijack_model(rows)[0].transform(rows).select("event_id", "label", F.col("prediction").cast("int").alias("prediction"))
+    return M.train_hijack_model(rows)[0].transform(rows.where(M.held_out())).select("event_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
 add("hijack_model", None)(hijack_model)
@@ -176,7 +179,8 @@ _DOT = "CAST((64000 + event_id % 500) // 256 AS STRING) || '.' || CAST((64000 +
 add("path_facts", """SELECT event_id, CAST(len(string_split(as_path, ' ')) AS INT) AS hops, CAST(string_split(as_path, ' ')[1] AS BIGINT) AS first FROM wire_values WHERE as_path IS NOT NULL""")(
     lambda v: v.wire_values.where("as_path IS NOT NULL").select("event_id", X.hop_count("as_path").alias("hops"), X.first_asn("as_path").alias("first"))
 )
-add("community_names", """SELECT event_id, CASE community WHEN 4294967041 THEN 'NO_EXPORT' WHEN 4294967042 THEN 'NO_ADVERTISE' WHEN 4294902426 THEN 'BLACKHOLE' ELSE '65000:' || CAST(event_id % 300 AS STRING) END AS name FROM wire_values""")(
+add("community_names", """SELECT event_id, CASE community WHEN 4294967041 THEN 'NO_EXPORT' WHEN 4294967042 THEN 'NO_ADVERTISE' WHEN 4294967043 THEN 'NO_EXPORT_SUBCONFED' WHEN 4294902426 THEN 'BLACKHOLE' WHEN 4294901760 THEN 'GRACEFUL_SHUTDOWN'
+ WHEN 4294901761 THEN 'ACCEPT_OWN' ELSE '65000:' || CAST(event_id % 300 AS STRING) END AS name FROM wire_values""")(
     lambda v: v.wire_values.select("event_id", X.community_name("community").alias("name"))
 )
 add("ext_communities", f"""WITH w AS (SELECT event_id, ext_community, {_NUMBERS} FROM wire_values)
@@ -207,3 +211,53 @@ add("evpn_routes", """SELECT event_id, 1 + event_id % 12 AS route_type, CASE eve
  CASE WHEN event_id % 12 = 4 THEN 24 END AS prefix_len, CASE WHEN event_id % 12 IN (0, 1, 4) THEN 1000 + event_id % 7 END AS mpls_label FROM route_events""")(
     lambda v: v.route_events.selectExpr("event_id", "named_struct('route_type', 1 + event_id % 12, 'rd', '1:1', 'ethernet_tag', event_id % 100, 'mac', '00:11:22:33:44:55', 'ip', peer_addr, 'prefix_len', 24, 'mpls_label', 1000 + event_id % 7, 'esi_hex', '00') AS r").select("event_id", *X.evpn_columns("r")).drop("rd", "esi_hex")
 )
+
+# IPv6 --------------------------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def roas6(v: Views):
+    return v.vrps6.select(F.concat_ws("/", "net", F.col("vlen").cast("string")).alias("prefix"), "max_len", "origin_asn")
+
+
+add("validate_origins_ipv6", f"""WITH p AS (SELECT DISTINCT prefix, x, l, {ORIGIN} AS origin_asn FROM route6_events),
+h AS (SELECT p.prefix, p.origin_asn, p.l, v.origin_asn AS v_asn, v.max_len, v.vlen FROM p LEFT JOIN vrps6 v ON v.vlen <= p.l AND p.x >> (48 - v.vlen) = v.x >> (48 - v.vlen)),
+w AS (SELECT prefix, origin_asn, max(CASE WHEN v_asn IS NULL THEN 0 WHEN v_asn = origin_asn AND l <= max_len THEN 2 ELSE 1 END) AS level, bool_or(coalesce(v_asn = origin_asn AND l <= max_len AND vlen < l, false)) AS more_specific FROM h GROUP BY ALL)
+SELECT event_id, r.prefix, w.origin_asn, CASE level WHEN 2 THEN 'valid' WHEN 1 THEN 'invalid' ELSE 'not-found' END AS rpki_validity, more_specific
+FROM route6_events r JOIN w ON r.prefix = w.prefix AND {ORIGIN} IS NOT DISTINCT FROM w.origin_asn""")(
+    lambda v: J.validate_origins(v.route6_events, roas6(v)).select("event_id", "prefix", "origin_asn", "rpki_validity", "more_specific")
+)
+add("sub_prefixes_ipv6", """WITH p AS (SELECT DISTINCT prefix, x, l FROM route6_events UNION SELECT '2001:db8::/33', 0, 33 UNION SELECT '2001:db8:2500::/44', 9472, 44)
+SELECT a.prefix, arg_max(b.prefix, (b.l, b.prefix)) AS parent FROM p a JOIN p b ON b.l < a.l AND a.x >> (48 - b.l) = b.x >> (48 - b.l) GROUP BY 1""")(
+    lambda v: J.sub_prefixes(v.route6_events.select("prefix").union(v.spark.createDataFrame([("2001:db8::/33",), ("2001:db8:2500::/44",)], "prefix string")))
+)
+add("policy_conflicts_ipv6", """WITH rib AS (SELECT * FROM (SELECT * FROM route6_events QUALIFY row_number() OVER (PARTITION BY peer_addr, rib_type, prefix ORDER BY occurred_at DESC, event_id DESC) = 1) WHERE action = 'announce'),
+cl AS (SELECT i AS seq, CASE WHEN i % 2 = 0 THEN 'deny' ELSE 'permit' END AS term, i * 2048 AS cx, CASE WHEN i % 3 = 0 THEN 140 END AS want_p FROM range(14) t(i)),
+h AS (SELECT cl.*, prefix, local_pref FROM cl JOIN rib ON x >> 11 = cx >> 11)
+SELECT seq, prefix, 'leaked' AS kind, count(*) AS n FROM h WHERE term = 'deny' GROUP BY ALL
+UNION ALL SELECT seq, prefix, 'local_pref_drift', count(*) FROM h WHERE term = 'permit' AND want_p IS NOT NULL AND local_pref IS DISTINCT FROM want_p GROUP BY ALL
+UNION ALL SELECT seq, NULL, 'blocked', 1 FROM cl WHERE term = 'permit' AND seq NOT IN (SELECT seq FROM h)""")(
+    lambda v: J.policy_conflicts(
+        L.current_rib(v.route6_events).select("prefix", "communities", "local_pref"),
+        v.spark.range(14).selectExpr("'p' AS policy", "id AS seq", "CASE WHEN id % 2 = 0 THEN 'deny' ELSE 'permit' END AS action", "concat('2001:db8:', lower(hex(id * 2048)), '::/37') AS prefix", "CAST(NULL AS STRING) AS community", "CASE WHEN id % 3 = 0 THEN 140 END AS local_pref"),
+    ).groupBy("seq", "prefix", "kind").agg(F.count("*").alias("n"))
+)
+
+# streams' batch forms and named questions --------------------------------------------------------------------------------------------------------------------------
+add("down_effects", """SELECT d.speaker_addr, d.peer_addr, d.event_id AS down_id, d.occurred_at AS down_at, r.event_id, r.occurred_at AS route_at, r.action, r.prefix FROM (SELECT * FROM peer_events WHERE event_type = 'peer_down') d
+LEFT JOIN route_events r ON r.speaker_addr = d.speaker_addr AND r.peer_addr = d.peer_addr AND r.occurred_at >= d.occurred_at AND r.occurred_at <= d.occurred_at + INTERVAL 900 SECONDS""")(lambda v: T.down_effects(v.peer_events, v.route_events, 900))
+_ASKED = {
+    "top_announced": "SELECT prefix, count(*) AS n FROM route_events WHERE action = 'announce' GROUP BY 1 ORDER BY n DESC, prefix LIMIT 10",
+    "top_withdrawn": "SELECT prefix, count(*) AS n FROM route_events WHERE action = 'withdraw' GROUP BY 1 ORDER BY n DESC, prefix LIMIT 10",
+    "peer_downs": "SELECT peer_addr, count(*) AS n FROM peer_events WHERE event_type = 'peer_down' GROUP BY 1 ORDER BY n DESC, peer_addr LIMIT 10",
+    "peer_ups": "SELECT peer_addr, count(*) AS n FROM peer_events WHERE event_type = 'peer_up' GROUP BY 1 ORDER BY n DESC, peer_addr LIMIT 10",
+    "longest_paths": "SELECT event_id, prefix, as_path, as_path_len FROM route_events WHERE as_path_len IS NOT NULL ORDER BY as_path_len DESC, event_id LIMIT 10",
+}
+for _name, _sql in _ASKED.items():
+    add(f"ask_{_name}", _sql)(lambda v, q=_name: canned.ask(q, {"route_events": v.route_events, "peer_events": v.peer_events}))
+_VERIFIED = {
+    "route_leak": f"SELECT event_id, prefix, peer_addr FROM route_events WHERE only_to_customer IS NOT NULL AND {ANN}",
+    "flap": "SELECT peer_addr, count(*) AS downs FROM peer_events WHERE event_type = 'peer_down' GROUP BY 1 HAVING count(*) > 4",
+    "churn": "SELECT prefix, count(*) AS events FROM route_events GROUP BY 1 HAVING count(*) > 4",
+}
+for _name, _sql in _VERIFIED.items():
+    add(f"verify_{_name}", _sql)(lambda v, k=_name: canned.VERIFY[k](v.peer_events if k == "flap" else v.route_events))

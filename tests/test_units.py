@@ -220,7 +220,7 @@ def test_hijack_model_finds_planted(spark):
 
     rows = reports.hijack_rows(catalogue.Views(spark, SF.replace("0.001", "0.01")))
     _, metrics = ml.train_hijack_model(rows)
-    assert metrics["recall"] >= 0.95 and metrics["auc"] >= 0.9 and metrics["precision"] >= 0.9
+    assert metrics["recall"] >= 0.9 and metrics["auc"] >= 0.95 and metrics["precision"] >= 0.9, metrics  # held-out rows, hijacks from usual peers over paths of usual length
 
 
 def test_stored_anomalies_subscriptions_rates(spark, tmp_path):
