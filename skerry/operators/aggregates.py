@@ -155,21 +155,24 @@ def node_features(routes: DataFrame, peers: DataFrame, as_of: str, slices: int =
     has = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     r = routes.where(back >= 0).select("peer_addr", enters.alias("slice"), leaves(3600).alias("out"), announced().alias("said"), (has(routes, "rpki_validity") == "invalid").alias("bad"), F.when(announced(), has(routes, "path_status")).alias("mark"))
     p = peers.where(back >= 0).select("peer_addr", enters.alias("slice"), leaves(86400).alias("out"), (F.col("event_type") == "peer_down").alias("down"), F.when(F.col("event_type") == "peer_up", F.unix_micros("occurred_at")).alias("up"))
-    counts = {"route_count": F.count_if("said"), "bad": F.count_if("bad"), "total": F.count("*"), "marked": F.count("mark"), **{f"{m}_count": F.count_if(F.col("mark") == m) for m in _MARKS}}
-    parts = [
-        r.groupBy("peer_addr", "slice").agg(*(c.alias(n) for n, c in counts.items()), F.count("*").alias("recent")),
-        r.groupBy("peer_addr", F.col("out").alias("slice")).agg((-F.count("*")).alias("recent")),
-        p.groupBy("peer_addr", "slice").agg(F.count("*").alias("known"), F.count_if("down").alias("downs"), F.max("up").alias("up")),
-        p.where("down").groupBy("peer_addr", F.col("out").alias("slice")).agg((-F.count("*")).alias("downs")),
-    ]
-    part = parts[0]
-    for x in parts[1:]:
-        part = part.unionByName(x, allowMissingColumns=True)
+    number = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    counts = {"route_count": number(F.col("said")), "bad": number(F.col("bad")), "total": F.lit(1), "marked": number(F.col("mark").isNotNull()), **{f"{m}_count": number(F.col("mark") == m) for m in _MARKS}}
+
+    def changes(df: DataFrame, add: dict[str, Column], take: dict[str, Column]) -> DataFrame:
+        """A row for the slice that an event enters and one for that which it leaves; both in one pass."""
+        both = F.array(*(F.struct(F.col(c).alias("slice"), *(v.get(n, F.lit(0)).cast("long").alias(n) for n in add)) for c, v in (("slice", add), ("out", take))))
+        return df.select("peer_addr", F.inline(both), *(["up"] if "up" in df.columns else [])).where(F.col("slice") < slices)
+
+    one = F.lit(1)
+    said = changes(r, {**counts, "recent": one}, {"recent": -one})
+    held = changes(p, {"known": one, "downs": number(F.col("down"))}, {"downs": -number(F.col("down"))})
     sums = [*counts, "recent", "known", "downs"]
-    part = part.where(F.col("slice") < slices).groupBy("peer_addr", "slice").agg(*(F.sum(c).alias(c) for c in sums), F.max("up").alias("up"))
+    part = said.groupBy("peer_addr", "slice").agg(*(F.sum(c).alias(c) for c in (*counts, "recent"))).unionByName(held.groupBy("peer_addr", "slice").agg(F.sum("known").alias("known"), F.sum("downs").alias("downs"), F.max(F.when(F.col("known") > 0, F.col("up"))).alias("up")), allowMissingColumns=True)
+    part = part.groupBy("peer_addr", "slice").agg(*(F.sum(c).alias(c) for c in sums), F.max("up").alias("up"))
+    if slices > 1:  # slices without changes of a peer
+        part = part.select("peer_addr").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(part, ["peer_addr", "slice"], "left")
     w = Window.partitionBy("peer_addr").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    every = p.select("peer_addr").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(part, ["peer_addr", "slice"], "left")
-    run = every.select("peer_addr", "slice", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums), F.max("up").over(w).alias("up")).where("known > 0")
+    run = part.select("peer_addr", "slice", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums), F.max("up").over(w).alias("up")).where("known > 0")
     at = end - (F.lit(slices - 1) - F.col("slice")) * step
     uptime = F.when(F.col("up") >= at - 86_400_000_000, (at - F.col("up")) / 1e6)
     share = lambda x, y: F.round(F.when(y > 0, x / y).otherwise(0.0), 6)

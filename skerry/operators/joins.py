@@ -29,27 +29,35 @@ def networks(df: DataFrame, prefix: str = "prefix") -> DataFrame:
     size = F.coalesce(P.prefix_length(prefix), F.when(four, 32).otherwise(128))
     net = F.when(four, F.lpad(P.v4_net(prefix).cast("string"), 10, "0").cast("binary"))
     out = df.withColumns({"o_family": F.when(four, 4).when(F.col(prefix).contains(":"), 6), "o_len": size})
-    v4 = out.where("o_family = 4").withColumn("o_net", net)
-    v6 = out.where("o_family = 6").withColumn("o_net", P.v6_net(prefix, "o_len"))
-    return v4.unionByName(v6).where("o_net IS NOT NULL")
+    return out.withColumn("o_net", F.when(F.col("o_family") == 4, net).when(F.col("o_family") == 6, P.v6_net(prefix, "o_len"))).where("o_net IS NOT NULL")
+
+
+def covering_keys(df: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """df with a row for each network (o_family, o_len, o_net) that holds its prefix: 33 for an IPv4 prefix at most, 129 for an IPv6 one."""
+    four = P.v4_number(prefix)
+    own = F.coalesce(P.prefix_length(prefix), F.when(four.isNotNull(), 32).otherwise(128))
+    keys = df.withColumns({"__n4": four, "__own": own}).withColumn("o_family", F.when(F.col("__n4").isNotNull(), 4).when(F.col(prefix).contains(":"), 6)).where("o_family IS NOT NULL AND __own >= 0")
+    keys = keys.withColumn("o_len", F.explode(F.sequence(F.lit(0), F.col("__own"))))
+    net = F.when(F.col("o_family") == 4, F.lpad(P.v4_mask(F.col("__n4"), F.col("o_len")).cast("string"), 10, "0").cast("binary")).otherwise(P.v6_net(prefix, "o_len"))
+    return keys.withColumn("o_net", net).drop("__n4", "__own")
 
 
 def validate_origins(routes: DataFrame, vrps: DataFrame, origin: Column | None = None) -> DataFrame:
     """Routes with rpki_validity (valid, invalid, not-found) and more_specific: valid by an authorisation of a shorter prefix.
 
     vrps has prefix, max_len and origin_asn. A route is valid if an authorisation that covers its prefix has its origin and allows its length, invalid if others cover it alone. Each
-    (prefix, origin) is validated once, however many events have it.
+    (prefix, origin) is validated once, however many events have it, by the networks that hold its prefix; authorisations are read once.
     """
     routes = routes.withColumn("origin_asn", X.origin_asn("as_path") if origin is None else origin)
     outer = networks(vrps).select("o_family", "o_net", "o_len", "max_len", F.col("origin_asn").alias("v_asn"))
     pairs = routes.select("prefix", "origin_asn").distinct()
-    hit = covering(pairs, outer)
+    hit = covering_keys(pairs).join(outer, ["o_family", "o_len", "o_net"])
     size = P.prefix_length("prefix")
     ok = (F.col("v_asn") == F.col("origin_asn")) & (size <= F.col("max_len")) & (F.col("v_asn") != 0)
-    judged = hit.groupBy("prefix", "origin_asn").agg(F.max(F.when(F.col("v_asn").isNull(), 0).when(ok, 2).otherwise(1)).alias("level"), F.max(F.coalesce(ok & (F.col("o_len") < size), F.lit(False))).alias("more_specific"))
-    judged = judged.select("prefix", F.col("origin_asn").alias("__o"), F.when(F.col("level") == 2, "valid").when(F.col("level") == 1, "invalid").otherwise("not-found").alias("rpki_validity"), "more_specific")
-    r, j = routes.alias("r"), judged.alias("j")
-    return r.join(j, (F.col("r.prefix") == F.col("j.prefix")) & F.col("r.origin_asn").eqNullSafe(F.col("j.__o")), "left").select("r.*", "rpki_validity", F.coalesce("more_specific", F.lit(False)).alias("more_specific"))
+    judged = hit.groupBy("prefix", "origin_asn").agg(F.max(F.coalesce(ok, F.lit(False))).alias("valid"), F.max(F.coalesce(ok & (F.col("o_len") < size), F.lit(False))).alias("more_specific"))
+    r, j = routes.alias("r"), judged.withColumnRenamed("origin_asn", "__o").alias("j")
+    verdict = F.when(F.col("valid"), "valid").when(F.col("r.prefix").isNotNull(), F.when(F.col("valid").isNull(), "not-found").otherwise("invalid"))
+    return r.join(j, (F.col("r.prefix") == F.col("j.prefix")) & F.col("r.origin_asn").eqNullSafe(F.col("j.__o")), "left").select("r.*", verdict.alias("rpki_validity"), F.coalesce("more_specific", F.lit(False)).alias("more_specific"))
 
 
 def validate_paths(routes: DataFrame, aspa: DataFrame, id_col: str = "event_id") -> DataFrame:

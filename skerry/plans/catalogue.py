@@ -125,7 +125,7 @@ add("origin_counts", f"SELECT {ORIGIN} AS origin_asn, count(*) AS announces, cou
 add("validity_counts", f"WITH {VALID} SELECT rpki_validity, count(*) AS prefixes FROM (SELECT * FROM judged {_LAST.format('prefix')}) GROUP BY 1")(lambda v: A.validity_counts(v.judged))
 add("invalid_rates", f"WITH {VALID} SELECT peer_addr, peer_as, count(*) AS routes, count(*) FILTER (rpki_validity = 'invalid') AS invalid, round(count(*) FILTER (rpki_validity = 'invalid') / count(*), 6) AS invalid_rate FROM judged GROUP BY ALL ORDER BY invalid_rate DESC, peer_addr, peer_as LIMIT 20")(lambda v: A.invalid_rates(v.judged))
 add("validity_coverage", f"""WITH {VALID} SELECT count(*) AS total, count(*) FILTER (rpki_validity IN ('valid', 'invalid')) AS covered, count(*) FILTER (rpki_validity = 'valid') AS valid, count(*) FILTER (rpki_validity = 'invalid') AS invalid, count(*) FILTER (rpki_validity NOT IN ('valid', 'invalid')) AS not_covered,
-round(count(*) FILTER (rpki_validity IN ('valid', 'invalid')) * 100.0 / count(*), 1) AS coverage_pct FROM (SELECT * FROM judged {_LAST.format('prefix')})""")(lambda v: A.validity_coverage(v.judged))
+round(count(*) FILTER (rpki_validity IN ('valid', 'invalid')) * 100.0 / count(*), 1) AS coverage_pct FROM (SELECT * FROM judged {_LAST.format('prefix')})""")(lambda v: A.validity_coverage(J.validate_origins(L.latest(v.route_events, ["prefix"]), v.roas)))
 add("policy_delta", f"WITH {RIB} SELECT peer_addr, rib_type, count(DISTINCT prefix) AS prefixes FROM rib GROUP BY ALL")(lambda v: A.policy_delta(v.route_events))
 add("policy_drop", f"WITH {RIB}, g AS (SELECT peer_addr, count(DISTINCT prefix) FILTER (rib_type = 'AdjRibInPrePolicy') AS pre, count(DISTINCT prefix) FILTER (rib_type = 'AdjRibInPostPolicy') AS post FROM rib GROUP BY 1) SELECT *, pre - post AS dropped, round(CASE WHEN pre > 0 THEN (pre - post) / pre ELSE 0 END, 6) AS drop_rate FROM g")(lambda v: A.policy_drop(v.route_events))
 add("policy_dropped", f"WITH {RIB} SELECT DISTINCT peer_addr, prefix FROM rib a WHERE rib_type = 'AdjRibInPrePolicy' AND NOT EXISTS (FROM rib b WHERE b.rib_type = 'AdjRibInPostPolicy' AND a.peer_addr = b.peer_addr AND a.prefix = b.prefix)")(lambda v: A.policy_dropped(v.route_events))
