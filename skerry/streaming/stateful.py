@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from skerry.functions import scalars as X
 from skerry.operators.detectors import ANNOUNCED, severity_by_validity
+from skerry.operators.scan import RollingMedian
 
 SECOND = 1_000_000
 
@@ -314,6 +315,34 @@ def judged(alerts: DataFrame, vrps: Callable[[], DataFrame], write: Callable[[Da
     return alerts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class SlowConvergence(InOrder):
+    """D11, W6, ST4: a peer's episodes of the last days, `most` at most, and their median."""
+
+    fields = (*InOrder.fields, "convergence_ms double")
+    out = "peer_addr string, at bigint, convergence_ms double, median double, ratio double, severity string"
+
+    def __init__(self, days: int = 7, least: int = 3, most: int = 2000):
+        self.days, self.least, self.most = days, least, most
+
+    def open(self):
+        self.rows = self.handle.getListState("rows", "at bigint, ms double")
+
+    def step(self, key, events):
+        seen = RollingMedian(self.most, self.days * 86400 * SECOND, (tuple(r) for r in self.rows.get()) if self.rows.exists() else ())
+        for at, _, ms in events:
+            median, n = seen.seen(at)
+            if n >= self.least and median > 0 and ms / median >= 3:
+                yield key[0], at, ms, median, round(ms / median, 6), "critical" if ms / median >= 6 else "warning"
+            seen.add(at, ms)
+        self.rows.put(list(seen.rows))
+
+
+def slow_convergence(events: DataFrame, days: int = 7, least: int = 3, late: str = "10 seconds") -> DataFrame:
+    """D11 as a stream over (peer_addr, started_at, convergence_ms)."""
+    own = events.select("peer_addr", F.col("started_at").alias("occurred_at"), F.round(F.col("convergence_ms") * 1000).cast("bigint").alias("event_id"), F.col("convergence_ms").cast("double").alias("convergence_ms"))
+    return applied(own, ["peer_addr"], SlowConvergence(days, least), late).withColumnRenamed("occurred_at", "started_at")
+
+
 class Suppressed(InOrder):
     """When a key's last alert was let through; forgotten by a timer when it suppresses nothing any more."""
 

@@ -107,6 +107,17 @@ def test_suppression_stream(spark, tmp_path):
     assert rows_of(got.where("kind IN ('k', 'l')"), want.columns) == rows_of(want, want.columns) and late == 0 and 20 < want.count() < 200
 
 
+def test_slow_convergence_stream(spark, tmp_path):
+    """Alerts against the rolling median, with ties of time and days that fall out of the window."""
+    rng = random.Random(12)
+    rows = [(rng.choice("pq"), at(rng.randint(0, 240) * 3600), rng.choice([90.0, 100.0, 110.0, 120.0, 330.0, 700.0])) for _ in range(220)]
+    df = spark.createDataFrame(rows, "peer_addr string, started_at timestamp, convergence_ms double")
+    want = detectors.slow_convergence(df, days=2)
+    got, late = drained(stateful.slow_convergence(fed(spark, df, str(tmp_path), jitter=7200, column="started_at"), days=2, late="7201 seconds"), "slow")
+    key = lambda x: sorted(map(tuple, x.where("peer_addr <> 'far'").select(*want.columns).collect()))
+    assert key(got) == key(want) and late == 0 and {r.severity for r in want.collect()} == {"warning", "critical"}
+
+
 def test_episode_stream(spark, tmp_path):
     """One definition, declared over history and kept in state: equal episodes, all of their columns."""
     rng = random.Random(9)
@@ -175,7 +186,7 @@ def test_down_effects_stream(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, at(rng.randint(0, 3000)), "s", rng.choice("pqr"), rng.choice(["peer_down"] + ["announce"] * 3), rng.choice("ab")) for i in range(150)] + [(900, at(3500), "s", "lone", "peer_down", None)]
     df = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, speaker_addr string, peer_addr string, kind string, prefix string")
-    split = lambda x: (x.withColumn("event_type", F.col("kind")), x.where("kind = 'announce' OR peer_addr = 'far'").withColumn("action", F.col("kind")))
+    split = lambda x: (x.withColumn("event_type", F.when(F.col("peer_addr") == "far", "peer_down").otherwise(F.col("kind"))), x.where("kind = 'announce' OR peer_addr = 'far'").withColumn("action", F.col("kind")))
     want = stateful.down_effects(*split(df))
     got, late = drained(stateful.down_effects(*split(fed(spark, df, str(tmp_path), jitter=20)), late="21 seconds"), "effects")
     key = lambda x: sorted(((r.down_id, r.event_id) for r in x.where("peer_addr <> 'far'").collect()), key=str)
