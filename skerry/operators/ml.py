@@ -123,7 +123,16 @@ HIJACK_FEATURES = ("origin_changed", "rpki", "sub_prefix", "path_delta", "aspa",
 def hijack_score(features: DataFrame, threshold: float = 0.5) -> DataFrame:
     """M6: the weighted score of seven signs, within 0 and 1."""
     at = lambda c, v, x: F.when(F.col(c) == v, x).otherwise(0.0)
-    total = at("origin_changed", 1, 0.30) + at("rpki", 2, 0.25) + at("rpki", 0, -0.15) + at("sub_prefix", 1, 0.15) + F.when(F.col("path_delta") <= -3, 0.10).otherwise(0.0) + at("aspa", 2, 0.10) + at("peer_expected", 1, -0.20)
+    # fixed values: the signs' weights
+    total = (
+        at("origin_changed", 1, 0.30)
+        + at("rpki", 2, 0.25)
+        + at("rpki", 0, -0.15)
+        + at("sub_prefix", 1, 0.15)
+        + F.when(F.col("path_delta") <= -3, 0.10).otherwise(0.0)
+        + at("aspa", 2, 0.10)
+        + at("peer_expected", 1, -0.20)
+    )
     score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6)
     return features.withColumn("score", score).withColumn("is_hijack", F.col("score") >= threshold)
 
@@ -154,12 +163,24 @@ def community_meanings(routes: DataFrame, min_support: float = 0.05, min_confide
     g = one.groupBy("community").agg(F.count("*").alias("n"), F.percentile("local_pref", 0.5).alias("lp"), F.stddev_samp("local_pref").alias("sd"), F.avg("local_pref").alias("mean"), F.count("local_pref").alias("n_lp"), F.avg(withdrawn().cast("int")).alias("gone")).join(total)
     c = F.lower("community")
     hole = c.rlike("(^|:)666$") if strict else c.contains("666")
-    known = F.when(hole | c.contains("rtbh") | c.contains("blackhole"), "blackhole").when(c.contains("65535:65281") | c.contains("no-export"), "no-export").when(c.contains("65535:65282") | c.contains("no-advertise"), "no-advertise").when(c.contains("65535:65284") | c.contains("nopeer"), "no-peer")
+    # fixed values: well-known patterns and what they mean
+    known = (
+        F.when(hole | c.contains("rtbh") | c.contains("blackhole"), "blackhole")
+        .when(c.contains("65535:65281") | c.contains("no-export"), "no-export")
+        .when(c.contains("65535:65282") | c.contains("no-advertise"), "no-advertise")
+        .when(c.contains("65535:65284") | c.contains("nopeer"), "no-peer")
+    )
     steady = F.when(F.col("n_lp") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sd") / (F.col("mean") + 1e-6)))).when(F.col("n_lp") == 1, 1.0).otherwise(0.0)
     g = g.withColumns({"known": known, "steady": steady, "support": F.col("n") / F.col("total")})
     enough = (F.col("n") >= 3) & (F.col("support") >= min_support)
     sure = F.col("steady") >= min_confidence
-    meaning = F.when(F.col("known").isNotNull(), F.col("known")).when(enough & sure & (F.col("lp") >= 150), F.concat(F.lit("preferred path (LP="), F.col("lp").cast("int").cast("string"), F.lit(")"))).when(enough & sure & (F.col("lp") <= 80), F.concat(F.lit("backup path (LP="), F.col("lp").cast("int").cast("string"), F.lit(")"))).when(enough & (F.col("gone") >= max(0.8, min_confidence)), "route filter / deny")
+    said = lambda text: F.concat(F.lit(f"{text} (LP="), F.col("lp").cast("int").cast("string"), F.lit(")"))
+    meaning = (
+        F.when(F.col("known").isNotNull(), F.col("known"))
+        .when(enough & sure & (F.col("lp") >= 150), said("preferred path"))
+        .when(enough & sure & (F.col("lp") <= 80), said("backup path"))
+        .when(enough & (F.col("gone") >= max(0.8, min_confidence)), "route filter / deny")
+    )
     sureness = F.when(F.col("known").isNotNull(), 0.99).when(F.col("meaning").startswith("route filter"), F.col("gone")).otherwise(F.col("steady"))
     return g.withColumn("meaning", meaning).where("meaning IS NOT NULL").select("community", "meaning", F.round(sureness, 6).alias("confidence"), F.round("support", 6).alias("support"), F.col("n").alias("routes"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import scalars as X
@@ -19,14 +20,28 @@ def latest(df: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER) -> Da
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir, so that an executor can be lost; where that is unset, in a folder of this machine's if Spark runs on it alone."""
-    sc = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    """Where checkpoints go: spark.checkpoint.dir; where that is unset, a folder of this machine's if Spark runs on it alone."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None and re.fullmatch(r"local(\[.*\])?", sc.master):
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skerry-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoints' folder, so that an executor can be lost."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    base = _checkpoint_dir(spark)
+    if base is None:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def top(df: DataFrame, by: list[Column | str], limit: int | None) -> DataFrame:
     """The first rows of a total order; without limit all of them, unsorted."""
     return df if limit is None else df.orderBy(*by).limit(limit)

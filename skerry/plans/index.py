@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.plans import reports  # noqa: F401  adds its entries to Q
+from skerry.plans import live, reports  # noqa: F401  add their entries to Q
 from skerry.plans.catalogue import Q, Views
 from skerry.plans.fixtures import with_views
 

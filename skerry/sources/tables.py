@@ -169,6 +169,7 @@ def notifications(alerts: DataFrame, profile: str = "generic", least: str = "war
     text = F.concat_ws(" ", "kind", "prefix", F.concat(F.lit("at "), who))
     key = F.concat_ws(":", "kind", "prefix", "peer_addr")
     rank = X.severity_rank("severity")
+    # fixed values: colours and priorities by severity
     pick = lambda *v: F.when(rank == 2, v[0]).when(rank == 1, v[1]).otherwise(v[2])
     shape: dict[str, Column] = {
         "generic": F.struct(F.col("kind"), F.col("severity"), text.alias("summary"), key.alias("key")),
