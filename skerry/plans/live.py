@@ -32,11 +32,15 @@ def landed(df: DataFrame, files: int = 6) -> DataFrame:
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """What a stream gives until it has read all there is, but for the far keys' rows."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    """What a stream gives until it has read all there is, but for the far keys' rows. The session's state store is as it was afterwards."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
     out, kept = shared_path(spark, "drained"), shared_path(spark, "kept")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(name, _ROCKS)
+    try:
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, was)
     got = spark.read.schema(stream.schema).parquet(out)
     key = "prefix" if "prefix" in got.columns else "peer_addr"
     return got.where(F.col(key).isNull() | (F.col(key) != "far"))
@@ -51,7 +55,7 @@ def streamed(name: str, batch: str, run: Callable[[Views], DataFrame], columns:
 streamed("new_origins", "new_origins", lambda v: T.new_origins(landed(v.route_events), LATE))
 streamed("shortened_paths", "shortened_paths", lambda v: T.shortened_paths(landed(v.route_events), share=0.9, late=LATE))
 streamed("leaks", "leaks", lambda v: T.leaks(landed(v.route_events), late=LATE))
-streamed("hijacks", "hijacks", lambda v: T.hijacks(landed(v.route_events), late=LATE), ["event_id", "occurred_at", "prefix", "peer_addr", "new_origin", "known"])
+streamed("hijacks", "hijacks", lambda v: T.hijacks(landed(v.route_events), 86400, LATE), ["event_id", "occurred_at", "prefix", "peer_addr", "new_origin", "known"])
 streamed("origin_changes", "origin_changes", lambda v: T.origin_changes(landed(v.route_events), late=LATE), ["event_id", "occurred_at", "prefix", "peer_addr", "old_origin", "new_origin", "stable_s"])
 streamed("med_oscillation", "med_oscillation", lambda v: T.med_oscillation(landed(v.route_events), 864000, late=LATE))
 streamed("suppressed_alerts", "suppressed_alerts", lambda v: T.suppress(landed(D.all_alerts(v.route_events, v.roas)), 86400, LATE))
