@@ -151,6 +151,14 @@ def test_unsettled_paths(spark):
     assert graph.shortest_paths(links, spark.createDataFrame([("0",)], "router_id string"), max_rounds=6).count() == 6
 
 
+def test_shortest_paths_from_all_nodes(spark):
+    """The query asks from every node that a link leaves, not from some."""
+    from skerry.plans import catalogue, index
+
+    got = {r.source for r in index.queries()["shortest_paths"](spark, SF).collect()}
+    assert got == {r.local_router_id for r in catalogue.Views(spark, SF).links.collect()} and len(got) > 3
+
+
 def test_windows_equal_lists(spark):
     """Oscillation, hijacks and rolling medians against lists of what each row sees, with ties of time."""
     rng = random.Random(4)
