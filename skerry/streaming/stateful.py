@@ -544,11 +544,21 @@ def shed(events: DataFrame, budget: int, seconds: int = 1, late: str = "10 secon
 
 def down_effects(peers: DataFrame, routes: DataFrame, seconds: int = 30, late: str | None = None) -> DataFrame:
     """Every peer_down with the route events of its peer in so many seconds from it on, or with nulls. With `late` both sides are streams, and a down without any comes out when the
-    watermark has passed its span."""
+    watermark has passed its span. Over history rows meet by spans of time too: a down's events lie in its own and the next span, whose first and last event tell whether it has any."""
     downs = peers.where("event_type = 'peer_down'").select("speaker_addr", "peer_addr", F.col("event_id").alias("down_id"), F.col("occurred_at").alias("down_at"))
     own = routes.select(F.col("speaker_addr").alias("r_speaker"), F.col("peer_addr").alias("r_peer"), "event_id", F.col("occurred_at").alias("route_at"), "action", "prefix")
-    if late is not None:
-        downs, own = downs.withWatermark("down_at", late), own.withWatermark("route_at", late)
     same = (F.col("speaker_addr") == F.col("r_speaker")) & (F.col("peer_addr") == F.col("r_peer"))
     within = (F.col("route_at") >= F.col("down_at")) & (F.col("route_at") <= F.col("down_at") + F.expr(f"INTERVAL {seconds} SECONDS"))
-    return downs.join(own, same & within, "left_outer").drop("r_speaker", "r_peer")
+    if late is not None:
+        return downs.withWatermark("down_at", late).join(own.withWatermark("route_at", late), same & within, "left_outer").drop("r_speaker", "r_peer")
+    wide = max(1, seconds) * SECOND
+    span = lambda c: F.floor(F.unix_micros(c) / F.lit(wide))
+    downs, own = downs.withColumn("span", span("down_at")), own.withColumn("r_span", span("route_at"))
+    met = downs.withColumn("span", F.explode(F.array("span", F.col("span") + 1))).join(own, same & (F.col("span") == F.col("r_span")) & within).drop("r_speaker", "r_peer", "span", "r_span")
+    edges = own.groupBy("r_speaker", "r_peer", "r_span").agg(F.min("route_at").alias("first"), F.max("route_at").alias("last"))
+    here = edges.select(F.col("r_speaker").alias("speaker_addr"), F.col("r_peer").alias("peer_addr"), F.col("r_span").alias("span"), "last")
+    after = edges.select(F.col("r_speaker").alias("speaker_addr"), F.col("r_peer").alias("peer_addr"), (F.col("r_span") - 1).alias("span"), "first")
+    some = (F.col("last") >= F.col("down_at")) | (F.col("first") <= F.col("down_at") + F.expr(f"INTERVAL {seconds} SECONDS"))
+    key = ["speaker_addr", "peer_addr", "span"]
+    alone = downs.join(here, key, "left").join(after, key, "left").where(~F.coalesce(some, F.lit(False)))
+    return met.unionByName(alone.select("speaker_addr", "peer_addr", "down_id", "down_at"), allowMissingColumns=True).select(*met.columns)

@@ -194,6 +194,21 @@ def test_down_effects_stream(spark, tmp_path):
     assert sum(r[1] is None for r in key(want)) > 3
 
 
+def test_down_effects_over_history(spark):
+    """Every row of the nested loop, at a span's borders, with ties, and of downs without any or without a peer; rows of a busy peer meet by time."""
+    rng = random.Random(8)
+    rows = [(i, at(30 * rng.randint(0, 40) + rng.choice([0, 0, 0.5, 29.999])), "s", rng.choice("pq"), rng.choice(["peer_down", "announce"])) for i in range(200)] + [(900, at(5000), "s", None, "peer_down"), (901, at(9000), "s", "p", "peer_down")]
+    df = spark.createDataFrame(rows, "event_id bigint, occurred_at timestamp, speaker_addr string, peer_addr string, event_type string").withColumns({"action": F.col("event_type"), "prefix": F.lit("x")})
+    downs, routes = [r for r in rows if r[4] == "peer_down"], [r for r in rows if r[4] == "announce"]
+    want = [(d[0], [r[0] for r in routes if r[3] == d[3] and 0 <= (r[1] - d[1]).total_seconds() <= 30] or [None]) for d in downs]
+    got = stateful.down_effects(df, df.where("action = 'announce'"))
+    key = lambda x: sorted(x, key=str)
+    assert key((r.down_id, r.event_id) for r in got.collect()) == key((d, e) for d, found in want for e in found)
+    assert sum(found == [None] for _, found in want) >= 2
+    joins = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "(span#" in [line for line in joins.splitlines() if "Join Inner" in line][0]
+
+
 def test_judged_alerts_take_newer_authorisations(spark, tmp_path):
     """Severity by the authorisations as they are when a batch is judged."""
     asked, out = [], []
