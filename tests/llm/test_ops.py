@@ -496,6 +496,26 @@ def test_quality_toxic_words(spark):
     assert share[1, 1] >= 0.95 and share[0, 1] >= 0.9 and share[0, 0] >= 0.85 and share[1, 0] <= 0.03
 
 
+def test_bad_words_at_any_size(spark):
+    """The bound on words is the quantile of all trusted texts, by one rule: the same texts ten times over, past any number of texts, change it no more than their counts do."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [(i, "en", " ".join(rng.choice(vocabulary) for _ in range(8)) + (" foul" if i % 3 == 0 else " odd" if i == 1 else ""), i % 3 == 0) for i in range(330)]
+    texts += [(1000 + i, "xx", f"lone w{i} foul" if i % 2 else f"good w{i}", i % 2 == 1) for i in range(40)]
+    schema = "doc_id long, lang string, text string, bad boolean"
+    hashes = {w: quality.text_words(pa.array([w]))[1].view(np.int64)[0] for w in ("foul", "odd", "lone")}
+    for times in (1, 10):  # 220 and 2200 trusted texts
+        rows = [(d + 10_000 * k, *r) for k in range(times) for d, *r in texts]
+        got = {(r.lang, r.word) for r in quality.bad_words(spark.createDataFrame(rows, schema), 0.99).collect()}
+        assert {("en", hashes["foul"]), ("xx", hashes["foul"]), ("xx", hashes["lone"])} <= got and ("en", hashes["odd"]) not in got, times
+    # the few trusted texts with a word of bad ones set the bound, whichever they are: it takes all trusted texts, of which no tenth by a hash has them
+    good = [(i, "en", "plain text", False) for i in range(3000)]
+    held = [r[0] for r in spark.range(3000).where("pmod(xxhash64(6, id), 10) <> 0").limit(100).collect()]
+    rows = [(d, lang, "plain mark" if d in held else text, bad) for d, lang, text, bad in good] + [(5000 + i, "en", "mark" if i % 2 else "foul", True) for i in range(200)]
+    got = {r.word for r in quality.bad_words(spark.createDataFrame(rows, schema), 0.99).collect()}
+    assert got == {quality.text_words(pa.array(["foul"]))[1].view(np.int64)[0]}
+
+
 def test_quality_rare_language(spark):
     """A language with few trusted texts, or copies of one, has a threshold and rejects junk."""
     rng = random.Random(3)
