@@ -231,6 +231,23 @@ def test_hijack_model_finds_planted(spark):
     assert metrics["recall"] >= 0.9 and metrics["auc"] >= 0.95 and metrics["precision"] >= 0.9, metrics  # held-out rows, hijacks from usual peers over paths of usual length
 
 
+def test_models_take_equal_rows_as_one(spark, monkeypatch):
+    """M4, M5: rows of equal features are scored and learned once, and every row has its result: twice each row changes no prediction."""
+    rng = random.Random(2)
+    rows = [(i, *(rng.randint(0, k) for k in (1, 2, 1, 3, 2, 1, 4))) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id bigint, " + ", ".join(f"{c} int" for c in ml.HIJACK_FEATURES)).withColumn("label", (F.col("origin_changed") + F.col("rpki") > 1).cast("int"))
+    fitted, walk = [], ml._depths
+    from pyspark.ml.classification import GBTClassifier
+
+    fit = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data, *a: fitted.append(data.count()) or fit(self, data, *a))
+    _, metrics = ml.train_hijack_model(df.unionByName(df.withColumn("event_id", F.col("event_id"))))
+    assert fitted[0] <= df.where(~ml.held_out()).select(*ml.HIJACK_FEATURES, "label").distinct().count() and metrics["recall"] > 0.9
+    few = spark.createDataFrame([(i, float(i % 5), float(i % 3)) for i in range(300)], "event_id bigint, a double, b double")
+    got = ml.isolation_forest(few, ("a", "b"), trees=10).collect()
+    assert len(got) == 300 and len({(r.event_id % 15, r.score) for r in got}) == 15
+
+
 def test_stored_anomalies_subscriptions_rates(spark, tmp_path):
     report = spark.createDataFrame([(at(0), "churn", "x", None, 3.5, "warning")], "detected_at timestamp, kind string, prefix string, peer_addr string, score double, severity string")
     tables.append_anomalies(report, str(tmp_path / "t"))
