@@ -7,8 +7,10 @@ state store. Input is a stream with event_id, occurred_at and what the detector
 from __future__ import annotations
 
 import bisect
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from skerry.operators.detectors import ANNOUNCED, severity_by_validity
 from skerry.operators.scan import RollingMedian
 
 SECOND = 1_000_000
+#: Events that a block of a key's buffer holds at most.
+BLOCK = 50_000
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -30,7 +34,8 @@ class InOrder(StatefulProcessor):
     """ST9: a buffer that hands a key's events to `step` in the order of (at, event_id).
 
     Events wait in the state until the watermark reaches their time; one event-time timer a key, at its earliest waiting event, lets out all that the watermark has passed. What comes out
-    later is later, since Spark leaves out rows behind the watermark. So a key holds the events of the watermark's delay.
+    later is later, since Spark leaves out rows behind the watermark. So a key holds the events of the watermark's delay, in blocks: a micro-batch's events of a key go to the state and come
+    back as one value (or one for each BLOCK), since each value costs a call.
     """
 
     #: What is kept of an event; at (microseconds) and event_id come first.
@@ -42,7 +47,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.names = [f.split()[0] for f in self.fields]
         self.out_names = [f.split()[0] for f in self.out.split(", ")]
-        self.held = handle.getListState("held", ", ".join(self.fields))
+        self.held = handle.getListState("held", "at bigint, events binary")  # the least time in a block, and its events
         self.next = handle.getValueState("next", "ms bigint")
         self.open()
 
@@ -58,11 +63,19 @@ class InOrder(StatefulProcessor):
         return iter(())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [tuple(r[c] for c in self.names) for r in rows]
-        self.held.appendList(new)
-        self._wait(min(r[0] for r in new))
+        new, take = [], None
+        for r in rows:
+            take = take or itemgetter(*map(r.__fields__.index, self.names))
+            new.append(take(r))
+        new.sort(key=itemgetter(0, 1))
+        self.held.appendList(self._blocks(new))
+        self._wait(new[0][0])
         return iter(())
 
+    def _blocks(self, events: list[tuple]) -> list[tuple]:
+        """Rows of the buffer for events in order."""
+        return [(events[i][0], pickle.dumps(events[i : i + BLOCK], pickle.HIGHEST_PROTOCOL)) for i in range(0, len(events), BLOCK)]
+
     def _wait(self, at: int) -> None:
         due = -(-at // 1000)
         have = self.next.get()[0] if self.next.exists() else None
@@ -76,11 +89,11 @@ class InOrder(StatefulProcessor):
         due = self.next.get()[0] if self.next.exists() else None
         if due == expiredTimerInfo.getExpiryTimeInMs():
             passed = timerValues.getCurrentWatermarkInMs() * 1000
-            waiting = sorted((tuple(r) for r in self.held.get()), key=lambda r: r[:2])
+            waiting = sorted((e for r in self.held.get() for e in pickle.loads(r[1])), key=itemgetter(0, 1))
             ready = bisect.bisect_right(waiting, passed, key=lambda r: r[0])
             self.next.clear()
             if ready < len(waiting):
-                self.held.put(waiting[ready:])
+                self.held.put(self._blocks(waiting[ready:]))
                 self._wait(waiting[ready][0])
             else:
                 self.held.clear()

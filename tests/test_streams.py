@@ -2,9 +2,11 @@
 
 import datetime as dt
 import json
+import pickle
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skerry.operators import aggregates, detectors
@@ -79,6 +81,20 @@ def test_detectors_of_unordered_streams(spark, tmp_path, name):
     assert rows_of(got, want.columns) == rows_of(want, want.columns) and late == 0 and want.count() > 5
 
 
+def test_buffers_hold_blocks(spark):
+    """ST9: a micro-batch's events of a key go to the state as one value, or one for each BLOCK, and come back in order."""
+    held = []
+
+    class State:
+        appendList = staticmethod(held.extend)
+
+    d = stateful.Leaks()
+    d.names, d.held, d._wait = ["at", "event_id", "as_path_len", "only_to_customer"], State, lambda at: held.append(at)
+    rows = [Row(prefix="x", at=i * 7 % 1000, event_id=i, as_path_len=3, only_to_customer=None) for i in range(1000)]
+    assert list(d.handleInputRows(("x", "p"), iter(rows), None)) == [] and len(held) == 2 and held[0][0] == held[1] == 0
+    assert pickle.loads(held[0][1]) == sorted((r.at, r.event_id, 3, None) for r in rows)
+
+
 def test_hijack_over_another_peer(spark, tmp_path):
     """D7 goes by prefix: a new origin over a peer that never announced the prefix is one."""
     base = [(1, at(0), "s", "p", "x", "announce", "1 10", 2, None, None), (2, at(5), "s", "q", "x", "announce", "1 11", 2, None, None), (3, at(5000), "s", "p", "x", "announce", "1 12", 2, None, None)]
