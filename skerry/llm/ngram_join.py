@@ -59,13 +59,14 @@ def signatures(ptr: np.ndarray, s: np.ndarray, num: int, den: int) -> tuple[np.n
 
     A set in size band i signs for bands i and i + 1. Two sets of band b, or of b - 1 and b, differ in at most k shingles, so that of n1 partitions of the shingles m = n1 - k // 2 have
     one difference at most, and of such a partition's 3 parts two have none: each two parts of a partition make a signature. Signatures of fewer than c shingles, which strangers
-    share, are left out by sets that are safe: those with fewer than m partitions where two parts could have fewer than c. If either of two sets is safe, one of their m
-    partitions has a signature of c shingles, which both make; if neither is, both make all.
+    share, are left out by sets that are safe at c: those with fewer than m partitions where two parts could have fewer than c. Each set takes the largest c, up to a bound, at
+    which it is safe, or else makes all (c = 0). Of two sets, the one of larger c has in one of their m partitions a signature of c shingles that both have and neither leaves out.
     """
     n = np.diff(ptr)
     edge = bands(num, den, int(n.max(initial=1)))
     own = np.searchsorted(edge, n, "right") - 1
     rows, sigs = [], []
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
     for step in (0, 1):
         band = own + step
         top = edge[np.minimum(band + 1, len(edge) - 1)] - 1
@@ -76,9 +77,9 @@ def signatures(ptr: np.ndarray, s: np.ndarray, num: int, den: int) -> tuple[np.n
         base = np.concatenate([[0], np.cumsum(parts)])
         per = np.repeat(parts, n).astype(np.uint64)
         slot = np.repeat(base[:-1], n) + (((s >> np.uint64(32)) * per) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(base[-1], np.uint64)
-        np.add.at(sums, slot, mix(s))
         count = np.bincount(slot, minlength=base[-1])
+        end = np.cumsum(count)  # slots ascend with the shingles
+        sums = upto[end] - upto[end - count]
         row = np.repeat(np.arange(len(n)), parts)
         pos = np.arange(base[-1]) - np.repeat(base[:-1], parts)
         keep = np.ones(len(row), bool)
@@ -89,9 +90,10 @@ def signatures(ptr: np.ndarray, s: np.ndarray, num: int, den: int) -> tuple[np.n
                 each = count[third]
                 total, owner = each.sum(1), row[many]
                 sums[third] = sums[third].sum(1, dtype=np.uint64)[:, None] - sums[third]
-                weak = np.bincount(owner, total - each.max(1) < least[owner], len(n))
-                safe = weak < groups - k // 2
-                keep[third] = (total[:, None] - each >= least[owner][:, None]) | ~safe[owner][:, None]
+                two, level = total - each.max(1), np.zeros(len(n), np.int64)
+                for c in range(1, PARTS + 1):
+                    level[(np.bincount(owner, two < c, len(n)) < groups - k // 2) & (c <= least)] = c
+                keep[third] = total[:, None] - each >= level[owner][:, None]
             sig = mix(sums ^ mix(band[row].astype(np.uint64) * np.uint64(1 << 40) + pos.astype(np.uint64)))
         rows.append(row[keep])
         sigs.append(sig[keep])
@@ -179,11 +181,11 @@ def deal(sig: np.ndarray, k: np.ndarray, buckets: int) -> pa.RecordBatch:
     A signature's upper half names its bucket; body has the lower halves and then the keys. Kind 0 are all sets of a signature, kind 1 one that stands for many; the
     others of those many are linked to it by kind 2, whose body has pairs of keys.
     """
-    order = np.lexsort((k, sig))
+    order = np.argsort(sig)
     sig, k = sig[order], k[order]
     first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
     size = np.diff(np.append(first, len(sig)))
-    many, hub = np.repeat(size > SHARED_AT_ONCE, size), np.repeat(k[first], size)
+    many, hub = np.repeat(size > SHARED_AT_ONCE, size), np.repeat(np.minimum.reduceat(k, first) if len(k) else k, size)
     bucket = (((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     rows = []
     for kind, some in ((0, ~many), (1, many & (k == hub)), (2, many & (k != hub))):
@@ -207,14 +209,20 @@ def meet(batches):
     def close(held: list[tuple], last: bool):
         """(rows, what is left of the bucket): all groups at its end, before that only those of over SIFTED, of which one set stays."""
         low, k, stands = (np.concatenate(x) for x in zip(*held))
+        if last:  # most signatures are one set's alone
+            alike = np.sort(low)
+            alike = alike[1:][alike[1:] == alike[:-1]]
+            some = np.flatnonzero(alike[np.minimum(np.searchsorted(alike, low), len(alike) - 1)] == low) if len(alike) else alike.astype(np.int64)
+            low, k, stands = low[some], k[some], stands[some]
         order = np.lexsort((k, low))
         low, k, stands = low[order], k[order], stands[order]
         new = np.append(True, (low[1:] != low[:-1]) | (k[1:] != k[:-1]))
-        stands = np.logical_or.reduceat(stands, np.flatnonzero(new))
+        new = new[: len(low)]
+        stands = np.logical_or.reduceat(stands, np.flatnonzero(new)) if len(low) else stands
         low, k = low[new], k[new]
-        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
         size = np.diff(np.append(first, len(low)))
-        many = np.repeat(np.logical_or.reduceat(stands, first) | ((size > SIFTED) & (not last)), size)
+        many = np.repeat((np.logical_or.reduceat(stands, first) if len(low) else stands) | ((size > SIFTED) & (not last)), size)
         hub, met = np.repeat(k[first], size), np.repeat(size > 1, size)
         out = met & (last | many)
         hub, key, every = hub[out], k[out], many[out]

@@ -126,6 +126,19 @@ def test_signatures_meet(at_once, sifted, held, monkeypatch):
         assert not pairs and {(h, k) for h, keys in sets.items() for k in keys} == together
 
 
+def test_signatures_part_strangers():
+    """Of sets that share one passage few meet, and all that are similar do."""
+    rng = np.random.default_rng(7)
+    some = lambda n: rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64)
+    passage = some(8)
+    sets = [np.unique(np.concatenate([passage, some(int(n))])) for n in rng.integers(40, 300, 400)]
+    near = [np.unique(np.concatenate([x[rng.permutation(len(x))[len(x) // 10 :]], some(len(x) // 10)])) for x in sets]
+    row, sig = ngram_join.signatures(np.concatenate([[0], np.cumsum([len(x) for x in sets + near])]), np.concatenate(sets + near), 4, 5)
+    of = [set(sig[row == i].tolist()) for i in range(800)]
+    assert all(of[i] & of[i + 400] for i in range(400))
+    assert sum(bool(of[i] & of[j]) for i in range(400) for j in range(i)) < 1000  # of 79800
+
+
 def test_sifting_keeps_near_sets():
     """Bit maps of any widths never rule out sets that reach the threshold, and forests of them link all that do."""
     rng = np.random.default_rng(5)
