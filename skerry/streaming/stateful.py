@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import bisect
 import pickle
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from skerry.functions import scalars as X
@@ -23,18 +26,24 @@ from skerry.operators.scan import RollingMedian
 SECOND = 1_000_000
 #: Events that a block of a key's buffer holds at most.
 BLOCK = 50_000
+#: Events that a task gathers before it deals them out by key, and the column that holds a key's.
+GATHERED, PACKED = 100_000, "__events"
+#: What names of observed metrics that count late rows begin with.
+LATE = "late_rows_"
 
 
 def late_rows(query: StreamingQuery) -> int:
     """ST9: rows that a query's stateful operators have left out because the watermark had passed them, over the progress that it remembers."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    progress = query.recentProgress
+    own = sum(row["rows"] or 0 for p in progress for name, row in (p["observedMetrics"] or {}).items() if name.startswith(LATE))
+    return own + sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
 
 
 class InOrder(StatefulProcessor):
     """ST9: a buffer that hands a key's events to `step` in the order of (at, event_id).
 
     Events wait in the state until the watermark reaches their time; one event-time timer a key, at its earliest waiting event, lets out all that the watermark has passed. What comes out
-    later is later, since Spark leaves out rows behind the watermark. So a key holds the events of the watermark's delay, in blocks: a micro-batch's events of a key go to the state and come
+    later is later, since rows behind the watermark are left out: by Spark, or of packed events here. So a key holds the events of the watermark's delay, in blocks: a micro-batch's events of a key go to the state and come
     back as one value (or one for each BLOCK), since each value costs a call.
     """
 
@@ -63,14 +72,24 @@ class InOrder(StatefulProcessor):
         return iter(())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new, take = [], None
+        new, take, packed = [], None, False
         for r in rows:
-            take = take or itemgetter(*map(r.__fields__.index, self.names))
-            new.append(take(r))
+            if take is None:
+                packed = PACKED in r.__fields__
+                take = itemgetter(*map(r.__fields__.index, [PACKED] if packed else self.names))
+            if packed:
+                new += pickle.loads(take(r))
+            else:
+                new.append(take(r))
         new.sort(key=itemgetter(0, 1))
-        self.held.appendList(self._blocks(new))
-        self._wait(new[0][0])
-        return iter(())
+        late = 0
+        if packed and (passed := timerValues.getCurrentWatermarkInMs()) > 0:
+            late = bisect.bisect_right(new, passed * 1000, key=itemgetter(0))
+            del new[:late]
+        if new:
+            self.held.appendList(self._blocks(new))
+            self._wait(new[0][0])
+        return iter([Row(**dict.fromkeys(self.out_names), late=late)] if late else ())
 
     def _blocks(self, events: list[tuple]) -> list[tuple]:
         """Rows of the buffer for events in order."""
@@ -100,15 +119,45 @@ class InOrder(StatefulProcessor):
             found = self.step(key, waiting[:ready])
         else:
             found = self.elapsed(key, expiredTimerInfo.getExpiryTimeInMs())
-        return (Row(**dict(zip(self.out_names, r))) for r in list(found))
+        return (Row(**dict(zip(self.out_names, r)), late=None) for r in list(found))
 
     def close(self) -> None:
         pass
 
 
-def applied(events: DataFrame, keys: list[str], detector: InOrder, late: str) -> DataFrame:
-    """The detector over a stream with occurred_at, by keys; `late` is how far the watermark stays behind the newest event. Its output's `at` becomes occurred_at."""
-    out = events.withColumn("at", F.unix_micros("occurred_at")).withWatermark("occurred_at", late).groupBy(*keys).transformWithState(detector, detector.out, "Append", "EventTime")
+def by_key(events: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Rows (keys, PACKED) of events: those of a key that a task has gathered as one value, since each row that goes to keyed state costs a call for each of its columns."""
+
+    def run(batches):
+        held, n, kinds = {}, 0, []
+
+        def dealt():
+            cols = [pa.array([k[i] for k in held], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([pickle.dumps(e, pickle.HIGHEST_PROTOCOL) for e in held.values()], pa.binary())], [*keys, PACKED])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for k, e in zip(zip(*(batch[c].to_pylist() for c in keys)), zip(*(batch[c].to_pylist() for c in names))):
+                held.setdefault(k, []).append(e)
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield dealt()
+                held, n = {}, 0
+        if held:
+            yield dealt()
+
+    return events.select(*dict.fromkeys([*keys, *names])).mapInArrow(run, T.StructType([*(events.schema[k] for k in keys), T.StructField(PACKED, T.BinaryType())]))
+
+
+def applied(events: DataFrame, keys: list[str], detector: InOrder, late: str, packed: bool = True) -> DataFrame:
+    """The detector over a stream with occurred_at, by keys; `late` is how far the watermark stays behind the newest event. Its output's `at` becomes occurred_at.
+
+    Packed events are late if they are behind the watermark that their micro-batch begins with. What another stateful operator puts out may be, and isn't packed."""
+    own = events.withColumn("at", F.unix_micros("occurred_at")).withWatermark("occurred_at", late)
+    if packed:
+        own = by_key(own, keys, [f.split()[0] for f in detector.fields])
+    out = own.groupBy(*keys).transformWithState(detector, f"{detector.out}, late bigint", "Append", "EventTime")
+    out = out.observe(LATE + uuid.uuid4().hex, F.sum("late").alias("rows")).where("late IS NULL").drop("late")
     return out.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "occurred_at") if "at bigint" in detector.out.split(", ") else out
 
 
@@ -353,7 +402,7 @@ class SlowConvergence(InOrder):
 def slow_convergence(events: DataFrame, days: int = 7, least: int = 3, late: str = "10 seconds") -> DataFrame:
     """D11 as a stream over (peer_addr, started_at, convergence_ms)."""
     own = events.select("peer_addr", F.col("started_at").alias("occurred_at"), F.round(F.col("convergence_ms") * 1000).cast("bigint").alias("event_id"), F.col("convergence_ms").cast("double").alias("convergence_ms"))
-    return applied(own, ["peer_addr"], SlowConvergence(days, least), late).withColumnRenamed("occurred_at", "started_at")
+    return applied(own, ["peer_addr"], SlowConvergence(days, least), late, packed=False).withColumnRenamed("occurred_at", "started_at")
 
 
 class Suppressed(InOrder):
@@ -392,7 +441,7 @@ class Suppressed(InOrder):
 
 def suppress(alerts: DataFrame, seconds: int = 300, late: str = "10 seconds") -> DataFrame:
     """D8 as a stream: of the alerts with one kind, prefix and peer those that come so long after the last one that was let through."""
-    return applied(alerts, ["kind", "prefix", "peer_addr"], Suppressed(seconds), late)
+    return applied(alerts, ["kind", "prefix", "peer_addr"], Suppressed(seconds), late, packed=False)
 
 
 class Episodes(InOrder):

@@ -102,6 +102,23 @@ def test_hijack_over_another_peer(spark, tmp_path):
     assert [(r.event_id, r.new_origin, r.known) for r in got.where("prefix <> 'far'").collect()] == [(2, 11, "10")]  # after an hour of silence none is known
 
 
+def test_events_go_to_state_by_key(spark, tmp_path):
+    """ST9: a task's events of a key are one row of the stateful operator's, late ones of a packed row are counted one by one."""
+    rows = [(i, at(i / 10), "s", "p", "xy"[i % 2], "announce", "1 2", 7, 7, None) for i in range(400)]
+    got = stateful.by_key(spark.createDataFrame(rows, ROUTES).withColumn("at", F.unix_micros("occurred_at")).coalesce(1), ["prefix", "peer_addr"], ["at", "event_id"]).collect()
+    assert len(got) == 2 and sorted(e[1] for r in got for e in pickle.loads(r[stateful.PACKED])) == list(range(400))
+    late = [(1000 + i, at(1 if i < 3 else 10_000), "s", "p", "x", "announce", "1 2", 2, 7, None) for i in range(4)]
+    for k, part in enumerate((rows, [(999, at(5000), "s", "p", "y", "announce", "1 2", 7, 7, None)], late)):
+        spark.createDataFrame(part, ROUTES).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    import glob
+    import os
+
+    for i, f in enumerate(sorted(glob.glob(f"{tmp_path}/*/*.parquet"))):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(ROUTES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    assert drained(stateful.leaks(stream, late="10 seconds"), "packed")[1] == 3
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     rows = [(i, at(100 * i), "s", "p", "x", "announce", f"1 {10 + i}", 2, None, None) for i in range(6)]
     df = spark.createDataFrame(rows, ROUTES)
