@@ -480,6 +480,18 @@ def test_language_model(spark, rows_in_shard, monkeypatch):
         assert r["__nll"] == pytest.approx(want, rel=1e-4) and r["__n_bytes"] == len(r.text.encode())
 
 
+def test_model_is_filed_in_small_rows(spark, monkeypatch):
+    """A table of the model lies in rows of some of its slots, and is read again whole."""
+    texts = spark.createDataFrame([("a", "the cat sat on the mat and the dog ran off with the hat"), ("b", "el gato come el pescado")], "lang string, text string")
+    model = cut(quality.train(texts))
+    want = {r.lang: r["__nll"] for r in quality.score(texts, model).collect()}
+    monkeypatch.setattr(quality, "SLOTS", 64)
+    tables, _ = quality.filed(model, {"a": 1, "b": 2})
+    rows = tables.collect()
+    assert max(len(r["keys"]) for r in rows) <= 512 and len(rows) > 8
+    assert {r.lang: r["__nll"] for r in quality.score(texts, model).collect()} == want
+
+
 def test_quality_held_out(spark):
     """Accuracy on labelled documents: junk goes and good ones stay."""
     sf = SF.replace("0.001", "0.01")
